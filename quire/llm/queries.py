@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, quality, sharding
+from . import decontamination, jaccard, language, quality, sharding
 from ._native import table
 from .oracles import ORACLES
 
@@ -23,5 +24,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("row_number")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op9_quality_rules, op10_sharding)}
+def _remainder(divisor: int) -> Column:
+    """crc32 of the doc_id as text, modulo divisor; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
+    return language.identify(docs, docs.filter(~F.col("held_out")), keep=["doc_id", "held_out"])
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op4_jaccard_join, op9_quality_rules, op10_sharding)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
