@@ -23,4 +23,12 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op1_decontamination": OP1}
+OP2 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN least = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN least <> page_id THEN least END AS refers_to
+FROM q
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op2_warc": OP2}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language, quality, sharding
+from . import decontamination, jaccard, language, lines, pieces, quality, sharding, warc
 from ._native import table
 from .oracles import ORACLES
 
@@ -38,5 +38,19 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op4_jaccard_join, op9_quality_rules, op10_sharding)}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return back.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents")).select("doc_id", "n_pieces", "ids_crc32", "round_trip")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text_crc32")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_language_id, op4_jaccard_join, op5_sentencepiece, op8_line_dedup, op9_quality_rules, op10_sharding)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
