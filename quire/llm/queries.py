@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language, lines, pieces, quality, sharding, warc
+from . import decontamination, jaccard, language, lines, mixing, pieces, quality, sharding, warc
 from ._native import table
 from .oracles import ORACLES
 
@@ -52,5 +52,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_language_id, op4_jaccard_join, op5_sentencepiece, op8_line_dedup, op9_quality_rules, op10_sharding)}
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", _remainder(10) == 0)
+    return mixing.score_texts(docs, "held_out")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_language_id, op4_jaccard_join, op5_sentencepiece, op7_lm_scoring, op8_line_dedup, op9_quality_rules, op10_sharding)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
