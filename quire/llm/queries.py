@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language, lines, mixing, pieces, quality, sharding, warc
+from . import decontamination, jaccard, language, lines, mixing, pieces, quality, secrets, sharding, warc
 from ._native import table
 from .oracles import ORACLES
 
@@ -57,5 +57,9 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score_texts(docs, "held_out")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_language_id, op4_jaccard_join, op5_sentencepiece, op7_lm_scoring, op8_line_dedup, op9_quality_rules, op10_sharding)}
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.labelled_findings(spark)).drop("value")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_language_id, op4_jaccard_join, op5_sentencepiece, op6_secret_scan, op7_lm_scoring, op8_line_dedup, op9_quality_rules, op10_sharding)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
