@@ -75,6 +75,27 @@ class Corpus:
         listed = self.paragraph_texts().filter(F.col("text") != "").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_path", "text"))).alias("p"))
         return listed.select("doc_id", F.array_join("p.text", "\n").alias("text"))
 
+    def dom_text(self) -> DataFrame:
+        """(doc_id, text) in the alphabet of the editing model: a paragraph ends with \\r, the last of a section with
+        \\x0c, of a cell with \\x07, and so does a row; breaks are \\x0b, \\x0c and \\x0e, fields \\x13, \\x14 and \\x15, notes
+        \\x02 and comments \\x05. Field codes and hidden runs are kept.
+        """
+        # The characters of marks, and of the breaks that runs hold as \n, \f and \v.
+        marks = {"FieldStart": "\x13", "FieldSeparator": "\x14", "FieldEnd": "\x15", "NoteReference": "\x02", "CommentMarker": "\x05"}
+        shown = F.when(F.col("kind") == "Run", F.translate("text", "\n\f\v", "\x0b\x0c\x0e"))
+        for kind, mark in marks.items():
+            shown = shown.when(F.col("kind") == kind, F.lit(mark))
+        texts = self.main.groupBy("doc_id", "block_path").agg(F.sort_array(F.collect_list(F.struct("ord", shown.alias("t")))).alias("r"))
+        texts = texts.select("doc_id", F.col("block_path").alias("path"), F.array_join("r.t", "").alias("text"))
+        w = Window.partitionBy("doc_id", F.slice("path", 1, F.size("path") - 1))
+        last = F.max("path").over(w) == F.col("path")
+        end = F.when(F.size("path") > 1, F.when(last, "\x07").otherwise("\r")).otherwise(F.when(F.col("ends_section") | last, "\x0c").otherwise("\r"))
+        paragraphs = self.blocks.withColumn("end", end).filter("node_type = 'Paragraph'").join(texts, ["doc_id", "path"], "left")
+        paragraphs = paragraphs.select("doc_id", "path", F.concat(F.coalesce("text", F.lit("")), "end").alias("t"))
+        rows = self.cells.select("doc_id", F.concat("table_path", F.array("row", F.lit(1 << 30))).alias("path"), F.lit("\x07").alias("t")).distinct()
+        listed = paragraphs.union(rows).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("path", "t"))).alias("f"))
+        return listed.select("doc_id", F.array_join("f.t", "").alias("text"))
+
     def headings(self) -> DataFrame:
         """(doc_id, path, heading_level, depth, text) of headings at body level."""
         h = resolve.outline(resolve.headings(self.blocks, self.styles))

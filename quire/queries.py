@@ -11,7 +11,7 @@ from .functions import scalars as S
 from .operators import edit, pdf
 from .operators.extract import Corpus
 from .plans import resolve
-from .sources import package
+from .sources import legacy, package
 from .sources.builder import make_packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -404,6 +404,36 @@ def note_ids(spark, d):
     return _table(spark, d, "customer").select("c_custkey", S.note_id((F.col("c_custkey") * 3000000).cast("string")).alias("note_id"))
 
 
+@query("SELECT doc_id, replace(coalesce(text, ''), chr(10), chr(13)) || chr(12) AS text FROM documents")
+def dom_text(spark, d):
+    return _corpus(_texts(spark, d), _plain).dom_text()
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, string_agg(n_nationkey::VARCHAR || chr(7) || n_name || chr(7) || chr(7), '' ORDER BY n_nationkey) || 'end' || chr(12) AS text FROM nation GROUP BY n_regionkey")
+def dom_table_text(spark, d):
+    docs = _table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))
+
+    def describe(row):
+        return {"blocks": [{"table": [[{"t": str(r["n_nationkey"])}, {"t": r["n_name"]}] for r in row["rows"]]}, {"runs": [{"t": "end"}]}]}
+
+    return _corpus(docs, describe).dom_text()
+
+
+def _binary(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            yield pa.record_batch([part.column("doc_id"), pa.array([legacy.build(t or "") for t in part.column("text").to_pylist()], pa.binary())], ["doc_id", "content"])
+
+
+@query(f"SELECT doc_id, i::INT AS place, line AS text, false AS in_table FROM ({_LINE})")
+def binary_doc_text(spark, d):
+    made = _texts(spark, d).select("doc_id", "text").mapInArrow(_binary, "doc_id long, content binary")
+    return legacy.doc_paragraphs(made).select("doc_id", "place", "text", "in_table")
+
+
 @query()
 def pdf_pages(spark, d):
     c = _corpus(_texts(spark, d), _plain)
