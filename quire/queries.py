@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import edit, pdf
 from .operators.extract import Corpus
-from .plans import resolve
+from .plans import conditions, identity, resolve
 from .sources import legacy, package
 from .sources.builder import make_packages
 
@@ -419,6 +419,35 @@ def dom_table_text(spark, d):
     return _corpus(docs, describe).dom_text()
 
 
+@query("SELECT doc_id, ((length(text) - length(replace(text, 'e t', ''))) // 3)::BIGINT AS replaced, string_agg(replace(line, 'e t', 'E+T'), chr(10) ORDER BY i) AS text FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE coalesce(text, '') <> '') WHERE line <> '' GROUP BY doc_id, text")
+def replace_over_runs(spark, d):
+    def describe(row):
+        split = lambda x: [w if not k else " " + w for k, w in enumerate(x.split(" "))]
+        return {"blocks": [{"runs": [{"t": w, "b": True if k % 2 else None} for k, w in enumerate(split(x))]} for x in _lines(row)]}
+
+    out = edit.replace_in_paragraphs(_corpus(_texts(spark, d), describe).parts, "e t", "E+T")
+    made = out.groupBy("doc_id").agg(F.sum("replaced").alias("replaced"))
+    return made.join(Corpus(edit.pack(out)).text(), "doc_id").select("doc_id", "replaced", "text")
+
+
+@query("SELECT conv_id AS doc_id, turn::VARCHAR AS old_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) + 1)::INT AS new_id FROM conversations WHERE conv_id IS NOT NULL")
+def note_renumbering(spark, d):
+    def describe(row):
+        return {"blocks": [{"runs": [{"note": t["turn"]}]} for t in reversed(row["turns"])], "notes": [{"id": t["turn"], "t": "x"} for t in row["turns"]] + [{"id": 9999, "t": "unused"}]}
+
+    c = _corpus(_conversation(spark, d), describe)
+    return identity.renumbered(c.main, c.stories).select("doc_id", "old_id", "new_id")
+
+
+@query("""WITH c AS (SELECT n_regionkey::BIGINT AS doc_id, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS r, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation)
+SELECT doc_id, r AS "row", k::INT AS cell, CASE WHEN r = 0 THEN ['nwCell', 'firstRow', 'neCell'][k + 1] WHEN r = n - 1 THEN ['swCell', 'lastRow', 'seCell'][k + 1]
+ELSE ['firstCol', CASE WHEN r % 2 = 1 THEN 'band1Horz' ELSE 'band2Horz' END, 'lastCol'][k + 1] END AS region FROM c, (SELECT unnest([0, 1, 2]) AS k)""")
+def conditional_regions(spark, d):
+    docs = _table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    c = _corpus(docs, lambda row: {"blocks": [{"table": [[{"t": "x"}] * 3] * row["n"]}]})
+    return conditions.cell_regions(c.cells).select("doc_id", "row", "cell", F.element_at("regions", -1).alias("region"))
+
+
 def _binary(batches):
     import pyarrow as pa
 
