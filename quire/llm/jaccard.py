@@ -1,18 +1,20 @@
 """Exact n-gram Jaccard self-join by grouped prefixes, and the classes that its links make.
 
 A text's set is its distinct 5-word shingles, as 64-bit hashes. Two sets x, y with 100 * |x & y| >= 75 * |x | y| share a
-token within their prefixes, the first |x| - ceil(0.75 |x|) + 1 tokens in any order that is the same for all. The order
-used here is by a counting sketch of a fixed size, then by hash, so tokens that very many texts share come last.
+token within their prefixes, the first |x| - ceil(0.75 |x|) + 1 tokens in any order that is the same for all.
 
 1. Texts with equal sets fall into one class by a hash of the set; from here on a class is one node.
-2. Every class is compared with one leader of each of its first prefix tokens and of its group, the classes of equal
+2. In an order that puts the tokens of a single text first, a text with as many of those as its prefix is long can
+   have no link. Every token is counted once, and only the other texts go on, with their sets.
+3. Every class is compared with one leader of each of its smallest tokens and of its group, the classes of equal
    prefix and size. Large families of near copies become connected here, by links in proportion to their size.
-3. Classes of one group that are connected already are one unit. Units that share a prefix token, fit in size and are
-   not connected are counted by tokens; pairs that can still reach the threshold are expanded to their members and
-   verified. Pairs inside one component are left out: a link there would change no component.
-4. Components of all verified links.
+4. Classes of one group that are connected already are one unit. Units that share a prefix token (the order now is by a
+   counting sketch of a fixed size, then by hash), fit in size and are not connected are counted by tokens; pairs that
+   can still reach the threshold are expanded to their members and verified. Pairs inside one component are left out:
+   a link there would change no component.
+5. Components of all verified links.
 
-No pair is dropped by a cap: leaders only bring links forward, step 3 covers all pairs between different components.
+No pair is dropped by a cap: leaders only bring links forward, step 4 covers all pairs between different components.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from ._components import components
 from ._shared import written
 
 SKETCH_BITS = 20
-FIRST = 6
+TOKENS_PER_BUCKET = 1_500_000
+BATCH_BYTES = 16 << 20
+FIRST = 3
 PER_BUCKET = 150_000
 BITMAP_BITS = 23
 NUM, DEN = 75, 100
@@ -53,24 +57,110 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, n
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text its size and key; at the end of a task, the task's token counts by the upper bits of the hash."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    seen: set[int] = set()
+    """Per text its size and key."""
     for batch in batches:
         for part, values, offsets in _sets(batch):
-            keys = _keys(values, offsets)
-            n = np.diff(offsets)
-            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(keys.view(np.int64)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["id", "n", "key", "part", "counts"])
-            fresh = np.array([k not in seen for k in keys.tolist()], bool)
-            seen.update(keys.tolist())
-            some = values[np.repeat(fresh, n)] if len(n) else values
-            np.add(counts, np.bincount((some >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS), out=counts)
-            if len(seen) > 200_000:
-                seen.clear()
+            yield pa.record_batch([part.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(_keys(values, offsets).view(np.int64))], ["id", "n", "key"])
+
+
+def _deal_tokens(buckets: int):
+    """Per batch of texts and bucket of tokens: 40 bits of each token and the number of its text; bucket 0 has the keys too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number, held, size
+            keys, n, token = (np.concatenate([h[k] for h in held]) for k in range(3))
+            text = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+            bucket = (token % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            token, text = (token >> np.uint64(24))[order], text[order]
+            low = np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, :5])
+            some = np.union1d(np.flatnonzero(np.diff(cuts)), [0])
+            for k in range(0, len(some), 32):
+                data, head = [], []
+                for b in some[k : k + 32]:
+                    x = slice(cuts[b], cuts[b + 1])
+                    t = text[x]
+                    step = np.diff(t, prepend=t[:1]).astype(np.uint32)
+                    data.append(np.array([len(t), int(t[0]) if len(t) else 0], np.int64).tobytes() + low[x].tobytes() + pa.compress(step.tobytes(), "zstd", asbytes=True))
+                    head.append(keys.tobytes() + n.tobytes() if b == 0 else None)
+                m = len(data)
+                yield pa.record_batch([pa.array(some[k : k + 32], pa.int32()), pa.array([number] * m, pa.int64()), pa.array([len(n)] * m, pa.int64()), pa.array(data, pa.binary()), pa.array(head, pa.binary())], ["bucket", "batch", "texts", "data", "head"])
+            number, held, size = number + 1, [], 0
+
+        for batch in batches:
+            for part, values, offsets in _sets(batch):
+                keys, n = _keys(values, offsets), np.diff(offsets)
+                fresh = np.zeros(len(n), bool)
+                for i, k in enumerate(keys.tolist()):
+                    if n[i] and k not in seen:
+                        seen.add(k)
+                        fresh[i] = True
+                if len(seen) > 200_000:
+                    seen.clear()
+                held.append((keys[fresh], n[fresh], values[np.repeat(fresh, n)]))
+                size += 8 * len(values) + 64 * len(n)
+                if size >= BATCH_BYTES:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _single(_: tuple, table: pa.Table) -> pa.Table:
+    """For each batch, how many tokens of this bucket each of its texts has to itself."""
+    tokens, texts = [], []
+    for x in table.column("data"):
+        raw = x.as_buffer()
+        m, first = (int(v) for v in np.frombuffer(raw, np.int64, 2))
+        wide = np.zeros((m, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(raw, np.uint8, 5 * m, 16).reshape(-1, 5)
+        tokens.append(wide.reshape(-1).view(np.uint64))
+        step = np.frombuffer(pa.decompress(raw[16 + 5 * m :], 4 * m, "zstd", asbytes=True), np.uint32)
+        texts.append(first + np.cumsum(step, dtype=np.int64))
+    token = np.concatenate(tokens)
+    order = np.argsort(token)
+    ranked = token[order]
+    same = ranked[1:] == ranked[:-1]
+    alone = np.empty(len(token), bool)
+    alone[order] = ~(np.concatenate(([False], same)) | np.concatenate((same, [False]))) if len(token) else True
+    out, at = [], 0
+    for text, n in zip(texts, table.column("texts").to_pylist(), strict=True):
+        own = np.bincount(text, weights=alone[at : at + len(text)], minlength=n).astype(np.uint32)
+        out.append(pa.compress(own.tobytes(), "zstd", asbytes=True))
+        at += len(text)
+    return pa.table({"batch": table.column("batch"), "texts": table.column("texts"), "own": pa.array(out, pa.binary()), "head": table.column("head")})
+
+
+def _suspects(_: tuple, table: pa.Table) -> pa.Table:
+    """The texts of a batch with fewer tokens of their own than their prefix is long."""
+    n = table.column("texts")[0].as_py()
+    own = np.zeros(n, np.int64)
+    for x in table.column("own"):
+        own += np.frombuffer(pa.decompress(x.as_py(), 4 * n, "zstd", asbytes=True), np.uint32)
+    raw = next(h.as_py() for h in table.column("head") if h.is_valid)
+    keys, sizes = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n)
+    some = own < prefix_length(sizes)
+    return pa.table({"key": keys[some]})
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts of tokens by the upper bits of the hash, in 16 parts."""
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    for batch in batches:
+        for x in batch.column("tokens"):
+            np.add.at(counts, (np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
     if counts.any():
-        parts = counts.reshape(16, -1)
-        data = [pa.compress(p.astype(np.uint32).tobytes(), "zstd", asbytes=True) for p in parts]
-        yield pa.record_batch([pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.array(range(16), pa.int32()), pa.array(data, pa.binary())], ["id", "n", "key", "part", "counts"])
+        data = [pa.compress(p.astype(np.uint32).tobytes(), "zstd", asbytes=True) for p in counts.reshape(16, -1)]
+        yield pa.record_batch([pa.array(range(16), pa.int32()), pa.array(data, pa.binary())], ["part", "counts"])
 
 
 def _summed(key: tuple, table: pa.Table) -> pa.Table:
@@ -87,28 +177,21 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(sketch: np.ndarray):
+    """(key, n, gkey, first, prefix) of sets (key, tokens): the group's key, the smallest tokens, the prefix in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            for _, values, offsets in _sets(batch):
-                keys, n = _keys(values, offsets), np.diff(offsets)
-                rows: list[list] = [[], [], [], [], []]
-                p = prefix_length(n)
-                for i, k in enumerate(keys.tolist()):
-                    if not n[i] or k in seen:
-                        continue
-                    seen.add(k)
-                    own = values[offsets[i] : offsets[i + 1]]
-                    order = np.argsort(sketch[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                    own = own[order[: p[i]]]
-                    group = _keys(np.sort(own), np.array([0, len(own)]))[0] ^ T.mix(np.array([n[i]], np.uint64))[0]
-                    for column, x in zip(rows, (k, int(n[i]), int(group), own[:FIRST].view(np.int64).tolist(), own.tobytes()), strict=True):
-                        column.append(x)
-                if len(seen) > 200_000:
-                    seen.clear()
-                yield pa.record_batch([
-                    pa.array(np.array(rows[0], np.uint64).view(np.int64)), pa.array(rows[1], pa.int64()), pa.array(np.array(rows[2], np.uint64).view(np.int64)),
-                    pa.array(rows[3], pa.list_(pa.int64())), pa.array(rows[4], pa.binary())], ["key", "n", "gkey", "first", "prefix"])
+            rows: list[list] = [[], [], [], []]
+            for x in batch.column("tokens"):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(own)
+                order = np.argsort(sketch[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+                prefix = own[order[: prefix_length(np.array([n]))[0]]]
+                group = _keys(np.sort(prefix), np.array([0, len(prefix)]))[0] ^ T.mix(np.array([n], np.uint64))[0]
+                for column, v in zip(rows, (n, int(group), own[:FIRST].view(np.int64).tolist(), prefix.tobytes()), strict=True):
+                    column.append(v)
+            yield pa.record_batch([
+                batch.column("key"), pa.array(rows[0], pa.int64()), pa.array(np.array(rows[1], np.uint64).view(np.int64)), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.binary())],
+                ["key", "n", "gkey", "first", "prefix"])
 
     return run
 
@@ -160,15 +243,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of class keys whose sets meet the threshold."""
-    pairs = written(pairs, f"{name}-pairs")
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = docs.mapInArrow(_members(_bitmap(ends)), "key long, tokens binary")
-    sets = written(sets.join(ends, "key", "left_semi").dropDuplicates(["key"]), f"{name}-sets")
-    full = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
-    # a pair's two sets travel together, so few pairs make a batch
-    return written(full.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), name)
+    one, two = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
+    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), name)
 
 
 def _deal(buckets: int):
@@ -250,11 +328,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a component; rows of one id but different texts are told apart. A null id never names a component unless all ids of
     the component are null. An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
+
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = written(slim.mapInArrow(_scan, "id long, n long, key long, part int, counts binary"), "scan")
-    rows = first.filter(F.col("part").isNull()).select("id", "n", "key")
-    parts = first.filter(F.col("part").isNotNull()).select("part", "counts").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
+    rows = written(slim.mapInArrow(_scan, "id long, n long, key long"), "scan")
+    classes = rows.filter(F.col("n") > 0).groupBy("key", "n").agg(F.min("id").alias("rep"))
+
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, int(total // TOKENS_PER_BUCKET) + 1)
+    dealt = slim.mapInArrow(_deal_tokens(buckets), "bucket int, batch long, texts long, data binary, head binary")
+    single = dealt.groupBy("bucket").applyInArrow(_single, "batch long, texts long, own binary, head binary")
+    suspects = written(single.groupBy("batch").applyInArrow(_suspects, "key long").distinct(), "suspects")
+    found = slim.mapInArrow(_members(_bitmap(suspects)), "key long, tokens binary")
+    sets = written(found.join(suspects, "key", "left_semi").dropDuplicates(["key"]), "sets")
+
+    parts = sets.mapInArrow(_count, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     size = (1 << SKETCH_BITS) // 16
     for r in parts:  # 16 rows, 4 MB at most
@@ -262,15 +349,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a difference within the noise of the sketch says nothing, so counts are compared by their magnitude
     level = np.floor(np.log2(sketch.astype(np.float64) + 1) * 2).astype(np.uint8)
 
-    classes = rows.filter(F.col("n") > 0).groupBy("key", "n").agg(F.min("id").alias("rep"))
-    pre = written(slim.mapInArrow(_prefixes(level), "key long, n long, gkey long, first array<long>, prefix binary"), "prefixes")
-    nodes = pre.select("key", "n", "gkey", "first").dropDuplicates(["key"])
+    pre = written(sets.mapInArrow(_prefixes(level), "key long, n long, gkey long, first array<long>, prefix binary"), "prefixes")
+    nodes = pre.select("key", "n", "gkey", "first")
 
     # leaders: of each of the first tokens, and of the group
     by = nodes.select("key", "n", F.explode(F.array_append("first", F.col("gkey"))).alias("t"))
     lead = by.groupBy("t").agg(F.min(F.struct("key", "n")).alias("l"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("t", F.col("l.key").alias("a"), F.col("l.n").alias("na"))
     pairs = by.join(lead, "t").filter((F.col("key") != F.col("a")) & (DEN * F.least("n", "na") >= NUM * F.greatest("n", "na"))).select("a", F.col("key").alias("b")).distinct()
-    links = _verified(slim, pairs, "led")
+    links = _verified(sets, pairs, "led")
     comps = written(components(links), "led-comps")
 
     # one unit for the classes of a group that are connected already
@@ -278,16 +364,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     units = written(placed.join(placed.groupBy("gkey", "comp").agg(F.min("key").alias("unit")), ["gkey", "comp"]), "units")
     heads = units.filter(F.col("key") == F.col("unit")).select("key", "comp")
     total = pre.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    buckets = max(16, int(total // PER_BUCKET) + 1)
-    dealt = pre.dropDuplicates(["key"]).join(heads, "key").select("key", "n", "comp", "prefix").mapInArrow(_deal(buckets), "bucket int, data binary")
+    buckets = max(8, int(total // PER_BUCKET) + 1)
+    dealt = pre.join(heads, "key").select("key", "n", "comp", "prefix").mapInArrow(_deal(buckets), "bucket int, data binary")
     met = dealt.groupBy("bucket").applyInArrow(_meet, "a long, b long, na long, nb long, c long")
     counted = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
     rest = lambda n: F.ceil(NUM * F.col(n) / DEN) - 1  # noqa: E731  tokens after the prefix
     possible = counted.filter((NUM + DEN) * (F.col("c") + F.greatest(rest("na"), rest("nb"))) >= NUM * (F.col("na") + F.col("nb")))
     member = units.select("unit", "key")
     pairs = possible.join(member.toDF("a", "ka"), "a").join(member.toDF("b", "kb"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-    more = _verified(slim, pairs, "met")
-    whole = components(links.union(more)).withColumnRenamed("node", "key")
+    more = _verified(sets, pairs, "met")
+    # the components so far, as stars, stand for the links that made them
+    stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    whole = components(stars.union(more)).withColumnRenamed("node", "key")
 
     named = classes.join(whole, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
