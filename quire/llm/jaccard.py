@@ -8,7 +8,9 @@ token within their prefixes, the first |x| - ceil(0.75 |x|) + 1 tokens in any or
    have no link. Every token is counted once, and only the other texts go on, with their sets.
 3. Every class is compared with one leader of each of its smallest tokens and of its group, the classes of equal
    prefix and size. Large families of near copies become connected here, by links in proportion to their size.
-4. Classes of one group that are connected already are one unit. Units that share a prefix token (the order now is by a
+4. Tokens are counted once more by component: a class with as many tokens that only its own component has as its
+   prefix is long can have no link to another, and stops here. Of the others, classes of one group that are connected
+   already are one unit. Units that share a prefix token (the order now is by a
    counting sketch of a fixed size, then by hash), fit in size and are not connected are counted by tokens; pairs that
    can still reach the threshold are expanded to their members and verified. Pairs inside one component are left out:
    a link there would change no component.
@@ -75,24 +77,7 @@ def _deal_tokens(buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, held, size
-            keys, n, token = (np.concatenate([h[k] for h in held]) for k in range(3))
-            text = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-            bucket = (token % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            token, text = (token >> np.uint64(24))[order], text[order]
-            low = np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, :5])
-            some = np.union1d(np.flatnonzero(np.diff(cuts)), [0])
-            for k in range(0, len(some), 32):
-                data, head = [], []
-                for b in some[k : k + 32]:
-                    x = slice(cuts[b], cuts[b + 1])
-                    t = text[x]
-                    step = np.diff(t, prepend=t[:1]).astype(np.uint32)
-                    data.append(np.array([len(t), int(t[0]) if len(t) else 0], np.int64).tobytes() + low[x].tobytes() + pa.compress(step.tobytes(), "zstd", asbytes=True))
-                    head.append(keys.tobytes() + n.tobytes() if b == 0 else None)
-                m = len(data)
-                yield pa.record_batch([pa.array(some[k : k + 32], pa.int32()), pa.array([number] * m, pa.int64()), pa.array([len(n)] * m, pa.int64()), pa.array(data, pa.binary()), pa.array(head, pa.binary())], ["bucket", "batch", "texts", "data", "head"])
+            yield from _dealt(*(np.concatenate([h[k] for h in held]) for k in range(3)), None, number, buckets)
             number, held, size = number + 1, [], 0
 
         for batch in batches:
@@ -115,10 +100,47 @@ def _deal_tokens(buckets: int):
     return run
 
 
+def _deal_placed(buckets: int):
+    """The same for sets (key, comp, tokens), with the component of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4000):
+                part = batch.slice(k, 4000)
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("tokens")]
+                yield from _dealt(part.column("key").to_numpy(), np.array([len(x) for x in sets], np.int64), np.concatenate(sets), part.column("comp").to_numpy(), number, buckets)
+                number += 1
+
+    return run
+
+
+def _dealt(keys: np.ndarray, n: np.ndarray, token: np.ndarray, comps: np.ndarray | None, number: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    text = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+    bucket = (token % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    token, text = (token >> np.uint64(24))[order], text[order]
+    low = np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, :5])
+    some = np.union1d(np.flatnonzero(np.diff(cuts)), [0])
+    tail = comps.tobytes() if comps is not None else None
+    for k in range(0, len(some), 32):
+        data, head = [], []
+        for b in some[k : k + 32]:
+            x = slice(cuts[b], cuts[b + 1])
+            t = text[x]
+            step = np.diff(t, prepend=t[:1]).astype(np.uint32)
+            data.append(np.array([len(t), int(t[0]) if len(t) else 0], np.int64).tobytes() + low[x].tobytes() + pa.compress(step.tobytes(), "zstd", asbytes=True))
+            head.append(keys.tobytes() + n.tobytes() if b == 0 else None)
+        m = len(data)
+        yield pa.record_batch([pa.array(some[k : k + 32], pa.int32()), pa.array([number] * m, pa.int64()), pa.array([len(n)] * m, pa.int64()), pa.array(data, pa.binary()), pa.array(head, pa.binary()), pa.array([tail] * m, pa.binary())], ["bucket", "batch", "texts", "data", "head", "comps"])
+
+
 def _single(_: tuple, table: pa.Table) -> pa.Table:
-    """For each batch, how many tokens of this bucket each of its texts has to itself."""
-    tokens, texts = [], []
-    for x in table.column("data"):
+    """For each batch, how many tokens of this bucket each of its texts has to itself, or with its component only."""
+    tokens, texts, owners = [], [], []
+    for k, (x, comps) in enumerate(zip(table.column("data"), table.column("comps"), strict=True)):
         raw = x.as_buffer()
         m, first = (int(v) for v in np.frombuffer(raw, np.int64, 2))
         wide = np.zeros((m, 8), np.uint8)
@@ -126,12 +148,15 @@ def _single(_: tuple, table: pa.Table) -> pa.Table:
         tokens.append(wide.reshape(-1).view(np.uint64))
         step = np.frombuffer(pa.decompress(raw[16 + 5 * m :], 4 * m, "zstd", asbytes=True), np.uint32)
         texts.append(first + np.cumsum(step, dtype=np.int64))
-    token = np.concatenate(tokens)
+        # without components each text owns its tokens by itself
+        owners.append(np.frombuffer(comps.as_buffer(), np.int64)[texts[-1]] if comps.is_valid else (k << 32) + texts[-1])
+    token, owner = np.concatenate(tokens), np.concatenate(owners)
     order = np.argsort(token)
-    ranked = token[order]
-    same = ranked[1:] == ranked[:-1]
+    begin = np.flatnonzero(np.diff(token[order], prepend=~token[order][:1]) != 0) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(token)))
+    one = np.minimum.reduceat(owner[order], begin) == np.maximum.reduceat(owner[order], begin) if len(token) else np.zeros(0, bool)
     alone = np.empty(len(token), bool)
-    alone[order] = ~(np.concatenate(([False], same)) | np.concatenate((same, [False]))) if len(token) else True
+    alone[order] = np.repeat(one, size)
     out, at = [], 0
     for text, n in zip(texts, table.column("texts").to_pylist(), strict=True):
         own = np.bincount(text, weights=alone[at : at + len(text)], minlength=n).astype(np.uint32)
@@ -321,6 +346,15 @@ def _meet(_: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": rows[0], "b": rows[1], "na": rows[2], "nb": rows[3], "c": count.astype(np.int64)})
 
 
+DEALT = "bucket int, batch long, texts long, data binary, head binary, comps binary"
+
+
+def _rest(dealt: DataFrame) -> DataFrame:
+    """(key): texts that have fewer tokens to themselves than their prefix is long."""
+    single = dealt.groupBy("bucket").applyInArrow(_single, "batch long, texts long, own binary, head binary")
+    return single.groupBy("batch").applyInArrow(_suspects, "key long")
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_shingles and component_id, the smallest id reachable by links (ids are whole numbers).
 
@@ -335,9 +369,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total // TOKENS_PER_BUCKET) + 1)
-    dealt = slim.mapInArrow(_deal_tokens(buckets), "bucket int, batch long, texts long, data binary, head binary")
-    single = dealt.groupBy("bucket").applyInArrow(_single, "batch long, texts long, own binary, head binary")
-    suspects = written(single.groupBy("batch").applyInArrow(_suspects, "key long").distinct(), "suspects")
+    suspects = written(_rest(slim.mapInArrow(_deal_tokens(buckets), DEALT)).distinct(), "suspects")
     found = slim.mapInArrow(_members(_bitmap(suspects)), "key long, tokens binary")
     sets = written(found.join(suspects, "key", "left_semi").dropDuplicates(["key"]), "sets")
 
@@ -359,8 +391,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(sets, pairs, "led")
     comps = written(components(links), "led-comps")
 
-    # one unit for the classes of a group that are connected already
     placed = nodes.join(comps.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "gkey", F.coalesce("component", "key").alias("comp"))
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, int(total // TOKENS_PER_BUCKET) + 1)
+    open_ = written(_rest(sets.join(placed.select("key", "comp"), "key").select("key", "comp", "tokens").mapInArrow(_deal_placed(buckets), DEALT)), "open")
+    # one unit for the classes of a group that are connected already
+    placed = placed.join(open_, "key", "left_semi")
     units = written(placed.join(placed.groupBy("gkey", "comp").agg(F.min("key").alias("unit")), ["gkey", "comp"]), "units")
     heads = units.filter(F.col("key") == F.col("unit")).select("key", "comp")
     total = pre.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
