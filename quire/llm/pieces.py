@@ -45,6 +45,11 @@ class Model:
         self.unknown = p.unk_id()
         self.unknown_score = min(self.score.values()) - 10.0
         self.longest = max(map(len, self.id))
+        #: By the last three characters, the length of the longest piece that ends with them.
+        self.reach: dict[str, int] = {}
+        for x in self.id:
+            if len(x) > 2 and len(x) > self.reach.get(x[-3:], 2):
+                self.reach[x[-3:]] = len(x)
         lone = not any("\n" in x and x != "\n" for x in self.id)
         self.units = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if lone else f"{MARK}*[^{MARK}]+|{MARK}+")
         # what a piece decodes to; of byte pieces the byte
@@ -125,7 +130,7 @@ class Encoder:
 
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of each of the words, which come sorted. Words with two marks run have ties in score and are merged plainly."""
-        m, get = self.m, self.m.id.get
+        m, get, reach, pairs = self.m, self.m.id.get, self.m.reach, self.pairs
         path, last = "", [""]  # last[e]: the last piece of the encoding of path[:e]
         best = [0.0]
         for word in words:
@@ -140,11 +145,17 @@ class Encoder:
             for e in range(common + 1, len(word) + 1):
                 found, value = word[e - 1], None
                 if m.bpe:
-                    for s in range(max(0, e - m.longest), e):
+                    for s in range(max(0, e - reach.get(word[e - 3 : e] if e > 2 else "", 2)), e):
                         piece = word[s:e]
-                        if e - s > 1 and piece not in m.id:
+                        if e - s > 1 and get(piece) is None:
                             continue
-                        if s == 0 and self._alone(piece) or s and self._fits(last[s], piece):
+                        if s:
+                            ok = pairs.get((last[s], piece))
+                            if ok is None:
+                                ok = self._fits(last[s], piece)
+                        else:
+                            ok = self._alone(piece)
+                        if ok:
                             found = piece
                             break
                 else:
