@@ -8,7 +8,7 @@ Candidates must also be near in their bags of characters, and are then verified
 bit-parallel edit distance. Lists of many lines are first joined to one leader only; after the components of those
 links are known, the list's pairs between different components follow. Pairs inside a component would change nothing.
 
-Lines under MIN_CHARS characters are left alone: two edits would join unlike ones.
+Two edits would join unlike lines under MIN_CHARS characters, so those are joined by equality only, if SHORT says so.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from ._shared import written
 
 MAX_EDITS = 2
 MIN_CHARS = 20
+#: What becomes of equal lines under MIN_CHARS characters that are not blank: all stay, those whose first stands in another
+#: document go, or all but the first go.
+SHORT = ("stay", "elsewhere", "go")
+BLANK = (9, 10, 11, 12, 13, 32)
 LONG_LIST = 64
 BITMAP_BITS = 23
 PER_BUCKET = 400_000
@@ -120,6 +124,16 @@ class _Lines:
         with np.errstate(over="ignore"):
             return T.mix((sums[e] - sums[s]) * self.down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def short(self) -> np.ndarray:
+        """Whether lines are under MIN_CHARS characters and hold more than blanks."""
+        few = np.flatnonzero(self.length < MIN_CHARS)
+        n = self.length[few]
+        chars = self.chars[ragged(self.start[few], n)]
+        full = np.bincount(np.repeat(np.arange(len(few)), n), weights=~np.isin(chars, BLANK), minlength=len(few)) > 0
+        out = np.zeros(len(self.length), bool)
+        out[few[full]] = True
+        return out
+
     def bags(self, which: np.ndarray) -> np.ndarray:
         """Counts of characters by their three lowest bits, modulo 256, as the bytes of a 64-bit number."""
         long_ = self.length[which]
@@ -174,8 +188,8 @@ def _ids(h: np.ndarray, g: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(h), [None, pa.py_buffer(data)]).cast(pa.binary())
 
 
-def _scan(buckets: int):
-    """Rows of two kinds: a line of a text, or the packed entries of one bucket."""
+def _scan(buckets: int, short: bool):
+    """Rows of two kinds: a line of a text (short ones only if asked for), or the packed entries of one bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         kind = batch = None
@@ -183,13 +197,15 @@ def _scan(buckets: int):
             for i, j in T.text_chunks(batch.column("text"), T.CHUNK_BYTES // 2):
                 part = batch.slice(i, j - i)
                 x = _Lines(part.column("text").to_pylist())
-                which = np.flatnonzero(x.length >= MIN_CHARS)
+                which = np.flatnonzero((x.length >= MIN_CHARS) | x.short() if short else x.length >= MIN_CHARS)
                 h, g = x.hash(x.start[which], x.end[which]), x.hash(x.start[which], x.end[which], x.more)
                 m = len(which)
+                long_ = x.length[which] >= MIN_CHARS
                 kind = part.column("id").type
                 yield pa.record_batch([
-                    part.column("id").take(pa.array(x.row[which])), part.column("th").take(pa.array(x.row[which])), pa.array(x.no[which], pa.int32()), _ids(h, g),
-                    pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["id", "th", "no", "line", "bucket", "data"])
+                    part.column("id").take(pa.array(x.row[which])), part.column("th").take(pa.array(x.row[which])), pa.array(x.no[which], pa.int32()), _ids(h, g), pa.array(~long_),
+                    pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["id", "th", "no", "line", "short", "bucket", "data"])
+                which, h = which[long_], h[long_]
                 _, first = np.unique(h, return_index=True)
                 fresh = np.array([k for k in first.tolist() if int(h[k]) not in seen], np.int64)
                 seen.update(h[fresh].tolist())
@@ -208,7 +224,7 @@ def _scan(buckets: int):
                     r = rows[o]
                     data.append(np.array([len(o)], np.int64).tobytes() + keys[o].tobytes() + h[fresh][r].tobytes() + bags[r].tobytes() + flags[o].tobytes())
                 k = len(some)
-                yield pa.record_batch([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(some, pa.int32()), pa.array(data, pa.binary())], ["id", "th", "no", "line", "bucket", "data"])
+                yield pa.record_batch([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.bool_()), pa.array(some, pa.int32()), pa.array(data, pa.binary())], ["id", "th", "no", "line", "short", "bucket", "data"])
 
     return run
 
@@ -317,19 +333,22 @@ def _bag_distance(a: Column, b: Column) -> Column:
     return total
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries: int | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries: int | None = None, short: str = "stay") -> DataFrame:
     """(id, th, no): lines to drop, by document (its id and the hash of its text) and number from 0.
 
     Lines of at least MIN_CHARS characters within MAX_EDITS edits of each other, directly or through others, are one
-    class; its first line by (id, number, hash of the text) stays. A null id comes before all others.
+    class; its first line by (id, number, hash of the text) stays. A null id comes before all others. Shorter lines that
+    are not blank are a class if they are equal; ``short`` is one of SHORT.
     """
+    if short not in SHORT:
+        raise ValueError(f"short is one of {SHORT}")
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     # buckets follow the size of the texts, so that a bucket's task stays the same at any size
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, int(size / 300 * 12 / PER_BUCKET) + 1)
-    scan = written(slim.mapInArrow(_scan(buckets), f"id {kind}, th long, no int, line binary, bucket int, data binary"), "lines")
-    lines = scan.filter(F.col("bucket").isNull()).select("id", "th", "no", "line")
+    scan = written(slim.mapInArrow(_scan(buckets, short != "stay"), f"id {kind}, th long, no int, line binary, short boolean, bucket int, data binary"), "lines")
+    lines = scan.filter(F.col("bucket").isNull()).select("id", "th", "no", "line", "short")
     met = written(scan.filter(F.col("bucket").isNotNull()).select("bucket", "data").groupBy("bucket").applyInArrow(_meet, "a long, b long, key long, bag long, indexed boolean"), "met")
     pairs = met.filter(F.col("key").isNull()).select("a", "b").distinct()
     links = _links(slim.select("text"), pairs, "near")
@@ -351,7 +370,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classed = first.join(comps, "line", "left").withColumn("class", F.coalesce("component", "line"))
     heads = classed.groupBy("class").agg(F.min("spot").alias("stays"), F.sum("n").alias("m")).filter("m > 1")
     heads = classed.join(heads, "class").select("line", "stays")
-    return lines.join(heads, "line").filter(~spot.eqNullSafe(F.col("stays"))).select("id", "th", "no")
+    gone = ~spot.eqNullSafe(F.col("stays"))
+    if short == "elsewhere":
+        gone = gone & ~(F.col("short") & F.col("id").eqNullSafe(F.col("stays.id")) & F.col("th").eqNullSafe(F.col("stays.th")))
+    return lines.join(heads, "line").filter(gone).select("id", "th", "no")
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,14 +389,14 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(n) for n in keep] + [pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array([zlib.crc32((t or "").encode()) for t in out], pa.int64())], [*keep, "t", "n_lines", "n_dropped", "text_crc32"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: str = "stay") -> DataFrame:
     """docs with the lines of dropped_lines() taken out of the text, and n_lines (before), n_dropped and text_crc32.
 
     A null text stays null and has no lines; an empty one has one empty line, which stays. Rows equal in id and text
     are one document, each keeps its row and the same lines. An empty table gives no rows. Other columns stay as they
     are, even with names like those added, which then get a leading underscore.
     """
-    drop = dropped_lines(docs, id_col, text_col).groupBy("id", "th").agg(F.collect_set("no").alias("drop"))
+    drop = dropped_lines(docs, id_col, text_col, short=short).groupBy("id", "th").agg(F.collect_set("no").alias("drop"))
     own = [c for c in docs.columns if c != text_col]
     slim = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(own)], F.col(text_col).cast("string").alias("t"), F.xxhash64(text_col).alias("th"))
     me = slim[f"c{own.index(id_col)}"]

@@ -49,7 +49,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text_crc32")
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), short="go").select("doc_id", "n_lines", "n_dropped", "text_crc32")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
