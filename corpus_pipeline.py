@@ -20,8 +20,12 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that came before, in them or elsewhere; one with nothing else left goes."""
-    out = lines.dedup_lines(docs)
+    """Documents without the lines that came before, in them or elsewhere; one with nothing else left goes.
+
+    A line too short for edits goes if an equal one came before in another document; repeats inside the document where
+    it first stands are left.
+    """
+    out = lines.dedup_lines(docs, short="elsewhere")
     left = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) != ""
     return out.filter(left | (F.col(out.columns[len(docs.columns) + 1]) == 0)).select(*docs.columns)
 

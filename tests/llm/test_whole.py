@@ -1,5 +1,6 @@
 """What operators must not leave out: short lines, rows that share an id, long or dotted secrets, later occurrences."""
 
+import corpus_pipeline
 from quire.llm import lines
 
 LONG = "a line that is long enough for edits"
@@ -23,3 +24,10 @@ def test_op8_drops_equal_short_lines(spark, tmp_path):
 
     documents(spark, [(0, "Menu\nMenu"), (1, "Menu\n" + LONG)]).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["n_dropped"] for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()} == {0: 1, 1: 1}
+
+
+def test_copies_leave_no_fragments(spark):
+    text = LONG + "\nShort one.\n" + LONG[::-1]
+    docs = documents(spark, [(0, text), (1, text), (2, text + "\nA new short line"), (3, "Short one.")])
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.fresh_lines(spark, docs, "").collect()}
+    assert got == {0: text, 2: "A new short line"}
