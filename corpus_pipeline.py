@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontamination, jaccard, language, lines, pieces
@@ -30,18 +30,28 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.filter(left | (F.col(out.columns[len(docs.columns) + 1]) == 0)).select(*docs.columns)
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """docs with _key, a hash of id and text: ids may be null or repeated, so stages decide by this."""
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id."""
-    stays = jaccard.jaccard_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+    """Of each class of near duplicates the document with the smallest id, a null one last, then the smallest key.
+
+    Rows that share an id, null or not, but are not near each other all stay; of rows equal in id and text one stays.
+    """
+    keyed = by_row(docs)
+    classes = jaccard.jaccard_classes(keyed, "_key").select("_key", "component_id").distinct()
+    spot = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    stays = keyed.select("doc_id", "_key").join(classes, "_key").groupBy("component_id").agg(F.min(spot)["_key"].alias("_key")).select("_key").distinct()
+    return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no more than a trace of benchmark passages."""
-    bad = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    """Documents that hold no more than a trace of benchmark passages, each judged by its own text whatever its id."""
+    keyed = by_row(docs)
+    bad = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").filter("contaminated").select("_key").distinct()
+    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

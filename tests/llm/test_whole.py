@@ -31,3 +31,16 @@ def test_copies_leave_no_fragments(spark):
     docs = documents(spark, [(0, text), (1, text), (2, text + "\nA new short line"), (3, "Short one.")])
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.fresh_lines(spark, docs, "").collect()}
     assert got == {0: text, 2: "A new short line"}
+
+
+# ---------------------------------------------------------------- rows that share an id
+def test_rows_of_one_id_are_judged_apart(spark, tmp_path):
+    texts = [" ".join(f"{x}{k}" for k in range(40)) for x in "abcdefg"]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[0]), (None, texts[1]), (None, texts[4]), (None, texts[4]), (3, texts[5]), (3, texts[6]), (None, texts[6]), (0, ""), (0, None)]
+    once = corpus_pipeline.one_of_each(spark, documents(spark, rows), str(tmp_path))
+    want = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (3, texts[5]), (3, texts[6])]
+    got = sorted(map(repr, [(r["doc_id"], r["text"]) for r in once.collect()]))
+    assert [x for x in got if not x.startswith("(0")] == sorted(map(repr, want))
+    spark.createDataFrame([(7, texts[1]), (8, texts[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontaminated(spark, documents(spark, want), str(tmp_path))
+    assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in clean.collect()])) == sorted(map(repr, [w for w in want if w[1] not in texts[1:3]]))
