@@ -155,35 +155,55 @@ def learn(labelled: DataFrame, rows: int = LABELLED_ROWS) -> list:
     return train_forest([([float(v) for v in r["f"]], r["y"]) for r in got])
 
 
+def _findings(text: Column) -> Column:
+    """An array of the distinct candidates: value, start, occurrences, and the distinct contexts (before, after).
+
+    Candidates and what stands between them alternate in ``pieces``; no lookup of a value in the text is needed.
+    """
+    def distinct(values: Column, pieces: Column, ends: Column) -> Column:
+        def context(k: Column) -> Column:
+            # a candidate has four characters at least, so that 24 pieces before it and 12 after it are enough
+            first = F.greatest(F.lit(1), 2 * k - 23)
+            before = F.substring(F.array_join(F.slice(ends, first, 2 * k + 2 - first), ""), -BEFORE, BEFORE)
+            return F.struct(before.alias("before"), F.substring(F.array_join(F.slice(ends, 2 * k + 3, 13), ""), 1, AFTER).alias("after"))
+
+        def finding(v: Column) -> Column:
+            at = F.filter(F.transform(values, lambda x, k: F.when(x == v, k)), lambda k: k.isNotNull())
+            return let(at, lambda at: F.struct(
+                v.alias("value"),
+                F.aggregate(F.slice(pieces, 1, 2 * at[0] + 1), F.lit(1), lambda s, x: s + F.length(x)).alias("start"),
+                F.size(at).alias("occurrences"),
+                F.array_distinct(F.transform(at, context)).alias("contexts"),
+            ))
+
+        return F.transform(F.array_distinct(values), finding)
+
+    cut = lambda x: F.when(F.length(x) > BEFORE + AFTER, F.concat(F.substring(x, 1, AFTER), F.substring(x, -BEFORE, BEFORE))).otherwise(x)
+    pieces = lambda values: F.flatten(F.zip_with(F.split(text, CANDIDATE, -1), values, lambda g, v: F.array(g, v)))
+    return let(F.regexp_extract_all(text, F.lit(CANDIDATE), 0), lambda v: let(pieces(v), lambda p: let(F.transform(p, cut), lambda e: distinct(v, p, e))))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, value, start, occurrences, before, after): the distinct candidates of each row's whole text.
+    """(id, value, start, occurrences, contexts): the distinct candidates of each row's whole text.
 
-    start is the place, from 1, of the first occurrence; before and after are what stands on its sides.
+    start is the place, from 1, of the first occurrence; contexts has what stands before and after any of them.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("all"))
-    found = found.select("id", "text", "all", F.explode_outer(F.array_distinct("all")).alias("value")).filter(F.col("value").isNotNull())
-    # the value may stand inside a longer run earlier on, so its own place is sought with its bounds
-    places = r"(?<![A-Za-z0-9+/_=.\-])"
-    start = F.regexp_instr(F.col("text"), F.concat(F.lit(places + r"\Q"), F.col("value"), F.lit(r"\E(?![A-Za-z0-9+/_=\-])")))
-    found = found.select("id", "value", F.size(F.filter("all", lambda x: x == F.col("value"))).alias("occurrences"), start.alias("start"), "text")
-    return found.select(
-        "id", "value", "start", "occurrences",
-        F.substring(F.col("text"), F.greatest(F.lit(1), F.col("start") - BEFORE), F.least(F.lit(BEFORE), F.col("start") - 1)).alias("before"),
-        F.substring(F.col("text"), F.col("start") + F.length("value"), F.lit(AFTER)).alias("after"),
-    )
+    found = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    found = found.select("id", F.explode_outer(_findings(F.col("text"))).alias("x")).filter(F.col("x").isNotNull())
+    return found.select("id", "x.value", "x.start", "x.occurrences", "x.contexts")
 
 
 def scan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Findings of docs: id, value, start, length, occurrences, value_sha256, probability and secret.
 
+    Each occurrence is judged by what stands around it; the value has the largest probability of them.
     Null and empty texts have no findings, nor has an empty table. Repeated rows each give their findings. Without
     labelled findings nothing is a secret. Other columns of docs are ignored, whatever their names.
     """
     forest = learn(labelled)
-    found = candidates(docs, id_col, text_col).withColumn("f", features(F.col("value"), F.col("before"), F.col("after")))
-    p = let(F.col("f"), lambda f: forest_column(forest, f))
-    found = found.withColumn("probability", F.round(p, 6))
+    judged = lambda c: let(features(F.col("value"), c["before"], c["after"]), lambda f: forest_column(forest, f))
+    found = candidates(docs, id_col, text_col).withColumn("probability", F.round(F.array_max(F.transform("contexts", judged)), 6))
     return found.select(
         F.col("id").alias(id_col), "value", F.col("start").cast("int").alias("start"), F.length("value").alias("length"), F.col("occurrences").cast("int").alias("occurrences"),
         F.sha2("value", 256).alias("value_sha256"), "probability", (F.col("probability") >= threshold).alias("secret"),

@@ -1,7 +1,7 @@
 """What operators must not leave out: short lines, rows that share an id, long or dotted secrets, later occurrences."""
 
 import corpus_pipeline
-from quire.llm import lines
+from quire.llm import lines, secrets
 
 LONG = "a line that is long enough for edits"
 
@@ -44,3 +44,13 @@ def test_rows_of_one_id_are_judged_apart(spark, tmp_path):
     spark.createDataFrame([(7, texts[1]), (8, texts[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = corpus_pipeline.decontaminated(spark, documents(spark, want), str(tmp_path))
     assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in clean.collect()])) == sorted(map(repr, [w for w in want if w[1] not in texts[1:3]]))
+
+
+# ---------------------------------------------------------------- secrets
+KEY = "9f8e7d6c5b4a39281706f5e4d3c2b1a098765432"
+
+
+def test_every_occurrence_is_judged(spark):
+    texts = [f"commit {KEY} and\n" + "x " * 100 + f'token = "{KEY}"\n', f"commit {KEY} and\n" * 3, None, ""]
+    got = secrets.scan(documents(spark, list(enumerate(texts))), secrets.labelled_findings(spark, 2000)).collect()
+    assert [(r["start"], r["occurrences"], r["secret"]) for r in sorted(got, key=lambda r: r["doc_id"]) if r["value"] == KEY] == [(8, 2, True), (8, 3, False)]
