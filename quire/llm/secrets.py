@@ -1,6 +1,7 @@
 """Secret scans: candidates by a pattern, false positives removed by a random forest written as Spark expressions.
 
-A candidate is a run of 16 to 256 characters of keys and tokens with a digit in it. Its features are its length, its
+A candidate is a run of 16 characters or more of keys and tokens, with dots inside, or a value of 4 or more that follows
+a sign of assignment; neither has a greatest length. Its features are its length, its
 kinds of characters and the changes between them, how much of it dictionary words cover, whether it looks like part of
 a path, and the words next to it. The forest is trained on labelled findings, a bounded table, in the driver; its trees
 become nested conditional expressions, so every candidate of every text is judged inside the projection.
@@ -14,7 +15,12 @@ from pyspark.sql import functions as F
 
 from ._native import let
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=\-]{0,256}[0-9])[A-Za-z0-9+/_=\-]{16,256}(?![A-Za-z0-9+/_=\-])"
+#: What an assignment with quotes holds, what one without holds (addresses aside), and runs anywhere.
+CANDIDATE = "|".join([
+    r"""(?<=["'`])(?<=[:=]\s{0,4}["'`])[^\s"'`]{4,}""",
+    r"""(?<=[:=]\s{0,4})(?!(?<=:)//)[^\s"'`<>,;&=:]{4,}(?:={1,2}(?![A-Za-z0-9+/_=."'`\-]))?""",
+    r"""(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-][A-Za-z0-9+/_.\-]{14,}[A-Za-z0-9+/_\-](?:={1,2}(?![A-Za-z0-9+/_=."'`\-]))?""",
+])
 BEFORE, AFTER = 48, 24
 #: Words that make a value look like an identifier or a placeholder.
 DICTIONARY = (
@@ -76,6 +82,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
     prose = pick(["the ", "and see ", "of which ", "as in ", "value ", "with id ", "und der ", "de la "], 2)
     quote = pick(['"', "'", ""], 3)
     number = lambda k, n: F.substring(F.regexp_replace(F.concat(F.sha2(F.concat(F.lit(k), i), 256), F.sha2(F.concat(F.lit(k + "z"), i), 256)), "[a-f]", ""), 1, n)
+    word = lambda k: F.concat(pick("ver lich keit ment tion sch ein ander hunter river stone green".split(), k), pick("heit ung and er ing ado ous able en".split(), k + 100))
     kinds = [  # value, before, after, secret
         (hexes("a", 40), F.concat(names, quote), quote, 1), (hexes("b", 32), F.concat(names, quote), quote, 1), (mixed, F.concat(names, quote), quote, 1),
         (F.concat(F.lit("key_live_"), F.substring(mixed, 1, 24)), F.concat(prose, quote), quote, 1), (mixed, F.lit("Authorization: Bearer "), F.lit(" "), 1), (hexes("c", 64), F.concat(names, quote), quote, 1),
@@ -84,6 +91,16 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
         (F.concat(F.lit("images/thumb/"), number("i", 12)), F.lit("https://www.example.com/"), F.lit(".png"), 0), (F.concat_ws("-", hexes("j", 8), hexes("k", 4), hexes("l", 4), hexes("o", 12)), pick(["uuid: ", "guid=", "order "], 6), F.lit(" "), 0),
         (F.concat(F.lit("xxxxxxxxxxxxxxxx"), number("p", 2)), F.concat(names, quote), quote, 0), (F.concat(number("q", 4), F.lit("-"), number("r", 4), F.lit("-"), number("s", 4), F.lit("-"), number("t", 4)), pick(["card ", "phone: ", "call ", "on "], 7), F.lit(" "), 0),
         (F.concat(F.lit("release-version-build-"), number("u", 6)), prose, F.lit(" "), 0),
+        # tokens with dots, long ones, ones without digits, short passwords
+        (F.concat(F.lit("eyJ"), mixed, F.lit(".eyJ"), mixed, F.lit("."), F.reverse(mixed)), F.concat(names, quote), quote, 1), (F.concat(F.lit("eyJ"), mixed, F.lit(".eyJ"), F.reverse(mixed)), F.lit("Authorization: Bearer "), F.lit(" "), 1),
+        (F.repeat(mixed, 9), F.concat(names, quote), quote, 1), (F.substring(F.regexp_replace(mixed, "[^A-Za-z]", ""), 1, 24), F.concat(names, quote), quote, 1),
+        (F.concat(word(8), pick(["-", "!", "_", "#", ""], 9), number("v", 2), pick(["-", "x", "$", ""], 10), hexes("w", 3)), F.concat(names, quote), quote, 1),
+        # long words, names and addresses with dots, lines of one character, assigned values that are no secrets
+        (F.concat(word(11), word(12), word(13), word(14)), prose, pick([" ", ".", ", "], 15), 0), (F.upper(F.concat(word(16), word(17), word(18), word(19))), prose, F.lit(" "), 0),
+        (F.concat_ws(".", F.lit("www"), word(20), F.concat(word(21), number("x", 1)), F.lit("com")), prose, F.lit(" "), 0), (F.concat(F.lit("//www."), word(22), F.lit(".com/"), word(23), F.lit("/"), number("y", 12), F.lit(".png")), F.concat(prose, F.lit("https:")), F.lit(" "), 0),
+        (F.concat(F.repeat(F.substring(word(24), 1, 1), 200), number("z", 1)), pick(["", "the ", "\n"], 25), F.lit(" "), 0), (word(26), F.concat(names, F.lit("")), F.lit(" "), 0),
+        (F.initcap(word(27)), pick(["note: ", "page: ", "class = ", "Subject: ", "x = "], 28), F.lit(" "), 0), (number("A", 5), pick(["size = ", "page: ", "width=", "at 12:", "total: "], 29), F.lit(" "), 0),
+        (F.concat(word(30), F.lit("-"), word(31)), F.concat(pick(["class=", "title = ", "name: ", "href="], 32), quote), quote, 0), (word(33), F.concat(names, quote), quote, 0),
     ]
     which = F.pmod(i, F.lit(len(kinds)))
     choose = lambda k: F.element_at(F.array(*[(x[k] if isinstance(x[k], Column) else F.lit(x[k])) for x in kinds]), (which + 1).cast("int"))

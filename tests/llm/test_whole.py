@@ -54,3 +54,14 @@ def test_every_occurrence_is_judged(spark):
     texts = [f"commit {KEY} and\n" + "x " * 100 + f'token = "{KEY}"\n', f"commit {KEY} and\n" * 3, None, ""]
     got = secrets.scan(documents(spark, list(enumerate(texts))), secrets.labelled_findings(spark, 2000)).collect()
     assert [(r["start"], r["occurrences"], r["secret"]) for r in sorted(got, key=lambda r: r["doc_id"]) if r["value"] == KEY] == [(8, 2, True), (8, 3, False)]
+
+
+def test_long_dotted_and_short_secrets(spark):
+    mixed = "AbCdEfGhIjKlMnOpQrStUvWx"
+    long_ = "".join(f"{k * 7919 % 999:x}Qz{k * 31 % 97}kR" for k in range(60))
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    values = [long_, mixed, "hunter2-abc", jwt, "hunter2-abc", "aGVsbG8gd29ybGQhIQ7x=="]
+    texts = [f'api_key = "{long_}"', f'secret = "{mixed}"', f'password = "{values[2]}"', f"Authorization: Bearer {jwt}", f"password={values[4]}", f"token: {values[5]}"]
+    plain = ["the Donaudampfschifffahrt of org.apache.spark.functions.", "Note: see 12:3045 for more", "a" * 3000 + "1", "class = 'navbar'", "https://www.example.com/images/thumb/12345678901234.png"]
+    got = secrets.scan(documents(spark, list(enumerate(texts + plain))), secrets.labelled_findings(spark)).filter("secret").collect()
+    assert sorted((r["doc_id"], r["value"]) for r in got) == list(enumerate(values))
