@@ -6,17 +6,18 @@ token within their prefixes, the first |x| - ceil(0.75 |x|) + 1 tokens in any or
 1. Texts with equal sets fall into one class by a hash of the set; from here on a class is one node.
 2. In an order that puts the tokens of a single text first, a text with as many of those as its prefix is long can
    have no link. Every token is counted once, and only the other texts go on, with their sets.
-3. Every class is compared with one leader of each of its smallest tokens and of its group, the classes of equal
-   prefix and size. Large families of near copies become connected here, by links in proportion to their size.
-4. Tokens are counted once more by component: a class with as many tokens that only its own component has as its
-   prefix is long can have no link to another, and stops here. Of the others, classes of one group that are connected
-   already are one unit. Units that share a prefix token (the order now is by a
-   counting sketch of a fixed size, then by hash), fit in size and are not connected are counted by tokens; pairs that
-   can still reach the threshold are expanded to their members and verified. Pairs inside one component are left out:
-   a link there would change no component.
-5. Components of all verified links.
-
-No pair is dropped by a cap: leaders only bring links forward, step 4 covers all pairs between different components.
+3. Classes with the same prefix and size are a group, and classes of a group that are connected are one unit. A token
+   at place i (from 0) of a prefix of size n leaves n - i tokens, so it can be the first that a pair has in common only
+   if both have as many left as the pair's overlap must be; this bounds the sizes of the partners at that token.
+4. Leaders, round by round: of every token, and of every group, two classes of its largest component, drawn anew, are
+   compared with the others that the bounds admit and that are not connected to them yet; a class verifies few such
+   pairs a round. So a family of near copies becomes one component by links in proportion to its size.
+5. The exact step covers all that is left. Entries of a token are collapsed by component into one group with the
+   loosest bounds of its members; pairs of groups that the bounds admit are expanded to units, then to members, and
+   verified. Pairs inside one component are left out: a link there would change no component.
+6. Components of all verified links.
+
+No pair is dropped by a cap: leaders only bring links forward, step 5 covers all pairs between different components.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _tokens as T
@@ -35,8 +36,8 @@ from ._shared import written
 SKETCH_BITS = 20
 TOKENS_PER_BUCKET = 1_500_000
 BATCH_BYTES = 16 << 20
-FIRST = 3
-PER_BUCKET = 150_000
+#: Rounds of leaders, and by how many each has more links tried for a class than the one before.
+LEADER_ROUNDS, DRAWN = 3, 3
 BITMAP_BITS = 23
 NUM, DEN = 75, 100
 
@@ -77,7 +78,7 @@ def _deal_tokens(buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, held, size
-            yield from _dealt(*(np.concatenate([h[k] for h in held]) for k in range(3)), None, number, buckets)
+            yield from _dealt(*(np.concatenate([h[k] for h in held]) for k in range(3)), number, buckets)
             number, held, size = number + 1, [], 0
 
         for batch in batches:
@@ -100,23 +101,7 @@ def _deal_tokens(buckets: int):
     return run
 
 
-def _deal_placed(buckets: int):
-    """The same for sets (key, comp, tokens), with the component of each text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4000):
-                part = batch.slice(k, 4000)
-                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("tokens")]
-                yield from _dealt(part.column("key").to_numpy(), np.array([len(x) for x in sets], np.int64), np.concatenate(sets), part.column("comp").to_numpy(), number, buckets)
-                number += 1
-
-    return run
-
-
-def _dealt(keys: np.ndarray, n: np.ndarray, token: np.ndarray, comps: np.ndarray | None, number: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _dealt(keys: np.ndarray, n: np.ndarray, token: np.ndarray, number: int, buckets: int) -> Iterator[pa.RecordBatch]:
     text = np.repeat(np.arange(len(n), dtype=np.uint32), n)
     bucket = (token % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -124,7 +109,6 @@ def _dealt(keys: np.ndarray, n: np.ndarray, token: np.ndarray, comps: np.ndarray
     token, text = (token >> np.uint64(24))[order], text[order]
     low = np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, :5])
     some = np.union1d(np.flatnonzero(np.diff(cuts)), [0])
-    tail = comps.tobytes() if comps is not None else None
     for k in range(0, len(some), 32):
         data, head = [], []
         for b in some[k : k + 32]:
@@ -134,13 +118,13 @@ def _dealt(keys: np.ndarray, n: np.ndarray, token: np.ndarray, comps: np.ndarray
             data.append(np.array([len(t), int(t[0]) if len(t) else 0], np.int64).tobytes() + low[x].tobytes() + pa.compress(step.tobytes(), "zstd", asbytes=True))
             head.append(keys.tobytes() + n.tobytes() if b == 0 else None)
         m = len(data)
-        yield pa.record_batch([pa.array(some[k : k + 32], pa.int32()), pa.array([number] * m, pa.int64()), pa.array([len(n)] * m, pa.int64()), pa.array(data, pa.binary()), pa.array(head, pa.binary()), pa.array([tail] * m, pa.binary())], ["bucket", "batch", "texts", "data", "head", "comps"])
+        yield pa.record_batch([pa.array(some[k : k + 32], pa.int32()), pa.array([number] * m, pa.int64()), pa.array([len(n)] * m, pa.int64()), pa.array(data, pa.binary()), pa.array(head, pa.binary())], ["bucket", "batch", "texts", "data", "head"])
 
 
 def _single(_: tuple, table: pa.Table) -> pa.Table:
-    """For each batch, how many tokens of this bucket each of its texts has to itself, or with its component only."""
-    tokens, texts, owners = [], [], []
-    for k, (x, comps) in enumerate(zip(table.column("data"), table.column("comps"), strict=True)):
+    """For each batch, how many tokens of this bucket each of its texts has to itself."""
+    tokens, texts = [], []
+    for x in table.column("data"):
         raw = x.as_buffer()
         m, first = (int(v) for v in np.frombuffer(raw, np.int64, 2))
         wide = np.zeros((m, 8), np.uint8)
@@ -148,15 +132,12 @@ def _single(_: tuple, table: pa.Table) -> pa.Table:
         tokens.append(wide.reshape(-1).view(np.uint64))
         step = np.frombuffer(pa.decompress(raw[16 + 5 * m :], 4 * m, "zstd", asbytes=True), np.uint32)
         texts.append(first + np.cumsum(step, dtype=np.int64))
-        # without components each text owns its tokens by itself
-        owners.append(np.frombuffer(comps.as_buffer(), np.int64)[texts[-1]] if comps.is_valid else (k << 32) + texts[-1])
-    token, owner = np.concatenate(tokens), np.concatenate(owners)
+    token = np.concatenate(tokens)
     order = np.argsort(token)
     begin = np.flatnonzero(np.diff(token[order], prepend=~token[order][:1]) != 0) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(token)))
-    one = np.minimum.reduceat(owner[order], begin) == np.maximum.reduceat(owner[order], begin) if len(token) else np.zeros(0, bool)
     alone = np.empty(len(token), bool)
-    alone[order] = np.repeat(one, size)
+    alone[order] = np.repeat(size == 1, size)
     out, at = [], 0
     for text, n in zip(texts, table.column("texts").to_pylist(), strict=True):
         own = np.bincount(text, weights=alone[at : at + len(text)], minlength=n).astype(np.uint32)
@@ -177,12 +158,17 @@ def _suspects(_: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"key": keys[some]})
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists of whole numbers as unsigned ones, and where each list begins in them."""
+    return column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's counts of tokens by the upper bits of the hash, in 16 parts."""
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
-        for x in batch.column("tokens"):
-            np.add.at(counts, (np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        values, offsets = _lists(batch.column("tokens"))
+        np.add.at(counts, (values[offsets[0] : offsets[-1]] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
     if counts.any():
         data = [pa.compress(p.astype(np.uint32).tobytes(), "zstd", asbytes=True) for p in counts.reshape(16, -1)]
         yield pa.record_batch([pa.array(range(16), pa.int32()), pa.array(data, pa.binary())], ["part", "counts"])
@@ -202,38 +188,46 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(sketch: np.ndarray):
-    """(key, n, gkey, first, prefix) of sets (key, tokens): the group's key, the smallest tokens, the prefix in order."""
+    """(key, n, gkey, prefix) of sets (key, tokens): the group's key and the prefix in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for x in batch.column("tokens"):
-                own = np.frombuffer(x.as_buffer(), np.uint64)
+            rows: list[list] = [[], [], []]
+            values, offsets = _lists(batch.column("tokens"))
+            for low, high in zip(offsets[:-1], offsets[1:], strict=True):
+                own = values[low:high]
                 n = len(own)
                 order = np.argsort(sketch[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 prefix = own[order[: prefix_length(np.array([n]))[0]]]
                 group = _keys(np.sort(prefix), np.array([0, len(prefix)]))[0] ^ T.mix(np.array([n], np.uint64))[0]
-                for column, v in zip(rows, (n, int(group), own[:FIRST].view(np.int64).tolist(), prefix.tobytes()), strict=True):
+                for column, v in zip(rows, (n, int(group), prefix.view(np.int64)), strict=True):
                     column.append(v)
             yield pa.record_batch([
-                batch.column("key"), pa.array(rows[0], pa.int64()), pa.array(np.array(rows[1], np.uint64).view(np.int64)), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.binary())],
-                ["key", "n", "gkey", "first", "prefix"])
+                batch.column("key"), pa.array(rows[0], pa.int64()), pa.array(np.array(rows[1], np.uint64).view(np.int64)), pa.array(rows[2], pa.list_(pa.int64()))],
+                ["key", "n", "gkey", "prefix"])
 
     return run
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of a fixed size with the places of all keys (a column ``key``) set."""
-    place = F.pmod(F.col("key"), F.lit(1 << BITMAP_BITS).cast("long"))
+    """A bitmap with the places of all keys (a column ``key``) set; 1 MB, and up to 8 MB for many keys."""
+    bits = min(26, max(BITMAP_BITS, int(keys.count()).bit_length() + 3))
+    place = F.pmod(F.col("key"), F.lit(1 << bits).cast("long"))
     rows = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    out = np.zeros(1 << BITMAP_BITS, bool)
-    for r in rows:  # at most 2 ** 23 / 32768 rows of 4 KB
+    out = np.zeros(1 << bits, bool)
+    for r in rows:  # at most 2 ** 26 / 32768 rows of 4 KB
         # bucket numbers begin at 1 for places from 1; place 0 is in bucket 0
-        bits = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
-        at = (r["b"] - 1) * 32768 + 1 + np.flatnonzero(bits) if r["b"] > 0 else -np.flatnonzero(bits)
-        out[np.asarray(at) % (1 << BITMAP_BITS)] = True
+        on = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
+        at = (r["b"] - 1) * 32768 + 1 + np.flatnonzero(on) if r["b"] > 0 else -np.flatnonzero(on)
+        out[np.asarray(at) % (1 << bits)] = True
     return np.packbits(out)
 
 
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the places of 64-bit keys are set."""
+    place = (keys.view(np.int64) % (8 * len(bitmap))).astype(np.int64)
+    return ((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def _members(bitmap: np.ndarray):
     """(key, tokens) of the texts whose key may be among those wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,112 +235,29 @@ def _members(bitmap: np.ndarray):
         for batch in batches:
             for _, values, offsets in _sets(batch):
                 keys = _keys(values, offsets)
-                place = (keys.view(np.int64) % (1 << BITMAP_BITS)).astype(np.int64)
-                wanted = (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
                 out_k, out_v = [], []
-                for i in np.flatnonzero(wanted):
+                if len(seen) > 200_000:
+                    seen.clear()
+                for i in np.flatnonzero(in_bitmap(bitmap, keys)):
                     k = int(keys[i])
                     if offsets[i] == offsets[i + 1] or k in seen:
                         continue
                     seen.add(k)
                     out_k.append(k)
-                    out_v.append(values[offsets[i] : offsets[i + 1]].tobytes())
-                yield pa.record_batch([pa.array(np.array(out_k, np.uint64).view(np.int64)), pa.array(out_v, pa.binary())], ["key", "tokens"])
+                    out_v.append(values[offsets[i] : offsets[i + 1]].view(np.int64))
+                yield pa.record_batch([pa.array(np.array(out_k, np.uint64).view(np.int64)), pa.array(out_v, pa.list_(pa.int64()))], ["key", "tokens"])
 
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(x) + len(y)
-            merged = np.sort(np.concatenate((x, y)), kind="stable")
-            same = int((merged[1:] == merged[:-1]).sum())
-            good.append(DEN * same >= NUM * (both - same))
-        yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
 def _verified(sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of class keys whose sets meet the threshold."""
-    one, two = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
-    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), name)
+    one, two = (sets.select(F.col("key").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
+    same, both = F.size(F.array_intersect("ta", "tb")), F.size("ta") + F.size("tb")
+    return written(pairs.join(one, "a").join(two, "b").filter(DEN * same >= NUM * (both - same)).select("a", "b"), name)
 
 
-def _deal(buckets: int):
-    """Prefix tokens dealt to buckets by their hash, as packed arrays."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            prefixes = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("prefix")]
-            token = np.concatenate(prefixes)
-            at = np.repeat(np.arange(len(prefixes)), [len(x) for x in prefixes])
-            key, comp, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "comp", "n"))
-            bucket = (T.mix(token) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out_b, out_d = [], []
-            for b in np.flatnonzero(np.diff(cuts)):
-                rows = order[cuts[b] : cuts[b + 1]]
-                i = at[rows]
-                linked = np.flatnonzero(comp[i] != key[i]).astype(np.int32)
-                head = np.array([len(rows), len(linked)], np.int64)
-                out_b.append(int(b))
-                out_d.append(b"".join((head.tobytes(), token[rows].tobytes(), key[i].tobytes(), n[i].astype(np.int32).tobytes(), linked.tobytes(), comp[i][linked].tobytes())))
-            yield pa.record_batch([pa.array(out_b, pa.int32()), pa.array(out_d, pa.binary())], ["bucket", "data"])
-
-    return run
-
-
-def _meet(_: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of units in different components that share tokens of one bucket, with how many they share."""
-    cols: list[list[np.ndarray]] = [[], [], [], []]
-    for x in table.column("data"):
-        raw = x.as_buffer()
-        m, k = np.frombuffer(raw, np.int64, 2)
-        token = np.frombuffer(raw, np.uint64, m, 16)
-        key = np.frombuffer(raw, np.int64, m, 16 + 8 * m)
-        n = np.frombuffer(raw, np.int32, m, 16 + 16 * m)
-        linked = np.frombuffer(raw, np.int32, k, 16 + 20 * m)
-        comp = key.copy()
-        comp[linked] = np.frombuffer(raw[16 + 20 * m + 4 * k :], np.int64, k)
-        for c, v in zip(cols, (token, key, n, comp), strict=True):
-            c.append(v)
-    token, key, n, comp = (np.concatenate(c) for c in cols)
-    order = np.lexsort((n, token))
-    token = token[order]
-    same = np.concatenate((token[1:] == token[:-1], [False]))
-    keep = same | np.concatenate(([False], same[:-1]))
-    order, token = order[keep], token[keep]
-    key, n, comp = key[order], n[order].astype(np.int64), comp[order]
-    ends = np.searchsorted(token, token, side="right")
-    i, d, out = np.arange(len(token)), 1, []
-    while len(i):
-        i = i[i + d < ends[i]]
-        i = i[DEN * n[i] >= NUM * n[i + d]]  # sizes ascend, so what fails now fails from here on
-        j = i + d
-        differ = comp[i] != comp[j]
-        a, b = i[differ], j[differ]
-        swap = key[a] > key[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        out.append(np.stack((key[a], key[b], n[a], n[b])))
-        d += 1
-    rows = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-    if rows.shape[1]:
-        order = np.lexsort((rows[1], rows[0]))
-        rows = rows[:, order]
-        new = np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])))
-        at = np.flatnonzero(new)
-        count = np.diff(np.concatenate((at, [rows.shape[1]])))
-        rows = rows[:, at]
-    else:
-        count = np.zeros(0, np.int64)
-    return pa.table({"a": rows[0], "b": rows[1], "na": rows[2], "nb": rows[3], "c": count.astype(np.int64)})
-
-
-DEALT = "bucket int, batch long, texts long, data binary, head binary, comps binary"
+DEALT = "bucket int, batch long, texts long, data binary, head binary"
 
 
 def _rest(dealt: DataFrame) -> DataFrame:
@@ -355,6 +266,93 @@ def _rest(dealt: DataFrame) -> DataFrame:
     return single.groupBy("batch").applyInArrow(_suspects, "key long")
 
 
+def _hooked(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """placed (key, comp, size) after links (a, b) of keys: each component joins the largest one that it is linked to.
+
+    Components that are linked need not all become one; the last step has all links once more.
+    """
+    rank = lambda k: F.struct(F.col(f"s{k}").alias("size"), F.col(f"c{k}").alias("comp"))
+    ends = links.join(placed.toDF("a", "ca", "sa"), "a").join(placed.toDF("b", "cb", "sb"), "b").filter("ca <> cb")
+    ends = ends.select(F.least(rank("a"), rank("b")).alias("low"), F.greatest(rank("a"), rank("b")).alias("high"))
+    hook = written(ends.groupBy(F.col("low.comp").alias("comp")).agg(F.max("high")["comp"].alias("to")), "hooks")
+    far = hook
+    for _ in range(2):  # hooks lead from smaller to larger, so these are trees; most are no deeper than this
+        far = far.join(hook.toDF("to", "on"), "to", "left").select("comp", F.coalesce("on", "to").alias("to"))
+    now = placed.join(far, "comp", "left").select("key", F.coalesce("to", "comp").alias("comp"))
+    # written, so that a large component's join can be split
+    sizes = written(now.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+    return written(now.join(sizes, "comp", "left").select("key", "comp", F.coalesce("size", F.lit(1)).alias("size")), "placed")
+
+
+def _units(pre: DataFrame, placed: DataFrame) -> DataFrame:
+    """(unit, key): each class, and the class that stands for those of its group and component."""
+    full = pre.select("key", "gkey").join(placed.select("key", "comp"), "key")
+    return full.join(full.groupBy("gkey", "comp").agg(F.min("key").alias("unit")), ["gkey", "comp"]).select("unit", "key")
+
+
+def _entries(pre: DataFrame) -> DataFrame:
+    """(t, key, n, most) of the tokens of each class's prefix, and of its group; most: the largest partner's size there."""
+    rows = pre.select("key", "n", F.posexplode("prefix").alias("i", "t"))
+    most = F.floor((NUM + DEN) * (F.col("n") - F.col("i")) / NUM) - F.col("n")
+    group = pre.select(F.col("gkey").alias("t"), "key", "n", F.floor(F.col("n") * DEN / NUM).alias("most"))
+    return rows.select("t", "key", "n", most.alias("most")).union(group)
+
+
+def _admitted(n: str, most: str, m: str, least: str) -> Column:
+    """Whether sizes n and m are near enough, and each is within what the other's place admits."""
+    return (F.col(m) <= F.col(most)) & (F.col(n) <= F.col(least)) & (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
+
+
+def _led(sets: DataFrame, pre: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """After the rounds of leaders: (key, comp, size) of all classes, the entries of tokens that several components
+    have, and the links found."""
+    placed = pre.select("key", F.col("key").alias("comp"), F.lit(1).cast("long").alias("size"))
+    entries = written(_entries(pre).withColumn("comp", F.col("key")).withColumn("size", F.lit(1).cast("long")), "entries")
+    found = []
+    for k in range(LEADER_ROUNDS):
+        # a token within one component has nothing to give; of the others two of the largest component lead: the one with
+        # the fewest rarer tokens, which is most like the rest, and one drawn from those whose place admits its own size
+        h = F.xxhash64("key", "t", F.lit(k)) if k else F.xxhash64("key")
+        first = F.min(F.struct(-F.col("size"), F.col("n") - F.col("most"), h, "key", "n", "most", "comp"))
+        last = F.max(F.struct("size", F.col("most") >= F.col("n"), h, "key", "n", "most", "comp"))
+        lead = entries.groupBy("t").agg(first.alias("x"), last.alias("y"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        of = lambda c: F.struct(F.col(c)["key"].alias("a"), F.col(c)["n"].alias("na"), F.col(c)["most"].alias("ma"), F.col(c)["comp"].alias("ca"))
+        lead = written(lead.select("t", F.inline(F.array(of("x"), of("y")))), "leaders")  # written, so that a common token's join can be split
+        met = entries.join(lead, "t").filter((F.col("comp") != F.col("ca")) & _admitted("n", "most", "na", "ma"))
+        # the leader of most of a class's tokens, and others at random, more in later rounds
+        drawn = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("a", F.lit(k)).alias("h"), "a"))), 1, 1 + DRAWN * k)["a"]
+        some = met.groupBy("key").agg(F.array_union(F.array(F.mode("a", True)), drawn).alias("a"))
+        found.append(_verified(sets, some.select(F.explode("a").alias("a"), F.col("key").alias("b")), "led"))
+        placed = _hooked(placed, found[-1])
+        # components only grow, so a token within one stays so
+        mixed = entries.select("t", "key", "n", "most").join(lead.select("t").distinct(), "t", "left_semi")
+        entries = written(mixed.join(placed, "key").select("t", "key", "n", "most", "comp", "size"), "entries")
+    return placed, entries, found
+
+
+def _open(entries: DataFrame) -> DataFrame:
+    """(t, cx, cy): pairs of groups, the entries of a token in a component, that the bounds admit."""
+    groups = written(entries.groupBy("t", "comp").agg(F.min("n").alias("n"), F.max("most").alias("most")), "groups")
+    several = groups.groupBy("t").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("t")
+    groups = written(groups.join(several, "t", "left_semi"), "mixed-groups")
+    one, two = (groups.toDF("t", f"c{k}", f"n{k}", f"m{k}") for k in "xy")
+    # the loosest bounds of a group: its smallest member and the largest partner of any
+    near = (F.col("cx") < F.col("cy")) & (F.col("ny") <= F.col("mx")) & (F.col("nx") <= F.col("my"))
+    return written(one.join(two, "t").filter(near).select("t", "cx", "cy"), "group-pairs")
+
+
+def _unit_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b): units of different components that the bounds admit at a token that both have in their prefixes."""
+    one, two = (entries.select("t", "key", "n", "most", "comp").toDF("t", f"k{k}", f"n{k}", f"m{k}", f"c{k}") for k in "xy")
+    both = _open(entries).join(one, ["t", "cx"]).join(two, ["t", "cy"]).filter(_admitted("nx", "mx", "ny", "my"))
+    return both.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b")).distinct()
+
+
+def _expanded(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """Pairs of units as pairs of their members."""
+    return pairs.join(units.toDF("a", "ka"), "a").join(units.toDF("b", "kb"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_shingles and component_id, the smallest id reachable by links (ids are whole numbers).
 
@@ -370,7 +368,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total // TOKENS_PER_BUCKET) + 1)
     suspects = written(_rest(slim.mapInArrow(_deal_tokens(buckets), DEALT)).distinct(), "suspects")
-    found = slim.mapInArrow(_members(_bitmap(suspects)), "key long, tokens binary")
+    found = slim.mapInArrow(_members(_bitmap(suspects)), "key long, tokens array<long>")
     sets = written(found.join(suspects, "key", "left_semi").dropDuplicates(["key"]), "sets")
 
     parts = sets.mapInArrow(_count, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
@@ -381,37 +379,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a difference within the noise of the sketch says nothing, so counts are compared by their magnitude
     level = np.floor(np.log2(sketch.astype(np.float64) + 1) * 2).astype(np.uint8)
 
-    pre = written(sets.mapInArrow(_prefixes(level), "key long, n long, gkey long, first array<long>, prefix binary"), "prefixes")
-    nodes = pre.select("key", "n", "gkey", "first")
-
-    # leaders: of each of the first tokens, and of the group
-    by = nodes.select("key", "n", F.explode(F.array_append("first", F.col("gkey"))).alias("t"))
-    lead = by.groupBy("t").agg(F.min(F.struct("key", "n")).alias("l"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("t", F.col("l.key").alias("a"), F.col("l.n").alias("na"))
-    pairs = by.join(lead, "t").filter((F.col("key") != F.col("a")) & (DEN * F.least("n", "na") >= NUM * F.greatest("n", "na"))).select("a", F.col("key").alias("b")).distinct()
-    links = _verified(sets, pairs, "led")
-    comps = written(components(links), "led-comps")
-
-    placed = nodes.join(comps.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "gkey", F.coalesce("component", "key").alias("comp"))
-    total = placed.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, int(total // TOKENS_PER_BUCKET) + 1)
-    open_ = written(_rest(sets.join(placed.select("key", "comp"), "key").select("key", "comp", "tokens").mapInArrow(_deal_placed(buckets), DEALT)), "open")
-    # one unit for the classes of a group that are connected already
-    placed = placed.join(open_, "key", "left_semi")
-    units = written(placed.join(placed.groupBy("gkey", "comp").agg(F.min("key").alias("unit")), ["gkey", "comp"]), "units")
-    heads = units.filter(F.col("key") == F.col("unit")).select("key", "comp")
-    total = pre.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    buckets = max(8, int(total // PER_BUCKET) + 1)
-    dealt = pre.join(heads, "key").select("key", "n", "comp", "prefix").mapInArrow(_deal(buckets), "bucket int, data binary")
-    met = dealt.groupBy("bucket").applyInArrow(_meet, "a long, b long, na long, nb long, c long")
-    counted = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    rest = lambda n: F.ceil(NUM * F.col(n) / DEN) - 1  # noqa: E731  tokens after the prefix
-    possible = counted.filter((NUM + DEN) * (F.col("c") + F.greatest(rest("na"), rest("nb"))) >= NUM * (F.col("na") + F.col("nb")))
-    member = units.select("unit", "key")
-    pairs = possible.join(member.toDF("a", "ka"), "a").join(member.toDF("b", "kb"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-    more = _verified(sets, pairs, "met")
-    # the components so far, as stars, stand for the links that made them
-    stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    whole = components(stars.union(more)).withColumnRenamed("node", "key")
+    pre = written(sets.mapInArrow(_prefixes(level), "key long, n long, gkey long, prefix array<long>"), "prefixes")
+    placed, entries, found = _led(sets, pre)
+    units = written(_units(pre, placed), "units")
+    heads = units.filter(F.col("unit") == F.col("key")).select("key")
+    pairs = _expanded(_unit_pairs(entries.join(heads, "key", "left_semi")), units)
+    links = _verified(sets, pairs, "met")
+    for more in found:
+        links = links.union(more)
+    whole = components(links.union(placed.filter("key <> comp").select(F.col("comp").alias("a"), F.col("key").alias("b")))).toDF("key", "component")
 
     named = classes.join(whole, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from . import _tokens as T
 from ._components import components
 from ._shared import written
+from .jaccard import _bitmap, in_bitmap
 
 MAX_EDITS = 2
 MIN_CHARS = 20
@@ -32,7 +33,6 @@ MIN_CHARS = 20
 SHORT = ("stay", "elsewhere", "go")
 BLANK = (9, 10, 11, 12, 13, 32)
 LONG_LIST = 64
-BITMAP_BITS = 23
 PER_BUCKET = 400_000
 _SECOND = 0xC2B2AE3D27D4EB4F | 1
 
@@ -289,9 +289,8 @@ def _wanted(bitmap: np.ndarray):
                 x = _Lines(batch.column("text").slice(i, j - i).to_pylist())
                 which = np.flatnonzero(x.length >= MIN_CHARS)
                 h = x.hash(x.start[which], x.end[which])
-                place = (h.view(np.int64) % (1 << BITMAP_BITS)).astype(np.int64)
-                hit = (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
-                which, h = which[hit == 1], h[hit == 1]
+                hit = in_bitmap(bitmap, h)
+                which, h = which[hit], h[hit]
                 _, first = np.unique(h, return_index=True)
                 first = np.array([k for k in first.tolist() if int(h[k]) not in seen], np.int64)
                 seen.update(h[first].tolist())
@@ -312,8 +311,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs of line hashes (a, b) whose lines are within MAX_EDITS: hashes h and g, lines a and b."""
-    from .jaccard import _bitmap
-
     pairs = written(pairs, f"{name}-pairs")
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     found = texts.mapInArrow(_wanted(_bitmap(ends)), "h long, line binary, text string")

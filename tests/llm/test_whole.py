@@ -1,7 +1,9 @@
 """What operators must not leave out: short lines, rows that share an id, long or dotted secrets, later occurrences."""
 
+import random
+
 import corpus_pipeline
-from quire.llm import lines, secrets
+from quire.llm import jaccard, lines, secrets
 
 LONG = "a line that is long enough for edits"
 
@@ -65,3 +67,28 @@ def test_long_dotted_and_short_secrets(spark):
     plain = ["the Donaudampfschifffahrt of org.apache.spark.functions.", "Note: see 12:3045 for more", "a" * 3000 + "1", "class = 'navbar'", "https://www.example.com/images/thumb/12345678901234.png"]
     got = secrets.scan(documents(spark, list(enumerate(texts + plain))), secrets.labelled_findings(spark)).filter("secret").collect()
     assert sorted((r["doc_id"], r["value"]) for r in got) == list(enumerate(values))
+
+
+# ---------------------------------------------------------------- a large family of near copies
+def test_family_that_does_not_touch_one_leader(spark):
+    """2,000 near copies in a chain: neighbours are linked, far ones share little, so no class leads them all."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    texts, now = [], list(words)
+    for k in range(2000):
+        at = rng.randrange(len(now))
+        now = now[:at] + [f"x{k}"] + now[at + 1 :]
+        texts.append(" ".join(now))
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    assert all(100 * len(x & y) >= 75 * len(x | y) for x, y in zip(sets, sets[1:], strict=False))
+    assert not any(all(100 * len(x & y) >= 75 * len(x | y) for y in sets) for x in (sets[0], sets[1000]))
+    made = []
+    keep = jaccard._verified
+    jaccard._verified = lambda sets, pairs, name: made.append(pairs.count()) or keep(sets, pairs, name)
+    try:
+        got = jaccard.jaccard_classes(documents(spark, list(enumerate(texts)))).collect()
+    finally:
+        jaccard._verified = keep
+    assert len(got) == 2000 and {r["component_id"] for r in got} == {0}
+    # far fewer pairs than the links, let alone all pairs
+    assert sum(made) < 60_000
