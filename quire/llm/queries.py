@@ -45,7 +45,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents")).select("doc_id", "n_pieces", "ids_crc32", "round_trip")
+    return pieces.encode(table(spark, sf_dir, "documents"), best=True).select("doc_id", "n_pieces", "ids_crc32", "n_best", "best_crc32", "round_trip")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
