@@ -10,20 +10,21 @@ id. Every whole text is scored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _tokens as T
+from ._trie import WIDEST, Table, Trie, hash_of
 
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST = 40
+LETTERS = regex.compile(r"\p{L}+")
+SCALE = 1e4
 FLOOR = 1e-6
 CACHE = 400_000
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -38,71 +39,112 @@ def vocabulary(path: str) -> list[str]:
 
 
 def split_words(text: str) -> list[str]:
-    """Runs of letters in lower case; a run of over LONGEST letters is taken LONGEST at a time."""
-    found = LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) <= LONGEST:
-        return found
-    return [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
+    """Runs of letters in lower case."""
+    return LETTERS.findall(text.lower())
 
 
 class Lattice:
-    """Segmentations of many words at once; row len(pieces) of a table of probabilities is for unknown characters."""
+    """Segmentations of many words at once; row len(pieces) of a table of probabilities is for unknown characters.
+
+    Words share the sums of their common prefixes in a trie. There probabilities are multiplied by SCALE for every
+    character, so that no sum leaves the range of doubles; longer words are summed in logarithms.
+    """
 
     def __init__(self, pieces: list[str]):
         self.index = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
         self.unknown = len(pieces)
+        self.table = Table(np.array([hash_of(p) for p in pieces], np.uint64), np.arange(len(pieces)))
+        self.lengths = np.array([*map(len, pieces), 1])
+
+    def _groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, Trie]]:
+        """Places of words, and the trie of these words; all but long ones."""
+        marked = [MARK + w for w in words]
+        order = sorted((k for k, w in enumerate(marked) if len(w) <= WIDEST), key=marked.__getitem__)
+        for low in range(0, len(order), 30_000):
+            some = order[low : low + 30_000]
+            yield np.array(some), Trie([marked[k] for k in some], self.table, self.longest)
+
+    def _arcs(self, trie: Trie, d: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for k, at, prior, i in trie.arcs(d):
+            if k == 1:  # a character that is no piece is unknown
+                full = np.full(len(trie.heads[d]), self.unknown)
+                full[at] = i
+                at = np.arange(len(full))
+                prior, i = trie.before(d, at), full
+            yield k, at, prior, i
+
+    def _forward(self, trie: Trie, scaled: np.ndarray) -> list[np.ndarray]:
+        f = [np.ones((1, scaled.shape[1]))]
+        for d in range(1, trie.wide + 1):
+            now = np.zeros((len(trie.heads[d]), scaled.shape[1]))
+            for k, at, prior, i in self._arcs(trie, d):
+                now[at] += f[d - k][prior] * scaled[i]
+            f.append(now)
+        return f
+
+    def _ends(self, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+        """Depth and node of each word's end."""
+        return trie.n, np.stack(trie.node)[trie.n, np.arange(len(trie.n))]
+
+    def _scaled(self, table: np.ndarray) -> np.ndarray:
+        return table * SCALE ** self.lengths[:, None].astype(float)
+
+    def _long(self, words: list[str]) -> list[int]:
+        return [k for k, w in enumerate(words) if len(w) + 1 > WIDEST]
+
+    def _long_arcs(self, word: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each end in the marked word the places where pieces begin, and the pieces."""
+        w, get, out = MARK + word, self.index.get, [(np.zeros(0, int), np.zeros(0, int))]
+        for e in range(1, len(w) + 1):
+            found = [(s, i) for s in range(max(0, e - self.longest), e - 1) if (i := get(w[s:e])) is not None]
+            found.append((e - 1, get(w[e - 1], self.unknown)))
+            out.append(tuple(np.array(x) for x in zip(*found, strict=True)))
+        return out
 
-    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]], np.ndarray]]:
-        """For words of like length: their places, the arcs (start, end, words, pieces) by end, and their lengths."""
-        lengths = np.array([len(w) + 1 for w in words])
-        for low, high in ((0, 6), (6, 9), (9, 13), (13, 20), (20, LONGEST + 1)):
-            at = np.flatnonzero((lengths > low) & (lengths <= high))
-            for k in range(0, len(at), 20_000):
-                some = at[k : k + 20_000]
-                arcs: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-                get, longest = self.index.get, self.longest
-                for row, i in enumerate(some.tolist()):
-                    w = MARK + words[i]
-                    n = len(w)
-                    for e in range(1, n + 1):
-                        for s in range(max(0, e - longest), e):
-                            piece = get(w[s:e])
-                            if piece is None:
-                                if e - s > 1:
-                                    continue
-                                piece = self.unknown
-                            a = arcs.get((s, e))
-                            if a is None:
-                                a = arcs[s, e] = ([], [])
-                            a[0].append(row)
-                            a[1].append(piece)
-                yield some, [(s, e, np.array(r), np.array(p)) for (s, e), (r, p) in sorted(arcs.items(), key=lambda x: (x[0][1], x[0][0]))], lengths[some]
+    def _long_forward(self, arcs: list[tuple[np.ndarray, np.ndarray]], log: np.ndarray) -> np.ndarray:
+        f = np.zeros((len(arcs), log.shape[1]))
+        for e, (s, i) in enumerate(arcs[1:], 1):
+            f[e] = np.logaddexp.reduce(f[s] + log[i], axis=0)
+        return f
 
     def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(words), table.shape[1]))
-        for some, arcs, lengths in self.groups(words):
-            f = np.zeros((len(some), int(lengths.max()) + 1, table.shape[1]))
-            f[:, 0] = 1
-            for s, e, rows, pieces in arcs:
-                f[rows, e] += f[rows, s] * table[pieces]
-            out[some] = np.log(f[np.arange(len(some)), lengths])
+        out, scaled = np.zeros((len(words), table.shape[1])), self._scaled(table)
+        for some, trie in self._groups(words):
+            f = self._forward(trie, scaled)
+            d, x = self._ends(trie)
+            base = np.cumsum([0, *map(len, f[:-1])])
+            out[some] = np.log(np.concatenate(f)[base[d] + x]) - d[:, None] * np.log(SCALE)
+        log = np.log(table)
+        for k in self._long(words):
+            out[k] = self._long_forward(self._long_arcs(words[k]), log)[-1]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in each language; counts: of each word in each language."""
-        out = np.zeros_like(table)
-        for some, arcs, lengths in self.groups(words):
-            size = int(lengths.max()) + 1
-            f, b = (np.zeros((len(some), size, table.shape[1])) for _ in range(2))
-            f[:, 0], b[np.arange(len(some)), lengths] = 1, 1
-            for s, e, rows, pieces in arcs:
-                f[rows, e] += f[rows, s] * table[pieces]
-            for s, e, rows, pieces in reversed(arcs):
-                b[rows, s] += b[rows, e] * table[pieces]
-            weight = counts[some] / b[:, 0]
-            for s, e, rows, pieces in arcs:
-                np.add.at(out, pieces, weight[rows] * f[rows, s] * table[pieces] * b[rows, e])
+        out, scaled = np.zeros_like(table), self._scaled(table)
+        for some, trie in self._groups(words):
+            f = self._forward(trie, scaled)
+            # what the words behind a node ask of it, from the deepest nodes up
+            ask = [np.zeros_like(x) for x in f]
+            for d in range(trie.wide, 0, -1):
+                w = np.flatnonzero(trie.n == d)
+                x = trie.node[d][w]
+                ask[d][x] += counts[some[w]] / f[d][x]  # words are distinct, so are their ends
+                for k, at, prior, i in self._arcs(trie, d):
+                    back = scaled[i] * ask[d][at]
+                    np.add.at(out, i, f[d - k][prior] * back)
+                    np.add.at(ask[d - k], prior, back)
+        log = np.log(table)
+        for k in self._long(words):
+            arcs = self._long_arcs(words[k])
+            f = self._long_forward(arcs, log)
+            b = np.full_like(f, -np.inf)
+            b[-1] = 0
+            for e in range(len(arcs) - 1, 0, -1):
+                s, i = arcs[e]
+                b[s] = np.logaddexp(b[s], b[e] + log[i])
+                np.add.at(out, i, counts[k] * np.exp(f[s] + log[i] + b[e] - f[-1]))
         return out
 
 

@@ -111,6 +111,90 @@ def test_forward_sums_all_segmentations():
     assert math.isclose(float(np.exp(lattice.log_probabilities(["ab"], p))[0, 0]), want)
 
 
+def segmentations(word, index):
+    """Every way to cut a word into pieces, or characters of no piece, as lists of piece numbers."""
+    if not word:
+        yield []
+    for k in range(1, len(word) + 1):
+        i = index.get(word[:k], len(index) if k == 1 else None)
+        if i is not None:
+            for rest in segmentations(word[k:], index):
+                yield [i, *rest]
+
+
+def test_forward_and_expected_equal_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pieces_ = ["▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab", "bb", "éa"]
+    lattice, table = language.Lattice(pieces_), rng.uniform(0.01, 0.3, (11, 3))
+    words = ["ab", "a", "abab", "abba", "éab", "日", "ababbaab", "bé"]
+    counts = rng.uniform(0, 5, (len(words), 3))
+    want, total = np.zeros_like(table), np.zeros((len(words), 3))
+    for w, word in enumerate(words):
+        ways = list(segmentations("▁" + word, lattice.index))
+        p = np.array([table[x].prod(axis=0) for x in ways])
+        total[w] = p.sum(axis=0)
+        for x, share in zip(ways, p / total[w], strict=True):
+            for i in x:
+                want[i] += counts[w] * share
+    assert np.allclose(np.exp(lattice.log_probabilities(words, table)), total, rtol=1e-9)
+    assert np.allclose(lattice.expected(words, counts, table), want, rtol=1e-9)
+    # long words take logarithms; both ways agree
+    for long_ in ("ab" * 19, "abba日" * 7):
+        both = [lattice._long_forward(lattice._long_arcs(long_), np.log(table))[-1], lattice.log_probabilities([long_], table)[0]]
+        assert np.allclose(*both, rtol=1e-9)
+    keep, language.WIDEST = language.WIDEST, 3
+    try:
+        assert np.allclose(lattice.expected(words, counts, table), want, rtol=1e-9)
+    finally:
+        language.WIDEST = keep
+
+
+def test_predictions_equal_brute_force(spark):
+    import numpy as np
+
+    texts = [("ab ab ba", "x"), ("ab aab", "x"), ("bb ba bbb", "y"), ("b bb", "y"), ("abab!", None), ("bbb bab", None), ("a日 b", None)]
+    docs = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(texts)], "doc_id long, text string, lang string")
+    vocabulary = ["▁", "a", "b", "ab", "▁a", "▁b", "bb"]
+    langs, table = language.learn(docs, vocabulary)
+    index = {p: i for i, p in enumerate(vocabulary)}
+    own = np.full((8, 2), 1 / 7)
+    own[-1] = language.FLOOR
+    for _ in range(2):
+        uses = np.zeros((8, 2))
+        for t, x in texts:
+            for w in language.split_words(t) if x else ():
+                ways = list(segmentations("▁" + w, index))
+                p = np.array([own[s, "xy".index(x)].prod() for s in ways])
+                for s, share in zip(ways, p / p.sum(), strict=True):
+                    np.add.at(uses[:, "xy".index(x)], s, share)
+        uses[-1] = 0
+        prior = uses.sum(axis=1, keepdims=True) + 0.01
+        smooth = uses + 4.0 * prior / prior.sum()
+        own = smooth / smooth.sum(axis=0)
+        own[-1] = language.FLOOR
+        own = np.maximum(own, language.FLOOR * 1e-2)
+    assert langs == ["x", "y"] and np.allclose(table, own, rtol=1e-9)
+    run = language._scorer(vocabulary, langs, table)
+    import pyarrow as pa
+
+    got = next(run(iter([pa.record_batch([pa.array([t for t, _ in texts])], ["text"])]))).to_pylist()
+    for (t, _), r in zip(texts, got, strict=True):
+        logs = sum(np.log(sum(own[s].prod(axis=0) for s in segmentations("▁" + w, index))) for w in language.split_words(t))
+        share = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert r["lang_pred"] == langs[int(share.argmax())] and math.isclose(r["score"], share.max(), rel_tol=1e-9)
+
+
+def test_letters_and_long_words(spark):
+    rows = [(0, "the and of", "en"), (1, "der und das", "de"), (2, "² ½ ① Ⅷ 12 _", None), (3, "日本語" * 40, None), (4, "日" * 40, None), (5, "the" * 3000, None), (6, "the and of", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs.union(docs), docs).collect()}
+    assert got[2] == ("und", 0.0) and got[0][0] == "en" and all(got[k][0] in ("en", "de") and 0 <= got[k][1] <= 1 for k in (0, 1, 3, 4, 5, 6))
+    assert language.identify(docs.limit(0), docs).count() == 0
+    assert language.identify(docs.union(docs), docs).count() == 14
+
+
 # ---------------------------------------------------------------- near duplicates
 def linked_classes(texts):
     sets = {}
@@ -184,8 +268,50 @@ def test_viterbi_finds_the_best_sum():
             x.score = -4 - math.sqrt(k + 1) / 13  # no two sums alike
     raw = m.SerializeToString()
     lib, own = sentencepiece.SentencePieceProcessor(model_proto=raw), pieces.Model(proto=raw)
-    words = sorted({"▁" + w for w in "the thing things thinking theory shared prefixes prefix pre".split()})
-    assert list(pieces.Encoder(own).encode_sorted(words)) == [lib.encode(w[1:]) for w in words]
+    texts = ["the thing things thinking theory shared prefixes prefix pre", "".join(f"word{k}of" for k in range(12)), "日本語 тест é"]
+    words = sorted({w for t in texts for w in own.units.findall("▁" + t.replace(" ", "▁"))})
+    flat, per = pieces.Encoder(own).encode_sorted(words)[0]
+    got = {w: flat[e - n : e].tolist() for w, e, n in zip(words, per.cumsum(), per, strict=True)}
+    for t in texts:
+        assert [i for w in own.units.findall("▁" + t.replace(" ", "▁")) for i in got[w]] == lib.encode(t)
+
+
+def test_best_sums_equal_all_segmentations(spark):
+    """The second ids of the BPE model: the largest sum over every way to cut a word."""
+    texts = ["theory of shared prefixes", "an aaaa bookkeeper", "  two marks", "日本 é\nx"]
+    code = pieces.encoder(MODEL)
+
+    def best(unit):
+        value = {0: (0.0, [])}
+        for e in range(1, len(unit) + 1):
+            options = []
+            for s in range(e):
+                i = code.m.id.get(unit[s:e])
+                if i is not None or e - s == 1:
+                    gain = code.m.viterbi[i] if i is not None else code.m.unknown_score
+                    options.append((value[s][0] + gain, value[s][1] + ([i] if i is not None else code.m.character(unit[s:e]))))
+            value[e] = max(options, key=lambda x: x[0])
+        return value[len(unit)][1]
+
+    got = {r["doc_id"]: r for r in pieces.encode(frame(spark, texts), best=True).collect()}
+    for k, t in enumerate(texts):
+        assert got[k]["best_ids"] == [i for u in code.m.units.findall("▁" + t.replace(" ", "▁")) for i in best(u)]
+        assert got[k]["round_trip"]
+
+
+def test_long_runs_of_one_character(spark):
+    import sentencepiece
+
+    texts = [" " * 30_000, "a" * 20_000, "  " + "ab" * 5000, "=" * 777]
+    p = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == [p.encode(t) for t in texts]
+
+
+def test_pieces_empty_and_repeated(spark):
+    docs = frame(spark, ["a b", None])
+    assert pieces.encode(docs.limit(0), best=True).count() == 0
+    assert sorted(r["n_pieces"] for r in pieces.encode(docs.union(docs)).collect()) == [0, 0, 2, 2]
 
 
 # ---------------------------------------------------------------- secrets
