@@ -8,60 +8,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans import resolve
+from ..plans import properties, resolve
 from ..sources import package, shred
+from ..store import written
 
 
 class Corpus:
-    """Packages (doc_id, content) and the node tables shredded from them, all lazy."""
+    """Packages (doc_id, content) and the node tables shredded from them.
 
-    def __init__(self, packages: DataFrame, permissive: bool = True):
-        self.packages = packages
-        self.parts = package.parts(packages, permissive)
-
-    @cached_property
-    def relationships(self) -> DataFrame:
-        return shred.relationships(self.parts)
-
-    @cached_property
-    def content_types(self) -> DataFrame:
-        return shred.content_types(self.parts)
-
-    @cached_property
-    def styles(self) -> DataFrame:
-        return shred.styles(self.parts)
-
-    @cached_property
-    def list_levels(self) -> DataFrame:
-        return shred.list_levels(self.parts)
-
-    @cached_property
-    def blocks(self) -> DataFrame:
-        return shred.blocks(self.parts)
+    All node tables come out of one pass over the packages, made when the first of them is used and kept in the shared
+    folder; each table reads its own columns of it. The parts with their bytes are read from the packages when asked for.
+    """
 
-    @cached_property
-    def inlines(self) -> DataFrame:
-        return shred.inlines(self.parts)
+    def __init__(self, packages: DataFrame, permissive: bool = True):
+        self.packages, self.permissive = packages, permissive
 
     @cached_property
-    def cells(self) -> DataFrame:
-        return shred.cells(self.parts)
+    def parts(self) -> DataFrame:
+        return package.parts(self.packages, self.permissive)
 
     @cached_property
-    def stories(self) -> DataFrame:
-        return shred.stories(self.parts)
+    def _nodes(self) -> DataFrame:
+        return written(shred.everything(self.packages), "nodes")
 
-    @cached_property
-    def threads(self) -> DataFrame:
-        return shred.comment_threads(self.parts)
+    def node(self, name: str) -> DataFrame:
+        """One of the tables of shred.TABLES."""
+        if name not in shred.TABLES:
+            raise KeyError(name)
+        return self._nodes.filter(F.col("node") == name).select("doc_id", f"{name}.*")
 
-    @cached_property
-    def section_references(self) -> DataFrame:
-        return shred.section_references(self.parts)
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in shred.TABLES:
+            return self.node(name)
+        raise AttributeError(name)
 
-    @cached_property
+    @property
     def main(self) -> DataFrame:
-        return self.inlines.filter(F.col("part_name") == package.MAIN)
+        return self.inlines.filter("role = 'main'")
 
     def paragraph_texts(self) -> DataFrame:
         """(doc_id, block_path, text): visible text of paragraphs, capitals applied, hidden runs left out."""
@@ -103,8 +86,24 @@ class Corpus:
         return h.join(texts, ["doc_id", "path"], "left").select("doc_id", "path", "heading_level", "depth", F.coalesce("text", F.lit("")).alias("text"))
 
     def labels(self) -> DataFrame:
-        items = self.blocks.filter("list_id > 0").select("doc_id", "path", "list_id", F.coalesce("level", F.lit(0)).alias("level"))
-        return resolve.list_labels(items, self.list_levels)
+        levels = self.list_levels.select("doc_id", "list_id", "level", "number_style", "number_format", "start_at")
+        return resolve.list_labels(resolve.list_references(self.blocks, self.styles), levels)
+
+    def paragraph_formats(self) -> DataFrame:
+        """Paragraphs of the main story with what they, their styles and the defaults declare."""
+        normal = resolve.default_styles(self.styles).filter("kind = 'paragraph'").select("doc_id", F.col("style_id").alias("_normal"))
+        of = self.blocks.filter("node_type = 'Paragraph'").join(normal, "doc_id", "left").select("doc_id", "part_name", "path", F.coalesce("style_id", "_normal").alias("style_id"))
+        p = self.properties
+        made = [properties.paragraph_formats(p, owner) for owner in ("paragraph", "style_paragraph", "default_paragraph")]
+        return properties.cascaded(*made, resolve.style_layers(self.styles), of, properties.PARAGRAPH)
+
+    def cell_texts(self) -> DataFrame:
+        """(doc_id, table_path, row, cell, text): the paragraphs of a cell that hold text, one a line; nested tables are left out."""
+        n = F.size("block_path")
+        t = self.paragraph_texts().filter((n >= 4) & (F.col("text") != ""))
+        t = t.select("doc_id", F.slice("block_path", F.lit(1), n - 3).alias("table_path"), F.element_at("block_path", n - 2).alias("row"), F.element_at("block_path", n - 1).alias("cell"), F.col("block_path"), "text")
+        own = t.groupBy("doc_id", "table_path", "row", "cell").agg(F.sort_array(F.collect_list(F.struct("block_path", "text"))).alias("l"))
+        return self.cells.join(own, ["doc_id", "table_path", "row", "cell"], "left").select("doc_id", "table_path", "row", "cell", "grid_span", "horizontal_merge", "vertical_merge", F.coalesce(F.array_join("l.text", "\n"), F.lit("")).alias("text"))
 
     def links(self) -> DataFrame:
         return resolve.links(resolve.visible(self.inlines), self.relationships)
@@ -113,18 +112,36 @@ class Corpus:
         return resolve.effective_fonts(self.main, self.blocks, self.styles)
 
     def export(self) -> DataFrame:
-        """(doc_id, json): blocks of the body in order with location, type, text, style, heading level and runs."""
-        runs = self.fonts().groupBy("doc_id", "block_path").agg(F.sort_array(F.collect_list(F.struct("ord", "text", "b", "i", "size"))).alias("r"))
-        runs = runs.select("doc_id", F.col("block_path").alias("path"), F.transform("r", lambda x: F.struct(x["text"].alias("text"), x["b"].alias("bold"), x["i"].alias("italic"), x["size"].alias("size"))).alias("runs"))
+        """(doc_id, json): blocks of the body in order with location, type, text, style, heading level, list, runs with their
+        links, note references and images; of tables the rows of cells with their merges and text."""
+        keys = ["doc_id", "block_path", "ord"]
+        urls = resolve.links(resolve.visible(self.main), self.relationships).select(*keys, F.col("url").alias("link"))
+        shown = resolve.visible(self.main).select(*keys)
+        fonts = self.fonts().join(shown, keys, "left_semi").filter(~F.coalesce("vanish", F.lit(False))).join(urls, keys, "left")
+        run = F.struct("ord", S.apply_caps(F.col("text"), F.coalesce("caps", F.lit(False))).alias("text"), "link", F.col("b").alias("bold"), F.col("i").alias("italic"), "size")
+        runs = fonts.groupBy("doc_id", F.col("block_path").alias("path")).agg(F.sort_array(F.collect_list(run)).alias("r"))
+        runs = runs.select("doc_id", "path", F.transform("r", lambda x: x.dropFields("ord")).alias("runs"), F.array_join("r.text", "").alias("text"))
+        marks = self.main.filter("kind = 'NoteReference'").groupBy("doc_id", F.col("block_path").alias("path")).agg(F.sort_array(F.collect_list(F.struct("ord", F.col("text").alias("kind"), F.col("ident").alias("identifier")))).alias("n"))
+        marks = marks.select("doc_id", "path", F.transform("n", lambda x: F.struct(F.regexp_replace(x["kind"], "Reference$", "").alias("kind"), x["identifier"].alias("identifier"))).alias("note_references"))
+        images = self.drawings.filter("rid is not null").groupBy("doc_id", F.col("block_path").alias("path")).agg(F.sort_array(F.collect_list(F.struct("ord", "alternative_text", F.col("width").alias("width_pt"), F.col("height").alias("height_pt")))).alias("images"))
+        images = images.withColumn("images", F.transform("images", lambda x: x.dropFields("ord")))
+        cell = F.struct("row", "cell", "grid_span", "horizontal_merge", "vertical_merge", "text")
+        tables = self.cell_texts().groupBy("doc_id", F.col("table_path").alias("path")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+        row_numbers = F.array_sort(F.array_distinct(F.col("cells.row")))
+        tables = tables.select("doc_id", "path", F.transform(row_numbers, lambda n: F.struct(F.transform(F.filter("cells", lambda c: c["row"] == n), lambda c: c.dropFields("row", "cell")).alias("cells"))).alias("rows"))
         levels = resolve.headings(self.blocks, self.styles).select("doc_id", "path", "heading_level")
-        top = resolve.sections(self.blocks).join(self.paragraph_texts().withColumnRenamed("block_path", "path"), ["doc_id", "path"], "left").join(levels, ["doc_id", "path"], "left").join(runs, ["doc_id", "path"], "left")
+        lists = resolve.list_references(self.blocks, self.styles).select("doc_id", "path", F.col("list_id").alias("_list"), F.col("level").alias("_level"))
+        top = resolve.sections(self.blocks)
+        for part in (levels, runs, marks, images, tables, lists):
+            top = top.join(part, ["doc_id", "path"], "left")
         first = F.min(F.element_at("path", 1)).over(Window.partitionBy("doc_id", "section"))
         top = top.withColumn("location", F.concat(F.lit("sections["), F.col("section"), F.lit("].body.children["), F.element_at("path", 1) - first, F.lit("]")))
+        paragraph = F.col("node_type") == "Paragraph"
         block = F.struct(
-            F.col("path"), F.lower("node_type").alias("type"), F.col("location"), F.col("text"), F.col("style_id").alias("style"), F.col("heading_level"),
-            F.struct(F.coalesce(F.col("list_id") > 0, F.lit(False)).alias("is_list_item"), F.col("level").alias("list_level_number"), F.col("list_id")).alias("list"), F.col("runs"))
-        listed = top.groupBy("doc_id").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
-        body = F.struct(F.lit(1).alias("schema_version"), F.transform("blocks", lambda b: b.dropFields("path")).alias("blocks"))
+            F.col("path"), F.lower("node_type").alias("type"), F.col("location"), F.when(paragraph, F.coalesce("text", F.lit(""))).alias("text"), F.col("style_id").alias("style"), F.col("heading_level"),
+            F.struct(F.col("_list").isNotNull().alias("is_list_item"), F.col("_level").alias("list_level_number"), F.col("_list").alias("list_id")).alias("list"), F.col("runs"), F.col("note_references"), F.col("images"), F.col("rows"))
+        listed = top.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("path", block.dropFields("path").alias("b")))).alias("blocks"))
+        body = F.struct(F.lit(1).alias("schema_version"), F.col("blocks.b").alias("blocks"))
         return listed.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
     def diagnostics(self) -> DataFrame:
@@ -132,12 +149,14 @@ class Corpus:
         row = lambda df, code, severity, location, message: df.select("doc_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), location.cast("string").alias("location"), message.alias("message"))
         none = F.lit(None)
         found = [
-            row(self.parts.filter("load_error is not null"), "load_error", "error", none, F.col("load_error")),
-            row(shred.not_xml(self.parts), "invalid_xml", "error", F.col("part_name"), F.lit("a part is not well-formed")),
-            row(shred.constructs(self.parts), "unsupported_construct", "warning", F.col("part_name"), F.concat("construct", F.lit(" x "), "uses")),
+            row(self.load_errors, "load_error", "error", none, F.col("message")),
+            row(self.inventory.filter("not is_xml"), "invalid_xml", "error", F.col("part_name"), F.lit("a part is not well-formed")),
+            row(self.constructs, "unsupported_construct", "warning", F.col("part_name"), F.concat("construct", F.lit(" x "), "uses")),
             row(resolve.anchor_faults(self.main, self.stories), "anchor_fault", "warning", F.concat("kind", F.lit(" "), "identifier"), F.col("fault")),
-            row(self.parts.filter(F.col("part_name").endswith("vbaProject.bin")), "vba_omitted", "warning", F.col("part_name"), F.lit("macros are left out")),
-            row(resolve.header_assignment(self.section_references, self.relationships).join(self.parts.select("doc_id", F.col("part_name").alias("part")), ["doc_id", "part"], "left_anti"), "missing_story", "warning", F.concat(F.lit("section "), "section"), F.concat_ws(" ", "kind", "variant")),
+            row(self.inventory.filter(F.col("part_name").endswith("vbaProject.bin")), "vba_omitted", "warning", F.col("part_name"), F.lit("macros are left out")),
+            row(resolve.header_assignment(self.section_references, self.relationships).join(self.inventory.select("doc_id", F.col("part_name").alias("part")), ["doc_id", "part"], "left_anti"), "missing_story", "warning", F.concat(F.lit("section "), "section"), F.concat_ws(" ", "kind", "variant")),
+            row(self.properties.filter(F.exists(F.map_keys("props"), lambda k: k.rlike("^ind@[a-zA-Z]+Chars$"))), "character_indent", "warning", F.concat("part_name", F.lit(" "), "owner"), F.lit("an indent in characters is not laid out")),
+            row(self.stories.groupBy("doc_id", "kind", "identifier").count().filter("count > 1"), "duplicate_story", "error", F.concat("kind", F.lit(" "), "identifier"), F.lit("an identifier is used more than once")),
         ]
         out = found[0]
         for f in found[1:]:

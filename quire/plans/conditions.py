@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +39,30 @@ def group_transform(shapes: DataFrame) -> DataFrame:
     shapes: doc_id, shape_id, parent_id (null at the top), x, y, and for groups child_x, child_y, scale_x, scale_y: a
     child stands at its group's place plus its own offset in the group's coordinates, scaled by all groups above it.
     """
-    return shapes.sparkSession.sql(
-        """
-        WITH RECURSIVE tree(doc_id, shape_id, x, y, scale_x, scale_y, child_x, child_y, visited) AS (
-          SELECT doc_id, shape_id, CAST(x AS DOUBLE), CAST(y AS DOUBLE), CAST(coalesce(scale_x, 1) AS DOUBLE), CAST(coalesce(scale_y, 1) AS DOUBLE),
-            CAST(coalesce(child_x, 0) AS DOUBLE), CAST(coalesce(child_y, 0) AS DOUBLE), array(shape_id)
-          FROM {shapes} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT s.doc_id, s.shape_id, t.x + (s.x - t.child_x) * t.scale_x, t.y + (s.y - t.child_y) * t.scale_y,
-            t.scale_x * coalesce(s.scale_x, 1), t.scale_y * coalesce(s.scale_y, 1), CAST(coalesce(s.child_x, 0) AS DOUBLE), CAST(coalesce(s.child_y, 0) AS DOUBLE),
-            array_append(t.visited, s.shape_id)
-          FROM tree t JOIN {shapes} s ON s.doc_id = t.doc_id AND s.parent_id = t.shape_id
-          WHERE NOT array_contains(t.visited, s.shape_id))
-        SELECT doc_id, shape_id, x, y, scale_x, scale_y FROM tree""",
-        shapes=shapes,
-    )
+    def place(table: pa.Table) -> pa.Table:
+        rows = {r["shape_id"]: r for r in table.to_pylist()}
+        done: dict[str, tuple[float, float, float, float]] = {}
+
+        def of(ident: str, above: tuple[str, ...] = ()) -> tuple[float, float, float, float] | None:
+            if ident not in done:
+                r = rows[ident]
+                own = (r["scale_x"] if r["scale_x"] is not None else 1.0, r["scale_y"] if r["scale_y"] is not None else 1.0)
+                if r["parent_id"] is None:
+                    done[ident] = (r["x"], r["y"], *own)
+                elif r["parent_id"] in rows and ident not in above:
+                    up = of(r["parent_id"], (*above, ident))
+                    if up is None:
+                        return None
+                    g = rows[r["parent_id"]]
+                    done[ident] = (up[0] + (r["x"] - (g["child_x"] or 0)) * up[2], up[1] + (r["y"] - (g["child_y"] or 0)) * up[3], up[2] * own[0], up[3] * own[1])
+                else:
+                    return None  # a group that is missing, or within itself
+            return done[ident]
+
+        placed = [(rows[i]["doc_id"], i, *x) for i in rows if (x := of(i)) is not None]
+        kinds = (pa.int64(), pa.string(), *[pa.float64()] * 4)
+        return pa.table([pa.array([r[k] for r in placed], t) for k, t in enumerate(kinds)], ["doc_id", "shape_id", "x", "y", "scale_x", "scale_y"])
+
+    numbers = [F.col(c).cast("double").alias(c) for c in ("x", "y", "child_x", "child_y", "scale_x", "scale_y")]
+    slim = shapes.select("doc_id", F.col("shape_id").cast("string").alias("shape_id"), F.col("parent_id").cast("string").alias("parent_id"), *numbers)
+    return slim.groupBy("doc_id").applyInArrow(place, "doc_id long, shape_id string, x double, y double, scale_x double, scale_y double")

@@ -1,7 +1,8 @@
-"""What relates nodes to one another, as joins, windows and recursive queries over the node tables."""
+"""What relates nodes to one another, as joins, windows and folds over the node tables."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,28 +16,16 @@ TOGGLES = ("b", "i", "caps", "vanish")
 def style_layers(styles: DataFrame) -> DataFrame:
     """(doc_id, style_id, depth, layer_id): each style and the styles it is based on, nearest first.
 
-    A cycle ends where it would repeat; a missing base ends the chain.
+    A cycle ends where it would repeat; a missing base ends the chain. The chains come with the styles.
     """
-    spark = styles.sparkSession
-    named = styles.filter(F.col("style_id").isNotNull()).select("doc_id", "style_id", "base_id")
-    return spark.sql(
-        """
-        WITH RECURSIVE chain(doc_id, style_id, depth, layer_id, base_id, visited) AS (
-          SELECT doc_id, style_id, 0, style_id, base_id, array(style_id) FROM {named}
-          UNION ALL
-          SELECT c.doc_id, c.style_id, c.depth + 1, s.style_id, s.base_id, array_append(c.visited, s.style_id)
-          FROM chain c JOIN {named} s ON s.doc_id = c.doc_id AND s.style_id = c.base_id
-          WHERE NOT array_contains(c.visited, s.style_id))
-        SELECT doc_id, style_id, depth, layer_id FROM chain""",
-        named=named,
-    )
+    return styles.filter(F.col("style_id").isNotNull()).select("doc_id", "style_id", F.posexplode("chain").alias("depth", "layer_id"))
 
 
 def style_fonts(styles: DataFrame) -> DataFrame:
     """Per style what its chain declares: of every property the nearest declaration."""
-    layers = style_layers(styles).join(styles.select("doc_id", F.col("style_id").alias("layer_id"), "name", "outline", "num_id", *TOGGLES, "size"), ["doc_id", "layer_id"])
+    layers = style_layers(styles).join(styles.select("doc_id", F.col("style_id").alias("layer_id"), "name", "outline", "num_id", "num_level", *TOGGLES, "size"), ["doc_id", "layer_id"])
     nearest = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c)
-    return layers.groupBy("doc_id", "style_id").agg(F.max("depth").alias("depth"), F.min_by("name", "depth").alias("name"), *[nearest(c) for c in ("outline", "num_id", *TOGGLES, "size")])
+    return layers.groupBy("doc_id", "style_id").agg(F.max("depth").alias("depth"), F.min_by("name", "depth").alias("name"), F.min_by("num_level", F.when(F.col("num_id").isNotNull(), F.col("depth"))).alias("num_level"), *[nearest(c) for c in ("outline", "num_id", *TOGGLES, "size")])
 
 
 def default_styles(styles: DataFrame) -> DataFrame:
@@ -75,7 +64,7 @@ def header_assignment(references: DataFrame, relationships: DataFrame) -> DataFr
     grid = every.join(kinds, "doc_id").join(explicit, ["doc_id", "section", "kind", "variant"], "left")
     w = Window.partitionBy("doc_id", "kind", "variant").orderBy("section")
     held = grid.withColumn("use", F.last("rid", ignorenulls=True).over(w)).filter(F.col("use").isNotNull())
-    rel = relationships.filter("owner_part = 'word/document.xml'").select("doc_id", F.col("rid").alias("use"), F.col("target").alias("part"))
+    rel = relationships.filter("owner_role = 'main'").select("doc_id", F.col("rid").alias("use"), F.col("target").alias("part"))
     return held.join(rel, ["doc_id", "use"], "left").select("doc_id", "section", "kind", "variant", "part", F.col("rid").isNull().alias("inherited"))
 
 
@@ -111,12 +100,29 @@ def headings(blocks: DataFrame, styles: DataFrame) -> DataFrame:
 
 
 def outline(headings_: DataFrame) -> DataFrame:
-    """Headings with depth from 1 when missing levels are closed up: one below the nearest earlier smaller level."""
+    """Headings with depth from 1 when missing levels are closed up: one below the nearest earlier smaller level.
+
+    A level is open if it came after all smaller levels; so the last place of each of the nine levels is all there is to
+    know of the headings before.
+    """
     w = Window.partitionBy("doc_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    # the chain of open levels, folded over the levels so far: a heading closes those not smaller than itself
-    listed = headings_.filter(F.size("path") == 1).withColumn("_before", F.collect_list("heading_level").over(w))
-    open_ = F.aggregate("_before", F.array().cast("array<int>"), lambda s, x: F.concat(F.filter(s, lambda y: y < x), F.array(x)))
-    return listed.withColumn("depth", F.size(F.filter(open_, lambda y: y < F.col("heading_level"))) + 1).drop("_before")
+    at = headings_.filter(F.size("path") == 1).withColumn("_at", F.element_at("path", 1))
+    at = at.select("*", *[F.max(F.when(F.col("heading_level") == k, F.col("_at"))).over(w).alias(f"_l{k}") for k in range(1, 10)])
+    depth, latest = F.lit(1), F.lit(-1)
+    for k in range(1, 10):
+        last = F.col(f"_l{k}")
+        depth = depth + F.when((F.col("heading_level") > k) & (last > latest), 1).otherwise(0)
+        latest = F.greatest(latest, F.coalesce(last, F.lit(-1)))
+    return at.withColumn("depth", depth).drop("_at", *[f"_l{k}" for k in range(1, 10)])
+
+
+def list_references(blocks: DataFrame, styles: DataFrame) -> DataFrame:
+    """Paragraphs with a list: their own reference, else the nearest in their style's chain; one to list 0 or below is none."""
+    fonts = style_fonts(styles).select("doc_id", "style_id", "num_id", "num_level")
+    normal = default_styles(styles).filter("kind = 'paragraph'").select("doc_id", F.col("style_id").alias("_normal"))
+    at = blocks.filter("node_type = 'Paragraph'").join(normal, "doc_id", "left").withColumn("style_id", F.coalesce("style_id", "_normal")).join(fonts, ["doc_id", "style_id"], "left")
+    level = F.when(F.col("list_id").isNotNull(), F.col("level")).otherwise(F.col("num_level"))
+    return at.select("doc_id", "path", F.coalesce("list_id", "num_id").alias("list_id"), F.coalesce(level, F.lit(0)).alias("level")).filter("list_id > 0")
 
 
 BULLETS = (23, 255)
@@ -199,18 +205,39 @@ def part_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, ["doc_id", "part_name"], "full").select("doc_id", "part_name", change.alias("change"))
 
 
-def reachable_parts(relationships: DataFrame, start: str = "word/document.xml") -> DataFrame:
-    """(doc_id, part_name): parts reached from a part over internal relationships, itself included."""
-    rel = relationships.filter("not external and target is not null").select("doc_id", "owner_part", "target").distinct()
-    docs = relationships.select("doc_id").distinct()
-    return relationships.sparkSession.sql(
-        """
-        WITH RECURSIVE reach(doc_id, part_name, visited) AS (
-          SELECT doc_id, {start}, array({start}) FROM {docs}
-          UNION ALL
-          SELECT r.doc_id, e.target, array_append(r.visited, e.target)
-          FROM reach r JOIN {rel} e ON e.doc_id = r.doc_id AND e.owner_part = r.part_name
-          WHERE NOT array_contains(r.visited, e.target))
-        SELECT DISTINCT doc_id, part_name FROM reach""",
-        docs=docs, rel=rel, start=start,
-    )
+def reachable_parts(relationships: DataFrame, start: str | None = None) -> DataFrame:
+    """(doc_id, part_name): parts reached from a part, the main one unless named, over internal relationships, itself
+    included. A package's relationships are walked together."""
+    def walk(table: pa.Table) -> pa.Table:
+        doc = table.column("doc_id")[0].as_py()
+        edges: dict[str, list[str]] = {}
+        first = {start} if start else set()
+        for owner, target, role in zip(*(table.column(c).to_pylist() for c in ("owner_part", "target", "owner_role")), strict=True):
+            edges.setdefault(owner, []).append(target)
+            if not start and role == "main":
+                first.add(owner)
+        found, todo = set(first), list(first)
+        while todo:
+            for t in edges.get(todo.pop(), ()):
+                if t not in found:
+                    found.add(t)
+                    todo.append(t)
+        return pa.table({"doc_id": pa.array([doc] * len(found), pa.int64()), "part_name": pa.array(sorted(found), pa.string())})
+
+    rel = relationships.filter("not external and target is not null").select("doc_id", "owner_part", "target", "owner_role")
+    return rel.groupBy("doc_id").applyInArrow(walk, "doc_id long, part_name string")
+
+
+def border_winner(a: Column, b: Column) -> Column:
+    """Of two borders that meet (line_style, width, color) the one that shows: any against none, then the wider, then the
+    higher style code, then the first."""
+    none = lambda x: x.isNull() | (x["line_style"] == 0)
+    later = (b["width"] > a["width"]) | ((b["width"] == a["width"]) & (b["line_style"] > a["line_style"]))
+    return F.when(none(b), a).when(none(a) | later, b).otherwise(a)
+
+
+def pure_page_breaks(visible_: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, part_name, block_path) of paragraphs with form feeds and otherwise only blanks, and without pictures."""
+    shown = visible_.filter(~F.coalesce("vanish", F.lit(False))).groupBy("doc_id", "part_name", "block_path")
+    texts = shown.agg(F.max(F.col("text").contains("\f")).alias("feed"), F.max(F.trim(F.translate("text", "\f\n\r\t\x0b", "")) != "").alias("ink")).filter("feed and not ink")
+    return texts.select("doc_id", "part_name", "block_path").join(images.select("doc_id", "part_name", "block_path"), ["doc_id", "part_name", "block_path"], "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import edit, pdf
 from .operators.extract import Corpus
-from .plans import conditions, identity, resolve
+from .plans import conditions, identity, properties, resolve
 from .sources import legacy, package
 from .sources.builder import make_packages
 
@@ -463,6 +463,333 @@ def binary_doc_text(spark, d):
     return legacy.doc_paragraphs(made).select("doc_id", "place", "text", "in_table")
 
 
+def _parts_of(spark: SparkSession, d: str, describe) -> Corpus:
+    """A corpus of one package for each part, described from its size n."""
+    return _corpus(_table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("n")), lambda row: describe(row["n"]))
+
+
+_N = "SELECT p_partkey AS doc_id, p_size AS n FROM part"
+_WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+@query(f"""SELECT doc_id, CASE WHEN n % 2 = 0 THEN 1 ELSE 3 END::INT AS alignment, n::DOUBLE AS left_indent, CASE WHEN n % 3 = 0 THEN -12.0 ELSE 6.5 END::DOUBLE AS first_line_indent,
+n / 2.0 AS space_before, CASE WHEN n % 10 = 0 THEN false WHEN n % 5 = 0 THEN true END AS keep_next, CASE WHEN n % 4 = 0 THEN 1 WHEN n % 4 = 1 THEN 2 END::INT AS line_rule FROM ({_N})""")
+def paragraph_format(spark, d):
+    def describe(n):
+        rule = ' w:lineRule="exact"' if n % 4 == 0 else ' w:lineRule="auto"' if n % 4 == 1 else ""
+        keep = '<w:keepNext w:val="0"/>' if n % 10 == 0 else "<w:keepNext/>" if n % 5 == 0 else ""
+        first = 'w:hanging="240"' if n % 3 == 0 else 'w:firstLine="130"'
+        return {"blocks": [{"runs": [{"t": "x"}], "ppr": f'{keep}<w:spacing w:before="{n * 10}" w:line="300"{rule}/><w:ind w:left="{n * 20}" {first}/><w:jc w:val="{"both" if n % 2 else "center"}"/>'}]}
+
+    f = properties.paragraph_formats(_parts_of(spark, d, describe).properties)
+    return f.select("doc_id", "alignment", "left_indent", "first_line_indent", "space_before", F.col("keepNext").alias("keep_next"), "line_rule")
+
+
+@query(f"""SELECT doc_id, CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END::INT AS alignment, 6.0::DOUBLE AS space_after, CASE WHEN n % 3 = 0 THEN 10.0 WHEN n % 2 = 0 THEN 5.0 END::DOUBLE AS left_indent, n % 5 <> 0 AS keep_lines FROM ({_N})""")
+def paragraph_cascade(spark, d):
+    def describe(n):
+        styles = [{"id": "Base", "name": "Base", "default": True, "ppr": '<w:keepLines/><w:spacing w:after="120"/><w:jc w:val="center"/>'}, {"id": "Para", "name": "Para", "base": "Base", "ppr": '<w:ind w:left="100"/><w:jc w:val="right"/>'}]
+        direct = ('<w:keepLines w:val="off"/>' if n % 5 == 0 else "") + ('<w:ind w:left="200"/>' if n % 3 == 0 else "")
+        return {"styles": styles, "blocks": [{"style": None if n % 2 else "Para", "runs": [{"t": "x"}], "ppr": direct}]}
+
+    return _parts_of(spark, d, describe).paragraph_formats().select("doc_id", "alignment", "space_after", "left_indent", F.col("keepLines").alias("keep_lines"))
+
+
+_THEME = '<a:theme xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:themeElements><a:clrScheme><a:dk1><a:sysClr lastClr="000000"/></a:dk1><a:lt1><a:srgbClr val="ffffff"/></a:lt1><a:accent1><a:srgbClr val="808080"/></a:accent1></a:clrScheme><a:fontScheme><a:majorFont><a:latin typeface="Major"/></a:majorFont><a:minorFont><a:latin typeface="Minor"/></a:minorFont></a:fontScheme></a:themeElements></a:theme>'
+
+
+@query(f"""SELECT doc_id, CASE WHEN n % 3 = 0 THEN 'Own' WHEN n % 3 = 1 THEN 'Minor' ELSE 'Major' END AS name, CASE WHEN n % 2 = 0 THEN 3 ELSE 1 END::INT AS underline,
+n % 5 = 0 AS superscript, 'Color [A=255, R=' || n || ', G=0, B=255]' AS color, CASE WHEN n % 7 = 0 THEN 'Color [A=255, R=128, G=0, B=0]' END AS highlight, n / 2.0 AS size FROM ({_N})""")
+def run_font(spark, d):
+    def describe(n):
+        name = '<w:rFonts w:hAnsi="Own"/>' if n % 3 == 0 else f'<w:rFonts w:{"asciiTheme" if n % 2 else "hAnsiTheme"}="{"minor" if n % 3 == 1 else "major"}HAnsi"/>'
+        more = f'<w:color w:val="{n:02X}00FF"/><w:u w:val="{"odd" if n % 2 else "double"}"/><w:vertAlign w:val="{"superscript" if n % 5 == 0 else "baseline"}"/><w:sz w:val="{n}"/>' + ('<w:highlight w:val="darkRed"/>' if n % 7 == 0 else "")
+        return {"blocks": [{"runs": [{"t": "x", "rpr": name + more}]}], "raw_parts": {"theme": _THEME}}
+
+    c = _parts_of(spark, d, describe)
+    return properties.fonts(c.properties, c.theme_slots).select("doc_id", "name", "underline", "superscript", "color", "highlight", "size")
+
+
+@query(f"""SELECT doc_id, 'Color [A=255, R=' || v || ', G=' || v || ', B=' || v || ']' AS shown FROM (SELECT doc_id, CASE WHEN n % 4 = 0 THEN 18
+WHEN n % 4 = 1 THEN floor((128 / 255.0 + (1 - 128 / 255.0) * (1 - (n * 5) / 255.0)) * 255 + 1e-9) WHEN n % 4 = 2 THEN floor(128 / 255.0 * (n * 5) / 255.0 * 255 + 1e-9) ELSE 255 END::INT AS v FROM ({_N}))""")
+def theme_colors(spark, d):
+    def describe(n):
+        mods = {0: 'w:themeColor="accent1" w:themeTint="80" w:themeShade="80"', 1: f'w:themeColor="accent1" w:themeTint="{n * 5:02X}"', 2: f'w:themeColor="accent1" w:themeShade="{n * 5:02X}"', 3: 'w:themeColor="background1"'}
+        return {"blocks": [{"runs": [{"t": "x", "rpr": f'<w:color w:val="121212" {mods[n % 4]}/>'}]}], "raw_parts": {"theme": _THEME}}
+
+    c = _parts_of(spark, d, describe)
+    return properties.fonts(c.properties, c.theme_slots).select("doc_id", F.col("shown_color").alias("shown"))
+
+
+@query(f"""SELECT doc_id, 0 AS section, CASE WHEN n % 2 = 0 THEN 842.0 ELSE 612.0 END::DOUBLE AS page_width, CASE WHEN n % 2 = 0 THEN 'A4' ELSE 'Letter' END AS paper, CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END::INT AS orientation,
+n::DOUBLE AS margin_top, 0.0::DOUBLE AS margin_left, CASE WHEN n % 3 = 0 THEN 0 ELSE 2 END::INT AS start, n % 5 = 0 AS different_first_page, CASE WHEN n % 7 = 0 THEN n END::INT AS first_number, (n % 3 + 1)::INT AS columns, n % 4 <> 0 AS even_columns FROM ({_N})""")
+def page_setup(spark, d):
+    def describe(n):
+        raw = f'<w:pgMar w:top="{n * 20}" w:left="x"/>' + ('<w:type w:val="continuous"/>' if n % 3 == 0 else "") + ("<w:titlePg/>" if n % 5 == 0 else "") + (f'<w:pgNumType w:start="{n}"/>' if n % 7 == 0 else "")
+        raw += f'<w:cols w:num="{n % 3 + 1}" w:space="720"{" w:equalWidth=\"0\"" if n % 4 == 0 else ""}/>'
+        size = {"w": 16840, "h": 11900} if n % 2 == 0 else {}
+        return {"blocks": [{"runs": [{"t": "x"}]}], "sect": {**size, "raw": raw}}
+
+    f = properties.page_setups(_parts_of(spark, d, describe).properties)
+    landscape = F.when(F.col("page_width") > F.col("page_height"), 2).otherwise(F.col("orientation"))
+    return f.select("doc_id", "section", "page_width", "paper", landscape.alias("orientation"), "margin_top", "margin_left", "start", "different_first_page", "first_number", "columns", "even_columns")
+
+
+@query(f"""SELECT doc_id, CASE WHEN n % 2 = 0 THEN 1 ELSE 2 END::INT AS width_type, CASE WHEN n % 2 = 0 THEN n ELSE n * 2.5 END::DOUBLE AS width, n % 3 = 0 AS first_row, n % 5 <> 0 AS row_bands, 7.5::DOUBLE AS left_indent, n % 4 = 0 AS bidi,
+1.5::DOUBLE AS padding_left, 'T' || n AS title FROM ({_N})""")
+def table_format(spark, d):
+    def describe(n):
+        bits = (0x20 if n % 3 == 0 else 0) | (0x200 if n % 2 == 0 else 0)
+        look = f'<w:tblLook w:val="{bits:04X}" w:noHBand="{1 if n % 5 == 0 else 0}"/>'
+        width = f'<w:tblW w:type="pct" w:w="{n * 50}"/>' if n % 2 == 0 else f'<w:tblW w:type="dxa" w:w="{n * 50}"/>'
+        bidi = '<w:bidiVisual w:val="%s"/>' % ("on" if n % 4 == 0 else "0")
+        return {"blocks": [{"table": [[{"t": "x"}]], "tblpr": f'{bidi}{width}<w:tblInd w:w="150"/><w:tblCellMar><w:start w:w="30"/></w:tblCellMar>{look}<w:tblCaption w:val="T{n}"/>'}]}
+
+    f = properties.table_formats(_parts_of(spark, d, describe).properties)
+    return f.select("doc_id", F.col("width.type").alias("width_type"), F.col("width.value").alias("width"), F.col("look.first_row").alias("first_row"), F.col("look.row_bands").alias("row_bands"), "left_indent", "bidi", "padding_left", "title")
+
+
+@query(f"""SELECT doc_id, CASE n % 4 WHEN 0 THEN 0.0 WHEN 1 THEN n ELSE n * 72.0 END::DOUBLE AS height, CASE WHEN n % 4 = 0 THEN 2 WHEN n % 4 = 1 THEN 1 ELSE 0 END::INT AS height_rule,
+CASE WHEN n % 3 = 0 THEN false WHEN n % 3 = 1 THEN true END AS may_break, n % 5 = 0 AS heading FROM ({_N})""")
+def row_format(spark, d):
+    def describe(n):
+        height = {0: '<w:trHeight w:val="4294967296" w:hRule="exact"/>', 1: f'<w:trHeight w:val="{n * 20}" w:hRule="exact"/>'}.get(n % 4, f'<w:trHeight w:val="{n}in"/>')
+        split = {0: "<w:cantSplit/>", 1: '<w:cantSplit w:val="off"/>'}.get(n % 3, "")
+        return {"blocks": [{"table": [[{"t": "x"}]], "trpr": [height + split + ("<w:tblHeader/>" if n % 5 == 0 else "")]}]}
+
+    return properties.row_formats(_parts_of(spark, d, describe).properties).select("doc_id", "height", "height_rule", "may_break", "heading")
+
+
+@query(f"""SELECT doc_id, n::DOUBLE AS width, CASE n % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::INT AS vertical_alignment, n % 4 = 0 AS wraps, 2::INT AS direction, 'FF00' || lpad(n::VARCHAR, 2, '0') AS background,
+6::INT AS line_style, n / 8.0 AS border_width, 3.0::DOUBLE AS padding_right FROM ({_N})""")
+def cell_format(spark, d):
+    def describe(n):
+        align = {0: "bottom", 1: "center", 2: "odd"}[n % 3]
+        wrap = '<w:noWrap w:val="0"/>' if n % 4 == 0 else "<w:noWrap/>"
+        return {"blocks": [{"table": [[{"t": "x", "tcpr": f'<w:tcW w:type="dxa" w:w="{n * 20}"/><w:tcBorders><w:end w:val="dotted" w:sz="{n}" w:color="auto"/></w:tcBorders><w:shd w:val="clear" w:color="auto" w:fill="FF00{n:02d}"/>{wrap}<w:tcMar><w:right w:w="60" w:type="dxa"/></w:tcMar><w:textDirection w:val="tbRl"/><w:vAlign w:val="{align}"/>'}]]}]}
+
+    f = properties.cell_formats(_parts_of(spark, d, describe).properties)
+    return f.select("doc_id", F.col("width.value").alias("width"), "vertical_alignment", "wraps", "direction", F.col("shading.background").alias("background"), F.col("border_right.line_style").alias("line_style"), F.col("border_right.width").alias("border_width"), "padding_right")
+
+
+@query(f"""SELECT doc_id, k::INT AS place, (k + 1) * 36.0 AS position, CASE WHEN k = 0 THEN 2 ELSE 0 END::INT AS alignment, CASE WHEN k = 1 THEN 1 ELSE 0 END::INT AS leader, 36.0 * (n % 3 + 1) AS behind FROM ({_N}), (SELECT unnest(range(3)) AS k) WHERE k <= n % 3""")
+def tab_stops(spark, d):
+    def describe(n):
+        tab = lambda k: f'<w:tab w:val="{"right" if k == 0 else "left"}" w:pos="{(k + 1) * 720}"{" w:leader=\"dot\"" if k == 1 else ""}/>'
+        return {"blocks": [{"runs": [{"t": "x"}], "ppr": f"<w:tabs>{''.join(tab(k) for k in range(n % 3 + 1))}</w:tabs>"}]}
+
+    f = properties.paragraph_formats(_parts_of(spark, d, describe).properties)
+    behind = properties.previous_tab(F.col("tab_stops"), F.lit(1000.0))["position"].alias("behind")
+    return f.select("doc_id", F.posexplode("tab_stops").alias("place", "t"), behind).select("doc_id", "place", "t.position", "t.alignment", "t.leader", "behind")
+
+
+@query(f"SELECT doc_id, CASE n % 3 WHEN 0 THEN [36.0, 72.0] WHEN 1 THEN [36.0] ELSE [36.0, 72.0, 108.0] END::DOUBLE[] AS positions FROM ({_N})")
+def merged_tab_stops(spark, d):
+    def describe(n):
+        own = {1: '<w:tabs><w:tab w:val="clear" w:pos="1440"/></w:tabs>', 2: '<w:tabs><w:tab w:val="left" w:pos="2160"/></w:tabs>'}.get(n % 3, "<w:keepNext/>")
+        return {"styles": [{"id": "S", "name": "S", "ppr": '<w:tabs><w:tab w:val="left" w:pos="720"/><w:tab w:val="left" w:pos="1440"/></w:tabs>'}], "blocks": [{"style": "S", "runs": [{"t": "x"}], "ppr": own}]}
+
+    p = _parts_of(spark, d, describe).properties
+    layer = lambda owner, rank: properties.paragraph_formats(p, owner).select(F.col("doc_id").alias("key"), F.lit(rank).alias("rank"), "tab_stops")
+    merged = properties.merged_tabs(layer("style_paragraph", 0).union(layer("paragraph", 1)))
+    return merged.select(F.col("key").alias("doc_id"), F.col("tab_stops.position").alias("positions"))
+
+
+@query(f"""SELECT doc_id, 1 AS list_id, k::INT AS level, CASE k WHEN 0 THEN 0 ELSE 23 END::INT AS number_style, (CASE k WHEN 0 THEN CASE WHEN n % 2 = 0 THEN n ELSE 3 END ELSE 0 END)::INT AS start_at,
+(n * 20 - 18 * k) / 20.0 AS number_position, n::DOUBLE AS text_position, CASE k WHEN 0 THEN 'space' ELSE 'tab' END AS suffix, true AS multilevel FROM ({_N}), (SELECT unnest(range(2)) AS k)""")
+def list_level_format(spark, d):
+    def describe(n):
+        level = lambda k: f'<w:lvl w:ilvl="{k}">{"<w:start w:val=\"3\"/>" if k == 0 else ""}<w:numFmt w:val="{"bullet" if k else "decimal"}"/>{"<w:suff w:val=\"space\"/>" if k == 0 else ""}<w:lvlText w:val="%1"/><w:pPr><w:ind w:left="{n * 20}" w:hanging="{18 * k}"/></w:pPr></w:lvl>'
+        start = f'<w:lvlOverride w:ilvl="0"><w:startOverride w:val="{n}"/></w:lvlOverride>' if n % 2 == 0 else ""
+        return {"blocks": [{"runs": [{"t": "x"}]}], "raw_parts": {"numbering": f'<w:numbering {_WORD}><w:abstractNum w:abstractNumId="7">{level(0)}{level(1)}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/>{start}</w:num></w:numbering>'}}
+
+    return _parts_of(spark, d, describe).list_levels.select("doc_id", "list_id", "level", "number_style", "start_at", "number_position", "text_position", "suffix", "multilevel")
+
+
+@query(f"SELECT doc_id, CASE WHEN n % 3 = 0 THEN 'B' ELSE 'A' END || '.' AS label FROM ({_N}) WHERE n % 5 <> 0")
+def style_list_labels(spark, d):
+    def describe(n):
+        num = lambda k: f'<w:numPr><w:numId w:val="{k}"/></w:numPr>'
+        styles = [{"id": "Base", "name": "Base", "ppr": num(1)}, {"id": "Item", "name": "Item", "base": "Base"}]
+        direct = num(0) if n % 5 == 0 else num(2) if n % 3 == 0 else ""
+        return {"styles": styles, "lists": [[{"fmt": "upperLetter", "text": "%1."}], [{"fmt": "upperLetter", "text": "%1.", "start": 2}]], "blocks": [{"style": "Item", "runs": [{"t": "x"}], "ppr": direct}]}
+
+    return _parts_of(spark, d, describe).labels().select("doc_id", "label")
+
+
+@query(f"""SELECT doc_id, 'S' || n AS style_id, CASE n % 4 WHEN 0 THEN 'TOC ' || n WHEN 1 THEN 'Table of Figures' WHEN 2 THEN 'MyOwn style' ELSE 'Body Text ' || n END AS name,
+CASE WHEN n % 2 = 0 THEN 'Next' ELSE 'S' || n END AS next_id, n::INT AS priority, n % 3 = 0 AS quick, n % 4 IN (0, 1) AS contents FROM ({_N})""")
+def style_record(spark, d):
+    def describe(n):
+        name = {0: f"toc {n}", 1: "table of figures", 2: "MyOwn style", 3: f"body text {n}"}[n % 4]
+        raw = ('<w:next w:val="Next"/>' if n % 2 == 0 else "") + f'<w:uiPriority w:val="{n}"/>' + ("<w:qFormat/>" if n % 3 == 0 else "")
+        return {"styles": [{"id": f"S{n}", "name": name, "raw": raw}], "blocks": [{"runs": [{"t": "x"}]}]}
+
+    f = properties.style_records(_parts_of(spark, d, describe).styles)
+    return f.select("doc_id", "style_id", "name", "next_id", "priority", "quick", (S.is_contents_style(F.col("name")) | (F.col("name") == "Table of Figures")).alias("contents"))
+
+
+@query(f"SELECT doc_id, 'My Style' AS name, CASE n % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS style_id FROM ({_N})")
+def style_lookup(spark, d):
+    def describe(n):
+        names = {0: ["My Style", "my style"], 1: ["other", "MY style"], 2: ["other", "none"]}[n % 3]
+        return {"styles": [{"id": i, "name": x} for i, x in zip("AB", names, strict=True)], "blocks": [{"runs": [{"t": "x"}]}]}
+
+    c = _parts_of(spark, d, describe)
+    return properties.style_by_name(c.styles, c.blocks.select("doc_id", F.lit("My Style").alias("name")))
+
+
+@query(f"""SELECT doc_id, kind, CASE WHEN kind = 'footnote' THEN CASE WHEN n % 2 = 0 THEN 'upperRoman' WHEN n % 3 = 0 THEN 'lowerLetter' ELSE 'decimal' END ELSE 'lowerRoman' END AS number_format,
+CASE WHEN kind = 'footnote' THEN 'pageBottom' ELSE CASE WHEN n % 5 = 0 THEN 'sectEnd' ELSE 'docEnd' END END AS position, CASE WHEN kind = 'footnote' THEN CASE WHEN n % 2 = 0 THEN n ELSE 1 END ELSE 1 END::BIGINT AS start FROM ({_N}), (SELECT unnest(['footnote', 'endnote']) AS kind)""")
+def note_options(spark, d):
+    def describe(n):
+        own = f'<w:footnotePr><w:numFmt w:val="upperRoman"/><w:numStart w:val="{n}"/></w:footnotePr>' if n % 2 == 0 else ""
+        whole = ('<w:footnotePr><w:numFmt w:val="lowerLetter"/></w:footnotePr>' if n % 3 == 0 else "") + ('<w:endnotePr><w:pos w:val="sectEnd"/></w:endnotePr>' if n % 5 == 0 else "")
+        return {"blocks": [{"runs": [{"t": "x"}]}], "sect": {"raw": own}, "raw_parts": {"settings": f"<w:settings {_WORD}><w:zoom/>{whole}</w:settings>"}}
+
+    return properties.note_options(_parts_of(spark, d, describe).properties).select("doc_id", "kind", "number_format", "position", "start")
+
+
+@query(f"SELECT doc_id, name, CASE name WHEN 'noLeading' THEN n % 2 = 0 ELSE true END AS enabled, CASE WHEN n % 3 = 0 THEN 36.0 ELSE n END::DOUBLE AS default_tab FROM ({_N}), (SELECT unnest(['noLeading', 'wrapTrailSpaces']) AS name)")
+def compatibility_switches(spark, d):
+    def describe(n):
+        tab = "" if n % 3 == 0 else f'<w:defaultTabStop w:val="{n * 20}"/>'
+        return {"blocks": [{"runs": [{"t": "x"}]}], "raw_parts": {"settings": f'<w:settings {_WORD}>{tab}<w:compat><w:noLeading w:val="{"true" if n % 2 == 0 else "false"}"/><w:wrapTrailSpaces/><w:compatSetting w:name="m" w:val="15"/></w:compat></w:settings>'}}
+
+    p = _parts_of(spark, d, describe).properties
+    return properties.compatibility(p).join(properties.document_settings(p).select("doc_id", "default_tab"), "doc_id")
+
+
+@query(f"SELECT doc_id, 'arial' AS key, 'ARIAL' AS name, CASE WHEN n % 2 = 0 THEN 'swiss' ELSE 'roman' END AS family, 'fixed' AS pitch, n % 3 = 0 AS embedded FROM ({_N})")
+def font_registrations(spark, d):
+    def describe(n):
+        late = '<w:family w:val="swiss"/>' if n % 2 == 0 else ""
+        body = '<w:font w:name="Arial"><w:family w:val="roman"/><w:pitch w:val="fixed"/></w:font>' + f'<w:font w:name="ARIAL">{late}{"<w:embedRegular/>" if n % 3 == 0 else ""}</w:font>'
+        return {"blocks": [{"runs": [{"t": "x"}]}], "raw_parts": {"fontTable": f"<w:fonts {_WORD}>{body}</w:fonts>"}}
+
+    return properties.registered_fonts(_parts_of(spark, d, describe).font_table).select("doc_id", "key", "name", "family", "pitch", "embedded")
+
+
+@query("""SELECT page_id AS doc_id, k::INT AS place, CASE k WHEN 0 THEN 'see ' WHEN 1 THEN 'a]b' ELSE ' end' END AS text, CASE WHEN k = 1 THEN 'http://h/' || page_id || '(x) y' END AS url FROM pages, (SELECT unnest(range(3)) AS k)""")
+def link_segments(spark, d):
+    text = F.concat(F.lit("see [a\\]b](<http://h/"), F.col("page_id"), F.lit("(x) y> \"title\") end"))
+    return _table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(S.link_segments(text)).alias("place", "s")).select("doc_id", "place", "s.text", "s.url")
+
+
+@query(f"SELECT doc_id, 1 AS place FROM ({_N}) WHERE n % 3 = 1")
+def page_breaks(spark, d):
+    def describe(n):
+        more = {0: {"t": "ink"}, 1: {"t": "  "}, 2: {"raw": '<w:r><w:drawing><wp:inline xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"><wp:extent cx="12700" cy="25400"/></wp:inline></w:drawing></w:r>'}}[n % 3]
+        return {"blocks": [{"runs": [{"t": "x"}]}, {"runs": [{"raw": '<w:r><w:br w:type="page"/></w:r>'}, more]}]}
+
+    c = _parts_of(spark, d, describe)
+    return resolve.pure_page_breaks(resolve.visible(c.main), c.drawings).select("doc_id", F.element_at("block_path", 1).alias("place"))
+
+
+def _picture(n: int, name: str) -> str:
+    place = f'<wp:positionH relativeFrom="page"><wp:posOffset>{n * 12700}</wp:posOffset></wp:positionH><wp:positionV relativeFrom="margin"><wp:posOffset>0</wp:posOffset></wp:positionV>'
+    space = 'xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    blip = '<a:graphic><a:graphicData><a:blip r:embed="rId9"/></a:graphicData></a:graphic>'
+    kind = "anchor" if n % 2 else "inline"
+    extra = f'{place}<wp:wrapSquare/>' if n % 2 else ""
+    return f'<w:r><w:drawing><wp:{kind} {space}{" behindDoc=\"1\"" if n % 2 else ""}>{extra}<wp:extent cx="{n * 12700}" cy="25400"/><wp:docPr id="1" name="{name}" descr="about {n}"/>{blip}</wp:{kind}></w:drawing></w:r>'
+
+
+@query(f"""SELECT doc_id, CASE WHEN n % 2 = 1 THEN 'anchor' ELSE 'inline' END AS kind, 'about ' || n AS alternative_text, n::DOUBLE AS width, 2.0::DOUBLE AS height, CASE WHEN n % 2 = 1 THEN n END::DOUBLE AS x,
+CASE WHEN n % 2 = 1 THEN 'page' END AS horizontal_from, CASE WHEN n % 2 = 1 THEN 'Square' END AS wrap, CASE WHEN n % 2 = 1 THEN true END AS behind FROM ({_N})""")
+def drawing_places(spark, d):
+    c = _parts_of(spark, d, lambda n: {"blocks": [{"runs": [{"t": "x"}, {"raw": _picture(n, "p")}]}]})
+    return c.drawings.select("doc_id", "kind", "alternative_text", "width", "height", "x", "horizontal_from", "wrap", "behind")
+
+
+@query(f"""SELECT doc_id, 'a' || n || chr(10) || 'b' AS first_cell, 2 AS span, CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END::INT AS merge, 1::BIGINT AS rows, 'page' AS link_text, 'http://h#top' AS link, 'footnote' AS note, n::DOUBLE AS image_width FROM ({_N})""")
+def export_tables(spark, d):
+    def describe(n):
+        cells = [{"blocks": [{"runs": [{"t": f"a{n}"}]}, {"runs": []}, {"table": [[{"t": "inner"}]]}, {"runs": [{"t": "b"}]}], "span": 2, "vmerge": "restart" if n % 2 == 0 else None}, {"t": "c"}]
+        return {"blocks": [{"table": [cells]}, {"runs": [{"t": "see "}, {"t": "page", "link": "http://h#top"}, {"note": 1}, {"raw": _picture(n, "p")}]}], "notes": [{"id": 1, "t": "n"}]}
+
+    kind = "blocks array<struct<rows: array<struct<cells: array<struct<grid_span: int, vertical_merge: int, text: string>>>>, runs: array<struct<text: string, link: string>>, note_references: array<struct<kind: string>>, images: array<struct<width_pt: double>>>>"
+    j = _parts_of(spark, d, describe).export().withColumn("e", F.from_json("json", kind))
+    cell, second = F.col("e.blocks")[0]["rows"][0]["cells"][0], F.col("e.blocks")[1]
+    return j.select("doc_id", cell["text"].alias("first_cell"), cell["grid_span"].alias("span"), cell["vertical_merge"].alias("merge"), F.size(F.col("e.blocks")[0]["rows"]).cast("long").alias("rows"), second["runs"][1]["text"].alias("link_text"),
+                    second["runs"][1]["link"].alias("link"), second["note_references"][0]["kind"].alias("note"), second["images"][0]["width_pt"].alias("image_width"))
+
+
+@query(f"SELECT doc_id, CASE WHEN n % 2 = 0 THEN '  pad' || n || '  ' ELSE 'pad' || n END || 'x y' AS text FROM ({_N})")
+def text_space(spark, d):
+    def describe(n):
+        keep = ' xml:space="preserve"' if n % 2 == 0 else ""
+        return {"blocks": [{"runs": [{"raw": f"<w:r><w:t{keep}>  pad{n}  </w:t></w:r><w:r><w:t>\n x\ty \r\n</w:t></w:r>"}]}]}
+
+    return _parts_of(spark, d, describe).text()
+
+
+@query(f"SELECT doc_id, k::INT AS place, ['Run', 'NoteReference', 'Run', 'CommentMarker'][k + 1] AS kind, ['a', 'footnote', 'b' || n, NULL][k + 1] AS text FROM ({_N}), (SELECT unnest(range(4)) AS k)")
+def mark_order(spark, d):
+    def describe(n):
+        return {"blocks": [{"runs": [{"raw": f'<w:r><w:t>a</w:t><w:footnoteReference w:id="1"/><w:t>b{n}</w:t><w:commentReference w:id="1"/></w:r>'}]}]}
+
+    return _parts_of(spark, d, describe).main.select("doc_id", F.col("ord").alias("place"), "kind", "text")
+
+
+@query(f"SELECT doc_id, k::INT AS \"column\", CASE k WHEN 0 THEN CASE WHEN n % 2 = 0 THEN 10.0 ELSE n END WHEN 1 THEN 20.0 ELSE 0.0 END::DOUBLE AS width FROM ({_N}), (SELECT unnest(range(3)) AS k)")
+def column_widths(spark, d):
+    def describe(n):
+        wide = lambda w: f'<w:tcW w:type="dxa" w:w="{w}"/>'
+        rows = [[{"t": "x", "tcpr": wide(n * 20)}, {"t": "x", "span": 2, "tcpr": wide(900)}], [{"t": "x", "span": 2}, {"t": "x"}], [{"t": "x"}, {"t": "x", "tcpr": wide(400)}, {"t": "x"}]]
+        return {"blocks": [{"table": rows, "grid": [200 if n % 2 == 0 else 0]}]}
+
+    c = _parts_of(spark, d, describe)
+    return properties.column_widths(properties.table_formats(c.properties), c.cells, properties.cell_formats(c.properties)).select("doc_id", "column", "width")
+
+
+@query("""SELECT p_partkey, p_size * 1.4 * CASE p_size % 3 WHEN 2 THEN 1.5 ELSE 1 END AS natural, CASE p_size % 4 WHEN 0 THEN p_size * 36.0 WHEN 1 THEN p_size / 2.0 WHEN 2 THEN p_size::DOUBLE ELSE 0.0 END::DOUBLE AS measure,
+CASE WHEN p_size % 2 = 0 THEN p_size * 16 + 10 END::BIGINT AS ident FROM part""")
+def scalar_measures(spark, d):
+    n = F.col("p_size")
+    rule = n % 3
+    spacing = F.when(rule == 2, 18.0).when(rule == 0, 1.0).otherwise(n * 1.4)
+    raw = F.when(n % 4 == 0, F.concat(n / 2, F.lit("in"))).when(n % 4 == 1, F.concat(n, F.lit(" hp"))).when(n % 4 == 2, n.cast("string")).otherwise("none")
+    ident = F.when(n % 2 == 0, F.concat(F.lit(" 000000000"), F.hex(n * 16 + 10))).otherwise(F.concat(F.lit("x"), n))
+    return _table(spark, d, "part").select("p_partkey", F.round(S.line_height(n.cast("double"), spacing, rule), 9).alias("natural"), F.round(S.universal_measure(raw, "pt"), 9).alias("measure"), S.hexadecimal_id(ident).alias("ident"))
+
+
+ORACLES["scalar_measures"] = ORACLES["scalar_measures"].replace("p_size * 1.4 * CASE p_size % 3 WHEN 2 THEN 1.5 ELSE 1 END AS natural", "round((p_size * 1.4 * CASE p_size % 3 WHEN 2 THEN 1.5 ELSE 1 END)::DOUBLE, 9) AS natural")
+
+
+@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_size WHEN 1 THEN p_size * 100 WHEN 2 THEN -1 WHEN 3 THEN 0 ELSE -2147483648 END::BIGINT AS note_id FROM part")
+def note_id_forms(spark, d):
+    n = F.col("p_size")
+    raw = F.when(n % 5 == 0, F.concat(F.lit(" "), n, F.lit(".75\n"))).when(n % 5 == 1, F.concat(n, F.lit("e2"))).when(n % 5 == 2, F.lit("9999999999999999999999")).when(n % 5 == 3, F.concat(n, F.lit("x"))).otherwise("2147483648")
+    return _table(spark, d, "part").select("p_partkey", S.note_id(raw).alias("note_id"))
+
+
+@query(f"SELECT doc_id, CASE WHEN n % 2 = 0 THEN 0 ELSE 1 END::BIGINT AS replaced, n % 2 = 0 AS refused, CASE WHEN n % 3 = 0 THEN 'absent' END AS missing FROM ({_N})")
+def signed_documents(spark, d):
+    def describe(n):
+        return {"blocks": [{"runs": [{"t": "old"}, {"t": "" if n % 3 == 0 else "absent"}]}], "other_parts": {"_xmlsignatures/sig1.xml": b"<s/>"} if n % 2 == 0 else {}}
+
+    parts = _parts_of(spark, d, describe).parts
+    out = edit.replace_text(parts, {"old": "new"}).groupBy("doc_id").agg(F.sum("replaced").alias("replaced"), F.max(F.col("load_error").isNotNull()).alias("refused"))
+    return out.join(edit.missing_words(parts, ["old", "absent"]).select("doc_id", F.col("word").alias("missing")), "doc_id", "left")
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 1 END::INT AS line_style FROM part")
+def border_conflict(spark, d):
+    n = F.col("p_size") % 4
+    side = lambda style, width: F.struct(F.lit(style).alias("line_style"), F.lit(width).cast("double").alias("width"), F.lit("").alias("color"))
+    a = F.when(n == 0, side(0, 9)).when(n == 1, side(1, 2)).when(n == 2, side(1, 1)).otherwise(side(1, 1))
+    b = F.when(n == 0, side(2, 1)).when(n == 1, side(2, 1)).when(n == 2, side(2, 1)).otherwise(F.lit(None))
+    return _table(spark, d, "part").select("p_partkey", resolve.border_winner(a, b)["line_style"].alias("line_style"))
+
+
+@query(f"SELECT doc_id, ceil((n * 3) / {pdf.LINES}.0)::BIGINT AS pages FROM ({_N})")
+def pdf_line_pages(spark, d):
+    c = _parts_of(spark, d, lambda n: {"blocks": [{"runs": [{"t": f"line {k}"}]} for k in range(n * 3)]})
+    texts = c.paragraph_texts().select("doc_id", F.col("block_path").alias("path"), "text", F.lit(None).cast("int").alias("heading_level"))
+    return pdf.to_pdf(texts).select("doc_id", "pages")
+
+
 @query()
 def pdf_pages(spark, d):
     c = _corpus(_texts(spark, d), _plain)

@@ -35,6 +35,7 @@ def run_properties(r: dict[str, Any]) -> str:
     out += _on("b", r.get("b")) + _on("i", r.get("i")) + _on("caps", r.get("caps")) + _on("vanish", r.get("hidden"))
     if r.get("size") is not None:
         out += f'<w:sz w:val="{round(r["size"] * 2)}"/>'
+    out += r.get("rpr", "")
     return f"<w:rPr>{out}</w:rPr>" if out else ""
 
 
@@ -71,6 +72,8 @@ class Writer:
             return f'<w:r><w:footnoteReference w:id="{r["note"]}"/></w:r>'
         if "comment" in r:
             return f'<w:r><w:commentReference w:id="{r["comment"]}"/></w:r>'
+        if "raw" in r:
+            return r["raw"]
         if "wrap" in r:
             return f'<w:{r["wrap"]}>{self.run({k: v for k, v in r.items() if k != "wrap"})}</w:{r["wrap"]}>'
         text = f'<w:r>{run_properties(r)}<w:t xml:space="preserve">{escape(allowed(r.get("t") or ""))}</w:t></w:r>'
@@ -84,6 +87,7 @@ class Writer:
         props = f'<w:pStyle w:val="{escape(p["style"])}"/>' if p.get("style") else ""
         if p.get("num") is not None:
             props += f'<w:numPr><w:ilvl w:val="{p.get("level", 0)}"/><w:numId w:val="{p["num"]}"/></w:numPr>'
+        props += p.get("ppr", "")
         if p.get("outline") is not None:
             props += f'<w:outlineLvl w:val="{p["outline"]}"/>'
         if "sect" in p:
@@ -93,30 +97,38 @@ class Writer:
 
     def section(self, s: dict[str, Any]) -> str:
         refs = "".join(f'<w:{kind}Reference w:type="{variant}" r:id="{rid}"/>' for kind, variant, rid in s.get("refs", []))
-        return f'<w:sectPr>{refs}<w:pgSz w:w="{s.get("w", 12240)}" w:h="{s.get("h", 15840)}"/></w:sectPr>'
+        return f'<w:sectPr>{refs}<w:pgSz w:w="{s.get("w", 12240)}" w:h="{s.get("h", 15840)}"/>{s.get("raw", "")}</w:sectPr>'
 
-    def table(self, rows: list[list[dict[str, Any]]]) -> str:
+    def table(self, rows: list[list[dict[str, Any]]], tblpr: str = "", trpr: list[str] | None = None, grid: list[int] | None = None) -> str:
         out = []
-        for row in rows:
+        for n, row in enumerate(rows):
             cells = []
             for c in row:
                 props = f'<w:gridSpan w:val="{c["span"]}"/>' if c.get("span", 1) != 1 else ""
                 props += f'<w:hMerge w:val="{c["hmerge"]}"/>' if c.get("hmerge") else ""
                 props += ("<w:vMerge/>" if c["vmerge"] == "continue" else '<w:vMerge w:val="restart"/>') if c.get("vmerge") else ""
+                props += c.get("tcpr", "")
                 blocks = c.get("blocks") or [{"runs": [{"t": c.get("t", "")}]}]
                 cells.append(f"<w:tc>{f'<w:tcPr>{props}</w:tcPr>' if props else ''}{''.join(map(self.block, blocks))}</w:tc>")
-            out.append(f"<w:tr>{''.join(cells)}</w:tr>")
-        return f"<w:tbl><w:tblPr/>{''.join(out)}</w:tbl>"
+            own = f"<w:trPr>{trpr[n]}</w:trPr>" if trpr and trpr[n] else ""
+            out.append(f"<w:tr>{own}{''.join(cells)}</w:tr>")
+        columns = f"<w:tblGrid>{''.join(f'<w:gridCol w:w=\"{g}\"/>' for g in grid)}</w:tblGrid>" if grid else ""
+        return f"<w:tbl><w:tblPr>{tblpr}</w:tblPr>{columns}{''.join(out)}</w:tbl>"
 
     def block(self, b: dict[str, Any]) -> str:
-        return self.table(b["table"]) if "table" in b else self.paragraph(b)
+        return self.table(b["table"], b.get("tblpr", ""), b.get("trpr"), b.get("grid")) if "table" in b else self.paragraph(b)
+
+    @staticmethod
+    def _style_paragraph(s: dict[str, Any]) -> str:
+        own = s.get("ppr", "") + (f'<w:outlineLvl w:val="{s["outline"]}"/>' if s.get("outline") is not None else "")
+        return f"<w:pPr>{own}</w:pPr>" if own else ""
 
     def styles_xml(self, defaults: dict[str, Any]) -> str:
         out = [f"<w:docDefaults><w:rPrDefault>{run_properties(defaults) or '<w:rPr/>'}</w:rPrDefault></w:docDefaults>"]
         for s in self.styles:
             props = "".join((
                 f'<w:name w:val="{escape(s["name"])}"/>', f'<w:basedOn w:val="{escape(s["base"])}"/>' if s.get("base") else "",
-                f'<w:pPr><w:outlineLvl w:val="{s["outline"]}"/></w:pPr>' if s.get("outline") is not None else "", run_properties(s)))
+                s.get("raw", ""), self._style_paragraph(s), run_properties(s), s.get("more", "")))
             out.append(f'<w:style w:type="{s.get("kind", "paragraph")}"{" w:default=\"1\"" if s.get("default") else ""} w:styleId="{escape(s["id"])}">{props}</w:style>')
         return f"{HEAD}<w:styles {NS}>{''.join(out)}</w:styles>"
 
@@ -153,6 +165,10 @@ def build(doc: dict[str, Any]) -> list[tuple[str, bytes]]:
         overrides.append((f"word/{name}.xml", WML + f"{kind}+xml"))
         tag = "hdr" if kind == "header" else "ftr"
         extra.append((f"word/{name}.xml", f"{HEAD}<w:{tag} {NS}>{w.paragraph({'runs': [{'t': text}]})}</w:{tag}>"))
+    # other parts of the main one as they are: settings, theme, fontTable
+    for name, text in doc.get("raw_parts", {}).items():
+        w.rel(name, f"{name}.xml")
+        extra.append((f"word/{name}.xml", HEAD + text))
     media = doc.get("media", {})
     for name in media:
         w.rel("image", f"media/{name}")
@@ -173,7 +189,7 @@ def build(doc: dict[str, Any]) -> list[tuple[str, bytes]]:
         ("word/styles.xml", w.styles_xml(doc.get("defaults", {}))),
         *extra,
     ]
-    return [(n, t.encode()) for n, t in made] + [(f"word/media/{n}", b) for n, b in media.items()]
+    return [(n, t.encode()) for n, t in made] + [(f"word/media/{n}", b) for n, b in media.items()] + list(doc.get("other_parts", {}).items())
 
 
 def make_packages(df: DataFrame, describe: Callable[[dict[str, Any]], dict[str, Any]]) -> DataFrame:

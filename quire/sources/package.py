@@ -24,30 +24,36 @@ MAIN = "word/document.xml"
 MAIN_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
 WML = "application/vnd.openxmlformats-officedocument.wordprocessingml."
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
-PARTS = "doc_id long, part_name string, ord int, content binary, load_error string"
+PARTS = "doc_id long, part_name string, ord int, content binary, load_error string, role string"
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """Files under path as (path, doc_id, content); larger ones than the limit are not opened."""
+    """Files under path as (path, doc_id, content); one over the limit is not opened, has no content and loads as an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.col("length") <= INPUT_BYTES).select("path", F.xxhash64("path").alias("doc_id"), "content")
+    small = files.filter(F.col("length") <= INPUT_BYTES).select("path", "content")
+    large = files.filter(F.col("length") > INPUT_BYTES).select("path", F.lit(None).cast("binary").alias("content"))
+    return small.union(large).select("path", F.xxhash64("path").alias("doc_id"), "content")
 
 
 def sniff(content: Column) -> Column:
-    """docx, doc, rtf or flat_opc by the first bytes; null for anything else."""
+    """docx, doc or rtf by the first bytes, flat_opc by the root of the XML in any of its encodings; else null."""
     head = F.hex(F.substring(content, 1, 8))
-    start = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    text = F.when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode(content, "UTF-16")).otherwise(F.decode(content, "ISO-8859-1"))
+    root = r"(?s)^[^<]*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<(?:[\w.\-]+:)?package\s[^>]*http://schemas\.microsoft\.com/office/2006/xmlPackage"
     return (
         F.when(head.startswith("504B0304"), "docx")
         .when(head == "D0CF11E0A1B11AE1", "doc")
         .when(head.startswith("7B5C727466"), "rtf")
-        .when(start.rlike(r"<([\w.\-]+:)?package\s[^>]*http://schemas\.microsoft\.com/office/2006/xmlPackage"), "flat_opc")
+        .when(text.rlike(root), "flat_opc")
     )
 
 
-def check_name(name: str) -> None:
-    if name.startswith("/") or "\\" in name or ".." in name.split("/") or not name:
+def part_key(name: str) -> str:
+    """What tells parts apart, their decoded name whatever its case; ValueError for a name that could leave the package."""
+    plain = unquote(name)
+    if not plain or "\0" in plain or "\\" in plain or plain.startswith("/") or posixpath.normpath(plain) != plain or plain.startswith(".."):
         raise ValueError("an unsafe entry name")
+    return plain.casefold()
 
 
 def unzip(data: bytes) -> list[tuple[str, bytes]]:
@@ -65,10 +71,10 @@ def unzip(data: bytes) -> list[tuple[str, bytes]]:
     for i in infos:
         if i.is_dir():
             continue
-        check_name(i.filename)
-        if i.filename in seen or i.flag_bits & 1 or i.file_size > PART_BYTES:
+        key = part_key(i.filename)
+        if key in seen or i.flag_bits & 1 or i.file_size > PART_BYTES:
             raise ValueError("a duplicate, encrypted or too large entry")
-        seen.add(i.filename)
+        seen.add(key)
         with z.open(i) as f:
             body = f.read(PART_BYTES + 1)
         if len(body) > PART_BYTES:
@@ -131,7 +137,7 @@ def _serialised(e: xml.Element) -> str:
     def node(x: xml.Element) -> str:
         name = tag(x.tag, spaces)
         attrs = "".join(f' {tag(k, spaces)}="{xml.escape(v)}"' for k, v in x.attrs.items())
-        inner = xml.escape(x.text) if not x.children else "".join(map(node, x.children))
+        inner = xml.escape(x.text) + "".join(node(c) + xml.escape(c.tail) for c in x.children)
         return f"<{name}{attrs}>{inner}</{name}>" if inner else f"<{name}{attrs}/>"
 
     body = node(e)
@@ -141,30 +147,66 @@ def _serialised(e: xml.Element) -> str:
 
 def flat_decode(data: bytes) -> list[tuple[str, bytes]]:
     """The parts of an XML package, the list of types first; ValueError for unsafe names or broken payloads."""
+    if len(data) > INPUT_BYTES:
+        raise ValueError("the input is too large")
     root = xml.parse(data)
     if root.tag != xml.PKG + "package":
         raise ValueError("not an XML package")
-    out, overrides = [], []
+    out, overrides, seen, total = [], [], set(), 0
     for p in root.all(xml.PKG + "part"):
         name = (p.get(xml.PKG + "name") or "").lstrip("/")
-        check_name(name)
+        key = part_key(name)
         overrides.append((name, p.get(xml.PKG + "contentType") or ""))
         inline, binary = p.find(xml.PKG + "xmlData"), p.find(xml.PKG + "binaryData")
         if (inline is None) == (binary is None) or inline is not None and len(inline.children) != 1:
             raise ValueError("a part needs one payload")
         if binary is not None:
             try:
-                out.append((name, base64.b64decode("".join(binary.text.split()), validate=True)))
+                body = base64.b64decode("".join(binary.text.split()), validate=True)
             except ValueError:
                 raise ValueError("a part is not base64") from None
         else:
-            out.append((name, _serialised(inline.children[0]).encode()))
-    if len({n for n, _ in out}) != len(out):
-        raise ValueError("a duplicate part")
+            body = _serialised(inline.children[0]).encode()
+        total += len(body)
+        if key in seen or len(body) > PART_BYTES or total > EXPANDED_BYTES or len(seen) >= ENTRIES:
+            raise ValueError("a duplicate or too large part, or too many")
+        seen.add(key)
+        out.append((name, body))
     types = "".join(f'<Override PartName="/{xml.escape(n)}" ContentType="{xml.escape(t)}"/>' for n, t in overrides)
     return [("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{xml.TYPES[1:-1]}">{types}</Types>'.encode()), *out]
 
 
+# The roles of parts by the last word of their relationship's type.
+ROLES = ("styles", "settings", "numbering", "fontTable", "theme", "footnotes", "endnotes", "comments", "commentsExtended", "header", "footer")
+
+
+def roles(parts_: list[tuple[str, bytes]]) -> dict[str, str]:
+    """The role of parts: main, as the package's relationships say, and those that the main part's relationships name."""
+    by = {part_key(n): (n, b) for n, b in parts_}
+
+    def targets(owner: str) -> list[tuple[str, str]]:
+        folder, _, base = owner.rpartition("/")
+        found = by.get(part_key(f"{folder}/_rels/{base}.rels" if folder else f"_rels/{base}.rels"))
+        out = []
+        try:
+            for r in xml.parse(found[1]).all(xml.RELS + "Relationship") if found else ():
+                if r.get("TargetMode") != "External":
+                    out.append(((r.get("Type") or "").rpartition("/")[2], resolve_target(owner, r.get("Target") or "")))
+        except ValueError:
+            pass
+        return out
+
+    main = next((t for k, t in targets("") if k == "officeDocument" and t.casefold() in by), MAIN)
+    out = {}
+    if main.casefold() in by:
+        main = by[main.casefold()][0]
+        out[main] = "main"
+        for kind, target in targets(main):
+            if kind in ROLES and target.casefold() in by:
+                out.setdefault(by[target.casefold()][0], kind)
+    return out
+
+
 def load(data: bytes) -> list[tuple[str, bytes]]:
     """Parts of a package in either form; ValueError for legacy formats and anything unknown."""
     if data[:4] == b"PK\x03\x04":
@@ -181,15 +223,17 @@ def load(data: bytes) -> list[tuple[str, bytes]]:
 
 def _explode(permissive: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("doc_id", pa.int64()), ("part_name", pa.string()), ("ord", pa.int32()), ("content", pa.binary()), ("load_error", pa.string())])
+        kind = pa.schema([("doc_id", pa.int64()), ("part_name", pa.string()), ("ord", pa.int32()), ("content", pa.binary()), ("load_error", pa.string()), ("role", pa.string())])
         for batch in batches:
             for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content"), strict=True):
                 try:
-                    rows = [(doc_id, n, k, b, None) for k, (n, b) in enumerate(load(content.as_py() or b""))]
+                    opened = load(content.as_py() or b"")
+                    role = roles(opened)
+                    rows = [(doc_id, n, k, b, None, role.get(n)) for k, (n, b) in enumerate(opened)]
                 except ValueError as e:
                     if not permissive:
                         raise
-                    rows = [(doc_id, None, None, None, str(e))]
+                    rows = [(doc_id, None, None, None, str(e), None)]
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
 
@@ -197,7 +241,7 @@ def _explode(permissive: bool):
 
 
 def parts(packages: DataFrame, permissive: bool = True) -> DataFrame:
-    """(doc_id, part_name, ord, content, load_error, sha256) of packages (doc_id, content).
+    """(doc_id, part_name, ord, content, load_error, role, sha256) of packages (doc_id, content).
 
     A package that cannot be read gives one row with load_error, or fails the query unless permissive.
     """

@@ -1,54 +1,119 @@
-"""Parts of packages as node tables: one row for each relationship, style, list level, block, inline, cell and story.
+"""Packages as node tables: one row for each relationship, style, list level, block, inline, cell, property set and story.
 
-Each function takes the parts table and returns one node table; the XML is read in Arrow batches, and only from the
-parts that the table needs. A property that is not declared is null, never a default, so that cascades can coalesce.
+A package is opened once and each of its XML parts parsed once; all tables come out of that one pass, and what each part
+is follows from the package's relationships, not from its name. A property that is not declared is null, never a
+default, so that cascades can coalesce.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from . import package as packages_
 from . import xml
-from .package import MAIN, resolve_target
+from .package import resolve_target
 
-W, W14, W15 = xml.W, xml.W14, xml.W15
+W, W14, W15, A = xml.W, xml.W14, xml.W15, xml.A
 # What turns a flag off, and the codes of list number formats.
 OFF = {"false", "0", "off"}
 NUMBER_FORMATS = {"decimal": 0, "upperRoman": 1, "lowerRoman": 2, "upperLetter": 3, "lowerLetter": 4, "ordinal": 5, "bullet": 23, "none": 255}
 
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<int>": pa.list_(pa.int32())}
+_KINDS = {
+    "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(),
+    "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+STORY = ("main", "header", "footer")
 
 
-def _shred(parts: DataFrame, schema: str, rows_of: Callable[[int, str, xml.Element], Iterator[tuple]]) -> DataFrame:
-    fields = [f.strip().split(" ") for f in schema.split(",")]
-    kinds = [_KINDS[k] for _, k in fields]
-    names = [n for n, _ in fields]
+class Package:
+    """The parts of one package, with their roles; XML is parsed when first asked for."""
+
+    def __init__(self, parts: list[tuple[str, bytes]]):
+        self.parts = parts
+        self.roles = packages_.roles(parts)
+        self._roots: dict[str, xml.Element | None] = {}
+        self._bytes = dict(parts)
+
+    def root(self, name: str) -> xml.Element | None:
+        """The root of a part, null if it is not XML."""
+        if name not in self._roots:
+            try:
+                self._roots[name] = xml.parse(self._bytes[name])
+            except ValueError:
+                self._roots[name] = None
+        return self._roots[name]
+
+    def of(self, *roles: str) -> Iterator[tuple[str, xml.Element]]:
+        """(name, root) of the parts with one of the roles, in the package's order."""
+        for name, _ in self.parts:
+            if self.roles.get(name) in roles and self.root(name) is not None:
+                yield name, self.root(name)
+
+    @cached_property
+    def main(self) -> str | None:
+        return next((n for n, r in self.roles.items() if r == "main"), None)
+
+
+#: Node tables by name: their columns but doc_id, and their rows of a package.
+TABLES: dict[str, tuple[str, Callable[[Package], Iterator[tuple]]]] = {}
+
+
+def table(columns: str):
+    def add(f: Callable[[Package], Iterator[tuple]]):
+        TABLES[f.__name__] = (columns, f)
+        return f
+
+    return add
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                try:
-                    root = xml.parse(content.as_py())
-                except ValueError:
-                    continue  # diagnostics lists parts that are not XML
-                rows += rows_of(doc_id, name, root)
-                if len(rows) > 5000:
-                    yield _batch(rows, names, kinds)
-                    rows = []
-            yield _batch(rows, names, kinds)
 
-    return parts.select("doc_id", "part_name", "content").mapInArrow(run, schema)
+def _fields(columns: str) -> list[tuple[str, pa.DataType]]:
+    return [(n, _KINDS[k]) for n, k in (c.split(" ") for c in columns.split(", "))]
 
 
-def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+def everything(packages: DataFrame) -> DataFrame:
+    """All node tables of packages (doc_id, content) in one: doc_id, node (the table) and a struct for each table."""
+    kinds = {name: pa.struct(_fields(columns)) for name, (columns, _) in TABLES.items()}
+    schema = "doc_id long, node string, " + ", ".join(f"{name} struct<{', '.join(c.replace(' ', ': ', 1) for c in columns.split(', '))}>" for name, (columns, _) in TABLES.items())
+    names = ["doc_id", "node", *TABLES]
+
+    def batch(node: str, ids: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        own = [pa.array(list(c), k) for c, (_, k) in zip(zip(*rows, strict=True), _fields(TABLES[node][0]), strict=True)]
+        struct = pa.StructArray.from_arrays(own, fields=list(kinds[node]))
+        columns = [pa.array(ids, pa.int64()), pa.array([node] * len(ids)), *(struct if n == node else pa.nulls(len(ids), k) for n, k in kinds.items())]
+        return pa.record_batch(columns, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[list[int], list[tuple]]] = {n: ([], []) for n in TABLES}
+        for b in batches:
+            for doc_id, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    opened = Package(packages_.load(content.as_py() or b""))
+                except ValueError as e:
+                    held["load_errors"][0].append(doc_id)
+                    held["load_errors"][1].append((str(e),))
+                    continue
+                for node, (_, rows_of) in TABLES.items():
+                    ids, rows = held[node]
+                    before = len(rows)
+                    rows.extend(rows_of(opened))
+                    ids.extend([doc_id] * (len(rows) - before))
+                    if len(rows) > 5000:
+                        yield batch(node, ids, rows)
+                        held[node] = ([], [])
+        for node, (ids, rows) in held.items():
+            if rows:
+                yield batch(node, ids, rows)
+
+    return packages.select(packages["doc_id"].cast("long").alias("doc_id"), "content").mapInArrow(run, schema)
+
+
+@table("message string")
+def load_errors(_: Package) -> Iterator[tuple]:
+    """Packages that cannot be opened."""
+    return iter(())
 
 
 def on_off(parent: xml.Element | None, tag: str) -> bool | None:
@@ -76,79 +141,102 @@ def half_points(value: str | None) -> float | None:
     return int(n) / 2 if n >= 0 else None
 
 
-def relationships(parts: DataFrame) -> DataFrame:
-    """(doc_id, owner_part, rid, rel_type, target, external): internal targets are part names, null if outside."""
-    def rows(doc_id: int, name: str, root: xml.Element) -> Iterator[tuple]:
-        folder, _, base = name.rpartition("_rels/")
-        owner = folder + base.removesuffix(".rels")
-        for r in root.all(xml.RELS + "Relationship"):
-            external, target = r.get("TargetMode") == "External", r.get("Target") or ""
-            if not external:
-                try:
-                    target = resolve_target(owner, target)
-                except ValueError:
-                    target = None
-            yield doc_id, owner, r.get("Id"), (r.get("Type") or "").rpartition("/")[2], target, external
-
-    return _shred(parts.filter(F.col("part_name").endswith(".rels")), "doc_id long, owner_part string, rid string, rel_type string, target string, external boolean", rows)
-
-
-def content_types(parts: DataFrame) -> DataFrame:
-    def rows(doc_id: int, _: str, root: xml.Element) -> Iterator[tuple]:
-        for e in root.children:
-            scope = e.tag.rpartition("}")[2]
-            yield doc_id, scope, (e.get("PartName") or "").lstrip("/") if scope == "Override" else e.get("Extension"), e.get("ContentType")
-
-    return _shred(parts.filter(F.col("part_name") == "[Content_Types].xml"), "doc_id long, scope string, key string, type string", rows)
+@table("owner_part string, rid string, rel_type string, target string, external boolean, owner_role string")
+def relationships(p: Package) -> Iterator[tuple]:
+    """Internal targets are part names, null if outside the package."""
+    for name, _ in p.parts:
+        if name.endswith(".rels") and p.root(name) is not None:
+            folder, _, base = name.rpartition("_rels/")
+            owner = folder + base.removesuffix(".rels")
+            for r in p.root(name).all(xml.RELS + "Relationship"):
+                external, target = r.get("TargetMode") == "External", r.get("Target") or ""
+                if not external:
+                    try:
+                        target = resolve_target(owner, target)
+                    except ValueError:
+                        target = None
+                yield owner, r.get("Id"), (r.get("Type") or "").rpartition("/")[2], target, external, p.roles.get(owner)
+
+
+@table("scope string, key string, type string")
+def content_types(p: Package) -> Iterator[tuple]:
+    root = p.root("[Content_Types].xml") if any(n == "[Content_Types].xml" for n, _ in p.parts) else None
+    for e in root.children if root else ():
+        scope = e.tag.rpartition("}")[2]
+        yield scope, (e.get("PartName") or "").lstrip("/") if scope == "Override" else e.get("Extension"), e.get("ContentType")
+
+
+def chain(style_id: str | None, bases: dict[str, str | None]) -> list[str]:
+    """A style and those it is based on, nearest first; a cycle ends where it would repeat, a missing base ends it."""
+    out: list[str] = []
+    while style_id in bases and style_id not in out:
+        out.append(style_id)
+        style_id = bases[style_id]
+    return out
 
 
 STYLE_FLAGS = ("b", "i", "caps", "vanish")
 
 
-def styles(parts: DataFrame) -> DataFrame:
-    """Styles with what they declare; the document defaults are the row of kind ``defaults``."""
+@table("style_id string, name string, kind string, base_id string, is_default boolean, ord int, outline int, num_id int, b boolean, i boolean, caps boolean, vanish boolean, size double, chain array<string>, next_id string, priority int, quick boolean, hidden boolean, custom boolean, num_level int")
+def styles(p: Package) -> Iterator[tuple]:
+    """Styles with what they declare and the chain of their bases; the document defaults are the row of kind ``defaults``."""
     def font(e: xml.Element | None) -> tuple:
         r = None if e is None else e.find(W + "rPr")
         return (*(on_off(r, t) for t in STYLE_FLAGS), half_points(None if r is None else r.val("sz")))
 
-    def rows(doc_id: int, _: str, root: xml.Element) -> Iterator[tuple]:
+    flag = lambda raw: (raw or "0").lower() not in OFF | {""}
+    for _, root in p.of("styles"):
         d = root.find(W + "docDefaults")
         if d is not None:
-            yield (doc_id, None, None, "defaults", None, False, -1, None, None, *font(d.find(W + "rPrDefault")))
+            yield (None, None, "defaults", None, False, -1, None, None, *font(d.find(W + "rPrDefault")), [], None, None, None, None, None, None)
+        bases = {s.get(W + "styleId"): s.val("basedOn") for s in root.all(W + "style") if s.get(W + "styleId") is not None}
         for k, s in enumerate(root.all(W + "style")):
-            p = s.find(W + "pPr")
-            num = None if p is None else p.find(W + "numPr")
+            own = s.find(W + "pPr")
+            num = None if own is None else own.find(W + "numPr")
+            ident = s.get(W + "styleId")
             yield (
-                doc_id, s.get(W + "styleId"), s.val("name"), s.get(W + "type", "paragraph"), s.val("basedOn"), (s.get(W + "default") or "0").lower() not in OFF | {""},
-                k, whole(None if p is None else p.val("outlineLvl")), whole(None if num is None else num.val("numId")), *font(s))
+                ident, s.val("name"), s.get(W + "type", "paragraph"), s.val("basedOn"), flag(s.get(W + "default")),
+                k, whole(None if own is None else own.val("outlineLvl")), None if num is None else whole(num.val("numId")) or 0, *font(s), chain(ident, bases),
+                s.val("next") or ident, whole(s.val("uiPriority")), on_off(s, "qFormat") or False, on_off(s, "semiHidden") or False, flag(s.get(W + "customStyle")), whole(None if num is None else num.val("ilvl")))
 
-    schema = "doc_id long, style_id string, name string, kind string, base_id string, is_default boolean, ord int, outline int, num_id int, b boolean, i boolean, caps boolean, vanish boolean, size double"
-    return _shred(parts.filter(F.col("part_name") == "word/styles.xml"), schema, rows)
 
-
-def list_levels(parts: DataFrame) -> DataFrame:
+@table("list_id int, level int, number_style int, number_format string, start_at int, alignment string, suffix string, restart int, number_position double, text_position double, multilevel boolean")
+def list_levels(p: Package) -> Iterator[tuple]:
     """Levels of each concrete list, with the overrides of their start; numbers from the abstract definitions."""
-    def rows(doc_id: int, _: str, root: xml.Element) -> Iterator[tuple]:
+    for _, root in p.of("numbering"):
         shapes = {a.get(W + "abstractNumId"): a for a in root.all(W + "abstractNum")}
         for n in root.all(W + "num"):
             shape = shapes.get(n.val("abstractNumId"))
+            if shape is None:
+                continue
             starts = {o.get(W + "ilvl"): whole(o.val("startOverride")) for o in n.all(W + "lvlOverride")}
-            for level in shape.all(W + "lvl") if shape else ():
-                k, fmt = level.get(W + "ilvl"), level.val("numFmt") or "decimal"
+            own = {o.get(W + "ilvl"): o.find(W + "lvl") for o in n.all(W + "lvlOverride")}
+            levels, kind = shape.all(W + "lvl"), shape.val("multiLevelType")
+            several = kind in ("multilevel", "hybridMultilevel") or not kind and len(levels) > 1
+            for level in levels:
+                k = level.get(W + "ilvl")
+                level = own.get(k) or level
                 start = starts.get(k)
                 if start is None:
                     start = whole(level.val("start")) or 0
-                yield doc_id, whole(n.get(W + "numId")), whole(k), NUMBER_FORMATS.get(fmt, 0), level.val("lvlText") or "", start
-
-    return _shred(parts.filter(F.col("part_name") == "word/numbering.xml"), "doc_id long, list_id int, level int, number_style int, number_format string, start_at int", rows)
+                ppr = level.find(W + "pPr")
+                ind = None if ppr is None else ppr.find(W + "ind")
+                place = lambda a, ind=ind: None if ind is None else whole(ind.get(W + a))
+                left, hanging, first = place("left"), place("hanging"), place("firstLine")
+                number = None if left is None else (left - (hanging or 0)) / 20
+                text = left / 20 if left is not None and (hanging is not None or first is not None) else 0.0 if first is not None and left is None else None
+                yield (
+                    whole(n.get(W + "numId")), whole(k), NUMBER_FORMATS.get(level.val("numFmt") or "decimal", 0), level.val("lvlText") or "", start,
+                    level.val("lvlJc"), level.val("suff") or "tab", whole(level.val("lvlRestart")), number, text, several)
 
 
 def _unwrapped(parent: xml.Element) -> Iterator[xml.Element]:
-    """Children, with content controls opened and of alternatives the choice."""
+    """Children, with content controls opened, but for placeholders, and of alternatives the choice."""
     for c in parent.children:
         if c.tag == W + "sdt":
-            inner = c.find(W + "sdtContent")
-            if inner is not None:
+            inner, own = c.find(W + "sdtContent"), c.find(W + "sdtPr")
+            if inner is not None and not (own is not None and own.find(W + "showingPlcHdr") is not None):
                 yield from _unwrapped(inner)
         elif c.tag.endswith("}AlternateContent"):
             choice = next((x for x in c.children if x.tag.endswith("}Choice")), None)
@@ -176,168 +264,303 @@ def _blocks(parent: xml.Element, path: list[int]) -> Iterator[tuple[list[int], x
                         yield from _blocks(cell, [*here, r, k])
 
 
-def blocks(parts: DataFrame) -> DataFrame:
+@table("part_name string, path array<int>, node_type string, style_id string, outline int, list_id int, level int, ends_section boolean")
+def blocks(p: Package) -> Iterator[tuple]:
     """Paragraphs and tables of the main story, with what paragraphs declare; ends_section marks a section's last."""
-    def rows(doc_id: int, name: str, root: xml.Element) -> Iterator[tuple]:
+    for name, root in p.of("main"):
         for path, e in _blocks(_body(root), []):
-            p = e.find(W + "pPr") if e.tag == W + "p" else None
-            num = None if p is None else p.find(W + "numPr")
+            own = e.find(W + "pPr") if e.tag == W + "p" else None
+            num = None if own is None else own.find(W + "numPr")
             yield (
-                doc_id, name, path, "Paragraph" if e.tag == W + "p" else "Table", None if p is None else p.val("pStyle"), whole(None if p is None else p.val("outlineLvl")),
-                whole(None if num is None else num.val("numId")), whole(None if num is None else num.val("ilvl")), p is not None and p.find(W + "sectPr") is not None)
+                name, path, "Paragraph" if e.tag == W + "p" else "Table", None if own is None else own.val("pStyle"), whole(None if own is None else own.val("outlineLvl")),
+                None if num is None else whole(num.val("numId")) or 0, whole(None if num is None else num.val("ilvl")), own is not None and own.find(W + "sectPr") is not None)
+
+
+def _sections(root: xml.Element) -> Iterator[xml.Element]:
+    for c in _body(root).children:
+        s = c if c.tag == W + "sectPr" else c.find(W + "pPr") and c.find(W + "pPr").find(W + "sectPr")
+        if s:
+            yield s
+
+
+@table("section int, kind string, variant string, rid string")
+def section_references(p: Package) -> Iterator[tuple]:
+    """The explicit header and footer references of each section."""
+    for _, root in p.of("main"):
+        for k, s in enumerate(_sections(root)):
+            for r in s.children:
+                kind = r.tag.rpartition("}")[2]
+                if kind in ("headerReference", "footerReference"):
+                    yield k, kind.removesuffix("Reference"), r.get(W + "type", "default"), r.get(xml.R + "id")
+            yield k, "section", None, None
+
+
+def _local(name: str) -> str:
+    return name.rpartition("}")[2]
+
+
+def _flat(e: xml.Element | None, skip: tuple[str, ...] = ()) -> dict[str, str]:
+    """Declarations as one map: ``element`` is its value or empty, ``element@attribute`` each attribute, ``outer/inner``
+    what stands inside; of elements that repeat the later ones have their number behind, as in ``tabs/tab#1``."""
+    out: dict[str, str] = {}
+    seen: dict[str, int] = {}
+
+    def walk(parent: xml.Element, prefix: str) -> None:
+        for c in parent.children:
+            tag = _local(c.tag)
+            if tag in skip:
+                continue
+            key = prefix + tag
+            n = seen.get(key, 0)
+            seen[key] = n + 1
+            key = f"{key}#{n}" if n else key
+            out[key] = c.get(W + "val") or ""
+            for a, v in c.attrs.items():
+                out[f"{key}@{_local(a)}"] = v
+            walk(c, key + "/")
+
+    if e is not None:
+        walk(e, "")
+    return out
+
+
+@table("owner string, part_name string, path array<int>, ord int, ident string, props map<string,string>")
+def properties(p: Package) -> Iterator[tuple]:
+    """What is declared on paragraphs, their marks and runs, tables, rows, cells, sections, styles and the whole
+    document: one row for each that declares anything. ord is a run's, row's, cell's (row * 1024 + cell) or section's."""
+    def row(owner: str, name: str, path: list[int] | None, k: int | None, ident: str | None, props: dict[str, str]) -> Iterator[tuple]:
+        if props:
+            yield owner, name, path, k, ident, list(props.items())
+
+    for name, root in p.of(*STORY):
+        for path, e in _blocks(_body(root), []):
+            if e.tag == W + "p":
+                own = e.find(W + "pPr")
+                yield from row("paragraph", name, path, None, None, _flat(own, ("rPr", "sectPr")))
+                yield from row("mark", name, path, None, None, _flat(None if own is None else own.find(W + "rPr")))
+                for k, (x, *_) in enumerate(_inlines(e, None, None)):
+                    if x[0] == "Run" and x[-1] is not None:
+                        yield from row("run", name, path, k, None, _flat(x[-1]))
+            else:
+                yield from row("table", name, path, None, None, _flat(e.find(W + "tblPr")) | {f"grid#{k}": g.get(W + "w") or "" for k, g in enumerate(e.find(W + "tblGrid").all(W + "gridCol") if e.find(W + "tblGrid") else ())})
+                for r, tr in enumerate(x for x in _unwrapped(e) if x.tag == W + "tr"):
+                    yield from row("row", name, path, r, None, _flat(tr.find(W + "trPr")))
+                    for c, tc in enumerate(x for x in _unwrapped(tr) if x.tag == W + "tc"):
+                        yield from row("cell", name, path, r * 1024 + c, None, _flat(tc.find(W + "tcPr")))
+        if p.roles.get(name) == "main":
+            for k, s in enumerate(_sections(root)):
+                yield "section", name, None, k, None, list(_flat(s).items())
+    for name, root in p.of("styles"):
+        for s in root.all(W + "style"):
+            ident = s.get(W + "styleId")
+            for owner, tag in (("style_paragraph", "pPr"), ("style_run", "rPr"), ("style_table", "tblPr"), ("style_row", "trPr"), ("style_cell", "tcPr")):
+                yield from row(owner, name, None, None, ident, _flat(s.find(W + tag), ("rPr",) if tag == "pPr" else ()))
+            for x in s.all(W + "tblStylePr"):
+                yield from row("style_region", name, None, None, f"{ident}:{x.get(W + 'type')}", _flat(x))
+        d = root.find(W + "docDefaults")
+        for owner, tag, inner in (("default_run", "rPrDefault", "rPr"), ("default_paragraph", "pPrDefault", "pPr")):
+            x = None if d is None else d.find(W + tag)
+            yield from row(owner, name, None, None, None, _flat(None if x is None else x.find(W + inner)))
+    for name, root in p.of("settings"):
+        yield from row("settings", name, None, None, None, _flat(root))
+
+
+@table("kind string, slot string, value string")
+def theme_slots(p: Package) -> Iterator[tuple]:
+    """Fonts and colours that the theme names; a colour also under the other names it goes by."""
+    # Other names of theme colours.
+    other = {"lt1": ("bg1", "background1"), "lt2": ("bg2", "background2"), "dk1": ("tx1", "text1"), "dk2": ("tx2", "text2")}
+    for _, root in p.of("theme"):
+        all_ = root.find(A + "themeElements")
+        fonts, colours = (None if all_ is None else all_.find(A + t) for t in ("fontScheme", "clrScheme"))
+        for group, prefix in (("majorFont", "major"), ("minorFont", "minor")):
+            g = None if fonts is None else fonts.find(A + group)
+            face = None if g is None or g.find(A + "latin") is None else g.find(A + "latin").get("typeface")
+            for script in ("HAnsi", "Ascii", "Bidi") if face else ():
+                yield "font", prefix + script, face
+        found: dict[str, str] = {}
+        for slot in colours.children if colours is not None else ():
+            plain, system = slot.find(A + "srgbClr"), slot.find(A + "sysClr")
+            value = plain.get("val") if plain is not None else system.get("lastClr") if system is not None else None
+            if value:
+                found[_local(slot.tag)] = value.upper()
+        for name, value in found.items():
+            yield "color", name, value
+            for alias in other.get(name, ()):
+                if alias not in found:
+                    yield "color", alias, value
+
+
+@table("name string, ord int, alternative string, charset string, family string, pitch string, embedded boolean")
+def font_table(p: Package) -> Iterator[tuple]:
+    """Registered fonts in order; a name that comes again, in whatever case, is the same font."""
+    for _, root in p.of("fontTable"):
+        for k, f in enumerate(root.all(W + "font")):
+            yield f.get(W + "name"), k, f.val("altName"), (f.find(W + "charset").get(W + "val") if f.find(W + "charset") else None), f.val("family"), f.val("pitch"), any(_local(c.tag).startswith("embed") for c in f.children)
+
+
+def _word_text(e: xml.Element) -> str:
+    """The text of a text element: blanks around it go unless they are to be preserved; line ends are blanks."""
+    if e.get(xml.SPACE) == "preserve":
+        text = e.text.lstrip("\n")
+    else:
+        text = e.text.strip(" \t\r\n").replace("\t", " ")
+    return text.replace("\r\n", " ").replace("\r", " ").replace("\n", " ")
+
+
+# The characters that breaks and tabs stand for.
+_BREAKS = {"page": "\f", "column": "\v"}
+
+
+def _piece(c: xml.Element) -> str:
+    tag = _local(c.tag)
+    if tag == "t":
+        return _word_text(c)
+    if tag == "instrText":
+        return c.text
+    if tag == "br":
+        return _BREAKS.get(c.get(W + "type") or "", "\n")
+    return {"tab": "\t", "cr": "\r"}.get(tag, "")
 
-    return _shred(parts.filter(F.col("part_name") == MAIN), "doc_id long, part_name string, path array<int>, node_type string, style_id string, outline int, list_id int, level int, ends_section boolean", rows)
 
+def _run_text(r: xml.Element) -> str:
+    return "".join(map(_piece, r.children))
 
-def section_references(parts: DataFrame) -> DataFrame:
-    """(doc_id, section, kind, variant, rid): the explicit header and footer references of each section."""
-    def rows(doc_id: int, _: str, root: xml.Element) -> Iterator[tuple]:
-        k = 0
-        body = _body(root)
-        for c in body.children:
-            s = c if c.tag == W + "sectPr" else c.find(W + "pPr") and c.find(W + "pPr").find(W + "sectPr")
-            if s:
-                for r in s.children:
-                    kind = r.tag.rpartition("}")[2]
-                    if kind in ("headerReference", "footerReference"):
-                        yield doc_id, k, kind.removesuffix("Reference"), r.get(W + "type", "default"), r.get(xml.R + "id")
-                yield doc_id, k, "section", None, None
-                k += 1
 
-    return _shred(parts.filter(F.col("part_name") == MAIN), "doc_id long, section int, kind string, variant string, rid string", rows)
+_FIELD = {"begin": "FieldStart", "separate": "FieldSeparator", "end": "FieldEnd"}
 
 
-def _run_text(r: xml.Element) -> str:
-    # The characters that breaks and tabs stand for.
-    breaks = {"page": "\f", "column": "\v"}
-    out = []
-    for c in r.children:
-        tag = c.tag.rpartition("}")[2]
-        if tag in ("t", "instrText"):
-            out.append(c.text.replace("\r", " ").replace("\n", " "))
-        elif tag == "br":
-            out.append(breaks.get(c.get(W + "type") or "", "\n"))
-        elif tag == "tab":
-            out.append("\t")
-        elif tag == "cr":
-            out.append("\n")
-    return "".join(out)
-
-
-INLINES = "doc_id long, part_name string, block_path array<int>, ord int, kind string, text string, ident string, rid string, anchor string, char_style string, b boolean, i boolean, caps boolean, vanish boolean, size double"
-
-
-def inlines(parts: DataFrame) -> DataFrame:
-    """Runs and marks of paragraphs in order: Run, FieldStart, FieldSeparator, FieldEnd, BookmarkStart, BookmarkEnd, NoteReference, CommentMarker."""
-    field = {"begin": "FieldStart", "separate": "FieldSeparator", "end": "FieldEnd"}
-
-    def walk(parent: xml.Element, rid: str | None, anchor: str | None) -> Iterator[tuple]:
-        for c in _unwrapped(parent):
-            tag = c.tag.rpartition("}")[2]
-            if tag == "hyperlink":
-                yield from walk(c, c.get(xml.R + "id"), c.get(W + "anchor"))
-            elif tag in ("ins", "smartTag", "fldSimple"):
-                yield from walk(c, rid, anchor)
-            elif tag in ("bookmarkStart", "bookmarkEnd"):
-                yield ("BookmarkStart" if tag == "bookmarkStart" else "BookmarkEnd", c.get(W + "name"), c.get(W + "id"), None, None, None, None, None, None, None, None)
-            elif tag == "r":
-                p = c.find(W + "rPr")
-                props = (None if p is None else p.val("rStyle"), *(on_off(p, t) for t in STYLE_FLAGS), half_points(None if p is None else p.val("sz")))
-                for x in c.children:
-                    t = x.tag.rpartition("}")[2]
-                    if t == "fldChar":
-                        yield (field.get(x.get(W + "fldCharType") or "", "FieldEnd"), None, None, None, None, *props)
-                    elif t in ("footnoteReference", "endnoteReference"):
-                        yield ("NoteReference", t.removesuffix("Reference"), x.get(W + "id"), None, None, *props)
-                    elif t == "commentReference":
-                        yield ("CommentMarker", None, x.get(W + "id"), None, None, *props)
-                text = _run_text(c)
-                if text:
-                    yield ("Run", text, None, rid, anchor, *props)
-
-    def rows(doc_id: int, name: str, root: xml.Element) -> Iterator[tuple]:
+def _drawing(x: xml.Element) -> tuple[str | None, str | None]:
+    """Alternative text and the relationship of the picture of a drawing."""
+    doc = next((e for e in x.walk() if _local(e.tag) == "docPr"), None)
+    blip = next((e for e in x.walk() if e.tag == A + "blip" or _local(e.tag) == "imagedata"), None)
+    return None if doc is None else doc.get("descr"), None if blip is None else blip.get(xml.R + "embed") or blip.get(xml.R + "id")
+
+
+def _inlines(parent: xml.Element, rid: str | None, anchor: str | None) -> Iterator[tuple[tuple, xml.Element | None]]:
+    """((kind, text, ident, rid, anchor, char_style, flags..., size, the run's declarations), drawing) in order: a mark
+    inside a run ends the text before it."""
+    for c in _unwrapped(parent):
+        tag = _local(c.tag)
+        if tag == "hyperlink":
+            yield from _inlines(c, c.get(xml.R + "id"), c.get(W + "anchor"))
+        elif tag in ("ins", "smartTag", "fldSimple"):
+            yield from _inlines(c, rid, anchor)
+        elif tag in ("bookmarkStart", "bookmarkEnd"):
+            yield ("BookmarkStart" if tag == "bookmarkStart" else "BookmarkEnd", c.get(W + "name"), c.get(W + "id"), *[None] * 9), None
+        elif tag == "r":
+            own = c.find(W + "rPr")
+            props = (None if own is None else own.val("rStyle"), *(on_off(own, t) for t in STYLE_FLAGS), half_points(None if own is None else own.val("sz")), own)
+            text = ""
+            for x in c.children:
+                t, mark, drawing = _local(x.tag), None, None
+                if t == "fldChar":
+                    mark = (_FIELD.get(x.get(W + "fldCharType") or "", "FieldEnd"), None, None, None, None, *props)
+                elif t in ("footnoteReference", "endnoteReference"):
+                    mark = ("NoteReference", t.removesuffix("Reference"), x.get(W + "id"), None, None, *props)
+                elif t == "commentReference":
+                    mark = ("CommentMarker", None, x.get(W + "id"), None, None, *props)
+                elif t in ("drawing", "pict"):
+                    alt, image = _drawing(x)
+                    mark, drawing = ("Drawing", alt, None, image, None, *props), x
+                if mark:
+                    if text:
+                        yield ("Run", text, None, rid, anchor, *props), None
+                    text = ""
+                    yield mark, drawing
+                else:
+                    text += _piece(x)
+            if text:
+                yield ("Run", text, None, rid, anchor, *props), None
+
+
+@table("part_name string, block_path array<int>, ord int, kind string, text string, ident string, rid string, anchor string, char_style string, b boolean, i boolean, caps boolean, vanish boolean, size double, role string")
+def inlines(p: Package) -> Iterator[tuple]:
+    """Runs and marks of paragraphs in order: Run, FieldStart, FieldSeparator, FieldEnd, BookmarkStart, BookmarkEnd, NoteReference, CommentMarker, Drawing."""
+    for name, root in p.of(*STORY):
         for path, e in _blocks(_body(root), []):
             if e.tag == W + "p":
-                for k, x in enumerate(walk(e, None, None)):
-                    yield (doc_id, name, path, k, *x)
-
-    story = F.col("part_name").rlike(r"^word/(document|header\d*|footer\d*)\.xml$")
-    return _shred(parts.filter(story), INLINES, rows)
+                for k, (x, _) in enumerate(_inlines(e, None, None)):
+                    yield (name, path, k, *x[:-1], p.roles[name])
 
 
-def cells(parts: DataFrame) -> DataFrame:
+@table("part_name string, block_path array<int>, ord int, kind string, rid string, alternative_text string, name string, width double, height double, x double, y double, horizontal_from string, vertical_from string, wrap string, behind boolean")
+def drawings(p: Package) -> Iterator[tuple]:
+    """Inline and anchored drawings: size and place in points, what they are placed from, and how text goes around them."""
+    points = lambda v: None if whole(v) is None else whole(v) / 12700
+    for name, root in p.of(*STORY):
+        for path, e in _blocks(_body(root), []):
+            for k, (x, d) in enumerate(_inlines(e, None, None) if e.tag == W + "p" else ()):
+                shape = next((c for c in d.children if _local(c.tag) in ("inline", "anchor")), None) if d is not None else None
+                if shape is None:
+                    continue
+                by = {_local(c.tag): c for c in shape.children}
+                extent, doc = by.get("extent"), by.get("docPr")
+                wrap = next((t.removeprefix("wrap") for t in by if t.startswith("wrap")), None)
+                spot = {}
+                for axis in ("positionH", "positionV"):
+                    offset = next((c.text for c in by[axis].children if _local(c.tag) == "posOffset"), None) if axis in by else None
+                    spot[axis] = (by[axis].get("relativeFrom") if axis in by else None, points(offset))
+                yield (
+                    name, path, k, _local(shape.tag), x[3], None if doc is None else doc.get("descr"), None if doc is None else doc.get("name"),
+                    points(extent.get("cx")) if extent else None, points(extent.get("cy")) if extent else None, spot["positionH"][1], spot["positionV"][1],
+                    spot["positionH"][0], spot["positionV"][0], wrap, shape.get("behindDoc") in ("1", "true") if _local(shape.tag) == "anchor" else None)
+
+
+@table("table_path array<int>, row int, cell int, grid_span int, horizontal_merge int, vertical_merge int")
+def cells(p: Package) -> Iterator[tuple]:
     """Cells of tables: 0 no merge, 1 first, 2 continued."""
-    merge = {None: 1, "restart": 1, "continue": 2}
-
-    def code(p: xml.Element | None, tag: str) -> int:
-        e = None if p is None else p.find(W + tag)
-        if e is None:
-            return 0
-        v = e.get(W + "val")
-        return 2 if v is None and tag == "vMerge" else merge.get(v, 2)
+    def code(own: xml.Element | None, tag: str) -> int:
+        e = None if own is None else own.find(W + tag)
+        return 0 if e is None else 1 if e.get(W + "val") == "restart" else 2
 
-    def rows(doc_id: int, _: str, root: xml.Element) -> Iterator[tuple]:
+    for _, root in p.of("main"):
         for path, e in _blocks(_body(root), []):
-            if e.tag == W + "tbl":
-                for r, row in enumerate(x for x in _unwrapped(e) if x.tag == W + "tr"):
-                    for k, cell in enumerate(x for x in _unwrapped(row) if x.tag == W + "tc"):
-                        p = cell.find(W + "tcPr")
-                        span = whole(None if p is None else p.val("gridSpan")) or 1
-                        yield doc_id, path, r, k, min(max(span, 1), 1024), code(p, "hMerge"), code(p, "vMerge")
+            for r, row in enumerate(x for x in _unwrapped(e) if x.tag == W + "tr") if e.tag == W + "tbl" else ():
+                for k, cell in enumerate(x for x in _unwrapped(row) if x.tag == W + "tc"):
+                    own = cell.find(W + "tcPr")
+                    span = whole(None if own is None else own.val("gridSpan")) or 1
+                    yield path, r, k, min(max(span, 1), 1024), code(own, "hMerge"), code(own, "vMerge")
 
-    return _shred(parts.filter(F.col("part_name") == MAIN), "doc_id long, table_path array<int>, row int, cell int, grid_span int, horizontal_merge int, vertical_merge int", rows)
 
-
-def stories(parts: DataFrame) -> DataFrame:
+@table("kind string, identifier string, author string, text string, para_id string, part_name string, date string, initials string")
+def stories(p: Package) -> Iterator[tuple]:
     """Notes and comments: kind, identifier, author, text, and the paragraph id of their last paragraph."""
-    def rows(doc_id: int, name: str, root: xml.Element) -> Iterator[tuple]:
+    for name, root in p.of("footnotes", "endnotes", "comments"):
         for e in root.children:
-            kind = e.tag.rpartition("}")[2]
+            kind = _local(e.tag)
             if kind in ("footnote", "endnote", "comment") and e.get(W + "type") in (None, "normal"):
-                paragraphs = [p for _, p in _blocks(e, []) if p.tag == W + "p"]
-                text = "\n".join(t for p in paragraphs if (t := "".join(_run_text(r) for r in p.walk() if r.tag == W + "r")))
-                yield doc_id, kind, e.get(W + "id"), e.get(W + "author"), text, paragraphs[-1].get(W14 + "paraId") if paragraphs else None, name
-
-    return _shred(parts.filter(F.col("part_name").isin("word/footnotes.xml", "word/endnotes.xml", "word/comments.xml")), "doc_id long, kind string, identifier string, author string, text string, para_id string, part_name string", rows)
+                paragraphs = [x for _, x in _blocks(e, []) if x.tag == W + "p"]
+                text = "\n".join(t for x in paragraphs if (t := "".join(_run_text(r) for r in x.walk() if r.tag == W + "r")))
+                yield kind, e.get(W + "id"), e.get(W + "author"), text, paragraphs[-1].get(W14 + "paraId") if paragraphs else None, name, e.get(W + "date"), e.get(W + "initials")
 
 
-def comment_threads(parts: DataFrame) -> DataFrame:
-    def rows(doc_id: int, _: str, root: xml.Element) -> Iterator[tuple]:
+@table("para_id string, parent_para_id string, done_raw string")
+def threads(p: Package) -> Iterator[tuple]:
+    for _, root in p.of("commentsExtended"):
         for e in root.all(W15 + "commentEx"):
-            yield doc_id, e.get(W15 + "paraId"), e.get(W15 + "paraIdParent"), e.get(W15 + "done")
-
-    return _shred(parts.filter(F.col("part_name") == "word/commentsExtended.xml"), "doc_id long, para_id string, parent_para_id string, done_raw string", rows)
+            yield e.get(W15 + "paraId"), e.get(W15 + "paraIdParent"), e.get(W15 + "done")
 
 
 # Constructs that reading leaves out or flattens.
 UNSUPPORTED = ("object", "altChunk", "ins", "del", "moveFrom", "moveTo", "fldSimple", "sdt", "oMath", "oMathPara")
 
 
-def constructs(parts: DataFrame) -> DataFrame:
-    """(doc_id, part_name, construct, uses): unsupported constructs of each story part."""
-    def rows(doc_id: int, name: str, root: xml.Element) -> Iterator[tuple]:
+@table("part_name string, construct string, uses int")
+def constructs(p: Package) -> Iterator[tuple]:
+    """Unsupported constructs of each story part, and how often they are used."""
+    for name, root in p.of(*STORY, "footnotes", "endnotes", "comments"):
         seen: dict[str, int] = {}
         for e in root.walk():
-            tag = e.tag.rpartition("}")[2]
+            tag = _local(e.tag)
             if tag in UNSUPPORTED:
                 seen[tag] = seen.get(tag, 0) + 1
         for tag, n in sorted(seen.items()):
-            yield doc_id, name, tag, n
-
-    return _shred(parts.filter(F.col("part_name").rlike(r"^word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml$")), "doc_id long, part_name string, construct string, uses int", rows)
-
+            yield name, tag, n
 
-def not_xml(parts: DataFrame) -> DataFrame:
-    """(doc_id, part_name) of XML parts that cannot be parsed."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad: list[Any] = []
-            for doc_id, name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                try:
-                    xml.parse(content.as_py())
-                except ValueError:
-                    bad.append((doc_id, name))
-            yield _batch(bad, ["doc_id", "part_name"], [pa.int64(), pa.string()])
 
-    some = parts.filter(F.col("part_name").endswith(".xml") | F.col("part_name").endswith(".rels"))
-    return some.select("doc_id", "part_name", "content").mapInArrow(run, "doc_id long, part_name string")
+@table("part_name string, size int, is_xml boolean, role string")
+def inventory(p: Package) -> Iterator[tuple]:
+    """All parts; is_xml is false for one that should be XML and cannot be parsed, null for others."""
+    for name, body in p.parts:
+        yield name, len(body), p.root(name) is not None if name.endswith((".xml", ".rels")) else None, p.roles.get(name)

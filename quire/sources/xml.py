@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from xml.parsers import expat
 
+# The namespaces of the format.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 W14 = "{http://schemas.microsoft.com/office/word/2010/wordml}"
 W15 = "{http://schemas.microsoft.com/office/word/2012/wordml}"
@@ -11,13 +12,17 @@ R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 RELS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 TYPES = "{http://schemas.openxmlformats.org/package/2006/content-types}"
 PKG = "{http://schemas.microsoft.com/office/2006/xmlPackage}"
+A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+SPACE = "{http://www.w3.org/XML/1998/namespace}space"
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "text")
+    """An element; text stands before its first child, tail behind the element itself."""
+
+    __slots__ = ("tag", "attrs", "children", "text", "tail")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children, self.text = tag, attrs, [], ""
+        self.tag, self.attrs, self.children, self.text, self.tail = tag, attrs, [], "", ""
 
     def get(self, name: str, default: str | None = None) -> str | None:
         return self.attrs.get(name, default)
@@ -33,6 +38,10 @@ class Element:
         for c in self.children:
             yield from c.walk()
 
+    def under(self, tag: str) -> list[Element]:
+        """All elements of a tag below this one, in document order."""
+        return [e for e in self.walk() if e.tag == tag]
+
     def val(self, tag: str) -> str | None:
         c = self.find(W + tag)
         return None if c is None else c.get(W + "val")
@@ -54,7 +63,10 @@ def parse(data: bytes) -> Element:
         stack.append(e)
 
     def characters(text: str) -> None:
-        stack[-1].text += text
+        if stack[-1].children:
+            stack[-1].children[-1].tail += text
+        else:
+            stack[-1].text += text
 
     def forbidden(*_: object) -> None:
         raise ValueError("a document type declaration is not allowed")
@@ -73,5 +85,5 @@ def escape(text: str) -> str:
 
 
 def allowed(text: str) -> str:
-    """text without the characters that XML 1.0 cannot hold."""
+    """text without the characters that XML 1.0 cannot hold (fixed values: its ranges)."""
     return "".join(c for c in text if c in "\t\n\r" or "\x20" <= c <= "\ud7ff" or "\ue000" <= c <= "\ufffd" or c > "\uffff")

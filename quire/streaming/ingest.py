@@ -9,10 +9,11 @@ from ..sources import package
 
 
 def incoming(spark: SparkSession, folder: str, most_files: int = 1000) -> DataFrame:
-    """A stream of (path, doc_id, content, sha256) of new files, those over the limit left out."""
+    """A stream of (path, doc_id, content, sha256) of new files; one over the limit has no content and loads as an error."""
     kind = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(kind).option("maxFilesPerTrigger", most_files).load(folder)
-    return files.filter(F.col("length") <= package.INPUT_BYTES).select("path", F.xxhash64("path").alias("doc_id"), "content", F.sha2("content", 256).alias("sha256"), "modificationTime")
+    content = F.when(F.col("length") <= package.INPUT_BYTES, F.col("content")).alias("content")
+    return files.select("path", F.xxhash64("path").alias("doc_id"), content, F.sha2(F.coalesce("content", F.encode("path", "UTF-8")), 256).alias("sha256"), "modificationTime")
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str, delay: str = "7 days"):

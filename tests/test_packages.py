@@ -6,7 +6,7 @@ import pytest
 from quire.operators import edit, pdf
 from quire.operators.extract import Corpus
 from quire.plans import resolve
-from quire.sources import package, shred, xml
+from quire.sources import package, xml
 from quire.sources.builder import build, make_packages
 
 
@@ -104,7 +104,7 @@ def test_cells_nest_and_diagnostics(spark):
     c = corpus(spark, [doc])
     assert c.text().first()["text"] == "a\nb\nc\nd"
     assert {(r["code"], r["message"]) for r in c.diagnostics().collect()} == {("unsupported_construct", "ins x 1"), ("anchor_fault", "missing_story")}
-    assert shred.cells(c.parts).count() == 2
+    assert c.cells.count() == 2
 
 
 def test_pdf_pages_and_outline():
