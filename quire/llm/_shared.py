@@ -1,44 +1,7 @@
-"""Tables written in the shared folder, so that lineage is cut and lost executors cost no more than a reread."""
+"""Tables in the shared folder, as the rest of the library keeps them."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from ..store import new_folder, remove, shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(spark.sparkContext, "_quire_dir", None) or f"file://{tempfile.mkdtemp(prefix='quire-')}"
-        spark.sparkContext._quire_dir = where
-    return where.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's process ends."""
-    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder made here; a session that has ended leaves it to the cluster's own cleaning."""
-    if spark.sparkContext._jsc is None:
-        return
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the gateway may be gone at exit
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_folder", "remove", "shared_dir", "written"]
