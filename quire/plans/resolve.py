@@ -126,33 +126,60 @@ def list_references(blocks: DataFrame, styles: DataFrame) -> DataFrame:
 
 
 BULLETS = (23, 255)
+# The numerals.
+NUMERALS = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+
+
+def numbered(n: int, style: int) -> str:
+    """A counter in a list number style, as scalars.format_number does."""
+    if style in (1, 2):
+        out, left = "", max(n, 0)
+        for value, sign in NUMERALS:
+            out, left = out + sign * (left // value), left % value
+        return out if style == 1 else out.lower()
+    if style in (3, 4):
+        out = ""
+        while n > 0:
+            n, digit = divmod(n - 1, 26)
+            out = chr(97 + digit) + out
+        return out.upper() if style == 3 else out
+    return str(n)
+
+
+def _label_fold(table: pa.Table) -> pa.Table:
+    """The labels of one document's items, in their order."""
+    counters: dict[int, dict[int, int]] = {}
+    shown: dict[int, dict[int, str]] = {}
+    labels = []
+    rows = table.to_pylist()
+    rows.sort(key=lambda r: r["path"])
+    for r in rows:
+        label, level = r["number_format"], r["level"]
+        if r["number_style"] not in BULLETS:
+            own, text = counters.setdefault(r["list_id"], {}), shown.setdefault(r["list_id"], {})
+            for deeper in [k for k in own if k > level]:
+                del own[deeper], text[deeper]
+            own[level] = own[level] + 1 if level in own else max(r["start_at"], 1)
+            # a counter is written once, in its own level's style; deeper labels reuse the text
+            text[level] = numbered(own[level], r["number_style"])
+            for k in range(9):
+                if f"%{k + 1}" in label:
+                    label = label.replace(f"%{k + 1}", text.get(k, "0"))
+        labels.append(label)
+    columns = {c: [r[c] for r in rows] for c in ("doc_id", "path", "list_id", "level")}
+    kinds = (pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32())
+    return pa.table([*(pa.array(v, k) for v, k in zip(columns.values(), kinds, strict=True)), pa.array(labels, pa.string())], [*columns, "label"])
 
 
 def list_labels(items: DataFrame, levels: DataFrame) -> DataFrame:
     """Items (doc_id, path, list_id, level) with their label. A counter starts at its level's start, 1 at least, and
     again after any item of a shallower level; bullets show their text and move no counter; a level beyond the last is
-    the last. An ancestor that has not counted yet shows 0.
+    the last. An ancestor that has not counted yet shows 0. A document's items are folded in one pass.
     """
     last = levels.groupBy("doc_id", "list_id").agg(F.max("level").alias("_last"))
     at = items.join(last, ["doc_id", "list_id"]).withColumn("level", F.least("level", "_last")).join(levels, ["doc_id", "list_id", "level"])
-    bullet = F.col("number_style").isin(*BULLETS)
-    plain = at.filter(bullet).select("doc_id", "path", "list_id", "level", F.col("number_format").alias("label"))
-    counted = at.filter(~bullet)
-    w = Window.partitionBy("doc_id", "list_id").orderBy("path")
-    own = F.lit(0).cast("long")
-    for k in range(9):
-        counted = counted.withColumn(f"_g{k}", F.count(F.when(F.col("level") < k, 1)).over(w))
-        own = F.when(F.col("level") == k, F.col(f"_g{k}")).otherwise(own)
-    counted = counted.withColumn("_g", own)
-    counted = counted.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "list_id", "level", "_g").orderBy("path")) + F.greatest("start_at", F.lit(1)) - 1)
-    # a counter is written once, in its own level's style; deeper labels reuse the text
-    counted = counted.withColumn("_t", S.format_number(F.col("_n"), F.col("number_style")))
-    label = F.col("number_format")
-    for k in range(9):
-        seen = F.last(F.when(F.col("level") == k, F.col("_t")), ignorenulls=True).over(Window.partitionBy("doc_id", "list_id", f"_g{k}").orderBy("path"))
-        counted = counted.withColumn(f"_c{k}", F.when(F.col("level") < k, "0").otherwise(F.coalesce(seen, F.lit("0"))))
-        label = F.replace(label, F.lit(f"%{k + 1}"), F.col(f"_c{k}"))
-    return counted.select("doc_id", "path", "list_id", "level", label.alias("label")).unionByName(plain)
+    at = at.select("doc_id", "path", "list_id", "level", "number_style", "number_format", "start_at")
+    return at.groupBy("doc_id").applyInArrow(_label_fold, "doc_id long, path array<int>, list_id int, level int, label string")
 
 
 def links(visible_: DataFrame, relationships: DataFrame) -> DataFrame:
