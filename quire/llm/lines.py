@@ -184,7 +184,7 @@ def _entries(x: _Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _ids(h: np.ndarray, g: np.ndarray) -> pa.Array:
-    data = np.stack((h.astype(">u8"), g.astype(">u8")), axis=1).tobytes()
+    data = np.stack((h, g), axis=1).byteswap().tobytes()  # the highest byte first
     return pa.Array.from_buffers(pa.binary(16), len(h), [None, pa.py_buffer(data)]).cast(pa.binary())
 
 
@@ -281,10 +281,12 @@ def _meet(_: tuple, table: pa.Table) -> pa.Table:
     })
 
 
-def _wanted(bitmap: np.ndarray):
+def _wanted(bitmap: np.ndarray, holders: np.ndarray):
+    """(h, line, text) of the lines whose hash may be among those wanted, from the texts that may hold one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(holders, batch.column("th").to_numpy())))
             for i, j in T.text_chunks(batch.column("text"), T.CHUNK_BYTES // 2):
                 x = _Lines(batch.column("text").slice(i, j - i).to_pylist())
                 which = np.flatnonzero(x.length >= MIN_CHARS)
@@ -309,11 +311,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(good, pa.bool_())).select(["h", "g", "a", "b"])
 
 
-def _links(texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs of line hashes (a, b) whose lines are within MAX_EDITS: hashes h and g, lines a and b."""
+def _links(texts: DataFrame, lines: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs of line hashes (a, b) whose lines are within MAX_EDITS: hashes h and g, lines a and b.
+
+    texts (th, text) are read again for the lines of the pairs only: of each wanted line one text that holds it is named
+    by lines.
+    """
     pairs = written(pairs, f"{name}-pairs")
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    found = texts.mapInArrow(_wanted(_bitmap(ends)), "h long, line binary, text string")
+    # written, so that it is known to be small, or the join of a common line can be split
+    ends = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), f"{name}-ends")
+    hashed = lines.filter("not short").select(F.conv(F.hex(F.substring("line", 1, 8)), 16, -10).cast("long").alias("key"), "th")
+    holders = hashed.join(ends, "key", "left_semi").groupBy("key").agg(F.min("th").alias("th")).select(F.col("th").alias("key")).distinct()
+    found = texts.mapInArrow(_wanted(_bitmap(ends), _bitmap(written(holders, f"{name}-holders"))), "h long, line binary, text string")
     found = written(found.join(ends.withColumnRenamed("key", "h"), "h", "left_semi").dropDuplicates(["line"]), f"{name}-lines")
     one = found.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("text").alias("ta"))
     two = found.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("text").alias("tb"))
@@ -330,7 +339,7 @@ def _bag_distance(a: Column, b: Column) -> Column:
     return total
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries: int | None = None, short: str = "stay") -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: str = "stay") -> DataFrame:
     """(id, th, no): lines to drop, by document (its id and the hash of its text) and number from 0.
 
     Lines of at least MIN_CHARS characters within MAX_EDITS edits of each other, directly or through others, are one
@@ -348,7 +357,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = scan.filter(F.col("bucket").isNull()).select("id", "th", "no", "line", "short")
     met = written(scan.filter(F.col("bucket").isNotNull()).select("bucket", "data").groupBy("bucket").applyInArrow(_meet, "a long, b long, key long, bag long, indexed boolean"), "met")
     pairs = met.filter(F.col("key").isNull()).select("a", "b").distinct()
-    links = _links(slim.select("text"), pairs, "near")
+    links = _links(slim.select("th", "text"), lines, pairs, "near")
     many = met.filter(F.col("key").isNotNull())
     if many.limit(1).count():
         comps = written(components(links, "h", "g"), "near-comps").withColumnRenamed("node", "a")
@@ -360,7 +369,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         y = placed.select("key", *[F.col(c).alias(f"y_{c}") for c in ("line", "bag", "comp")])
         rest = x.join(y, "key").filter((F.col("x_comp") != F.col("y_comp")) & (_bag_distance(F.col("x_bag"), F.col("y_bag")) <= 2 * MAX_EDITS))
         rest = rest.select(F.least("x_line", "y_line").alias("a"), F.greatest("x_line", "y_line").alias("b")).distinct()
-        links = links.union(_links(slim.select("text"), rest, "near-rest"))
+        links = links.union(_links(slim.select("th", "text"), lines, rest, "near-rest"))
     comps = components(links.select("a", "b")).withColumnRenamed("node", "line")
     spot = F.struct("id", "no", "th")
     first = lines.groupBy("line").agg(F.min(spot).alias("spot"), F.count(F.lit(1)).alias("n"))
