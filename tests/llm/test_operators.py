@@ -347,20 +347,82 @@ def test_scores(spark):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[k], len(t), sum(c[w] > 0 for w in t), n)
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
         assert r["score"] < 0 and math.isfinite(r["score"])
+        assert math.isclose(r["bits_per_byte"], -r["score"] / math.log10(2) / (len((texts[k] or "").encode()) + 1), rel_tol=1e-9)
     assert mixing.score_texts(df.limit(0), "h").count() == 0
+    # repeated rows keep a row each, and partitions change nothing
+    twice = mixing.score_texts(df.repartition(7).withColumn("score", F.lit("clash")), "h").collect()
+    assert {r["doc_id"]: r["score"] for r in twice} == pytest.approx({k: r["score"] for k, r in got.items()}, rel=1e-9)
+    assert mixing.score_texts(df.union(df), "h").count() == 2 * len(texts)
+
+
+def plain_mixture(score, count, tokens, pairs, end):
+    """The mixture over a text's words, word by word."""
+    logs = {}
+    for k, w in enumerate(tokens):
+        corpus, prev = 10.0 ** score[w], tokens[k - 1] if k else None
+        cache = k / (k + 10)
+        again = (1 - end) * tokens[:k].count(w) / max(k, 1)
+        before = count[prev] if k else 0
+        seen = pairs.get((prev, w), 0) if k else 0
+        level = sum(before >= x for x in (1, 8, 64)) if k else 0
+        gate = level * 2 + (k > 0 and pairs.get((tokens[k - 2], prev), 0) > 0 and k > 1)
+        experts = [corpus] + [(seen * (1 - end) + t * corpus) / (before + t) for t in mixing.TRUST]
+        for x, p in enumerate(p2 * (1 - s * cache) + s * cache * again for p2 in experts for s in mixing.SHARES):
+            logs.setdefault(gate, [0.0] * 6)[x] += math.log10(p)
+    return sum(math.log10(sum(10 ** x for x in v) / 6) for v in logs.values())
+
+
+def test_mixture_equals_the_plain_one():
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [[rng.randrange(9) for _ in range(rng.choice([0, 1, 2, 30]))] for _ in range(20)]
+    score = np.array([-1.0 - k / 4 for k in range(9)])
+    count = np.array([0, 3, 9, 70, 1, 500, 7, 8, 64], float)
+    pairs = {(a, b): rng.choice([0, 0, 1, 2]) if count[a] else 0 for a in range(9) for b in range(9)}
+    tokens = np.array([w for t in texts for w in t], np.uint32)
+    per = np.array(list(map(len, texts)))
+    has = np.array([k > 0 for t in texts for k in range(len(t))], bool)
+    pair = np.array([pairs[t[k - 1], w] if k else 0 for t in texts for k, w in enumerate(t)], float)
+    got = mixing.token_mixture(score, count, tokens, per, pair, has, 0.01)
+    assert np.allclose(got, [plain_mixture(score, count, t, pairs, 0.01) for t in texts], rtol=1e-9)
+
+
+def test_online_learning_equals_the_plain_one():
+    """A block's decisions are predicted with the counts before it and the weights so far."""
+    import numpy as np
+
+    words = [b"ab", b"abc", b"b"]
+    data, length = np.frombuffer(b"".join(words), np.uint8), np.array([2, 3, 1])
+    start = np.cumsum(length) - length
+    m = mixing.Mixer()
+    made = m.learn(mixing.Pieces(data, start, length), np.array([1, 2, 5]))
+    assert made == 8 * (3 + 4 + 2)
+    weights, counts = mixing.Mixer().weights, np.zeros(2 * mixing.SLOTS)
+    for rows, slots, bit, _, place in mixing.Pieces(data, start, length).decisions(0, 3):
+        step = np.zeros_like(weights)
+        for i in range(len(rows)):
+            x = [0.0] * 6 + [0.5]  # nothing is counted yet within the first block
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, weights[place * 4], strict=True))))
+            step[place * 4] += np.array(x) * (bit[i] - p)
+        weights = weights + mixing.RATE * step / max(1, math.sqrt(len(rows)))
+        for i, r in enumerate(rows):
+            for s, o in zip(slots, m.base, strict=True):
+                counts[int(bit[i]) * mixing.SLOTS + s[i] + o] += (1, 2, 5)[r]
+    assert np.allclose(m.weights, weights) and np.allclose(m.counts, counts)
 
 
 def test_bits_of_words_sum_to_one():
     """The spelling is a distribution: all one-byte continuations of a context add up to one."""
     import numpy as np
 
-    m = mixing.Mixer(np.zeros((2, sum(1 << k for k in mixing.SIZES))))
+    m = mixing.Mixer()
+    m.learn(mixing.Pieces(np.frombuffer(b"someword", np.uint8), np.array([0, 4]), np.array([4, 4])), np.array([3, 1]))
     data = np.arange(256, dtype=np.uint8)
     p = mixing.Pieces(data, np.arange(256), np.ones(256, np.int64))
     logs = np.zeros(256)
     for rows, slots, bit, node, place in p.decisions(0, 256):
-        x, level = m._inputs(slots)
-        t = m._mixed(x, place * 4 + level)
+        _, _, t = m._mixed(slots, place)
         one = m.probability(t, m._refined(t, node)[0])
         logs[rows] += np.log(np.where(bit == 1, one, 1 - one))
         if place == 7:  # the first byte is done
