@@ -564,3 +564,25 @@ def test_repeated_rows_get_slots_of_their_own(spark):
     df = spark.createDataFrame([(1, "a")] * 20 + [(None, None)] * 5, "doc_id long, text string")
     rows = sharding.shard(df).collect()
     assert len({(r["shard"], r["slot"]) for r in rows}) == 25
+
+
+@pytest.mark.parametrize("n", [1, 2, 17, 1000])
+def test_permutation_equals_the_plain_one(spark, n):
+    import xxhash
+
+    def mix(value, key, i):
+        h = 42
+        for x, size in ((value, 8), (key, 8), (i, 4)):
+            h = xxhash.xxh64_intdigest(x.to_bytes(size, "little", signed=True), seed=h)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    got = [r["p"] for r in spark.range(n).select(sharding.permute(F.col("id"), n, 77).alias("p"), "id").orderBy("id").collect()]
+    assert sorted(got) == list(range(n)) and got == [sharding.permute_number(x, n, 77, mix) for x in range(n)]
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    """Quality and lines keep every row, whatever other columns are called."""
+    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, None), (2, "")], "doc_id long, text string").withColumn("n_lines", F.lit(5)).withColumn("kept", F.lit("x"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.quality(docs, labels).count() == 4 and lines.dedup_lines(docs).count() == 4
+    assert lines.dedup_lines(docs.limit(0)).count() == 0
