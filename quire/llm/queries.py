@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language, lines, mixing, pieces, quality, secrets, sharding, warc
+from . import centroids, codes, decontamination, fingerprints, jaccard, language, lines, mixing, pieces, quality, secrets, sharding, warc
 from ._native import table
 from .oracles import ORACLES
 
@@ -61,5 +61,17 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.labelled_findings(spark)).drop("value")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_language_id, op4_jaccard_join, op5_sentencepiece, op6_secret_scan, op7_lm_scoring, op8_line_dedup, op9_quality_rules, op10_sharding)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_language_id, op4_jaccard_join, op5_sentencepiece, op6_secret_scan, op7_lm_scoring, op8_line_dedup, op9_quality_rules, op10_sharding, op11_vector_codes, op12_centroid_clustering, op13_fingerprints)}
 ORACLE_SQL = {k: v for k, v in ORACLES.items() if k in QUERIES}
