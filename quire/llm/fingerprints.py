@@ -173,8 +173,9 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = with_next(docs, id_col, text_col, range_rows)
     w = Window.partitionBy("range").orderBy("extra", "spot", "text")
     # the extra row may be one of several with a bound's id and hash; the first of them sorts first by its text
-    d = parts.withColumn("s", sketch(F.col("text"), k))
-    d = d.withColumn("next_text", F.lead("text").over(w)).withColumn("next_s", F.lead("s").over(w)).filter(~F.col("extra"))
+    # sketches are made behind the first window, so that the shuffle carries texts alone
+    d = parts.withColumn("next_text", F.lead("text").over(w)).withColumn("s", sketch(F.col("text"), k))
+    d = d.withColumn("next_s", F.lead("s").over(w)).filter(~F.col("extra"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
