@@ -68,12 +68,13 @@ def canonical_style_name(name: Column) -> Column:
 
 def note_id(value: Column) -> Column:
     """A number's text, decimals and exponents too, cut to a whole number, held to 64 bits and wrapped to 32; zero for anything else."""
-    number = value.rlike(r"^[ \t\r\n]*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\r\n]*$")
     clean = F.btrim(value, F.lit(" \t\r\n"))
+    # of what a cast to double takes, only what is made of digits, signs, a point and an exponent counts
+    number = (F.translate(clean, "0123456789+-.eE", "") == "") & (F.translate(clean, "+-.eE", "") != "")
     real = clean.try_cast("double")
     # doubles beyond 2 ** 63 are cast to the largest or smallest whole number
     whole = F.when(real >= 9.223372036854775807e18, F.lit((1 << 63) - 1)).when(real <= -9.223372036854775808e18, F.lit(-(1 << 63))).otherwise(real.try_cast("bigint"))
-    n = F.when(number & ~F.isnan(real) & (F.abs(real) <= 1.7976931348623157e308), whole).otherwise(F.lit(0)).cast("decimal(38,0)")
+    n = F.when(number & real.isNotNull() & ~F.isnan(real) & (F.abs(real) <= 1.7976931348623157e308), whole).otherwise(F.lit(0)).cast("decimal(38,0)")
     return (F.pmod(n + 2147483648, F.lit(4294967296).cast("decimal(38,0)")) - 2147483648).cast("bigint")
 
 
@@ -97,16 +98,6 @@ def paper_size(width: Column, height: Column) -> Column:
         .when(near(short, 595, 3) & near(long_, 842, 3), "A4").otherwise("Custom"))
 
 
-def escape_label(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\\[\]])", r"\\$1")
-
-
-def link_markup(label: Column, target: Column) -> Column:
-    """``[label](target)``: brackets of the label escaped, a target with white space or brackets in angle brackets."""
-    plain = F.regexp_replace(F.regexp_replace(target, r"\\", r"\\\\"), "&", "&amp;")
-    return F.concat(F.lit("["), escape_label(label), F.lit("]("), F.when(target.rlike(r"[\s()]"), F.concat(F.lit("<"), plain, F.lit(">"))).otherwise(plain), F.lit(")"))
-
-
 def safe_text(text: Column) -> Column:
     """Private-use bullets of symbol fonts as ordinary ones."""
     return F.translate(text, "\uf0b7\uf0a7", "•▪")
@@ -268,25 +259,6 @@ def is_contents_style(name: Column) -> Column:
     return low.startswith("toc") | low.contains("toc ") | low.contains("table of contents")
 
 
-#: Links as text: a label in brackets, with escapes, and a target that may hold brackets, be in angle brackets or have a title.
-_LABEL = r"(?<!!)\[((?:\\.|[^\[\]\\])+)\]"
-_TARGET = r"\((<[^<>\n]*>|(?:\\.|[^\s()\\]|\((?:\\.|[^()\\])*\))*)"
-_TITLE = r"""((?:[ \t]+(?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\)))?)[ \t]*\)"""
-LINK = _LABEL + _TARGET + _TITLE
-
-
-def link_segments(text: Column) -> Column:
-    """The text around and inside links as an array of (text, url); url is null outside links. Links show their label."""
-    plain = lambda t: F.regexp_replace(t, r"\\([!-/:-@\[-`{-~])", "$1")
-    target = lambda m: F.regexp_replace(F.regexp_extract(m, LINK, 2), "^<(.*)>$", "$1")
-    found = F.regexp_extract_all(text, F.lit(LINK), 0)
-    outside = F.transform(F.split(text, LINK, -1), lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("url")))
-    inside = F.transform(found, lambda m: F.struct(plain(F.regexp_extract(m, LINK, 1)).alias("text"), plain(target(m)).alias("url")))
-    woven = F.flatten(F.zip_with(outside, inside, lambda a, b: F.array(a, b)))
-    left = F.filter(woven, lambda x: x.isNotNull() & ((x["text"] != "") | x["url"].isNotNull()))
-    return F.when(F.size(left) == 0, F.array(F.struct(text.alias("text"), F.lit(None).cast("string").alias("url")))).otherwise(left)
-
-
 def jpeg_size(content: Column) -> Column:
     """Width and height of the first frame header of a JPEG, found by its marker."""
     hexed = F.hex(content)

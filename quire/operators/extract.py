@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans import properties, resolve
+from ..plans import cascade, properties, resolve
 from ..sources import package, shred
 from ..store import written
 
@@ -16,26 +16,35 @@ from ..store import written
 class Corpus:
     """Packages (doc_id, content) and the node tables shredded from them.
 
-    All node tables come out of one pass over the packages, made when the first of them is used and kept in the shared
-    folder; each table reads its own columns of it. The parts with their bytes are read from the packages when asked for.
+    Node tables are made by passes over the packages, each of which runs a job and keeps its tables in the shared folder,
+    in a folder of their own. ``shred`` makes such a pass for the tables named; a method that needs tables which are
+    not there yet does so for those it needs, and a table used as an attribute for all that are missing. The parts with
+    their bytes are read from the packages when asked for.
     """
 
     def __init__(self, packages: DataFrame, permissive: bool = True):
         self.packages, self.permissive = packages, permissive
+        self._stored: dict[str, DataFrame] = {}
 
     @cached_property
     def parts(self) -> DataFrame:
         return package.parts(self.packages, self.permissive)
 
-    @cached_property
-    def _nodes(self) -> DataFrame:
-        return written(shred.everything(self.packages), "nodes")
+    def shred(self, *names: str) -> Corpus:
+        """Makes the node tables named, or all, that are not there yet, in one pass; this runs a job."""
+        missing = tuple(n for n in shred.TABLES if (not names or n in names) and n not in self._stored)
+        if missing:
+            nodes = written(shred.everything(self.packages, missing), "nodes", by=["node"])
+            self._stored |= {n: nodes.filter(F.col("node") == n).select("doc_id", f"{n}.*") for n in missing}
+        return self
 
     def node(self, name: str) -> DataFrame:
         """One of the tables of shred.TABLES."""
         if name not in shred.TABLES:
             raise KeyError(name)
-        return self._nodes.filter(F.col("node") == name).select("doc_id", f"{name}.*")
+        if name not in self._stored:
+            self.shred()
+        return self._stored[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in shred.TABLES:
@@ -46,17 +55,22 @@ class Corpus:
     def main(self) -> DataFrame:
         return self.inlines.filter("role = 'main'")
 
+    def shown_runs(self, inlines: DataFrame | None = None) -> DataFrame:
+        """Runs outside field codes with capitals applied; ``vanish`` and ``left_out`` say whether they are hidden, through
+        all styles. Of the main story unless others are given."""
+        self.shred("inlines", "styles")
+        return cascade.shown_text(resolve.visible(self.main if inlines is None else inlines), cascade.text_context(self.styles))
+
     def paragraph_texts(self) -> DataFrame:
         """(doc_id, block_path, text): visible text of paragraphs, capitals applied, hidden runs left out."""
-        shown = resolve.visible(self.main).filter(~F.coalesce("vanish", F.lit(False)))
-        one = F.struct("ord", S.apply_caps(F.col("text"), F.coalesce("caps", F.lit(False))).alias("t"))
-        joined = shown.groupBy("doc_id", "block_path").agg(F.sort_array(F.collect_list(one)).alias("runs"))
-        return joined.select("doc_id", "block_path", F.array_join("runs.t", "").alias("text"))
+        joined = self.shown_runs().filter(~F.col("left_out")).groupBy("doc_id", "block_path").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("runs"))
+        return joined.select("doc_id", "block_path", F.array_join("runs.text", "").alias("text"))
 
     def text(self) -> DataFrame:
-        """(doc_id, text): non-empty paragraphs in order, those of cells too, one a line."""
+        """(doc_id, text): non-empty paragraphs in order, those of cells too, one a line; empty for a package without any."""
+        self.shred("inlines", "styles", "loaded")
         listed = self.paragraph_texts().filter(F.col("text") != "").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_path", "text"))).alias("p"))
-        return listed.select("doc_id", F.array_join("p.text", "\n").alias("text"))
+        return self.loaded.select("doc_id").join(listed, "doc_id", "left").select("doc_id", F.coalesce(F.array_join("p.text", "\n"), F.lit("")).alias("text"))
 
     def dom_text(self) -> DataFrame:
         """(doc_id, text) in the alphabet of the editing model: a paragraph ends with \\r, the last of a section with
@@ -90,12 +104,29 @@ class Corpus:
         return resolve.list_labels(resolve.list_references(self.blocks, self.styles), levels)
 
     def paragraph_formats(self) -> DataFrame:
-        """Paragraphs of the main story with what they, their styles and the defaults declare."""
-        normal = resolve.default_styles(self.styles).filter("kind = 'paragraph'").select("doc_id", F.col("style_id").alias("_normal"))
-        of = self.blocks.filter("node_type = 'Paragraph'").join(normal, "doc_id", "left").select("doc_id", "part_name", "path", F.coalesce("style_id", "_normal").alias("style_id"))
-        p = self.properties
-        made = [properties.paragraph_formats(p, owner) for owner in ("paragraph", "style_paragraph", "default_paragraph")]
-        return properties.cascaded(*made, resolve.style_layers(self.styles), of, properties.PARAGRAPH)
+        """Paragraphs of the main story with what they, their styles, their table's style and the defaults declare."""
+        self.shred("blocks", "properties", "styles")
+        return cascade.paragraph_formats(self.blocks, self.properties, self.styles)
+
+    def cell_fonts(self, counting: str = "cells") -> DataFrame:
+        """Cells with the font of their table's style; counting is ``cells`` or ``size`` for the properties, ``grid`` for what is painted."""
+        self.shred("cells", "blocks", "properties", "theme_slots", "styles")
+        return cascade.cell_fonts(self.cells, self.blocks, self.properties, self.theme_slots, self.styles, counting)
+
+    def cell_paragraph_formats(self, counting: str = "cells") -> DataFrame:
+        """Cells with the paragraph format of their table's style."""
+        self.shred("cells", "blocks", "properties", "styles")
+        return cascade.cell_paragraph_formats(self.cells, self.blocks, self.properties, self.styles, counting)
+
+    def cell_borders(self) -> DataFrame:
+        """Cells with the borders that their four sides show."""
+        self.shred("cells", "properties", "styles")
+        return properties.cell_borders(self.cells, self.properties, self.styles)
+
+    def column_widths(self, usable: float) -> DataFrame:
+        """Columns of the tables' grids with their width in points, in tables of at most ``usable`` points."""
+        self.shred("cells", "properties")
+        return properties.column_widths(properties.table_formats(self.properties), self.cells, properties.cell_formats(self.properties), usable)
 
     def cell_texts(self) -> DataFrame:
         """(doc_id, table_path, row, cell, text): the paragraphs of a cell that hold text, one a line; nested tables are left out."""
@@ -108,8 +139,13 @@ class Corpus:
     def links(self) -> DataFrame:
         return resolve.links(resolve.visible(self.inlines), self.relationships)
 
-    def fonts(self) -> DataFrame:
-        return resolve.effective_fonts(self.main, self.blocks, self.styles)
+    def fonts(self, *columns: str) -> DataFrame:
+        """Runs of the main story with their font properties, all unless some are named, through every layer; see cascade.run_fonts."""
+        self.shred("inlines", "cells", "blocks", "properties", "theme_slots", "styles")
+        wanted = columns or cascade.EVERY
+        # a corpus without any cell has no sizes of cells
+        sizes = cascade.cell_sizes(self.cells, self.blocks, self.properties, self.theme_slots, self.styles) if "size" in wanted and not self.cells.isEmpty() else None
+        return cascade.run_fonts(self.main, self.properties, self.theme_slots, self.styles, sizes, wanted)
 
     def export(self) -> DataFrame:
         """(doc_id, json): blocks of the body in order with location, type, text, style, heading level, list, runs with their
@@ -117,8 +153,8 @@ class Corpus:
         keys = ["doc_id", "block_path", "ord"]
         urls = resolve.links(resolve.visible(self.main), self.relationships).select(*keys, F.col("url").alias("link"))
         shown = resolve.visible(self.main).select(*keys)
-        fonts = self.fonts().join(shown, keys, "left_semi").filter(~F.coalesce("vanish", F.lit(False))).join(urls, keys, "left")
-        run = F.struct("ord", S.apply_caps(F.col("text"), F.coalesce("caps", F.lit(False))).alias("text"), "link", F.col("b").alias("bold"), F.col("i").alias("italic"), "size")
+        fonts = self.fonts("b", "i", "caps", "smallCaps", "size").join(shown, keys, "left_semi").filter(~F.coalesce("vanish", F.lit(False))).join(urls, keys, "left")
+        run = F.struct("ord", S.apply_caps(F.col("text"), F.col("caps") | F.col("smallCaps")).alias("text"), "link", F.col("b").alias("bold"), F.col("i").alias("italic"), "size")
         runs = fonts.groupBy("doc_id", F.col("block_path").alias("path")).agg(F.sort_array(F.collect_list(run)).alias("r"))
         runs = runs.select("doc_id", "path", F.transform("r", lambda x: x.dropFields("ord")).alias("runs"), F.array_join("r.text", "").alias("text"))
         marks = self.main.filter("kind = 'NoteReference'").groupBy("doc_id", F.col("block_path").alias("path")).agg(F.sort_array(F.collect_list(F.struct("ord", F.col("text").alias("kind"), F.col("ident").alias("identifier")))).alias("n"))
@@ -138,7 +174,7 @@ class Corpus:
         top = top.withColumn("location", F.concat(F.lit("sections["), F.col("section"), F.lit("].body.children["), F.element_at("path", 1) - first, F.lit("]")))
         paragraph = F.col("node_type") == "Paragraph"
         block = F.struct(
-            F.col("path"), F.lower("node_type").alias("type"), F.col("location"), F.when(paragraph, F.coalesce("text", F.lit(""))).alias("text"), F.col("style_id").alias("style"), F.col("heading_level"),
+            F.col("path"), F.lower("node_type").alias("type"), F.col("location"), F.when(paragraph, F.coalesce("text", F.lit(""))).alias("text"), F.when(paragraph, F.col("style_id")).alias("style"), F.col("heading_level"),
             F.struct(F.col("_list").isNotNull().alias("is_list_item"), F.col("_level").alias("list_level_number"), F.col("_list").alias("list_id")).alias("list"), F.col("runs"), F.col("note_references"), F.col("images"), F.col("rows"))
         listed = top.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("path", block.dropFields("path").alias("b")))).alias("blocks"))
         body = F.struct(F.lit(1).alias("schema_version"), F.col("blocks.b").alias("blocks"))

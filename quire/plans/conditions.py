@@ -1,38 +1,12 @@
-"""What holds for a cell by its place: conditional regions of table styles, and geometry of grouped shapes."""
+"""Geometry of grouped shapes."""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cell_regions(cells: DataFrame, band_rows: int = 1, band_columns: int = 1, **look: bool) -> DataFrame:
-    """cells with regions: the conditional regions a cell is in, later ones winning over earlier.
-
-    look: first_row, last_row, first_column, last_column, row_bands, column_bands; all on unless given.
-    """
-    on = {k: F.lit(look.get(k, True)) for k in ("first_row", "last_row", "first_column", "last_column", "row_bands", "column_bands")}
-    whole = Window.partitionBy("doc_id", "table_path")
-    line = Window.partitionBy("doc_id", "table_path", "row")
-    rows, width = F.max("row").over(whole) + 1, F.sum("grid_span").over(line)
-    column = F.coalesce(F.sum("grid_span").over(line.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = cells.withColumn("_rows", rows).withColumn("_width", width).withColumn("_column", column)
-    top, bottom = on["first_row"] & (F.col("row") == 0), on["last_row"] & (F.col("row") == F.col("_rows") - 1)
-    left, right = on["first_column"] & (F.col("_column") == 0), on["last_column"] & (F.col("_column") + F.col("grid_span") == F.col("_width"))
-    # bands are counted without the header row and column
-    band = lambda place, skip, size: F.floor((place - F.when(skip, 1).otherwise(0)) / size) % 2
-    row_band, column_band = band(F.col("row"), on["first_row"], band_rows), band(F.col("_column"), on["first_column"], band_columns)
-    ranked: list[tuple[str, Column]] = [
-        ("band1Vert", on["column_bands"] & ~left & ~right & (column_band == 0)), ("band2Vert", on["column_bands"] & ~left & ~right & (column_band == 1)),
-        ("band1Horz", on["row_bands"] & ~top & ~bottom & (row_band == 0)), ("band2Horz", on["row_bands"] & ~top & ~bottom & (row_band == 1)),
-        ("firstCol", left), ("lastCol", right), ("firstRow", top), ("lastRow", bottom),
-        ("nwCell", top & left), ("neCell", top & right), ("swCell", bottom & left), ("seCell", bottom & right),
-    ]
-    regions = F.array_compact(F.array(*[F.when(cond, name) for name, cond in ranked]))
-    return at.withColumn("regions", regions).drop("_rows", "_width", "_column")
-
-
 def group_transform(shapes: DataFrame) -> DataFrame:
     """(doc_id, shape_id, x, y, scale_x, scale_y) of shapes on the page, through all groups they are in.
 

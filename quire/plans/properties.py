@@ -61,13 +61,17 @@ def _own(properties: DataFrame, owner: str) -> DataFrame:
     return properties.filter(F.col("owner") == owner)
 
 
+def _border_at(props: Column, key: Column) -> Column:
+    at = lambda more: F.try_element_at(props, F.concat(key, F.lit(more)))
+    value = F.coalesce(F.nullif(at(""), F.lit("")), F.lit("none"))
+    return F.struct(
+        S.codes(value, LINE_STYLE).alias("line_style"), (at("@sz").try_cast("int") / 8.0).alias("width"), S.color_name(F.coalesce(at("@color"), F.lit(""))).alias("color"),
+        at("@space").try_cast("double").alias("distance"), F.coalesce(~at("@shadow").isin("", "0", "false"), F.lit(False)).alias("shadow"), (~value.isin("none", "nil")).alias("visible"))
+
+
 def border(prefix: str) -> Column:
     """(line_style, width, color, distance, shadow, visible) of one side; null if it is not declared."""
-    value = F.coalesce(F.nullif(_get(prefix), F.lit("")), F.lit("none"))
-    shadow = _get(f"{prefix}@shadow")
-    return F.when(_get(prefix).isNotNull(), F.struct(
-        S.codes(value, LINE_STYLE).alias("line_style"), (_get(f"{prefix}@sz").try_cast("int") / 8.0).alias("width"), S.color_name(F.coalesce(_get(f"{prefix}@color"), F.lit(""))).alias("color"),
-        _get(f"{prefix}@space").try_cast("double").alias("distance"), F.coalesce(~shadow.isin("", "0", "false"), F.lit(False)).alias("shadow"), (~value.isin("none", "nil")).alias("visible")))
+    return F.when(_get(prefix).isNotNull(), _border_at(F.col("props"), F.lit(prefix)))
 
 
 def borders(prefix: str) -> list[Column]:
@@ -94,14 +98,15 @@ def _nth(key: str, n: Column, attribute: str) -> Column:
 
 
 def tab_stops() -> Column:
-    """Declared tab stops in order: position in points, alignment, leader, and whether it clears one."""
+    """Declared tab stops in order: position in points, alignment, leader, and whether it clears one; null if no list of
+    them is declared, empty if the list is."""
     def one(n: Column) -> Column:
         val = F.coalesce(_nth("tabs/tab", n, "@val"), F.lit("left"))
         return F.struct(
             (F.coalesce(_nth("tabs/tab", n, "@pos").try_cast("int"), F.lit(0)) / 20.0).alias("position"), S.codes(val, TAB_ALIGNMENT).alias("alignment"),
             F.coalesce(S.codes(_nth("tabs/tab", n, "@leader"), TAB_LEADER), F.lit(0)).alias("leader"), (val == "clear").alias("clears"))
 
-    return F.transform(_each("tabs/tab"), one)
+    return F.when(_get("tabs").isNotNull(), F.transform(_each("tabs/tab"), one))
 
 
 def _indents() -> list[Column]:
@@ -165,24 +170,6 @@ def fonts(properties: DataFrame, theme: DataFrame, owner: str = "run") -> DataFr
         _get("rStyle").alias("style_id"), F.lower(full(_get("lang@val"))).alias("locale"), shading().alias("shading"))
 
 
-def cascaded(direct: DataFrame, styles_: DataFrame, defaults: DataFrame, layers: DataFrame, style_of: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Rows of style_of (doc_id, part_name, path, style_id) with each column's nearest declaration: direct, then the
-    style's chain from the nearest on, then the document's defaults."""
-    own = layers.join(styles_.select("doc_id", F.col("ident").alias("layer_id"), *columns), ["doc_id", "layer_id"])
-    by_style = own.groupBy("doc_id", "style_id").agg(*[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("depth"))).alias(f"s_{c}") for c in columns])
-    base = defaults.select("doc_id", *[F.col(c).alias(f"d_{c}") for c in columns])
-    full = style_of.join(direct.select("doc_id", "part_name", "path", *columns), ["doc_id", "part_name", "path"], "left").join(by_style, ["doc_id", "style_id"], "left").join(base, "doc_id", "left")
-    return full.select("doc_id", "part_name", "path", "style_id", *[F.coalesce(c, f"s_{c}", f"d_{c}").alias(c) for c in columns])
-
-
-def merged_tabs(layers: DataFrame) -> DataFrame:
-    """(owner columns, tab_stops) of rows (key, rank, tab_stops), the lowest rank the base: a later layer's stop takes the
-    place of an earlier one at its position, a clearing one removes it; sorted by position."""
-    stops = layers.select("key", "rank", F.explode("tab_stops").alias("t")).select("key", "rank", "t.*")
-    last = stops.groupBy("key", "position").agg(F.max_by(F.struct("alignment", "leader", "clears"), "rank").alias("t")).filter("not t.clears")
-    return last.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("position", "t.alignment", "t.leader"))).alias("tab_stops"))
-
-
 def next_tab(stops: Column, position: Column) -> Column:
     """The first tab stop behind a position."""
     return F.try_element_at(F.filter(stops, lambda t: t["position"] > position), F.lit(1))
@@ -247,17 +234,86 @@ def cell_formats(properties: DataFrame, owner: str = "cell") -> DataFrame:
         S.codes(_get("textDirection"), DIRECTION).alias("direction"), F.coalesce(_get("noWrap").isin("0", "false") | _get("noWrap").isNull(), F.lit(True)).alias("wraps"), *_padding("tcMar"), shading().alias("shading"), *borders("tcBorders"))
 
 
-def column_widths(tables: DataFrame, cells: DataFrame, cell_formats_: DataFrame) -> DataFrame:
-    """(doc_id, path, column, width) in points: the grid's width, else the widest cell that spans that column alone, else 0."""
-    line = Window.partitionBy("doc_id", "table_path", "row").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    at = cells.withColumn("column", F.coalesce(F.sum("grid_span").over(line), F.lit(0)).cast("int"))
-    own = cell_formats_.select("doc_id", F.col("path").alias("table_path"), F.floor(F.col("ord") / 1024).cast("int").alias("row"), (F.col("ord") % 1024).alias("cell"), F.when(F.col("width.type") == 2, F.col("width.value")).alias("w"))
-    most = at.groupBy("doc_id", "table_path").agg(F.max(F.col("column") + F.col("grid_span")).alias("n"))
-    each = most.select("doc_id", "table_path", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("column"))
-    single = at.filter("grid_span = 1").join(own, ["doc_id", "table_path", "row", "cell"], "left").groupBy("doc_id", "table_path", "column").agg(F.max("w").alias("w"))
-    full = each.join(tables.select("doc_id", F.col("path").alias("table_path"), "grid"), ["doc_id", "table_path"], "left").join(single, ["doc_id", "table_path", "column"], "left")
-    grid = F.try_element_at("grid", F.col("column") + 1)
-    return full.select("doc_id", F.col("table_path").alias("path"), "column", F.coalesce(F.when(grid > 0, grid), "w", F.lit(0.0)).alias("width"))
+def column_widths(tables: DataFrame, cells: DataFrame, cell_formats_: DataFrame, usable: Column | float) -> DataFrame:
+    """(doc_id, path, column, width) in points of the columns of the grid, of a table as wide as ``usable`` at most (a
+    column of tables, or points) and as its own preferred width, per cent or points.
+
+    Each column is as wide as the widest of its cells' even shares; columns without a width share what is left, or their
+    even part of the whole if that is more; without any width all are even; what is too wide together is scaled down.
+    """
+    merged = Window.partitionBy("doc_id", "table_path", "row").orderBy("cell")
+    start = F.coalesce(F.sum("grid_span").over(merged.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    group = F.sum(F.when(F.col("horizontal_merge") != 2, 1).otherwise(0)).over(merged.rowsBetween(Window.unboundedPreceding, 0))
+    own = cell_formats_.select("doc_id", F.col("path").alias("table_path"), F.floor(F.col("ord") / 1024).cast("int").alias("row"), (F.col("ord") % 1024).cast("int").alias("cell"), F.when(F.col("width.type") == 2, F.col("width.value")).alias("w"))
+    at = cells.withColumn("column", start).withColumn("_g", group).join(own, ["doc_id", "table_path", "row", "cell"], "left")
+    at = at.groupBy("doc_id", "table_path", "row", "_g").agg(F.min("column").alias("column"), F.sum("grid_span").cast("int").alias("span"), F.min_by("w", "cell").alias("w"))
+    n = at.groupBy("doc_id", "table_path").agg(F.max(F.col("column") + F.col("span")).cast("int").alias("n"))
+    each = n.select("doc_id", "table_path", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("column"))
+    shares = at.filter("w > 0").select("doc_id", "table_path", F.explode(F.sequence(F.col("column"), F.col("column") + F.col("span") - 1)).alias("column"), (F.col("w") / F.col("span")).alias("w"))
+    widest = shares.groupBy("doc_id", "table_path", "column").agg(F.max("w").alias("w"))
+    room = tables.select("doc_id", F.col("path").alias("table_path"), F.when((F.col("width.type") == 1) & (F.col("width.value") > 0), usable * F.least(F.col("width.value"), F.lit(100.0)) / 100)
+                         .when((F.col("width.type") == 2) & (F.col("width.value") > 0), F.least(F.lit(usable) if isinstance(usable, (int, float)) else usable, F.col("width.value"))).otherwise(usable).alias("room"))
+    full = each.join(widest, ["doc_id", "table_path", "column"], "left").join(room, ["doc_id", "table_path"], "left").withColumn("room", F.coalesce("room", F.lit(usable) if isinstance(usable, (int, float)) else F.lit(None)))
+    whole = Window.partitionBy("doc_id", "table_path")
+    full = full.withColumn("_total", F.coalesce(F.sum("w").over(whole), F.lit(0.0))).withColumn("_open", F.sum(F.when(F.col("w").isNull(), 1).otherwise(0)).over(whole))
+    fill = F.greatest(F.col("room") - F.col("_total"), F.col("room") / F.col("n") * F.col("_open")) / F.col("_open")
+    full = full.withColumn("w", F.when(F.col("_total") == 0, F.col("room") / F.col("n")).otherwise(F.coalesce("w", F.when(F.col("_open") > 0, fill)))).withColumn("_total", F.sum("w").over(whole))
+    return full.select("doc_id", F.col("table_path").alias("path"), "column", F.when(F.col("_total") > F.col("room"), F.col("w") * F.col("room") / F.col("_total")).otherwise(F.col("w")).alias("width"))
+
+
+SIDES = ("top", "bottom", "left", "right")
+
+
+def _shows(props: Column, key: Column | str) -> Column:
+    """Whether a side that props declare under key is one that shows: a line, or a width."""
+    at = lambda more: F.try_element_at(props, F.concat(F.lit(key) if isinstance(key, str) else key, F.lit(more)))
+    line = S.codes(F.coalesce(F.nullif(at(""), F.lit("")), F.lit("none")), LINE_STYLE) != 0
+    return F.coalesce(at("").isNotNull() & (line | (F.coalesce(at("@sz").try_cast("int"), F.lit(0)) > 0)), F.lit(False))
+
+
+def _declared_side(props: Column, prefix: str, side: str) -> Column:
+    """The key under which props declare a side, by any of its names; null if they do not."""
+    names = [t for t, s in BORDERS.items() if s == side]
+    return F.coalesce(*[F.when(F.try_element_at(props, F.lit(f"{prefix}/{t}")).isNotNull(), F.lit(f"{prefix}/{t}")) for t in names])
+
+
+def cell_borders(cells: DataFrame, properties: DataFrame, styles: DataFrame) -> DataFrame:
+    """(doc_id, table_path, row, cell, top, bottom, left, right): the border that each side of a cell shows, null for none.
+
+    The cell's own side counts if it shows; else the table's border at that place, which at the rim is the outer one and
+    inside the inner one; only a table without borders of its own takes the first style of its chain that has any. A
+    table from right to left has its left and right changed over.
+    """
+    props = F.col("props")
+    has = F.map_contains_key("props", "tblBorders")
+    only = lambda prefix: F.map_filter("props", lambda k, _: k.startswith(prefix))
+    chain = styles.filter("style_id is not null").select("doc_id", "style_id", F.posexplode("chain").alias("_depth", "_layer"))
+    any_ = F.exists(F.map_keys(props), lambda k: k.rlike("^tblBorders/[A-Za-z0-9]+$") & _shows(props, k))
+    bordered = _own(properties, "style_table").filter(any_).select("doc_id", F.col("ident").alias("_layer"), only("tblBorders").alias("b"))
+    inherited = chain.join(bordered, ["doc_id", "_layer"]).groupBy("doc_id", "style_id").agg(F.min_by("b", "_depth").alias("of_style"))
+    own = _own(properties, "table").select("doc_id", F.col("path").alias("table_path"), _get("tblStyle").alias("style_id"), S.flag(_get("bidiVisual"), False).alias("bidi"), F.when(has, only("tblBorders")).alias("of_table"))
+    own = own.join(inherited, ["doc_id", "style_id"], "left").select("doc_id", "table_path", "bidi", F.coalesce("of_table", "of_style").alias("layer"))
+    line, whole = Window.partitionBy("doc_id", "table_path", "row"), Window.partitionBy("doc_id", "table_path")
+    at = cells.withColumn("_from", F.coalesce(F.sum("grid_span").over(line.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = at.withColumn("_to", F.col("_from") + F.col("grid_span")).withColumn("_columns", F.max("_to").over(whole)).withColumn("_last", F.max("row").over(whole))
+    mine = _own(properties, "cell").select("doc_id", F.col("path").alias("table_path"), F.floor(F.col("ord") / 1024).cast("int").alias("row"), (F.col("ord") % 1024).cast("int").alias("cell"), only("tcBorders").alias("own"))
+    at = at.join(mine, ["doc_id", "table_path", "row", "cell"], "left").join(own, ["doc_id", "table_path"], "left")
+    turned = F.coalesce("bidi", F.lit(False))
+    rim = {"top": F.col("row") == 0, "bottom": F.col("row") == F.col("_last"), "left": F.col("_from") == 0, "right": F.col("_to") == F.col("_columns")}
+    sources = []
+    for s in SIDES:
+        inner = "horizontal" if s in ("top", "bottom") else "vertical"
+        outer_key, inner_key = (_declared_side(F.col("layer"), "tblBorders", x) for x in (s, inner))
+        place = F.when(turned, {"left": "right", "right": "left"}.get(s, s)).otherwise(s)
+        sources.append(F.struct(place.alias("side"), _declared_side(F.col("own"), "tcBorders", s).alias("own_key"), F.when(rim[s], outer_key).otherwise(inner_key).alias("key")))
+    # which map a side is read from is settled first, so that a border is decoded in one place
+    chosen = F.transform(F.array(*sources), lambda x: F.struct(x["side"].alias("side"), F.when(_shows(F.col("own"), x["own_key"]), F.struct(F.col("own").alias("props"), x["own_key"].alias("key"))).when(_shows(F.col("layer"), x["key"]), F.struct(F.col("layer").alias("props"), x["key"].alias("key"))).alias("from")))
+    decoded = F.transform(chosen, lambda x: F.struct(x["side"].alias("side"), F.when(x["from"].isNotNull(), _border_at(x["from"]["props"], x["from"]["key"])).alias("border")))
+    at = at.select("doc_id", "table_path", "row", "cell", decoded.alias("sides"))
+    def of(side: str) -> Column:
+        return F.get(F.filter("sides", lambda x: x["side"] == side), F.lit(0))["border"].alias(side)
+
+    return at.select("doc_id", "table_path", "row", "cell", *map(of, SIDES))
 
 
 def compatibility(properties: DataFrame) -> DataFrame:

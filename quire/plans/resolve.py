@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-DEFAULT_SIZE = 10.0
-NO_DEFAULTS_SIZE = 11.0
 TOGGLES = ("b", "i", "caps", "vanish")
 
 
@@ -33,23 +33,6 @@ def default_styles(styles: DataFrame) -> DataFrame:
     return styles.filter("is_default").groupBy("doc_id", "kind").agg(F.max_by("style_id", "ord").alias("style_id"))
 
 
-def effective_fonts(inlines: DataFrame, blocks: DataFrame, styles: DataFrame) -> DataFrame:
-    """Runs with their resolved b, i, caps, vanish and size: direct, else styles, else the document's defaults.
-
-    A toggle that both the paragraph's and the character's style declare is their difference.
-    """
-    fonts = style_fonts(styles)
-    fallback = default_styles(styles).filter("kind = 'paragraph'").select("doc_id", F.col("style_id").alias("_normal"))
-    defaults = styles.filter("kind = 'defaults'").select("doc_id", *[F.col(c).alias(f"d_{c}") for c in (*TOGGLES, "size")], F.lit(True).alias("_has"))
-    one = lambda p: fonts.select("doc_id", F.col("style_id").alias(f"_{p}"), *[F.col(c).alias(f"{p}_{c}") for c in (*TOGGLES, "size")])
-    runs = inlines.filter("kind = 'Run'").join(blocks.select("doc_id", F.col("path").alias("block_path"), "style_id"), ["doc_id", "block_path"])
-    runs = runs.join(fallback, "doc_id", "left").withColumn("_p", F.coalesce("style_id", "_normal")).withColumn("_c", F.col("char_style"))
-    full = runs.join(one("p"), ["doc_id", "_p"], "left").join(one("c"), ["doc_id", "_c"], "left").join(defaults, "doc_id", "left")
-    toggles = [F.coalesce(F.col(t), S.combine_toggle(F.col(f"d_{t}"), F.col(f"p_{t}"), F.col(f"c_{t}"))).alias(t) for t in TOGGLES]
-    size = F.coalesce("size", "c_size", "p_size", "d_size", F.when(F.col("_has"), DEFAULT_SIZE).otherwise(NO_DEFAULTS_SIZE)).alias("size")
-    return full.select("doc_id", "part_name", "block_path", "ord", "text", "rid", "anchor", *toggles, size)
-
-
 def sections(blocks: DataFrame) -> DataFrame:
     """Top-level blocks with the number of their section: one more than the sections that ended before."""
     w = Window.partitionBy("doc_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,8 +53,8 @@ def header_assignment(references: DataFrame, relationships: DataFrame) -> DataFr
 
 def visible(inlines: DataFrame) -> DataFrame:
     """Runs outside field instructions. Each field has its own state, code or result; stray marks are ignored."""
-    token = F.struct(F.col("ord"), F.col("kind"), F.col("text"), F.col("rid"), F.col("anchor"), F.col("caps"), F.col("vanish"))
-    lists = inlines.groupBy("doc_id", "part_name", "block_path").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
+    token = F.struct("ord", "kind", "text", "rid", "anchor", "char_style", "caps", "smallCaps", "vanish")
+    lists = inlines.groupBy("doc_id", "part_name", "block_path").agg(F.sort_array(F.collect_list(token)).alias("tokens"), F.first("paragraph_style").alias("paragraph_style"), F.first("table_style").alias("table_style"))
     kept = lists.schema["tokens"].dataType.simpleString()
 
     def step(state: Column, t: Column) -> Column:
@@ -89,7 +72,8 @@ def visible(inlines: DataFrame) -> DataFrame:
     # paragraphs without fields keep their runs without the fold
     plain = F.filter("tokens", lambda t: t["kind"] == "Run")
     runs = F.when(F.exists("tokens", lambda t: t["kind"] == "FieldStart"), F.aggregate("tokens", start, step, lambda s: s["out"])).otherwise(plain)
-    return lists.select("doc_id", "part_name", "block_path", F.explode_outer(runs).alias("t")).filter(F.col("t").isNotNull()).select("doc_id", "part_name", "block_path", "t.*")
+    keys = ("doc_id", "part_name", "block_path", "paragraph_style", "table_style")
+    return lists.select(*keys, F.explode_outer(runs).alias("t")).filter(F.col("t").isNotNull()).select(*keys, "t.*")
 
 
 def headings(blocks: DataFrame, styles: DataFrame) -> DataFrame:
@@ -146,26 +130,30 @@ def numbered(n: int, style: int) -> str:
     return str(n)
 
 
+_PLACE = re.compile("%([0-9])")
+
+
 def _label_fold(table: pa.Table) -> pa.Table:
     """The labels of one document's items, in their order."""
     counters: dict[int, dict[int, int]] = {}
-    shown: dict[int, dict[int, str]] = {}
     labels = []
     rows = table.to_pylist()
     rows.sort(key=lambda r: r["path"])
     for r in rows:
-        label, level = r["number_format"], r["level"]
-        if r["number_style"] not in BULLETS:
-            own, text = counters.setdefault(r["list_id"], {}), shown.setdefault(r["list_id"], {})
-            for deeper in [k for k in own if k > level]:
-                del own[deeper], text[deeper]
-            own[level] = own[level] + 1 if level in own else max(r["start_at"], 1)
-            # a counter is written once, in its own level's style; deeper labels reuse the text
-            text[level] = numbered(own[level], r["number_style"])
-            for k in range(9):
-                if f"%{k + 1}" in label:
-                    label = label.replace(f"%{k + 1}", text.get(k, "0"))
-        labels.append(label)
+        level, styles = r["level"], r["styles"]
+        if r["number_style"] in BULLETS:
+            labels.append(r["number_format"])
+            continue
+        own = counters.setdefault(r["list_id"], {})
+        for deeper in [k for k in own if k > level]:
+            del own[deeper]
+        own[level] = own[level] + 1 if level in own else max(r["start_at"], 1)
+
+        def shown(m: re.Match[str], own: dict[int, int] = own, r: dict = r, styles: list[int] = styles) -> str:
+            k = int(m[1]) - 1
+            return numbered(own.get(k, 0), styles[k] if 0 <= k < len(styles) else r["number_style"])
+
+        labels.append(_PLACE.sub(shown, r["number_format"] or "%1."))
     columns = {c: [r[c] for r in rows] for c in ("doc_id", "path", "list_id", "level")}
     kinds = (pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32())
     return pa.table([*(pa.array(v, k) for v, k in zip(columns.values(), kinds, strict=True)), pa.array(labels, pa.string())], [*columns, "label"])
@@ -174,11 +162,13 @@ def _label_fold(table: pa.Table) -> pa.Table:
 def list_labels(items: DataFrame, levels: DataFrame) -> DataFrame:
     """Items (doc_id, path, list_id, level) with their label. A counter starts at its level's start, 1 at least, and
     again after any item of a shallower level; bullets show their text and move no counter; a level beyond the last is
-    the last. An ancestor that has not counted yet shows 0. A document's items are folded in one pass.
+    the last. A level without a format shows its first counter and a point. A counter is written in the style of its own
+    level; one that has not counted is 0, which letters and roman numerals do not show. A document's items are folded
+    in one pass.
     """
-    last = levels.groupBy("doc_id", "list_id").agg(F.max("level").alias("_last"))
+    last = levels.groupBy("doc_id", "list_id").agg(F.max("level").alias("_last"), F.transform(F.sort_array(F.collect_list(F.struct("level", "number_style"))), lambda x: x["number_style"]).alias("styles"))
     at = items.join(last, ["doc_id", "list_id"]).withColumn("level", F.least("level", "_last")).join(levels, ["doc_id", "list_id", "level"])
-    at = at.select("doc_id", "path", "list_id", "level", "number_style", "number_format", "start_at")
+    at = at.select("doc_id", "path", "list_id", "level", "number_style", "number_format", "start_at", "styles")
     return at.groupBy("doc_id").applyInArrow(_label_fold, "doc_id long, path array<int>, list_id int, level int, label string")
 
 
@@ -255,14 +245,6 @@ def reachable_parts(relationships: DataFrame, start: str | None = None) -> DataF
     return rel.groupBy("doc_id").applyInArrow(walk, "doc_id long, part_name string")
 
 
-def border_winner(a: Column, b: Column) -> Column:
-    """Of two borders that meet (line_style, width, color) the one that shows: any against none, then the wider, then the
-    higher style code, then the first."""
-    none = lambda x: x.isNull() | (x["line_style"] == 0)
-    later = (b["width"] > a["width"]) | ((b["width"] == a["width"]) & (b["line_style"] > a["line_style"]))
-    return F.when(none(b), a).when(none(a) | later, b).otherwise(a)
-
-
 def pure_page_breaks(visible_: DataFrame, images: DataFrame) -> DataFrame:
     """(doc_id, part_name, block_path) of paragraphs with form feeds and otherwise only blanks, and without pictures."""
     shown = visible_.filter(~F.coalesce("vanish", F.lit(False))).groupBy("doc_id", "part_name", "block_path")

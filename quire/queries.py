@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import links
 from .functions import scalars as S
 from .operators import edit, pdf
 from .operators.extract import Corpus
-from .plans import conditions, identity, properties, resolve
+from .plans import cascade, identity, properties, resolve
 from .sources import legacy, package
 from .sources.builder import make_packages
 
@@ -51,7 +52,10 @@ def _plain(row: dict) -> dict:
 _LINE = "SELECT doc_id, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents"
 
 
-@query("SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM (" + _LINE + ") WHERE line <> '' GROUP BY doc_id")
+_TEXT = "SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE line <> ''), '') AS text FROM (" + _LINE + ") GROUP BY doc_id"
+
+
+@query(_TEXT)
 def plain_text(spark, d):
     return _corpus(_texts(spark, d), _plain).text()
 
@@ -84,7 +88,7 @@ def bold_char_share(spark, d):
     def describe(row):
         return {"blocks": [{"runs": [{"t": x, "b": True if k % 2 else None}]} for k, x in enumerate(_lines(row))]}
 
-    runs = _corpus(_texts(spark, d), describe).fonts()
+    runs = _corpus(_texts(spark, d), describe).fonts("b")
     return runs.groupBy("doc_id").agg(F.sum(F.when(F.col("b"), F.length("text")).otherwise(0)).cast("long").alias("bold_chars"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
@@ -107,7 +111,7 @@ def _styled(row: dict) -> dict:
 @query(f"""SELECT doc_id, coalesce(rb, CASE WHEN pb AND cb THEN p_size % 13 = 0 OR false WHEN cb THEN true WHEN pb THEN true ELSE p_size % 13 = 0 END) AS bold, true AS italic,
 CASE WHEN p_size % 11 = 0 THEN 20 WHEN p_size % 10 = 0 THEN 14 WHEN p_size % 4 = 0 THEN 12 WHEN p_size % 6 = 0 THEN 9 ELSE 10 END::DOUBLE AS size FROM ({_PART})""")
 def effective_font(spark, d):
-    runs = _corpus(_table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), "p_size"), _styled).fonts()
+    runs = _corpus(_table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), "p_size"), _styled).fonts("b", "i", "size")
     return runs.select("doc_id", F.col("b").alias("bold"), F.col("i").alias("italic"), "size")
 
 
@@ -233,13 +237,14 @@ def hyperlinks(spark, d):
     return _corpus(_table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url"), _linked).links().select("doc_id", "text", "url")
 
 
-@query("SELECT page_id AS doc_id, '[page \\[1\\]](' || replace(coalesce(url, '') || '#top', '&', '&amp;') || ')' AS markup FROM pages")
+@query(r"""SELECT page_id AS doc_id, '[page \[1\]](' || CASE WHEN regexp_matches(u, '\s') THEN '<' || regexp_replace(u, '([<>])', '\\\1', 'g') || '>'
+ELSE regexp_replace(u, '([()<>])', '\\\1', 'g') END || ')' AS markup FROM (SELECT page_id, regexp_replace(coalesce(url, '') || '#top', '([\\&])', '\\\1', 'g') AS u FROM pages)""")
 def link_markup(spark, d):
-    links = _corpus(_table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url"), _linked).links()
-    return links.select("doc_id", S.link_markup(F.col("text"), F.col("url")).alias("markup"))
+    found = _corpus(_table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url"), _linked).links()
+    return found.select("doc_id", links.markup(F.col("text"), F.col("url")).alias("markup"))
 
 
-@query(f"SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM ({_LINE}) WHERE line <> '' GROUP BY doc_id")
+@query(_TEXT)
 def field_visibility(spark, d):
     def describe(row):
         inner = [{"field": " DATE ", "t": "1 May"}]
@@ -444,8 +449,8 @@ SELECT doc_id, r AS "row", k::INT AS cell, CASE WHEN r = 0 THEN ['nwCell', 'firs
 ELSE ['firstCol', CASE WHEN r % 2 = 1 THEN 'band1Horz' ELSE 'band2Horz' END, 'lastCol'][k + 1] END AS region FROM c, (SELECT unnest([0, 1, 2]) AS k)""")
 def conditional_regions(spark, d):
     docs = _table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
-    c = _corpus(docs, lambda row: {"blocks": [{"table": [[{"t": "x"}] * 3] * row["n"]}]})
-    return conditions.cell_regions(c.cells).select("doc_id", "row", "cell", F.element_at("regions", -1).alias("region"))
+    c = _corpus(docs, lambda row: {"blocks": [{"table": [[{"t": "x"}] * 3] * row["n"], "tblpr": '<w:tblLook w:val="01E0"/>'}]})
+    return cascade.cell_regions(c.cells, cascade.table_frames(c.blocks, c.properties, c.styles)).select("doc_id", "row", "cell", F.element_at("regions", -1).alias("region"))
 
 
 def _binary(batches):
@@ -589,10 +594,7 @@ def merged_tab_stops(spark, d):
         own = {1: '<w:tabs><w:tab w:val="clear" w:pos="1440"/></w:tabs>', 2: '<w:tabs><w:tab w:val="left" w:pos="2160"/></w:tabs>'}.get(n % 3, "<w:keepNext/>")
         return {"styles": [{"id": "S", "name": "S", "ppr": '<w:tabs><w:tab w:val="left" w:pos="720"/><w:tab w:val="left" w:pos="1440"/></w:tabs>'}], "blocks": [{"style": "S", "runs": [{"t": "x"}], "ppr": own}]}
 
-    p = _parts_of(spark, d, describe).properties
-    layer = lambda owner, rank: properties.paragraph_formats(p, owner).select(F.col("doc_id").alias("key"), F.lit(rank).alias("rank"), "tab_stops")
-    merged = properties.merged_tabs(layer("style_paragraph", 0).union(layer("paragraph", 1)))
-    return merged.select(F.col("key").alias("doc_id"), F.col("tab_stops.position").alias("positions"))
+    return _parts_of(spark, d, describe).paragraph_formats().select("doc_id", F.col("tab_stops.position").alias("positions"))
 
 
 @query(f"""SELECT doc_id, 1 AS list_id, k::INT AS level, CASE k WHEN 0 THEN 0 ELSE 23 END::INT AS number_style, (CASE k WHEN 0 THEN CASE WHEN n % 2 = 0 THEN n ELSE 3 END ELSE 0 END)::INT AS start_at,
@@ -673,7 +675,7 @@ def font_registrations(spark, d):
 @query("""SELECT page_id AS doc_id, k::INT AS place, CASE k WHEN 0 THEN 'see ' WHEN 1 THEN 'a]b' ELSE ' end' END AS text, CASE WHEN k = 1 THEN 'http://h/' || page_id || '(x) y' END AS url FROM pages, (SELECT unnest(range(3)) AS k)""")
 def link_segments(spark, d):
     text = F.concat(F.lit("see [a\\]b](<http://h/"), F.col("page_id"), F.lit("(x) y> \"title\") end"))
-    return _table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(S.link_segments(text)).alias("place", "s")).select("doc_id", "place", "s.text", "s.url")
+    return _table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(links.segments(text)).alias("place", "s")).select("doc_id", "place", "s.text", "s.url")
 
 
 @query(f"SELECT doc_id, 1 AS place FROM ({_N}) WHERE n % 3 = 1")
@@ -732,15 +734,18 @@ def mark_order(spark, d):
     return _parts_of(spark, d, describe).main.select("doc_id", F.col("ord").alias("place"), "kind", "text")
 
 
-@query(f"SELECT doc_id, k::INT AS \"column\", CASE k WHEN 0 THEN CASE WHEN n % 2 = 0 THEN 10.0 ELSE n END WHEN 1 THEN 20.0 ELSE 0.0 END::DOUBLE AS width FROM ({_N}), (SELECT unnest(range(3)) AS k)")
+@query(f"""WITH c AS (SELECT doc_id, n, unnest([n::DOUBLE, 22.5, 22.5]) AS w, unnest(range(3)) AS k FROM ({_N})),
+t AS (SELECT doc_id, k, CASE WHEN n % 2 = 0 THEN least(200.0, 100.0) ELSE 200.0 * 0.5 END AS room, w, n FROM c)
+SELECT doc_id, k::INT AS "column", round(CASE WHEN k = 0 AND n % 3 = 0 THEN CASE WHEN 45.0 + greatest(room - 45.0, room / 3) > room THEN greatest(room - 45.0, room / 3) * room / (45.0 + greatest(room - 45.0, room / 3)) ELSE greatest(room - 45.0, room / 3) END
+WHEN n % 3 = 0 THEN CASE WHEN 45.0 + greatest(room - 45.0, room / 3) > room THEN w * room / (45.0 + greatest(room - 45.0, room / 3)) ELSE w END
+WHEN n + 45.0 > room THEN w * room / (n + 45.0) ELSE w END, 6) AS width FROM t""")
 def column_widths(spark, d):
     def describe(n):
         wide = lambda w: f'<w:tcW w:type="dxa" w:w="{w}"/>'
-        rows = [[{"t": "x", "tcpr": wide(n * 20)}, {"t": "x", "span": 2, "tcpr": wide(900)}], [{"t": "x", "span": 2}, {"t": "x"}], [{"t": "x"}, {"t": "x", "tcpr": wide(400)}, {"t": "x"}]]
-        return {"blocks": [{"table": rows, "grid": [200 if n % 2 == 0 else 0]}]}
+        rows = [[{"t": "x", "tcpr": wide(n * 20) if n % 3 else ""}, {"t": "x", "span": 2, "tcpr": wide(900)}], [{"t": "x", "span": 2}, {"t": "x"}], [{"t": "x"}, {"t": "x", "tcpr": wide(400)}, {"t": "x", "tcpr": '<w:tcW w:type="pct" w:w="5000"/>'}]]
+        return {"blocks": [{"table": rows, "grid": [200], "tblpr": '<w:tblW w:type="dxa" w:w="2000"/>' if n % 2 == 0 else '<w:tblW w:type="pct" w:w="2500"/>'}]}
 
-    c = _parts_of(spark, d, describe)
-    return properties.column_widths(properties.table_formats(c.properties), c.cells, properties.cell_formats(c.properties)).select("doc_id", "column", "width")
+    return _parts_of(spark, d, describe).column_widths(200.0).select("doc_id", "column", F.round("width", 6).alias("width"))
 
 
 @query("""SELECT p_partkey, p_size * 1.4 * CASE p_size % 3 WHEN 2 THEN 1.5 ELSE 1 END AS natural, CASE p_size % 4 WHEN 0 THEN p_size * 36.0 WHEN 1 THEN p_size / 2.0 WHEN 2 THEN p_size::DOUBLE ELSE 0.0 END::DOUBLE AS measure,
@@ -774,13 +779,21 @@ def signed_documents(spark, d):
     return out.join(edit.missing_words(parts, ["old", "absent"]).select("doc_id", F.col("word").alias("missing")), "doc_id", "left")
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 1 END::INT AS line_style FROM part")
+@query(f"""WITH c AS (SELECT doc_id, n, r, k FROM ({_N}), (SELECT unnest(range(2)) AS r), (SELECT unnest(range(2)) AS k)),
+s AS (SELECT *, unnest(['top', 'bottom', 'left', 'right']) AS side FROM c),
+o AS (SELECT *, CASE side WHEN 'top' THEN r = 0 WHEN 'bottom' THEN r = 1 WHEN 'left' THEN k = 0 ELSE k = 1 END AS rim FROM s)
+SELECT doc_id, r::INT AS "row", k::INT AS cell, side, CASE WHEN r = 0 AND k = 0 AND side = 'top' AND n % 2 = 0 THEN 6
+WHEN n % 3 = 0 THEN CASE WHEN rim AND side = 'top' THEN 2 END WHEN n % 3 = 1 THEN CASE WHEN NOT rim AND side IN ('left', 'right') THEN 1 END END::INT AS line_style FROM o""")
 def border_conflict(spark, d):
-    n = F.col("p_size") % 4
-    side = lambda style, width: F.struct(F.lit(style).alias("line_style"), F.lit(width).cast("double").alias("width"), F.lit("").alias("color"))
-    a = F.when(n == 0, side(0, 9)).when(n == 1, side(1, 2)).when(n == 2, side(1, 1)).otherwise(side(1, 1))
-    b = F.when(n == 0, side(2, 1)).when(n == 1, side(2, 1)).when(n == 2, side(2, 1)).otherwise(F.lit(None))
-    return _table(spark, d, "part").select("p_partkey", resolve.border_winner(a, b)["line_style"].alias("line_style"))
+    def describe(n):
+        styles = [{"id": "Base", "name": "Base", "kind": "table", "more": '<w:tblPr><w:tblBorders><w:insideV w:val="single" w:sz="4"/></w:tblBorders></w:tblPr>'}, {"id": "T", "name": "T", "kind": "table", "base": "Base"}]
+        own = {0: '<w:tblStyle w:val="T"/><w:tblBorders><w:top w:val="thick" w:sz="8"/><w:insideV w:val="none"/></w:tblBorders>', 1: '<w:tblStyle w:val="T"/>', 2: ""}[n % 3]
+        first = {"t": "x", "tcpr": '<w:tcBorders><w:top w:val="dotted" w:sz="4"/><w:left w:val="nil"/></w:tcBorders>' if n % 2 == 0 else ""}
+        return {"styles": styles, "blocks": [{"table": [[first, {"t": "x"}], [{"t": "x"}, {"t": "x"}]], "tblpr": own}]}
+
+    b = _parts_of(spark, d, describe).cell_borders()
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}.line_style").alias("line_style")) for s in properties.SIDES])
+    return b.select("doc_id", "row", "cell", F.inline(sides))
 
 
 @query(f"SELECT doc_id, ceil((n * 3) / {pdf.LINES}.0)::BIGINT AS pages FROM ({_N})")

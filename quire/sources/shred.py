@@ -73,29 +73,31 @@ def _fields(columns: str) -> list[tuple[str, pa.DataType]]:
     return [(n, _KINDS[k]) for n, k in (c.split(" ") for c in columns.split(", "))]
 
 
-def everything(packages: DataFrame) -> DataFrame:
-    """All node tables of packages (doc_id, content) in one: doc_id, node (the table) and a struct for each table."""
-    kinds = {name: pa.struct(_fields(columns)) for name, (columns, _) in TABLES.items()}
-    schema = "doc_id long, node string, " + ", ".join(f"{name} struct<{', '.join(c.replace(' ', ': ', 1) for c in columns.split(', '))}>" for name, (columns, _) in TABLES.items())
-    names = ["doc_id", "node", *TABLES]
+def everything(packages: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """Node tables of packages (doc_id, content), all or those wanted, in one: doc_id, node (the table), a struct for each table."""
+    tables = {n: t for n, t in TABLES.items() if wanted is None or n in wanted}
+    kinds = {name: pa.struct(_fields(columns)) for name, (columns, _) in tables.items()}
+    schema = "doc_id long, node string, " + ", ".join(f"{name} struct<{', '.join(c.replace(' ', ': ', 1) for c in columns.split(', '))}>" for name, (columns, _) in tables.items())
+    names = ["doc_id", "node", *tables]
 
     def batch(node: str, ids: list[int], rows: list[tuple]) -> pa.RecordBatch:
-        own = [pa.array(list(c), k) for c, (_, k) in zip(zip(*rows, strict=True), _fields(TABLES[node][0]), strict=True)]
+        own = [pa.array(list(c), k) for c, (_, k) in zip(zip(*rows, strict=True), _fields(tables[node][0]), strict=True)]
         struct = pa.StructArray.from_arrays(own, fields=list(kinds[node]))
         columns = [pa.array(ids, pa.int64()), pa.array([node] * len(ids)), *(struct if n == node else pa.nulls(len(ids), k) for n, k in kinds.items())]
         return pa.record_batch(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list[int], list[tuple]]] = {n: ([], []) for n in TABLES}
+        held: dict[str, tuple[list[int], list[tuple]]] = {n: ([], []) for n in tables}
         for b in batches:
             for doc_id, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
                     opened = Package(packages_.load(content.as_py() or b""))
                 except ValueError as e:
-                    held["load_errors"][0].append(doc_id)
-                    held["load_errors"][1].append((str(e),))
+                    if "load_errors" in held:
+                        held["load_errors"][0].append(doc_id)
+                        held["load_errors"][1].append((str(e),))
                     continue
-                for node, (_, rows_of) in TABLES.items():
+                for node, (_, rows_of) in tables.items():
                     ids, rows = held[node]
                     before = len(rows)
                     rows.extend(rows_of(opened))
@@ -116,6 +118,12 @@ def load_errors(_: Package) -> Iterator[tuple]:
     return iter(())
 
 
+@table("main_part string")
+def loaded(p: Package) -> Iterator[tuple]:
+    """Packages that could be opened, whether or not they hold anything."""
+    yield (p.main,)
+
+
 def on_off(parent: xml.Element | None, tag: str) -> bool | None:
     """Null if absent; true if present, unless its value says off."""
     e = None if parent is None else parent.find(W + tag)
@@ -175,10 +183,10 @@ def chain(style_id: str | None, bases: dict[str, str | None]) -> list[str]:
     return out
 
 
-STYLE_FLAGS = ("b", "i", "caps", "vanish")
+STYLE_FLAGS = ("b", "i", "caps", "smallCaps", "vanish")
 
 
-@table("style_id string, name string, kind string, base_id string, is_default boolean, ord int, outline int, num_id int, b boolean, i boolean, caps boolean, vanish boolean, size double, chain array<string>, next_id string, priority int, quick boolean, hidden boolean, custom boolean, num_level int")
+@table("style_id string, name string, kind string, base_id string, is_default boolean, ord int, outline int, num_id int, b boolean, i boolean, caps boolean, smallCaps boolean, vanish boolean, size double, chain array<string>, next_id string, priority int, quick boolean, hidden boolean, custom boolean, num_level int")
 def styles(p: Package) -> Iterator[tuple]:
     """Styles with what they declare and the chain of their bases; the document defaults are the row of kind ``defaults``."""
     def font(e: xml.Element | None) -> tuple:
@@ -227,7 +235,7 @@ def list_levels(p: Package) -> Iterator[tuple]:
                 number = None if left is None else (left - (hanging or 0)) / 20
                 text = left / 20 if left is not None and (hanging is not None or first is not None) else 0.0 if first is not None and left is None else None
                 yield (
-                    whole(n.get(W + "numId")), whole(k), NUMBER_FORMATS.get(level.val("numFmt") or "decimal", 0), level.val("lvlText") or "", start,
+                    whole(n.get(W + "numId")), whole(k), 23 if level.val("numFmt") is None else NUMBER_FORMATS.get(level.val("numFmt"), 0), level.val("lvlText") or "", start,
                     level.val("lvlJc"), level.val("suff") or "tab", whole(level.val("lvlRestart")), number, text, several)
 
 
@@ -250,30 +258,46 @@ def _body(root: xml.Element) -> xml.Element:
     return root.find(W + "body") or root
 
 
-def _blocks(parent: xml.Element, path: list[int]) -> Iterator[tuple[list[int], xml.Element]]:
-    """Paragraphs and tables in document order; a cell's content has the path of its table, then row, cell, place."""
+def _placed(parent: xml.Element, path: list[int], style: str | None) -> Iterator[tuple[list[int], xml.Element, str | None]]:
+    """Paragraphs and tables in document order, each with the style that its innermost table, or a table itself, names;
+    a cell's content has the path of its table, then row, cell, place."""
     place = 0
     for c in _unwrapped(parent):
         if c.tag in (W + "p", W + "tbl"):
             here = [*path, place]
             place += 1
-            yield here, c
-            if c.tag == W + "tbl":
-                for r, row in enumerate(x for x in _unwrapped(c) if x.tag == W + "tr"):
-                    for k, cell in enumerate(x for x in _unwrapped(row) if x.tag == W + "tc"):
-                        yield from _blocks(cell, [*here, r, k])
+            if c.tag == W + "p":
+                yield here, c, style
+                continue
+            props = c.find(W + "tblPr")
+            own = (None if props is None else props.val("tblStyle")) or None
+            yield here, c, own
+            for r, row in enumerate(x for x in _unwrapped(c) if x.tag == W + "tr"):
+                for k, cell in enumerate(x for x in _unwrapped(row) if x.tag == W + "tc"):
+                    yield from _placed(cell, [*here, r, k], own)
+
 
+def _blocks(parent: xml.Element, path: list[int]) -> Iterator[tuple[list[int], xml.Element]]:
+    for here, e, _ in _placed(parent, path, None):
+        yield here, e
+
+
+def _paragraph_style(e: xml.Element) -> str | None:
+    own = e.find(W + "pPr") if e.tag == W + "p" else None
+    return (None if own is None else own.val("pStyle")) or None
 
-@table("part_name string, path array<int>, node_type string, style_id string, outline int, list_id int, level int, ends_section boolean")
+
+@table("part_name string, path array<int>, node_type string, style_id string, outline int, list_id int, level int, ends_section boolean, table_style string")
 def blocks(p: Package) -> Iterator[tuple]:
-    """Paragraphs and tables of the main story, with what paragraphs declare; ends_section marks a section's last."""
+    """Paragraphs and tables of the main story, with what paragraphs declare; ends_section marks a section's last.
+    table_style is what the innermost table around a paragraph, or a table itself, names."""
     for name, root in p.of("main"):
-        for path, e in _blocks(_body(root), []):
+        for path, e, table_style in _placed(_body(root), [], None):
             own = e.find(W + "pPr") if e.tag == W + "p" else None
             num = None if own is None else own.find(W + "numPr")
             yield (
                 name, path, "Paragraph" if e.tag == W + "p" else "Table", None if own is None else own.val("pStyle"), whole(None if own is None else own.val("outlineLvl")),
-                None if num is None else whole(num.val("numId")) or 0, whole(None if num is None else num.val("ilvl")), own is not None and own.find(W + "sectPr") is not None)
+                None if num is None else whole(num.val("numId")) or 0, whole(None if num is None else num.val("ilvl")), own is not None and own.find(W + "sectPr") is not None, table_style)
 
 
 def _sections(root: xml.Element) -> Iterator[xml.Element]:
@@ -355,8 +379,8 @@ def properties(p: Package) -> Iterator[tuple]:
             ident = s.get(W + "styleId")
             for owner, tag in (("style_paragraph", "pPr"), ("style_run", "rPr"), ("style_table", "tblPr"), ("style_row", "trPr"), ("style_cell", "tcPr")):
                 yield from row(owner, name, None, None, ident, _flat(s.find(W + tag), ("rPr",) if tag == "pPr" else ()))
-            for x in s.all(W + "tblStylePr"):
-                yield from row("style_region", name, None, None, f"{ident}:{x.get(W + 'type')}", _flat(x))
+            for k, x in enumerate(s.all(W + "tblStylePr")):
+                yield from row("style_region", name, None, k, f"{ident}:{x.get(W + 'type')}", _flat(x))
         d = root.find(W + "docDefaults")
         for owner, tag, inner in (("default_run", "rPrDefault", "rPr"), ("default_paragraph", "pPrDefault", "pPr")):
             x = None if d is None else d.find(W + tag)
@@ -447,7 +471,7 @@ def _inlines(parent: xml.Element, rid: str | None, anchor: str | None) -> Iterat
         elif tag in ("ins", "smartTag", "fldSimple"):
             yield from _inlines(c, rid, anchor)
         elif tag in ("bookmarkStart", "bookmarkEnd"):
-            yield ("BookmarkStart" if tag == "bookmarkStart" else "BookmarkEnd", c.get(W + "name"), c.get(W + "id"), *[None] * 9), None
+            yield ("BookmarkStart" if tag == "bookmarkStart" else "BookmarkEnd", c.get(W + "name"), c.get(W + "id"), *[None] * 10), None
         elif tag == "r":
             own = c.find(W + "rPr")
             props = (None if own is None else own.val("rStyle"), *(on_off(own, t) for t in STYLE_FLAGS), half_points(None if own is None else own.val("sz")), own)
@@ -474,14 +498,15 @@ def _inlines(parent: xml.Element, rid: str | None, anchor: str | None) -> Iterat
                 yield ("Run", text, None, rid, anchor, *props), None
 
 
-@table("part_name string, block_path array<int>, ord int, kind string, text string, ident string, rid string, anchor string, char_style string, b boolean, i boolean, caps boolean, vanish boolean, size double, role string")
+@table("part_name string, block_path array<int>, ord int, kind string, text string, ident string, rid string, anchor string, char_style string, b boolean, i boolean, caps boolean, smallCaps boolean, vanish boolean, size double, role string, paragraph_style string, table_style string")
 def inlines(p: Package) -> Iterator[tuple]:
     """Runs and marks of paragraphs in order: Run, FieldStart, FieldSeparator, FieldEnd, BookmarkStart, BookmarkEnd, NoteReference, CommentMarker, Drawing."""
     for name, root in p.of(*STORY):
-        for path, e in _blocks(_body(root), []):
+        for path, e, table_style in _placed(_body(root), [], None):
             if e.tag == W + "p":
+                style = _paragraph_style(e)
                 for k, (x, _) in enumerate(_inlines(e, None, None)):
-                    yield (name, path, k, *x[:-1], p.roles[name])
+                    yield (name, path, k, *x[:-1], p.roles[name], style, table_style)
 
 
 @table("part_name string, block_path array<int>, ord int, kind string, rid string, alternative_text string, name string, width double, height double, x double, y double, horizontal_from string, vertical_from string, wrap string, behind boolean")

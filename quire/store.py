@@ -38,9 +38,9 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back."""
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, in a folder for each value of the columns ``by``, read back."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path, compression="zstd")
+    df.write.parquet(path, compression="zstd", partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import links
 from quire.functions import scalars as S
 from quire.operators import edit
 from quire.operators.extract import Corpus
@@ -105,7 +106,7 @@ def test_scalars(spark):
     jpeg = bytes.fromhex("FFD8FFE000104A46494600010100000100010000FFC0001108000A0014030122")
     assert one(S.jpeg_size(F.lit(jpeg))).asDict() == {"width": 20, "height": 10}
     assert [one(S.canonical_style_name(F.lit(n))) for n in ("toa heading", "table of figures", "MyOwn", "macro", "toc 1")] == ["TOA Heading", "Table of Figures", "MyOwn", "Macro Text", "TOC 1"]
-    assert one(S.link_segments(F.lit("no links")))[0]["text"] == "no links"
+    assert one(links.segments(F.lit("no links")))[0]["text"] == "no links"
 
 
 def test_outline_of_many_levels(spark):
