@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans import cascade, properties, resolve
+from ..plans import annotations, cascade, properties, resolve
 from ..sources import package, shred
 from ..store import written
 
@@ -147,6 +147,20 @@ class Corpus:
         sizes = cascade.cell_sizes(self.cells, self.blocks, self.properties, self.theme_slots, self.styles) if "size" in wanted and not self.cells.isEmpty() else None
         return cascade.run_fonts(self.main, self.properties, self.theme_slots, self.styles, sizes, wanted)
 
+    def node_elements(self) -> DataFrame:
+        """Every element of the stories and styles with its interval and its bytes; see plans.tree and operators.splice."""
+        return self.shred("elements").elements
+
+    def comment_dates(self, zone: str) -> DataFrame:
+        """(doc_id, comment_id, date_utc, modern) of comments; dates without an offset of their own are of ``zone``."""
+        self.shred("comment_paragraphs", "comment_records", "relationships")
+        return annotations.comment_dates(self.comment_paragraphs, self.comment_records, self.relationships, zone)
+
+    def annotation_faults(self) -> DataFrame:
+        """(doc_id, identifier, fault): what is wrong with comments, their marks and replies."""
+        self.shred("annotation_marks", "stories", "threads")
+        return annotations.comment_faults(self.annotation_marks, self.stories, self.threads)
+
     def export(self) -> DataFrame:
         """(doc_id, json): blocks of the body in order with location, type, text, style, heading level, list, runs with their
         links, note references and images; of tables the rows of cells with their merges and text."""

@@ -152,7 +152,7 @@ def build(doc: dict[str, Any]) -> list[tuple[str, bytes]]:
         if entries:
             w.rel(kind, f"{kind}.xml")
             overrides.append((f"word/{kind}.xml", WML + f"{kind}+xml"))
-            body = "".join(f'<w:{item} w:id="{e["id"]}"{f" w:author=\"{escape(e["author"])}\"" if e.get("author") else ""}>{w.paragraph({"runs": [{"t": e["t"]}], "para_id": e.get("para_id")})}</w:{item}>' for e in entries)
+            body = "".join(f'<w:{item} w:id="{e["id"]}"{f" w:author=\"{escape(e["author"])}\"" if e.get("author") else ""}{f" w:date=\"{e["date"]}\"" if e.get("date") else ""}>{w.paragraph({"runs": [{"t": e["t"]}, *e.get("runs", [])], "para_id": e.get("para_id")})}</w:{item}>' for e in entries)
             extra.append((f"word/{kind}.xml", f"{HEAD}<w:{root} {NS}>{body}</w:{root}>"))
     if any(e.get("para_id") for e in doc.get("comments", [])):
         w.rel("commentsExtended", "commentsExtended.xml")
@@ -167,7 +167,7 @@ def build(doc: dict[str, Any]) -> list[tuple[str, bytes]]:
         extra.append((f"word/{name}.xml", f"{HEAD}<w:{tag} {NS}>{w.paragraph({'runs': [{'t': text}]})}</w:{tag}>"))
     # other parts of the main one as they are: settings, theme, fontTable
     for name, text in doc.get("raw_parts", {}).items():
-        w.rel(name, f"{name}.xml")
+        w.rel(doc.get("rel_types", {}).get(name, name), f"{name}.xml")
         extra.append((f"word/{name}.xml", HEAD + text))
     media = doc.get("media", {})
     for name in media:
@@ -178,7 +178,7 @@ def build(doc: dict[str, Any]) -> list[tuple[str, bytes]]:
 
     body = "".join(w.block({**b, "sect": named(b["sect"])} if "sect" in b else b) for b in doc["blocks"])
     body += w.section(named(doc.get("sect", {})))
-    rels = "".join(f'<Relationship Id="{i}" Type="{OFFICE}{k}" Target="{escape(t)}"{" TargetMode=\"External\"" if x else ""}/>' for i, k, t, x in w.rels)
+    rels = "".join(f'<Relationship Id="{i}" Type="{k if "//" in k else OFFICE + k}" Target="{escape(t)}"{" TargetMode=\"External\"" if x else ""}/>' for i, k, t, x in w.rels)
     space = "http://schemas.openxmlformats.org/package/2006/"
     types = "".join(f'<Override PartName="/{n}" ContentType="{t}"/>' for n, t in overrides)
     made = [

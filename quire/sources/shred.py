@@ -91,7 +91,9 @@ def everything(packages: DataFrame, wanted: tuple[str, ...] | None = None) -> Da
         for b in batches:
             for doc_id, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
-                    opened = Package(packages_.load(content.as_py() or b""))
+                    if not content.is_valid:
+                        raise ValueError("there is no content: the file was not read, or is over the limit")
+                    opened = Package(packages_.load(content.as_py()))
                 except ValueError as e:
                     if "load_errors" in held:
                         held["load_errors"][0].append(doc_id)
@@ -149,21 +151,21 @@ def half_points(value: str | None) -> float | None:
     return int(n) / 2 if n >= 0 else None
 
 
-@table("owner_part string, rid string, rel_type string, target string, external boolean, owner_role string")
+@table("owner_part string, rid string, rel_type string, target string, external boolean, owner_role string, ord int, type_uri string")
 def relationships(p: Package) -> Iterator[tuple]:
     """Internal targets are part names, null if outside the package."""
     for name, _ in p.parts:
         if name.endswith(".rels") and p.root(name) is not None:
             folder, _, base = name.rpartition("_rels/")
             owner = folder + base.removesuffix(".rels")
-            for r in p.root(name).all(xml.RELS + "Relationship"):
+            for k, r in enumerate(p.root(name).all(xml.RELS + "Relationship")):
                 external, target = r.get("TargetMode") == "External", r.get("Target") or ""
                 if not external:
                     try:
                         target = resolve_target(owner, target)
                     except ValueError:
                         target = None
-                yield owner, r.get("Id"), (r.get("Type") or "").rpartition("/")[2], target, external, p.roles.get(owner)
+                yield owner, r.get("Id"), (r.get("Type") or "").rpartition("/")[2], target, external, p.roles.get(owner), k, r.get("Type")
 
 
 @table("scope string, key string, type string")
@@ -470,6 +472,8 @@ def _inlines(parent: xml.Element, rid: str | None, anchor: str | None) -> Iterat
             yield from _inlines(c, c.get(xml.R + "id"), c.get(W + "anchor"))
         elif tag in ("ins", "smartTag", "fldSimple"):
             yield from _inlines(c, rid, anchor)
+        elif tag in ("commentRangeStart", "commentRangeEnd"):
+            yield ("CommentStart" if tag == "commentRangeStart" else "CommentEnd", None, c.get(W + "id"), *[None] * 10), None
         elif tag in ("bookmarkStart", "bookmarkEnd"):
             yield ("BookmarkStart" if tag == "bookmarkStart" else "BookmarkEnd", c.get(W + "name"), c.get(W + "id"), *[None] * 10), None
         elif tag == "r":
@@ -500,7 +504,8 @@ def _inlines(parent: xml.Element, rid: str | None, anchor: str | None) -> Iterat
 
 @table("part_name string, block_path array<int>, ord int, kind string, text string, ident string, rid string, anchor string, char_style string, b boolean, i boolean, caps boolean, smallCaps boolean, vanish boolean, size double, role string, paragraph_style string, table_style string")
 def inlines(p: Package) -> Iterator[tuple]:
-    """Runs and marks of paragraphs in order: Run, FieldStart, FieldSeparator, FieldEnd, BookmarkStart, BookmarkEnd, NoteReference, CommentMarker, Drawing."""
+    """Runs and marks of paragraphs in order: Run, FieldStart, FieldSeparator, FieldEnd, BookmarkStart, BookmarkEnd,
+    CommentStart, CommentEnd, NoteReference, CommentMarker, Drawing."""
     for name, root in p.of(*STORY):
         for path, e, table_style in _placed(_body(root), [], None):
             if e.tag == W + "p":
@@ -560,6 +565,98 @@ def stories(p: Package) -> Iterator[tuple]:
                 yield kind, e.get(W + "id"), e.get(W + "author"), text, paragraphs[-1].get(W14 + "paraId") if paragraphs else None, name, e.get(W + "date"), e.get(W + "initials")
 
 
+#: Elements that carry declarations; they and what is inside them are no nodes.
+PROPERTY_ROOTS = ("pPr", "rPr", "tblPr", "trPr", "tcPr", "sectPr", "tblGrid", "tblPrEx")
+# The kinds of nodes that elements are.
+NODE_KINDS = {
+    "document": "Document", "body": "Body", "hdr": "HeaderFooter", "ftr": "HeaderFooter", "p": "Paragraph", "r": "Run", "tbl": "Table", "tr": "Row", "tc": "Cell", "hyperlink": "Hyperlink",
+    "bookmarkStart": "BookmarkStart", "bookmarkEnd": "BookmarkEnd", "commentRangeStart": "CommentRangeStart", "commentRangeEnd": "CommentRangeEnd", "drawing": "Shape", "pict": "Shape",
+    "footnote": "Footnote", "endnote": "Footnote", "comment": "Comment", "sdt": "StructuredDocumentTag"}
+STORIES = (*STORY, "footnotes", "endnotes", "comments")
+
+
+@table("part_name string, role string, first int, last int, parent int, depth int, place int, kind string, tag string, qname string, text string, start int, inner_start int, inner_end int, end int, property boolean")
+def elements(p: Package) -> Iterator[tuple]:
+    """Every element of the stories and styles with its interval: it holds the elements numbered first + 1 to last. start to end
+    are its bytes in the part. property marks declarations and what is inside them."""
+    for name, body in p.parts:
+        if p.roles.get(name) not in (*STORIES, "styles"):
+            continue
+        try:
+            found = xml.spans(body)
+        except ValueError:
+            continue
+        until = -1
+        for e in found:
+            tag = _local(e.tag)
+            own = e.tag.startswith(W)
+            if own and tag in PROPERTY_ROOTS:
+                until = max(until, e.last)
+            kind = NODE_KINDS.get(tag, "Unknown") if own or tag == "pict" else "Unknown"
+            yield (
+                name, p.roles[name], e.first, e.last, e.parent, e.depth, e.place, kind, tag if own else e.tag, e.qname, e.text if own and tag in ("t", "instrText", "delText") else e.attrs.get(W + "styleId"),
+                e.start, e.inner_start, e.inner_end, e.end, e.first <= until)
+
+
+@table("part_name string, role string, place int, kind string, ident string, story_kind string, story_id string, reached boolean")
+def annotation_marks(p: Package) -> Iterator[tuple]:
+    """Every mark of notes and comments wherever it stands, in order; reached is whether reading a story's paragraphs
+    comes to it."""
+    # Marks that stand for annotations, and those that carry their number.
+    named = {"commentRangeStart": "start", "commentRangeEnd": "end", "commentReference": "reference", "footnoteReference": "footnoteReference", "endnoteReference": "endnoteReference"}
+    bare = {"annotationRef": "annotation", "footnoteRef": "footnoteRef", "endnoteRef": "endnoteRef", "separator": "separator", "continuationSeparator": "continuationSeparator"}
+    for name, root in p.of(*STORIES):
+        reached: set[int] = set()
+        entries = [(None, None, _body(root))] if p.roles[name] in STORY else [(_local(e.tag), e.get(W + "id"), e) for e in root.children]
+        for _, _, entry in entries:
+            for _, e in _blocks(entry, []):
+                if e.tag == W + "p":
+                    reached.update(id(x) for x in _reached(e))
+        place = 0
+        for kind, ident, entry in entries:
+            for x in entry.walk():
+                tag = _local(x.tag) if x.tag.startswith(W) else ""
+                if tag in named or tag in bare:
+                    yield name, p.roles[name], place, named.get(tag) or bare[tag], x.get(W + "id") if tag in named else None, kind, ident, id(x) in reached
+                    place += 1
+
+
+def _reached(parent: xml.Element) -> Iterator[xml.Element]:
+    """What reading a paragraph comes to: its inline elements, and those of its runs."""
+    for c in _unwrapped(parent):
+        yield c
+        tag = _local(c.tag)
+        if tag in ("hyperlink", "ins", "smartTag", "fldSimple"):
+            yield from _reached(c)
+        elif tag == "r":
+            yield from c.children
+
+
+@table("identifier string, place int, para_id string, date string")
+def comment_paragraphs(p: Package) -> Iterator[tuple]:
+    """The paragraphs of comments, those of their tables too, with their ids; one row without an id for a comment without any."""
+    for _, root in p.of("comments"):
+        for e in root.all(W + "comment"):
+            found = [x for _, x in _blocks(e, []) if x.tag == W + "p"]
+            for k, x in enumerate(found):
+                yield e.get(W + "id"), k, x.get(W14 + "paraId"), e.get(W + "date")
+            if not found:
+                yield e.get(W + "id"), None, None, e.get(W + "date")
+
+
+@table("part_name string, kind string, ord int, para_id string, durable_id string, date_utc string")
+def comment_records(p: Package) -> Iterator[tuple]:
+    """Records of modern comment metadata, of every part whose root is one; which part counts follows from relationships."""
+    # Namespaces of the two kinds of parts.
+    kinds = {"{http://schemas.microsoft.com/office/word/2016/wordml/cid}commentsIds": "commentId", "{http://schemas.microsoft.com/office/word/2018/wordml/cex}commentsExtensible": "commentExtensible"}
+    for name, _ in p.parts:
+        root = p.root(name) if name.endswith(".xml") else None
+        if root is not None and root.tag in kinds:
+            space = root.tag.rpartition("}")[0] + "}"
+            for k, e in enumerate(root.all(space + kinds[root.tag])):
+                yield name, _local(root.tag), k, e.get(space + "paraId"), e.get(space + "durableId"), e.get(space + "dateUtc")
+
+
 @table("para_id string, parent_para_id string, done_raw string")
 def threads(p: Package) -> Iterator[tuple]:
     for _, root in p.of("commentsExtended"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
 from xml.parsers import expat
 
 # The namespaces of the format.
@@ -80,6 +82,75 @@ def parse(data: bytes) -> Element:
     return roots[0]
 
 
+@dataclass(slots=True)
+class Span:
+    """An element and where it stands: its number in document order, the last number inside it, its place among its
+    parent's elements, and its bytes: from start to end, its content from inner_start to inner_end (an empty tag has none)."""
+
+    first: int
+    last: int
+    parent: int | None
+    depth: int
+    place: int
+    tag: str
+    qname: str
+    attrs: dict[str, str]
+    text: str
+    start: int
+    inner_start: int | None
+    inner_end: int | None
+    end: int
+
+
+_TAG = re.compile(rb"""<([^\s/>]+)(?:[^>"']|"[^"]*"|'[^']*')*>""")
+
+
+def spans(data: bytes) -> list[Span]:
+    """The elements of an XML part in document order, with the bytes they take up; ValueError for what is not UTF-8 or
+    not well-formed. What is edited by these places keeps every other byte."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff") or re.match(rb"<\?xml[^>]*encoding\s*=\s*[\"'](?![Uu][Tt][Ff]-?8|[Uu][Ss]-)", data):
+        raise ValueError("only parts in UTF-8 are edited")
+    out: list[Span] = []
+    open_: list[Span] = []
+    counts: list[int] = [0]
+    p = expat.ParserCreate(namespace_separator="}")
+    p.buffer_text = True
+
+    def name(n: str) -> str:
+        return "{" + n if "}" in n else n
+
+    def start(tag: str, attrs: dict[str, str]) -> None:
+        at = p.CurrentByteIndex
+        m = _TAG.match(data, at)
+        closed = m[0].endswith(b"/>")
+        e = Span(len(out), len(out), open_[-1].first if open_ else None, len(open_), counts[-1], name(tag), m[1].decode(), {name(k): v for k, v in attrs.items()}, "", at, None if closed else m.end(), None, m.end())
+        counts[-1] += 1
+        out.append(e)
+        open_.append(e)
+        counts.append(0)
+
+    def end(_: str) -> None:
+        e = open_.pop()
+        counts.pop()
+        e.last = len(out) - 1
+        if e.inner_start is not None:
+            e.inner_end = p.CurrentByteIndex
+            e.end = data.index(b">", e.inner_end) + 1
+
+    def characters(text: str) -> None:
+        open_[-1].text += text
+
+    def forbidden(*_: object) -> None:
+        raise ValueError("a document type declaration is not allowed")
+
+    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler, p.StartDoctypeDeclHandler = start, end, characters, forbidden
+    try:
+        p.Parse(data, True)
+    except expat.ExpatError as e:
+        raise ValueError(f"not well-formed XML: {expat.ErrorString(e.code)}") from None
+    return out
+
+
 def escape(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 
