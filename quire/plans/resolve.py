@@ -76,6 +76,38 @@ def visible(inlines: DataFrame) -> DataFrame:
     return lists.select(*keys, F.explode_outer(runs).alias("t")).filter(F.col("t").isNotNull()).select(*keys, "t.*")
 
 
+#: What stands for the number of a page in text.
+PAGE = "\0PAGE\0"
+
+
+def page_marks(inlines: DataFrame) -> DataFrame:
+    """(doc_id, part_name, block_path, place, kind, text): runs and field marks in order, with the number of a page as a run
+    PAGE behind the separator of its field, in place of what the field showed last.
+
+    A field is one of page numbers if its instruction, as far as the last text before the separator that begins so, is
+    PAGE; a field that begins inside another, or any end, ends that state.
+    """
+    token = F.struct("ord", "kind", F.coalesce("text", F.lit("")).alias("text"))
+    lists = inlines.filter(F.col("kind").isin("Run", "FieldStart", "FieldSeparator", "FieldEnd")).groupBy("doc_id", "part_name", "block_path").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
+    kept = "array<struct<kind: string, text: string>>"
+
+    def step(s: Column, t: Column) -> Column:
+        kind, show = t["kind"], F.struct(t["kind"].alias("kind"), t["text"].alias("text"))
+        begins, parts_, ends = kind == "FieldStart", kind == "FieldSeparator", kind == "FieldEnd"
+        coded = (kind == "Run") & (s["depth"] > 0) & s["code"]
+        names = coded & t["text"].rlike(r"^\s*PAGE(?![A-Za-z0-9_])")
+        mark = parts_ & s["pending"]
+        out = F.when((kind == "Run") & s["shown"], s["out"]).when(mark, F.concat(s["out"], F.array(show), F.array(F.struct(F.lit("Run").alias("kind"), F.lit(PAGE).alias("text"))))).otherwise(F.concat(s["out"], F.array(show)))
+        return F.struct(
+            F.when(begins, s["depth"] + 1).when(ends, F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"]).alias("depth"), F.when(begins, True).when(parts_ | ends, False).otherwise(s["code"]).alias("code"),
+            F.when(begins | parts_ | ends, False).otherwise(s["pending"] | names).alias("pending"), F.when(mark, True).when(ends, False).otherwise(s["shown"]).alias("shown"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("code"), F.lit(False).alias("pending"), F.lit(False).alias("shown"), F.array().cast(kept).alias("out"))
+    plain = F.transform("tokens", lambda t: F.struct(t["kind"].alias("kind"), t["text"].alias("text")))
+    done = F.when(F.exists("tokens", lambda t: t["kind"] == "FieldStart"), F.aggregate("tokens", start, step, lambda s: s["out"])).otherwise(plain)
+    return lists.select("doc_id", "part_name", "block_path", F.posexplode(done).alias("place", "t")).select("doc_id", "part_name", "block_path", "place", "t.kind", "t.text")
+
+
 def headings(blocks: DataFrame, styles: DataFrame) -> DataFrame:
     """Paragraphs with heading_level, by their own outline level, else by their style's chain or name; others out."""
     fonts = style_fonts(styles).select("doc_id", "style_id", F.col("outline").alias("style_outline"), F.col("name").alias("style_name"))

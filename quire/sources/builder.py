@@ -64,6 +64,8 @@ class Writer:
             result = self.run({k: v for k, v in r.items() if k not in ("field", "inner")}) if r.get("t") else ""
             mark = lambda k: f'<w:r><w:fldChar w:fldCharType="{k}"/></w:r>'
             return f'{mark("begin")}<w:r><w:instrText xml:space="preserve">{escape(r["field"])}</w:instrText></w:r>{inner}{mark("separate")}{result}{mark("end")}'
+        if r.get("t") == "\0PAGE\0":  # the number of a page is a field of its own
+            return self.run({"field": " PAGE ", "t": "1"})
         if "bm" in r:
             self.bookmarks += 1
             inner = self.run({k: v for k, v in r.items() if k != "bm"})
