@@ -5,8 +5,10 @@ near its place; which substrings to look up follows from the two lengths (the mu
 partition-based join). Index entries and lookups meet by a hash of segment number, indexed length and characters.
 
 Candidates must also be near in their bags of characters, and are then verified over the lines themselves with a banded
-bit-parallel edit distance. Lists of many lines are first joined to one leader only; after the components of those
-links are known, the list's pairs between different components follow. Pairs inside a component would change nothing.
+bit-parallel edit distance. Lists of many lines are first joined to one leader only. Where the components of those
+links leave a list in more than one piece, the list is split: two lines within MAX_EDITS that share a segment are within
+MAX_EDITS in what is left of them without it, so the rest is cut into segments again, and only lines that share one more
+meet. That goes on until no long list is in pieces; pairs inside a component would change nothing.
 
 Two edits would join unlike lines under MIN_CHARS characters, so those are joined by equality only, if SHORT says so.
 """
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _tokens as T
@@ -160,7 +162,12 @@ def _cut(n: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _entries(x: _Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position in which, 1 for index entries) of the segments of lines and of the substrings they look up."""
-    out: list[tuple[np.ndarray, np.ndarray, int]] = []
+    return _placed_entries(x, which, MIN_CHARS)[:3]
+
+
+def _placed_entries(x: _Lines, which: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_entries with the start of each segment and its size; lines of fewer than ``least`` characters are not looked up."""
+    out: list[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]] = []
     start, n = x.start[which], x.length[which]
     rows = np.arange(len(which))
 
@@ -173,14 +180,35 @@ def _entries(x: _Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
         for i in range(MAX_EDITS + 1):
             p, size = _cut(other, i)
             if not shorter:
-                out.append((key(start + p, size, i, other), rows, 1))
+                out.append((key(start + p, size, i, other), rows, 1, start + p, size))
             low, high = max(-i, shorter - (MAX_EDITS - i)), min(i, shorter + MAX_EDITS - i)
             for d in range(low, high + 1):
                 if not shorter and not d:
                     continue  # the line's own segment: index entries meet each other
-                ok = (p + d >= 0) & (p + d + size <= n) & (other >= MIN_CHARS)
-                out.append((key((start + p + d)[ok], size[ok], i, other[ok]), rows[ok], 0))
-    return np.concatenate([k for k, _, _ in out]), np.concatenate([r for _, r, _ in out]), np.concatenate([np.full(len(k), f, np.uint8) for k, _, f in out])
+                ok = (p + d >= 0) & (p + d + size <= n) & (other >= least)
+                out.append((key((start + p + d)[ok], size[ok], i, other[ok]), rows[ok], 0, (start + p + d)[ok], size[ok]))
+    flags = [np.full(len(k), f, np.uint8) for k, _, f, _, _ in out]
+    keys, positions, _, begin, size = zip(*out, strict=True)
+    return (*map(np.concatenate, (keys, positions, flags, begin, size)),)
+
+
+def _narrower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, h, rest, indexed) of rows (key, h, rest): the entries of what is left of a line, under its list's key (null for
+    whole lines), and what is then left of it."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 4096):
+            part = batch.slice(i, 4096)
+            x = _Lines(part.column("rest").to_pylist())
+            which = np.flatnonzero(x.length > MAX_EDITS)
+            if not len(which):
+                continue
+            keys, rows, flags, begin, size = _placed_entries(x, which, MAX_EDITS + 1)
+            at = which[rows]
+            if part.column("key").null_count < len(part):
+                with np.errstate(over="ignore"):
+                    keys = T.mix(keys ^ T.mix(part.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[at]))
+            rest = [(x.chars[a:b].tobytes() + x.chars[b + n : c].tobytes()).decode("utf-32-le", "surrogatepass") for a, b, n, c in zip(x.start[at].tolist(), begin.tolist(), size.tolist(), x.end[at].tolist(), strict=True)]
+            yield pa.record_batch([pa.array(keys.view(np.int64)), part.column("h").take(pa.array(at)), pa.array(rest, pa.string()), pa.array(flags == 1)], ["key", "h", "rest", "indexed"])
 
 
 def _ids(h: np.ndarray, g: np.ndarray) -> pa.Array:
@@ -311,32 +339,80 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(good, pa.bool_())).select(["h", "g", "a", "b"])
 
 
-def _links(texts: DataFrame, lines: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs of line hashes (a, b) whose lines are within MAX_EDITS: hashes h and g, lines a and b.
+def _texts_of(texts: DataFrame, lines: DataFrame, ends: DataFrame, name: str) -> DataFrame:
+    """(h, line, text) of the lines whose hash is a key of ends, a written table.
 
-    texts (th, text) are read again for the lines of the pairs only: of each wanted line one text that holds it is named
-    by lines.
+    texts (th, text) are read again for these lines only: of each one text that holds it is named by lines.
     """
-    pairs = written(pairs, f"{name}-pairs")
-    # written, so that it is known to be small, or the join of a common line can be split
-    ends = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), f"{name}-ends")
     hashed = lines.filter("not short").select(F.conv(F.hex(F.substring("line", 1, 8)), 16, -10).cast("long").alias("key"), "th")
     holders = hashed.join(ends, "key", "left_semi").groupBy("key").agg(F.min("th").alias("th")).select(F.col("th").alias("key")).distinct()
     found = texts.mapInArrow(_wanted(_bitmap(ends), _bitmap(written(holders, f"{name}-holders"))), "h long, line binary, text string")
-    found = written(found.join(ends.withColumnRenamed("key", "h"), "h", "left_semi").dropDuplicates(["line"]), f"{name}-lines")
+    return written(found.join(ends.withColumnRenamed("key", "h"), "h", "left_semi").dropDuplicates(["line"]), f"{name}-lines")
+
+
+def _verified(pairs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """The pairs of line hashes (a, b) whose lines, of ``found``, are within MAX_EDITS: hashes h and g, lines a and b."""
     one = found.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("text").alias("ta"))
     two = found.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("text").alias("tb"))
     full = pairs.join(one, "a").join(two, "b").select(F.col("a").alias("h"), F.col("b").alias("g"), F.col("la").alias("a"), F.col("lb").alias("b"), "ta", "tb")
     return written(full.mapInArrow(_verify, "h long, g long, a binary, b binary"), name)
 
 
-def _bag_distance(a: Column, b: Column) -> Column:
-    total = F.lit(0).cast("long")
-    for k in range(8):
-        d = F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255).cast("long")) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255).cast("long"))
-        d = F.pmod(d, F.lit(256).cast("long"))
-        total = total + F.least(d, 256 - d)
-    return total
+def _links(texts: DataFrame, lines: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs of line hashes (a, b) whose lines are within MAX_EDITS, as _verified gives them."""
+    pairs = written(pairs, f"{name}-pairs")
+    # written, so that it is known to be small, or the join of a common line can be split
+    ends = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), f"{name}-ends")
+    return _verified(pairs, _texts_of(texts, lines, ends, name), name)
+
+
+#: Rounds of splitting; a round takes a third off what is left of a line, so they end long before.
+MOST_ROUNDS = 40
+
+
+def _in_pieces(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of lists (key, h, ...) that links leave in more than one component, with comp."""
+    comps = written(components(links, "h", "g"), "near-comps").select(F.col("node").alias("h"), "component")
+    placed = lists.drop("comp").join(comps, "h", "left").withColumn("comp", F.coalesce("component", "h")).drop("component")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("indexed").alias("any")).filter("lo <> hi and any").select("key")
+    return placed.join(mixed, "key", "left_semi")
+
+
+def _split_lists(texts: DataFrame, lines: DataFrame, many: DataFrame, links: DataFrame) -> DataFrame:
+    """links and those between the lines of long lists, many (key, h, indexed), that links leave in pieces.
+
+    A list of LONG_LIST lines or fewer gives its pairs, a longer one those of its leader, and goes on to the next round
+    with what is left of its lines. Lists whose rest is MAX_EDITS characters or fewer can be cut no more; if even these
+    are in pieces, their pairs between pieces are verified as they are.
+    """
+    lists = written(_in_pieces(many, links), "long-lists")
+    if not lists.limit(1).count():
+        return links
+    ends = written(lists.select(F.col("h").alias("key")).distinct(), "long-ends")
+    found = _texts_of(texts, lines, ends, "long")
+    # the entries of whole lines are made again, for what is left of each line without the segment
+    again = found.select(F.lit(None).cast("long").alias("key"), "h", F.col("text").alias("rest")).mapInArrow(_narrower, "key long, h long, rest string, indexed boolean")
+    lists = written(again.join(lists.select("key", "h", "indexed", "comp").distinct(), ["key", "h", "indexed"]), "long-rests")
+    for _ in range(MOST_ROUNDS):
+        if not lists.limit(1).count():
+            return links
+        ready = lists.filter(F.char_length("rest") <= MAX_EDITS)
+        inner = lists.filter(F.char_length("rest") > MAX_EDITS).select("key", "h", "rest").mapInArrow(_narrower, "key long, h long, rest string, indexed boolean").distinct()
+        comp = lists.select("h", "comp").distinct()
+        inner = written(inner.join(comp, "h"), "narrower")
+        sizes = inner.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.when(F.col("indexed"), F.col("h"))).alias("leader")).filter("lo <> hi and leader is not null")
+        sizes = written(sizes.select("key", "n", "leader"), "narrower-sizes")
+        kept = inner.join(sizes, "key")
+        few = kept.filter(F.col("n") <= LONG_LIST)
+        x, y = few.filter("indexed").select("key", F.col("h").alias("x"), F.col("comp").alias("cx")), few.select("key", F.col("h").alias("y"), F.col("comp").alias("cy"))
+        pairs = x.join(y, "key").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        long_ = kept.filter(F.col("n") > LONG_LIST)
+        pairs = pairs.union(long_.filter("h <> leader").select(F.least("h", "leader"), F.greatest("h", "leader")))
+        last_x, last_y = ready.filter("indexed").select("key", F.col("h").alias("x"), F.col("comp").alias("cx")), ready.select("key", F.col("h").alias("y"), F.col("comp").alias("cy"))
+        pairs = pairs.union(last_x.join(last_y, "key").filter("cx <> cy").select(F.least("x", "y"), F.greatest("x", "y")))
+        links = written(links.union(_verified(written(pairs.distinct(), "narrower-pairs"), found, "narrower-near")), "near-all")
+        lists = written(_in_pieces(long_.select("key", "h", "rest", "indexed"), links), "long-rests")
+    raise RuntimeError("long lists did not come apart")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: str = "stay") -> DataFrame:
@@ -360,16 +436,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = _links(slim.select("th", "text"), lines, pairs, "near")
     many = met.filter(F.col("key").isNotNull())
     if many.limit(1).count():
-        comps = written(components(links, "h", "g"), "near-comps").withColumnRenamed("node", "a")
-        placed = many.drop("b").join(comps, "a", "left").withColumn("comp", F.coalesce("component", "a"))
-        placed = written(placed.select("key", F.col("a").alias("line"), "bag", "indexed", "comp"), "long-lists")
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        placed = placed.join(mixed, "key")
-        x = placed.filter("indexed").select("key", *[F.col(c).alias(f"x_{c}") for c in ("line", "bag", "comp")])
-        y = placed.select("key", *[F.col(c).alias(f"y_{c}") for c in ("line", "bag", "comp")])
-        rest = x.join(y, "key").filter((F.col("x_comp") != F.col("y_comp")) & (_bag_distance(F.col("x_bag"), F.col("y_bag")) <= 2 * MAX_EDITS))
-        rest = rest.select(F.least("x_line", "y_line").alias("a"), F.greatest("x_line", "y_line").alias("b")).distinct()
-        links = links.union(_links(slim.select("th", "text"), lines, rest, "near-rest"))
+        links = _split_lists(slim.select("th", "text"), lines, many.select("key", F.col("a").alias("h"), "indexed"), links)
     comps = components(links.select("a", "b")).withColumnRenamed("node", "line")
     spot = F.struct("id", "no", "th")
     first = lines.groupBy("line").agg(F.min(spot).alias("spot"), F.count(F.lit(1)).alias("n"))
