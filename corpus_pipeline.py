@@ -30,9 +30,13 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.filter(left | (F.col(out.columns[len(docs.columns) + 1]) == 0)).select(*docs.columns)
 
 
-def by_row(docs: DataFrame) -> DataFrame:
-    """docs with _key, a hash of id and text: ids may be null or repeated, so stages decide by this."""
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+def by_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a hash of id and text, and the name of that column, which docs did not have: ids may be null or repeated,
+    so stages decide by this."""
+    name = "_key"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,18 +44,18 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share an id, null or not, but are not near each other all stay; of rows equal in id and text one stays.
     """
-    keyed = by_row(docs)
-    classes = jaccard.jaccard_classes(keyed, "_key").select("_key", "component_id").distinct()
-    spot = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
-    stays = keyed.select("doc_id", "_key").join(classes, "_key").groupBy("component_id").agg(F.min(spot)["_key"].alias("_key")).select("_key").distinct()
-    return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keyed, key = by_row(docs)
+    classes = jaccard.jaccard_classes(keyed, key).select(key, "component_id").distinct()
+    spot = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)
+    stays = keyed.select("doc_id", key).join(classes, key).groupBy("component_id").agg(F.min(spot)[key].alias(key)).select(key).distinct()
+    return keyed.join(stays, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more than a trace of benchmark passages, each judged by its own text whatever its id."""
-    keyed = by_row(docs)
-    bad = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").filter("contaminated").select("_key").distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    keyed, key = by_row(docs)
+    bad = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=key).filter("contaminated").select(key).distinct()
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
