@@ -184,15 +184,17 @@ def decision(rules: list[Rule], f: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[dict]:
     """Features of about ``rows`` labelled texts, at most twice that: those with the smallest hash of the id.
 
-    The fraction follows from the count of the labels, so that the sample does not depend on partitions. Null labels
-    and ids are left out.
+    The fraction follows from the count of the labelled ids, so that the sample does not depend on partitions. Null labels
+    and ids are left out. An id is one row whatever repeats it: of its labels the smallest counts, of its texts the one
+    with the least hash; so no more than 2 * rows rows reach the driver.
     """
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     n = known.count()
     share = min(1.0, rows / max(n, 1))
     place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
-    some = known.filter(place < F.lit(int(share * (1 << 30)))).limit(2 * rows)
+    some = known.filter(place < F.lit(int(share * (1 << 30)))).orderBy(place, "_id").limit(2 * rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
+    texts = texts.groupBy("_id").agg(F.first("_label").alias("_label"), F.min_by("_text", F.coalesce(F.xxhash64("_text"), F.lit(0))).alias("_text"))
     got = statistics(texts, "_text").select("_id", "_label", "_s.f").collect()
     return [{**r["f"].asDict(), "bad": r["_label"] == 0, "part": _part(r["_id"])} for r in sorted(got, key=lambda r: str(r["_id"]))]
 
