@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _tokens as T
@@ -370,22 +370,49 @@ def _links(texts: DataFrame, lines: DataFrame, pairs: DataFrame, name: str) -> D
 MOST_ROUNDS = 40
 
 
-def _in_pieces(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of lists (key, h, ...) that links leave in more than one component, with comp."""
-    comps = written(components(links, "h", "g"), "near-comps").select(F.col("node").alias("h"), "component")
-    placed = lists.drop("comp").join(comps, "h", "left").withColumn("comp", F.coalesce("component", "h")).drop("component")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("indexed").alias("any")).filter("lo <> hi and any").select("key")
-    return placed.join(mixed, "key", "left_semi")
+def _bag_distance(a: Column, b: Column) -> Column:
+    total = F.lit(0).cast("long")
+    for k in range(8):
+        d = F.shiftrightunsigned(a, 8 * k).bitwiseAND(F.lit(255).cast("long")) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(F.lit(255).cast("long"))
+        d = F.pmod(d, F.lit(256).cast("long"))
+        total = total + F.least(d, 256 - d)
+    return total
+
+
+def _pieces(lists: DataFrame) -> DataFrame:
+    """lists (key, h, indexed, comp, ...) that hold index entries and more than one component, with ``main``, their largest
+    component, and ``wide``: whether the pairs between components are more than LONG_LIST for each line."""
+    per = lists.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("any"))
+    sizes = per.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max_by("comp", "n").alias("main"), F.max("any").alias("any"))
+    cross = F.col("n") * F.col("n") - F.col("same")
+    return lists.join(sizes.filter((cross > 0) & F.col("any")).select("key", "main", (cross > LONG_LIST * F.col("n")).alias("wide")), "key")
+
+
+def _direct(lists: DataFrame) -> DataFrame:
+    """The pairs (a, b) between components of lists that are not wide: lines outside the largest component with all lines,
+    which is no more than twice the pairs between components."""
+    few = lists.filter("not wide")
+    more = ["bag"] if "bag" in lists.columns else []
+    side = lambda df, p: df.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("h", "comp", "indexed", *more)])
+    both = side(few.filter("comp <> main"), "x").join(side(few, "y"), "key").filter("x_comp <> y_comp and (x_indexed or y_indexed)")
+    if more:
+        both = both.filter(_bag_distance(F.col("x_bag"), F.col("y_bag")) <= 2 * MAX_EDITS)
+    return both.select(F.least("x_h", "y_h").alias("a"), F.greatest("x_h", "y_h").alias("b"))
 
 
 def _split_lists(texts: DataFrame, lines: DataFrame, many: DataFrame, links: DataFrame) -> DataFrame:
-    """links and those between the lines of long lists, many (key, h, indexed), that links leave in pieces.
+    """links and those between the lines of long lists, many (key, h, bag, indexed), that links leave in pieces.
 
-    A list of LONG_LIST lines or fewer gives its pairs, a longer one those of its leader, and goes on to the next round
-    with what is left of its lines. Lists whose rest is MAX_EDITS characters or fewer can be cut no more; if even these
-    are in pieces, their pairs between pieces are verified as they are.
+    Lists with few pairs between their components, at most LONG_LIST for each line, give those. In others each line is
+    paired with a leader, and they go on to the next round with what is left of their lines: two lines that share a
+    segment are as near in the rest as they are. Rests of MAX_EDITS characters or fewer can be cut no more; if even
+    their lists are in pieces, all their pairs between pieces are verified.
     """
-    lists = written(_in_pieces(many, links), "long-lists")
+    comps = written(components(links, "h", "g"), "near-comps").select(F.col("node").alias("h"), "component")
+    placed = written(many.join(comps, "h", "left").withColumn("comp", F.coalesce("component", "h")).drop("component"), "long-lists")
+    lists = written(_pieces(placed), "long-pieces")
+    links = links.union(_links(texts, lines, _direct(lists).distinct(), "near-rest"))
+    lists = lists.filter("wide")
     if not lists.limit(1).count():
         return links
     ends = written(lists.select(F.col("h").alias("key")).distinct(), "long-ends")
@@ -394,24 +421,24 @@ def _split_lists(texts: DataFrame, lines: DataFrame, many: DataFrame, links: Dat
     again = found.select(F.lit(None).cast("long").alias("key"), "h", F.col("text").alias("rest")).mapInArrow(_narrower, "key long, h long, rest string, indexed boolean")
     lists = written(again.join(lists.select("key", "h", "indexed", "comp").distinct(), ["key", "h", "indexed"]), "long-rests")
     for _ in range(MOST_ROUNDS):
+        ready = _pieces(lists.filter(F.char_length("rest") <= MAX_EDITS)).withColumn("wide", F.lit(False))
+        inner = lists.filter(F.char_length("rest") > MAX_EDITS).select("key", "h", "rest").mapInArrow(_narrower, "key long, h long, rest string, indexed boolean").distinct()
+        inner = written(_pieces(inner.join(lists.select("h", "comp").distinct(), "h")), "narrower")
+        wide = inner.filter("wide")
+        leader = wide.groupBy("key").agg(F.min(F.when(F.col("indexed"), F.struct("h", "comp"))).alias("l"))
+        led = wide.join(leader, "key").filter(F.col("comp") != F.col("l.comp")).select(F.least("h", "l.h").alias("a"), F.greatest("h", "l.h").alias("b"))
+        near = _verified(written(_direct(inner).union(_direct(ready)).union(led).distinct(), "narrower-pairs"), found, "narrower-near")
+        links = links.union(near)
+        if not wide.limit(1).count():
+            return links
+        # components of components: only lines of these lists matter
+        comp = written(lists.select("h", "comp").distinct(), "narrower-comps")
+        of = lambda h, c: comp.select(F.col("h").alias(h), F.col("comp").alias(c))
+        joined = components(near.select("h", "g").join(of("h", "x"), "h").join(of("g", "y"), "g").select("x", "y"), "x", "y")
+        moved = wide.join(joined.select(F.col("node").alias("comp"), "component"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).select("key", "h", "rest", "indexed", "comp")
+        lists = written(_pieces(moved).drop("main", "wide"), "long-rests")
         if not lists.limit(1).count():
             return links
-        ready = lists.filter(F.char_length("rest") <= MAX_EDITS)
-        inner = lists.filter(F.char_length("rest") > MAX_EDITS).select("key", "h", "rest").mapInArrow(_narrower, "key long, h long, rest string, indexed boolean").distinct()
-        comp = lists.select("h", "comp").distinct()
-        inner = written(inner.join(comp, "h"), "narrower")
-        sizes = inner.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.when(F.col("indexed"), F.col("h"))).alias("leader")).filter("lo <> hi and leader is not null")
-        sizes = written(sizes.select("key", "n", "leader"), "narrower-sizes")
-        kept = inner.join(sizes, "key")
-        few = kept.filter(F.col("n") <= LONG_LIST)
-        x, y = few.filter("indexed").select("key", F.col("h").alias("x"), F.col("comp").alias("cx")), few.select("key", F.col("h").alias("y"), F.col("comp").alias("cy"))
-        pairs = x.join(y, "key").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        long_ = kept.filter(F.col("n") > LONG_LIST)
-        pairs = pairs.union(long_.filter("h <> leader").select(F.least("h", "leader"), F.greatest("h", "leader")))
-        last_x, last_y = ready.filter("indexed").select("key", F.col("h").alias("x"), F.col("comp").alias("cx")), ready.select("key", F.col("h").alias("y"), F.col("comp").alias("cy"))
-        pairs = pairs.union(last_x.join(last_y, "key").filter("cx <> cy").select(F.least("x", "y"), F.greatest("x", "y")))
-        links = written(links.union(_verified(written(pairs.distinct(), "narrower-pairs"), found, "narrower-near")), "near-all")
-        lists = written(_in_pieces(long_.select("key", "h", "rest", "indexed"), links), "long-rests")
     raise RuntimeError("long lists did not come apart")
 
 
@@ -436,7 +463,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = _links(slim.select("th", "text"), lines, pairs, "near")
     many = met.filter(F.col("key").isNotNull())
     if many.limit(1).count():
-        links = _split_lists(slim.select("th", "text"), lines, many.select("key", F.col("a").alias("h"), "indexed"), links)
+        links = _split_lists(slim.select("th", "text"), lines, many.select("key", F.col("a").alias("h"), "bag", "indexed"), links)
     comps = components(links.select("a", "b")).withColumnRenamed("node", "line")
     spot = F.struct("id", "no", "th")
     first = lines.groupBy("line").agg(F.min(spot).alias("spot"), F.count(F.lit(1)).alias("n"))
