@@ -30,6 +30,11 @@ class Corpus:
     def parts(self) -> DataFrame:
         return package.parts(self.packages, self.permissive)
 
+    def keep_parts(self) -> Corpus:
+        """Stores the parts, so that plans which read them more than once open the packages once; this runs a job."""
+        self.__dict__["parts"] = written(self.parts, "parts")
+        return self
+
     def shred(self, *names: str) -> Corpus:
         """Makes the node tables named, or all, that are not there yet, in one pass; this runs a job."""
         missing = tuple(n for n in shred.TABLES if (not names or n in names) and n not in self._stored)
@@ -163,7 +168,10 @@ class Corpus:
 
     def export(self) -> DataFrame:
         """(doc_id, json): blocks of the body in order with location, type, text, style, heading level, list, runs with their
-        links, note references and images; of tables the rows of cells with their merges and text."""
+        links, note references and images; of tables the rows of cells with their merges, text and paragraphs; then headers
+        and footers of each section, and notes and comments with their blocks and how often they are referred to."""
+        # all passes over the packages that this needs are one
+        self.shred("inlines", "cells", "blocks", "properties", "theme_slots", "styles", "drawings", "relationships", "section_references", "story_blocks", "story_inlines")
         keys = ["doc_id", "block_path", "ord"]
         urls = resolve.links(resolve.visible(self.main), self.relationships).select(*keys, F.col("url").alias("link"))
         shown = resolve.visible(self.main).select(*keys)
@@ -175,8 +183,10 @@ class Corpus:
         marks = marks.select("doc_id", "path", F.transform("n", lambda x: F.struct(F.regexp_replace(x["kind"], "Reference$", "").alias("kind"), x["identifier"].alias("identifier"))).alias("note_references"))
         images = self.drawings.filter("rid is not null").groupBy("doc_id", F.col("block_path").alias("path")).agg(F.sort_array(F.collect_list(F.struct("ord", "alternative_text", F.col("width").alias("width_pt"), F.col("height").alias("height_pt")))).alias("images"))
         images = images.withColumn("images", F.transform("images", lambda x: x.dropFields("ord")))
-        cell = F.struct("row", "cell", "grid_span", "horizontal_merge", "vertical_merge", "text")
-        tables = self.cell_texts().groupBy("doc_id", F.col("table_path").alias("path")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+        cell = F.struct("row", "cell", "grid_span", "horizontal_merge", "vertical_merge", "text", "blocks")
+        inside = self._cell_blocks(runs)
+        cells = self.cell_texts().join(inside, ["doc_id", "table_path", "row", "cell"], "left")
+        tables = cells.groupBy("doc_id", F.col("table_path").alias("path")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
         row_numbers = F.array_sort(F.array_distinct(F.col("cells.row")))
         tables = tables.select("doc_id", "path", F.transform(row_numbers, lambda n: F.struct(F.transform(F.filter("cells", lambda c: c["row"] == n), lambda c: c.dropFields("row", "cell")).alias("cells"))).alias("rows"))
         levels = resolve.headings(self.blocks, self.styles).select("doc_id", "path", "heading_level")
@@ -191,8 +201,58 @@ class Corpus:
             F.col("path"), F.lower("node_type").alias("type"), F.col("location"), F.when(paragraph, F.coalesce("text", F.lit(""))).alias("text"), F.when(paragraph, F.col("style_id")).alias("style"), F.col("heading_level"),
             F.struct(F.col("_list").isNotNull().alias("is_list_item"), F.col("_level").alias("list_level_number"), F.col("_list").alias("list_id")).alias("list"), F.col("runs"), F.col("note_references"), F.col("images"), F.col("rows"))
         listed = top.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("path", block.dropFields("path").alias("b")))).alias("blocks"))
-        body = F.struct(F.lit(1).alias("schema_version"), F.col("blocks.b").alias("blocks"))
-        return listed.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+        headers, stories = self._exported_stories()
+        full = listed.join(headers, "doc_id", "left").join(stories, "doc_id", "left")
+        none = lambda c, df: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
+        body = F.struct(F.lit(1).alias("schema_version"), F.col("blocks.b").alias("blocks"), none("headers_footers", headers), none("source_stories", stories))
+        return full.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+    def _cell_blocks(self, runs: DataFrame) -> DataFrame:
+        """(doc_id, table_path, row, cell, blocks): the paragraphs of cells of tables in the body, with their runs; what is in
+        tables inside them is with those."""
+        n = F.size("path")
+        p = self.blocks.filter((F.col("node_type") == "Paragraph") & (n >= 4)).join(runs, ["doc_id", "path"], "left")
+        p = p.select("doc_id", F.slice("path", F.lit(1), n - 3).alias("table_path"), F.element_at("path", n - 2).alias("row"), F.element_at("path", n - 1).alias("cell"), F.struct(
+            F.element_at("path", -1).alias("place"), F.lit("paragraph").alias("type"), F.coalesce("text", F.lit("")).alias("text"), F.col("style_id").alias("style"), F.lit(None).cast("int").alias("heading_level"), "runs").alias("b"))
+        by = p.groupBy("doc_id", "table_path", "row", "cell").agg(F.sort_array(F.collect_list("b")).alias("blocks"))
+        return by.withColumn("blocks", F.transform("blocks", lambda b: b.dropFields("place")))
+
+    def story_texts(self) -> DataFrame:
+        """Blocks at the top of headers, footers, notes and comments: doc_id, part_name, role, story_kind, story_id, note_type,
+        story (its number in the part), place, type, style, text and runs; of a table the text of its paragraphs."""
+        self.shred("inlines", "styles", "story_blocks", "story_inlines")
+        runs = self.shown_runs(self.story_inlines).filter(~F.col("left_out"))
+        one = F.struct("ord", "text")
+        texts = runs.groupBy("doc_id", "part_name", "block_path").agg(F.sort_array(F.collect_list(one)).alias("runs"))
+        texts = texts.select("doc_id", "part_name", F.col("block_path").alias("path"), F.transform("runs", lambda r: r["text"]).alias("runs"), F.array_join("runs.text", "").alias("text"))
+        top = F.slice("path", F.lit(1), F.when(F.col("role").isin("header", "footer"), 1).otherwise(2))
+        at = self.story_blocks.join(texts, ["doc_id", "part_name", "path"], "left").withColumn("top", top)
+        keys = ("doc_id", "part_name", "role", "story_kind", "story_id", "note_type", "story", "top")
+        by = at.groupBy(*keys).agg(
+            F.min_by("node_type", "path").alias("type"), F.min_by("style_id", "path").alias("style"), F.min_by("runs", "path").alias("runs"),
+            F.sort_array(F.collect_list(F.when(F.col("node_type") == "Paragraph", F.struct("path", F.coalesce("text", F.lit("")).alias("text"))))).alias("p"))
+        inner = F.filter("p.text", lambda t: t != "")
+        text = F.when(F.col("type") == "Table", F.array_join(inner, "\n")).otherwise(F.coalesce(F.get(F.col("p.text"), F.lit(0)), F.lit("")))
+        return by.select(*[c for c in keys if c != "top"], F.element_at("top", -1).alias("place"), F.lower("type").alias("type"), "style", text.alias("text"), F.coalesce("runs", F.array().cast("array<string>")).alias("runs"))
+
+    def _exported_stories(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, headers_footers) by section and kind, and (doc_id, source_stories) of notes and comments."""
+        own = self.story_texts()
+        block = F.struct("place", "type", "text", "style", "runs")
+        lists = own.groupBy("doc_id", "part_name", "role", "story_kind", "story_id", "note_type", "story").agg(F.sort_array(F.collect_list(block)).alias("blocks")).withColumn("blocks", F.transform("blocks", lambda b: b.dropFields("place")))
+        shown = resolve.header_assignment(self.section_references, self.relationships)
+        of = lists.filter(F.col("role").isin("header", "footer")).select("doc_id", F.col("part_name").alias("part"), "blocks")
+        at = shown.filter("not inherited").join(of, ["doc_id", "part"])
+        place = F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("kind", "variant")) - 1
+        location = F.concat(F.lit("sections["), F.col("section"), F.lit("].headers_footers["), place, F.lit("]"))
+        headers = at.select("doc_id", F.struct("section", "kind", "variant", location.alias("location"), "blocks").alias("h"))
+        headers = headers.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list("h")), lambda h: F.struct(h["location"].alias("location"), F.concat(h["kind"], F.lit(":"), h["variant"]).alias("type"), h["blocks"].alias("blocks"))).alias("headers_footers"))
+        kind = F.when(F.col("kind") == "CommentMarker", "comment").otherwise(F.regexp_replace("text", "Reference$", ""))
+        uses = self.main.filter(F.col("kind").isin("NoteReference", "CommentMarker")).groupBy("doc_id", kind.alias("story_kind"), F.col("ident").alias("story_id")).agg(F.count(F.lit(1)).cast("int").alias("references"))
+        notes = lists.filter("story_kind is not null").join(uses, ["doc_id", "story_kind", "story_id"], "left")
+        story = F.struct("part_name", "story", F.col("story_kind").alias("kind"), F.col("story_id").alias("identifier"), "note_type", F.coalesce("references", F.lit(0)).alias("references"), "blocks")
+        stories = notes.groupBy("doc_id").agg(F.sort_array(F.collect_list(story)).alias("source_stories")).withColumn("source_stories", F.transform("source_stories", lambda x: x.dropFields("story")))
+        return headers, stories
 
     def diagnostics(self) -> DataFrame:
         """(doc_id, code, severity, location, message): everything that reading lost or found wrong."""

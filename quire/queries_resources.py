@@ -153,3 +153,53 @@ def picture_headers(spark, d):
     content = F.unhex(F.when(F.col("page_id") % 2 == 0, png).otherwise(jpeg))
     size = F.coalesce(S.png_size(content), S.jpeg_size(content))
     return _table(spark, d, "pages").select("page_id", size["width"].alias("width"), size["height"].alias("height"), S.image_type(content).alias("kind"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, n FROM ({_N})) SELECT doc_id, 'footnote' AS kind, CASE WHEN n % 2 = 0 THEN '4' ELSE '1' END AS identifier, 'note ' || n AS text, NULL::VARCHAR AS parent_id, 0::BIGINT AS faults FROM d
+UNION ALL SELECT doc_id, 'comment', CASE WHEN n % 2 = 0 THEN '6' ELSE '0' END, 'first ' || n, NULL, 0 FROM d WHERE n % 3 <> 2
+UNION ALL SELECT doc_id, 'comment', CASE WHEN n % 2 = 0 THEN 6 + (n % 3 <> 2)::INT ELSE (n % 3 <> 2)::INT END::VARCHAR, 'answer', CASE WHEN n % 3 <> 2 THEN CASE WHEN n % 2 = 0 THEN '6' ELSE '0' END END, 0 FROM d
+UNION ALL SELECT doc_id, 'footnote', '3', 'own', NULL, 0 FROM d WHERE n % 2 = 0 UNION ALL SELECT doc_id, 'comment', '5', 'own', NULL, 0 FROM d WHERE n % 2 = 0""")
+def imported_annotations(spark, d):
+    """Paragraphs with a note and a thread brought into packages with and without their own; an answer whose comment stays
+    behind is a comment of its own."""
+    from .operators import annotate
+    from .plans import resolve as r
+
+    def source(n):
+        mark = lambda i: [{"raw": f'<w:commentRangeStart w:id="{i}"/>'}, *_X, {"raw": f'<w:commentRangeEnd w:id="{i}"/>'}, {"comment": i}]
+        comments = [{"id": "7", "t": f"first {n}", "para_id": "00000031"}, {"id": "9", "t": "answer", "para_id": "00000032", "parent": "00000031", "done": "1"}]
+        return {"styles": [{"id": "Normal", "name": "Normal", "default": True}, {"id": "S", "name": "Special", "base": "Normal", "size": 9}],
+                "blocks": [{"style": "S", "runs": [*_X, {"note": 2}]}, {"runs": mark(7)}, {"runs": mark(9)}], "notes": [{"id": 2, "t": f"note {n}"}, {"id": 8, "t": "stays"}], "comments": comments}
+
+    def target(n):
+        own = {"notes": [{"id": 3, "t": "own"}], "comments": [{"id": "5", "t": "own", "para_id": "00000031"}]} if n % 2 == 0 else {}
+        marks = [{"note": 3}, {"comment": 5}] if n % 2 == 0 else []
+        return {"styles": [{"id": "Normal", "name": "Normal", "default": True}, {"id": "S", "name": "other"}], "blocks": [{"runs": [{"t": "body"}, *marks]}], **own}
+
+    s, t = _parts_of(spark, d, source), _parts_of(spark, d, target)
+    e = s.node_elements().filter("role = 'main' and kind = 'Paragraph'")
+    sizes = _table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("n"))
+    picked = e.join(sizes, "doc_id").filter("n % 3 <> 2 or place <> 1").select("doc_id", F.col("doc_id").alias("src_id"), "first", F.col("place").alias("seq"))
+    out = Corpus(edit.pack(annotate.import_paragraphs(s, t, picked)))
+    faults = out.annotation_faults().groupBy("doc_id").agg(F.count(F.lit(1)).alias("faults"))
+    tree = r.comment_tree(out.stories, out.threads).select("doc_id", F.lit("comment").alias("kind"), F.col("comment_id").alias("identifier"), "parent_id")
+    return out.stories.join(tree, ["doc_id", "kind", "identifier"], "left").join(faults, "doc_id", "left").select("doc_id", "kind", "identifier", "text", "parent_id", F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
+
+
+@query(f"""SELECT doc_id, 'default header' AS kind, 'head ' || n AS text, 'header:default' AS type, NULL::INT AS uses FROM ({_N}) WHERE n % 2 = 0 UNION ALL SELECT doc_id, 'footnote', 'a' || n || chr(10) || 'B', 'normal', 2 FROM ({_N})
+UNION ALL SELECT doc_id, 'comment', 'said' || chr(10) || 'in a cell', NULL, 0 FROM ({_N})""")
+def exported_stories(spark, d):
+    """Headers, notes and comments of the export, with the blocks in them: capitals by style, hidden runs left out, tables."""
+    def describe(n):
+        styles = [{"id": "Normal", "name": "Normal", "default": True}, {"id": "Gone", "name": "Gone", "kind": "character", "hidden": True}]
+        notes = [{"id": 1, "t": f"a{n}", "more": [{"runs": [{"t": "b", "caps": True}, {"t": "left out", "rstyle": "Gone"}]}]}]
+        comments = [{"id": 4, "t": "said", "more": [{"table": [[{"t": "in a cell"}]]}]}]
+        head = {"stories": {"header1": f"head {n}"}, "sect": {"refs": [("header", "default", "header1")]}} if n % 2 == 0 else {}
+        return {"styles": styles, "blocks": [{"runs": [*_X, {"note": 1}]}, {"runs": [{"note": 1}]}], "notes": notes, "comments": comments, **head}
+
+    block = "array<struct<type: string, text: string>>"
+    j = _parts_of(spark, d, describe).export().withColumn("e", F.from_json("json", f"headers_footers array<struct<type: string, blocks: {block}>>, source_stories array<struct<kind: string, note_type: string, references: int, blocks: {block}>>"))
+    text = F.array_join("s.blocks.text", "\n")
+    heads = j.select("doc_id", F.explode("e.headers_footers").alias("s")).select("doc_id", F.lit("default header").alias("kind"), text.alias("text"), F.col("s.type").alias("type"), F.lit(None).cast("int").alias("uses"))
+    notes = j.select("doc_id", F.explode("e.source_stories").alias("s")).select("doc_id", "s.kind", text.alias("text"), F.col("s.note_type").alias("type"), F.col("s.references").alias("uses"))
+    return heads.unionByName(notes)

@@ -154,7 +154,7 @@ def build(doc: dict[str, Any]) -> list[tuple[str, bytes]]:
         if entries:
             w.rel(kind, f"{kind}.xml")
             overrides.append((f"word/{kind}.xml", WML + f"{kind}+xml"))
-            body = "".join(f'<w:{item} w:id="{e["id"]}"{f" w:author=\"{escape(e["author"])}\"" if e.get("author") else ""}{f" w:date=\"{e["date"]}\"" if e.get("date") else ""}>{w.paragraph({"runs": [{"t": e["t"]}, *e.get("runs", [])], "para_id": e.get("para_id")})}</w:{item}>' for e in entries)
+            body = "".join(f'<w:{item} w:id="{e["id"]}"{f" w:author=\"{escape(e["author"])}\"" if e.get("author") else ""}{f" w:date=\"{e["date"]}\"" if e.get("date") else ""}>{w.paragraph({"runs": [{"t": e["t"]}, *e.get("runs", [])], "para_id": e.get("para_id")})}{"".join(map(w.block, e.get("more", [])))}</w:{item}>' for e in entries)
             extra.append((f"word/{kind}.xml", f"{HEAD}<w:{root} {NS}>{body}</w:{root}>"))
     if any(e.get("para_id") for e in doc.get("comments", [])):
         w.rel("commentsExtended", "commentsExtended.xml")

@@ -553,6 +553,42 @@ def cells(p: Package) -> Iterator[tuple]:
                     yield path, r, k, min(max(span, 1), 1024), code(own, "hMerge"), code(own, "vMerge")
 
 
+def _entries(p: Package, name: str, root: xml.Element) -> Iterator[tuple[int, str | None, str | None, str | None, xml.Element]]:
+    """(number, kind, id, type of note, element) of the stories in a part: each note or comment, a header or footer as one."""
+    if p.roles[name] in ("header", "footer"):
+        yield 0, None, None, None, root
+        return
+    for k, e in enumerate(root.children):
+        kind = _local(e.tag)
+        if kind in ("footnote", "endnote", "comment"):
+            yield k, kind, e.get(W + "id"), None if kind == "comment" else e.get(W + "type") or "normal", e
+
+
+OTHER_STORIES = ("header", "footer", "footnotes", "endnotes", "comments")
+
+
+@table("part_name string, role string, story int, story_kind string, story_id string, note_type string, path array<int>, node_type string, style_id string, table_style string")
+def story_blocks(p: Package) -> Iterator[tuple]:
+    """Paragraphs and tables of headers, footers, notes and comments; the path of those in notes and comments begins with
+    the number of the story in its part."""
+    for name, root in p.of(*OTHER_STORIES):
+        for k, kind, ident, note_type, entry in _entries(p, name, root):
+            for path, e, table_style in _placed(entry, [] if kind is None else [k], None):
+                yield name, p.roles[name], k, kind, ident, note_type, path, "Paragraph" if e.tag == W + "p" else "Table", _paragraph_style(e), table_style
+
+
+@table("part_name string, block_path array<int>, ord int, kind string, text string, ident string, rid string, anchor string, char_style string, b boolean, i boolean, caps boolean, smallCaps boolean, vanish boolean, size double, role string, paragraph_style string, table_style string")
+def story_inlines(p: Package) -> Iterator[tuple]:
+    """Runs and marks of the same, as inlines has them."""
+    for name, root in p.of(*OTHER_STORIES):
+        for k, kind, _, _, entry in _entries(p, name, root):
+            for path, e, table_style in _placed(entry, [] if kind is None else [k], None):
+                if e.tag == W + "p":
+                    style = _paragraph_style(e)
+                    for n, (x, _) in enumerate(_inlines(e, None, None)):
+                        yield (name, path, n, *x[:-1], p.roles[name], style, table_style)
+
+
 @table("kind string, identifier string, author string, text string, para_id string, part_name string, date string, initials string")
 def stories(p: Package) -> Iterator[tuple]:
     """Notes and comments: kind, identifier, author, text, and the paragraph id of their last paragraph."""
@@ -575,10 +611,11 @@ NODE_KINDS = {
 STORIES = (*STORY, "footnotes", "endnotes", "comments")
 
 
-@table("part_name string, role string, first int, last int, parent int, depth int, place int, kind string, tag string, qname string, text string, start int, inner_start int, inner_end int, end int, property boolean")
+@table("part_name string, role string, first int, last int, parent int, depth int, place int, kind string, tag string, qname string, text string, start int, inner_start int, inner_end int, end int, property boolean, ident string, para_id string")
 def elements(p: Package) -> Iterator[tuple]:
     """Every element of the stories and styles with its interval: it holds the elements numbered first + 1 to last. start to end
-    are its bytes in the part. property marks declarations and what is inside them."""
+    are its bytes in the part. property marks declarations and what is inside them. text is that of text elements, and
+    the id of styles."""
     for name, body in p.parts:
         if p.roles.get(name) not in (*STORIES, "styles"):
             continue
@@ -595,7 +632,7 @@ def elements(p: Package) -> Iterator[tuple]:
             kind = NODE_KINDS.get(tag, "Unknown") if own or tag == "pict" else "Unknown"
             yield (
                 name, p.roles[name], e.first, e.last, e.parent, e.depth, e.place, kind, tag if own else e.tag, e.qname, e.text if own and tag in ("t", "instrText", "delText") else e.attrs.get(W + "styleId"),
-                e.start, e.inner_start, e.inner_end, e.end, e.first <= until)
+                e.start, e.inner_start, e.inner_end, e.end, e.first <= until, e.attrs.get(W + "id"), e.attrs.get(W14 + "paraId"))
 
 
 @table("part_name string, role string, place int, kind string, ident string, story_kind string, story_id string, reached boolean")
