@@ -36,8 +36,9 @@ class Corpus:
         return self
 
     def shred(self, *names: str) -> Corpus:
-        """Makes the node tables named, or all, that are not there yet, in one pass; this runs a job."""
-        missing = tuple(n for n in shred.TABLES if (not names or n in names) and n not in self._stored)
+        """Makes the node tables named, or all but those that are made only when named, if they are not there yet, in one
+        pass; this runs a job."""
+        missing = tuple(n for n in shred.TABLES if (n in names if names else n not in shred.ON_DEMAND) and n not in self._stored)
         if missing:
             nodes = written(shred.everything(self.packages, missing), "nodes", by=["node"])
             self._stored |= {n: nodes.filter(F.col("node") == n).select("doc_id", f"{n}.*") for n in missing}
@@ -48,7 +49,7 @@ class Corpus:
         if name not in shred.TABLES:
             raise KeyError(name)
         if name not in self._stored:
-            self.shred()
+            self.shred(*([name] if name in shred.ON_DEMAND else []))
         return self._stored[name]
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -58,6 +59,7 @@ class Corpus:
 
     @property
     def main(self) -> DataFrame:
+        """Runs and marks of the main story."""
         return self.inlines.filter("role = 'main'")
 
     def shown_runs(self, inlines: DataFrame | None = None) -> DataFrame:
@@ -82,6 +84,7 @@ class Corpus:
         \\x0c, of a cell with \\x07, and so does a row; breaks are \\x0b, \\x0c and \\x0e, fields \\x13, \\x14 and \\x15, notes
         \\x02 and comments \\x05. Field codes and hidden runs are kept.
         """
+        self.shred("inlines", "blocks", "cells")
         # The characters of marks, and of the breaks that runs hold as \n, \f and \v.
         marks = {"FieldStart": "\x13", "FieldSeparator": "\x14", "FieldEnd": "\x15", "NoteReference": "\x02", "CommentMarker": "\x05"}
         shown = F.when(F.col("kind") == "Run", F.translate("text", "\n\f\v", "\x0b\x0c\x0e"))
@@ -100,11 +103,14 @@ class Corpus:
 
     def headings(self) -> DataFrame:
         """(doc_id, path, heading_level, depth, text) of headings at body level."""
+        self.shred("inlines", "blocks", "styles")
         h = resolve.outline(resolve.headings(self.blocks, self.styles))
         texts = self.paragraph_texts().withColumnRenamed("block_path", "path")
         return h.join(texts, ["doc_id", "path"], "left").select("doc_id", "path", "heading_level", "depth", F.coalesce("text", F.lit("")).alias("text"))
 
     def labels(self) -> DataFrame:
+        """(doc_id, path, list_id, level, label) of list items."""
+        self.shred("blocks", "styles", "list_levels")
         levels = self.list_levels.select("doc_id", "list_id", "level", "number_style", "number_format", "start_at")
         return resolve.list_labels(resolve.list_references(self.blocks, self.styles), levels)
 
@@ -135,6 +141,7 @@ class Corpus:
 
     def cell_texts(self) -> DataFrame:
         """(doc_id, table_path, row, cell, text): the paragraphs of a cell that hold text, one a line; nested tables are left out."""
+        self.shred("inlines", "styles", "cells")
         n = F.size("block_path")
         t = self.paragraph_texts().filter((n >= 4) & (F.col("text") != ""))
         t = t.select("doc_id", F.slice("block_path", F.lit(1), n - 3).alias("table_path"), F.element_at("block_path", n - 2).alias("row"), F.element_at("block_path", n - 1).alias("cell"), F.col("block_path"), "text")
@@ -142,6 +149,8 @@ class Corpus:
         return self.cells.join(own, ["doc_id", "table_path", "row", "cell"], "left").select("doc_id", "table_path", "row", "cell", "grid_span", "horizontal_merge", "vertical_merge", F.coalesce(F.array_join("l.text", "\n"), F.lit("")).alias("text"))
 
     def links(self) -> DataFrame:
+        """(doc_id, part_name, block_path, ord, text, url) of the runs of links."""
+        self.shred("inlines", "relationships")
         return resolve.links(resolve.visible(self.inlines), self.relationships)
 
     def fonts(self, *columns: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import links
+from .plans import conditions, properties
 from .queries import _LINE, _N, _WORD, _corpus, _lines, _parts_of, _table, _texts, query
 
 _X = [{"t": "x"}]
@@ -165,3 +166,33 @@ def cell_paragraph_formats(spark, d):
     painted = c.cell_paragraph_formats("grid").select("doc_id", "table_path", "row", "cell", F.col("alignment").alias("painted"))
     own = c.cell_paragraph_formats().select("doc_id", "table_path", "row", "cell", "space_before", F.coalesce("keepNext", F.lit(False)).alias("keep_next"), "alignment")
     return own.join(painted, ["doc_id", "table_path", "row", "cell"]).drop("table_path")
+
+
+# ------------------------------------------------------------------------------------------------ shapes
+_DRAWN = " ".join(f'xmlns:{k}="{v}"' for k, v in {
+    "wp": "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing", "a": "http://schemas.openxmlformats.org/drawingml/2006/main",
+    "wps": "http://schemas.microsoft.com/office/word/2010/wordprocessingShape", "wpg": "http://schemas.microsoft.com/office/word/2010/wordprocessingGroup"}.items())
+
+
+@query(f"""SELECT doc_id, k::INT AS shape, CASE WHEN n % 3 = 2 THEN 10.0 + 100 ELSE 10.0 END + CASE WHEN n % 3 = 0 THEN 0 WHEN k = 0 THEN (n - 2) * 2.0 ELSE 7.0 + 3 * 2 * 3 END AS x,
+20.0 + CASE WHEN n % 2 = 0 THEN 50 ELSE 0 END + CASE WHEN n % 3 = 0 THEN 0 WHEN k = 0 THEN 4 * 0.5 ELSE 9.0 + 4 * 0.5 * 0.25 END AS y,
+CASE WHEN n % 3 = 0 THEN 40.0 WHEN k = 0 THEN 5 * 2.0 ELSE 5 * 6.0 END AS width, CASE WHEN n % 3 = 0 THEN NULL ELSE 'FF0000' END AS fill, CASE WHEN n % 3 = 0 THEN 'box' ELSE 's' || k END AS text
+FROM ({_N}), (SELECT unnest(range(2)) AS k) WHERE n % 3 > 0 OR k = 0""")
+def shape_places(spark, d):
+    """A text box of its own, and shapes in a group and in a group inside it, with their scales; anchors from the page and margins."""
+    emu = lambda x: round(x * 12700)
+    frame = lambda off, ext, child, units: f'<wpg:grpSpPr><a:xfrm><a:off x="{emu(off[0])}" y="{emu(off[1])}"/><a:ext cx="{ext[0]}" cy="{ext[1]}"/><a:chOff x="{emu(child)}" y="0"/><a:chExt cx="{units[0]}" cy="{units[1]}"/></a:xfrm></wpg:grpSpPr>'
+
+    def shape(text, x, y, fill=True):
+        color = '<a:solidFill><a:srgbClr val="FF0000"/></a:solidFill>' if fill else ""
+        return f'<wps:wsp><wps:spPr><a:xfrm><a:off x="{emu(x)}" y="{emu(y)}"/><a:ext cx="{emu(5)}" cy="{emu(5)}"/></a:xfrm>{color}</wps:spPr><wps:txbx><w:txbxContent><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:txbxContent></wps:txbx></wps:wsp>'
+
+    def describe(n):
+        body = shape("box", 0, 0, False) if n % 3 == 0 else f'<wpg:wgp>{frame((0, 0), (200, 50), 2, (100, 100))}{shape("s0", n, 4)}<wpg:grpSp>{frame((7, 9), (300, 25), 0, (100, 100))}{shape("s1", 3, 4)}</wpg:grpSp></wpg:wgp>'
+        place = f'<wp:positionH relativeFrom="{"margin" if n % 3 == 2 else "page"}"><wp:posOffset>{emu(10)}</wp:posOffset></wp:positionH><wp:positionV relativeFrom="{"paragraph" if n % 2 == 0 else "page"}"><wp:posOffset>{emu(20)}</wp:posOffset></wp:positionV>'
+        drawing = f'<w:r><w:drawing><wp:anchor {_DRAWN}>{place}<wp:extent cx="{emu(40)}" cy="{emu(30)}"/><a:graphic><a:graphicData>{body}</a:graphicData></a:graphic></wp:anchor></w:drawing></w:r>'
+        return {"blocks": [{"runs": [{"t": "x"}, {"raw": drawing}]}], "sect": {"raw": '<w:pgMar w:top="1000" w:left="2000"/>'}}
+
+    c = _parts_of(spark, d, describe)
+    at = conditions.page_places(c.placed_shapes, properties.page_setups(c.properties))
+    return at.select("doc_id", "shape", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "width", "fill", "text")

@@ -24,7 +24,7 @@ NUMBER_FORMATS = {"decimal": 0, "upperRoman": 1, "lowerRoman": 2, "upperLetter":
 
 _KINDS = {
     "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(),
-    "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
 STORY = ("main", "header", "footer")
 
 
@@ -61,9 +61,15 @@ class Package:
 TABLES: dict[str, tuple[str, Callable[[Package], Iterator[tuple]]]] = {}
 
 
-def table(columns: str):
+#: Tables that are large or seldom needed: they are made only when named.
+ON_DEMAND: set[str] = set()
+
+
+def table(columns: str, on_demand: bool = False):
     def add(f: Callable[[Package], Iterator[tuple]]):
         TABLES[f.__name__] = (columns, f)
+        if on_demand:
+            ON_DEMAND.add(f.__name__)
         return f
 
     return add
@@ -537,6 +543,61 @@ def drawings(p: Package) -> Iterator[tuple]:
                     spot["positionH"][0], spot["positionV"][0], wrap, shape.get("behindDoc") in ("1", "true") if _local(shape.tag) == "anchor" else None)
 
 
+@table("part_name string, role string, block_path array<int>, ord int, shape int, depth int, off_x array<double>, off_y array<double>, ratio_x array<double>, ratio_y array<double>, child_x double, child_y double, x double, y double, width double, height double, anchor_x double, anchor_y double, horizontal_from string, vertical_from string, fill string, text string", on_demand=True)
+def placed_shapes(p: Package) -> Iterator[tuple]:
+    """Shapes of anchored drawings that are no pictures, those of groups each by itself. Of the groups around a shape, from
+    the outermost on: where each stands in the one before, and how many points one of its own units is; child_x and
+    child_y are where the innermost one's units begin. All in points, but for the ratios."""
+    def number(e: xml.Element | None, a: str) -> float:
+        return (whole(e.get(a)) or 0) / 12700 if e is not None else 0.0
+
+    def inner(e: xml.Element | None, *tags: str) -> xml.Element | None:
+        for tag in tags:
+            e = None if e is None else next((c for c in e.children if _local(c.tag) == tag), None)
+        return e
+
+    def flat(e: xml.Element, groups: list[tuple]) -> Iterator[tuple[xml.Element, list[tuple]]]:
+        for c in e.children:
+            tag = _local(c.tag)
+            if tag == "wsp":
+                yield c, groups
+            elif tag in ("wgp", "grpSp"):
+                yield from flat(c, [*groups, frame(c)])
+
+    def frame(g: xml.Element) -> tuple:
+        at = inner(g, "grpSpPr", "xfrm") or inner(g, "xfrm")
+        ext, own = inner(at, "ext"), inner(at, "chExt")
+        ratio = [(whole(ext.get(a)) or 0) / max(1, whole(own.get(a)) or 0) if ext is not None and own is not None else 1.0 for a in ("cx", "cy")]
+        return number(inner(at, "off"), "x"), number(inner(at, "off"), "y"), *ratio, number(inner(at, "chOff"), "x"), number(inner(at, "chOff"), "y")
+
+    for name, root in p.of(*STORY):
+        for path, e in _blocks(_body(root), []):
+            for k, (_, d) in enumerate(_inlines(e, None, None) if e.tag == W + "p" else ()):
+                anchor = inner(d, "anchor")
+                if anchor is None:
+                    continue
+                spot = {}
+                for axis in ("positionH", "positionV"):
+                    at = inner(anchor, axis)
+                    offset = inner(at, "posOffset")
+                    spot[axis] = ((whole(offset.text) or 0) / 12700 if offset is not None else 0.0, at.get("relativeFrom", "page") if at is not None else "page")
+                top = next((x for x in anchor.walk() if _local(x.tag) in ("wgp", "wsp")), None)
+                grouped = top is not None and _local(top.tag) == "wgp"
+                if top is None or not grouped and any(x.tag == A + "blip" for x in anchor.walk()):
+                    continue
+                for n, (s, groups) in enumerate(flat(top, [frame(top)]) if grouped else [(top, [])]):
+                    at = inner(s, "spPr", "xfrm")
+                    off, ext = (inner(at, "off"), inner(at, "ext")) if grouped else (None, inner(anchor, "extent"))
+                    if ext is None or grouped and off is None:
+                        continue
+                    fill = inner(s, "spPr", "solidFill", "srgbClr")
+                    lines = ["".join(_run_text(r) for r in x.walk() if r.tag == W + "r") for x in s.walk() if x.tag == W + "p"]
+                    yield (
+                        name, p.roles[name], path, k, n, len(groups), *([g[i] for g in groups] for i in range(4)), groups[-1][4] if groups else 0.0, groups[-1][5] if groups else 0.0,
+                        number(off, "x"), number(off, "y"), number(ext, "cx"), number(ext, "cy"), spot["positionH"][0], spot["positionV"][0], spot["positionH"][1], spot["positionV"][1],
+                        None if fill is None else fill.get("val"), "\n".join(lines))
+
+
 @table("table_path array<int>, row int, cell int, grid_span int, horizontal_merge int, vertical_merge int")
 def cells(p: Package) -> Iterator[tuple]:
     """Cells of tables: 0 no merge, 1 first, 2 continued."""
@@ -567,7 +628,7 @@ def _entries(p: Package, name: str, root: xml.Element) -> Iterator[tuple[int, st
 OTHER_STORIES = ("header", "footer", "footnotes", "endnotes", "comments")
 
 
-@table("part_name string, role string, story int, story_kind string, story_id string, note_type string, path array<int>, node_type string, style_id string, table_style string")
+@table("part_name string, role string, story int, story_kind string, story_id string, note_type string, path array<int>, node_type string, style_id string, table_style string", on_demand=True)
 def story_blocks(p: Package) -> Iterator[tuple]:
     """Paragraphs and tables of headers, footers, notes and comments; the path of those in notes and comments begins with
     the number of the story in its part."""
@@ -577,7 +638,7 @@ def story_blocks(p: Package) -> Iterator[tuple]:
                 yield name, p.roles[name], k, kind, ident, note_type, path, "Paragraph" if e.tag == W + "p" else "Table", _paragraph_style(e), table_style
 
 
-@table("part_name string, block_path array<int>, ord int, kind string, text string, ident string, rid string, anchor string, char_style string, b boolean, i boolean, caps boolean, smallCaps boolean, vanish boolean, size double, role string, paragraph_style string, table_style string")
+@table("part_name string, block_path array<int>, ord int, kind string, text string, ident string, rid string, anchor string, char_style string, b boolean, i boolean, caps boolean, smallCaps boolean, vanish boolean, size double, role string, paragraph_style string, table_style string", on_demand=True)
 def story_inlines(p: Package) -> Iterator[tuple]:
     """Runs and marks of the same, as inlines has them."""
     for name, root in p.of(*OTHER_STORIES):
@@ -611,7 +672,7 @@ NODE_KINDS = {
 STORIES = (*STORY, "footnotes", "endnotes", "comments")
 
 
-@table("part_name string, role string, first int, last int, parent int, depth int, place int, kind string, tag string, qname string, text string, start int, inner_start int, inner_end int, end int, property boolean, ident string, para_id string")
+@table("part_name string, role string, first int, last int, parent int, depth int, place int, kind string, tag string, qname string, text string, start int, inner_start int, inner_end int, end int, property boolean, ident string, para_id string", on_demand=True)
 def elements(p: Package) -> Iterator[tuple]:
     """Every element of the stories and styles with its interval: it holds the elements numbered first + 1 to last. start to end
     are its bytes in the part. property marks declarations and what is inside them. text is that of text elements, and
@@ -635,7 +696,7 @@ def elements(p: Package) -> Iterator[tuple]:
                 e.start, e.inner_start, e.inner_end, e.end, e.first <= until, e.attrs.get(W + "id"), e.attrs.get(W14 + "paraId"))
 
 
-@table("part_name string, role string, place int, kind string, ident string, story_kind string, story_id string, reached boolean")
+@table("part_name string, role string, place int, kind string, ident string, story_kind string, story_id string, reached boolean", on_demand=True)
 def annotation_marks(p: Package) -> Iterator[tuple]:
     """Every mark of notes and comments wherever it stands, in order; reached is whether reading a story's paragraphs
     comes to it."""
@@ -669,7 +730,7 @@ def _reached(parent: xml.Element) -> Iterator[xml.Element]:
             yield from c.children
 
 
-@table("identifier string, place int, para_id string, date string")
+@table("identifier string, place int, para_id string, date string", on_demand=True)
 def comment_paragraphs(p: Package) -> Iterator[tuple]:
     """The paragraphs of comments, those of their tables too, with their ids; one row without an id for a comment without any."""
     for _, root in p.of("comments"):
@@ -681,7 +742,7 @@ def comment_paragraphs(p: Package) -> Iterator[tuple]:
                 yield e.get(W + "id"), None, None, e.get(W + "date")
 
 
-@table("part_name string, kind string, ord int, para_id string, durable_id string, date_utc string")
+@table("part_name string, kind string, ord int, para_id string, durable_id string, date_utc string", on_demand=True)
 def comment_records(p: Package) -> Iterator[tuple]:
     """Records of modern comment metadata, of every part whose root is one; which part counts follows from relationships."""
     # Namespaces of the two kinds of parts.

@@ -133,7 +133,7 @@ def test_plans_read_the_packages_once(spark):
         assert plan.count("MapInArrow") <= 1 and "recursive" not in plan.lower()
 
 
-def test_hidden_text_in_styles_and_bad_measures(spark):
+def test_bad_measures_are_errors(spark):
     rows = spark.createDataFrame([("paragraph", {"ind@left": "1x"})], "owner string, props map<string,string>").selectExpr("1L doc_id", "'p' part_name", "array(0) path", "0 ord", "'' ident", "*")
     with pytest.raises(Exception, match="not a whole number"):
         properties.paragraph_formats(rows).select("left_indent").collect()
