@@ -35,6 +35,8 @@ MIN_CHARS = 20
 SHORT = ("stay", "elsewhere", "go")
 BLANK = (9, 10, 11, 12, 13, 32)
 LONG_LIST = 64
+#: A list of so many lines or fewer is paired rather than cut again: comparing their bags costs less.
+WIDE_LIST = 4096
 PER_BUCKET = 400_000
 _SECOND = 0xC2B2AE3D27D4EB4F | 1
 
@@ -381,11 +383,11 @@ def _bag_distance(a: Column, b: Column) -> Column:
 
 def _pieces(lists: DataFrame) -> DataFrame:
     """lists (key, h, indexed, comp, ...) that hold index entries and more than one component, with ``main``, their largest
-    component, and ``wide``: whether the pairs between components are more than LONG_LIST for each line."""
+    component, and ``wide``: whether they have over WIDE_LIST lines and, between components, over LONG_LIST pairs for each."""
     per = lists.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("any"))
     sizes = per.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max_by("comp", "n").alias("main"), F.max("any").alias("any"))
     cross = F.col("n") * F.col("n") - F.col("same")
-    return lists.join(sizes.filter((cross > 0) & F.col("any")).select("key", "main", (cross > LONG_LIST * F.col("n")).alias("wide")), "key")
+    return lists.join(sizes.filter((cross > 0) & F.col("any")).select("key", "main", ((F.col("n") > WIDE_LIST) & (cross > LONG_LIST * F.col("n"))).alias("wide")), "key")
 
 
 def _direct(lists: DataFrame) -> DataFrame:
@@ -403,7 +405,7 @@ def _direct(lists: DataFrame) -> DataFrame:
 def _split_lists(texts: DataFrame, lines: DataFrame, many: DataFrame, links: DataFrame) -> DataFrame:
     """links and those between the lines of long lists, many (key, h, bag, indexed), that links leave in pieces.
 
-    Lists with few pairs between their components, at most LONG_LIST for each line, give those. In others each line is
+    Lists that are not wide give their pairs between components. In others each line is
     paired with a leader, and they go on to the next round with what is left of their lines: two lines that share a
     segment are as near in the rest as they are. Rests of MAX_EDITS characters or fewer can be cut no more; if even
     their lists are in pieces, all their pairs between pieces are verified.

@@ -29,6 +29,7 @@ def classes(spark, texts):
 
 def test_families_of_one_segment(spark, monkeypatch):
     monkeypatch.setattr(lines, "LONG_LIST", 4)
+    monkeypatch.setattr(lines, "WIDE_LIST", 6)
     rng = random.Random(4)
     letters = "abcdefghij"
     word = lambda n: "".join(rng.choices(letters, k=n))
