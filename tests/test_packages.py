@@ -94,7 +94,7 @@ def test_list_labels_equal_a_fold(spark):
 
 
 def test_replacement_keeps_other_bytes(spark):
-    data = b'<w:p><w:r><w:t>one two</w:t></w:r><w:x a="one"/></w:p>'
+    data = b'<w:p xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:r><w:t>one two</w:t></w:r><w:x a="one"/></w:p>'
     new, found = edit.replace_in_part(data, {"one": "1", "one two": "12"})
     assert new == data.replace(b">one two<", b">12<") and found == {"one": 0, "one two": 1}
 

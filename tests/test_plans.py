@@ -19,7 +19,8 @@ def test_style_import(spark):
 
 
 def test_replacement_over_runs():
-    data = b"<w:p><w:r><w:t>one t</w:t></w:r><w:r><w:b/><w:t>wo &amp; thr</w:t></w:r><w:r><w:t>ee</w:t></w:r></w:p><w:p><w:r><w:t>two</w:t></w:r></w:p>"
+    body = lambda x: b'<w:body xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">' + x + b"</w:body>"
+    data = body(b"<w:p><w:r><w:t>one t</w:t></w:r><w:r><w:b/><w:t>wo &amp; thr</w:t></w:r><w:r><w:t>ee</w:t></w:r></w:p><w:p><w:r><w:t>two</w:t></w:r></w:p>")
     new, n = edit.replace_across_runs(data, "two & three", "2 < 3")
-    assert n == 1 and new == b"<w:p><w:r><w:t>one 2 &lt; 3</w:t></w:r><w:r><w:b/><w:t></w:t></w:r><w:r><w:t></w:t></w:r></w:p><w:p><w:r><w:t>two</w:t></w:r></w:p>"
+    assert n == 1 and new == body(b"<w:p><w:r><w:t>one 2 &lt; 3</w:t></w:r><w:r><w:b/><w:t></w:t></w:r><w:r><w:t></w:t></w:r></w:p><w:p><w:r><w:t>two</w:t></w:r></w:p>")
     assert edit.replace_across_runs(data, "two", "2")[1] == 2
