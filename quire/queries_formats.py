@@ -174,10 +174,10 @@ _DRAWN = " ".join(f'xmlns:{k}="{v}"' for k, v in {
     "wps": "http://schemas.microsoft.com/office/word/2010/wordprocessingShape", "wpg": "http://schemas.microsoft.com/office/word/2010/wordprocessingGroup"}.items())
 
 
-@query(f"""SELECT doc_id, k::INT AS shape, CASE WHEN n % 3 = 2 THEN 10.0 + 100 ELSE 10.0 END + CASE WHEN n % 3 = 0 THEN 0 WHEN k = 0 THEN (n - 2) * 2.0 ELSE 7.0 + 3 * 2 * 3 END AS x,
+@query(f"""SELECT doc_id, shape, x::DOUBLE AS x, y::DOUBLE AS y, width::DOUBLE AS width, fill, text FROM (SELECT doc_id, k::INT AS shape, CASE WHEN n % 3 = 2 THEN 10.0 + 100 ELSE 10.0 END + CASE WHEN n % 3 = 0 THEN 0 WHEN k = 0 THEN (n - 2) * 2.0 ELSE 7.0 + 3 * 2 * 3 END AS x,
 20.0 + CASE WHEN n % 2 = 0 THEN 50 ELSE 0 END + CASE WHEN n % 3 = 0 THEN 0 WHEN k = 0 THEN 4 * 0.5 ELSE 9.0 + 4 * 0.5 * 0.25 END AS y,
 CASE WHEN n % 3 = 0 THEN 40.0 WHEN k = 0 THEN 5 * 2.0 ELSE 5 * 6.0 END AS width, CASE WHEN n % 3 = 0 THEN NULL ELSE 'FF0000' END AS fill, CASE WHEN n % 3 = 0 THEN 'box' ELSE 's' || k END AS text
-FROM ({_N}), (SELECT unnest(range(2)) AS k) WHERE n % 3 > 0 OR k = 0""")
+FROM ({_N}), (SELECT unnest(range(2)) AS k) WHERE n % 3 > 0 OR k = 0)""")
 def shape_places(spark, d):
     """A text box of its own, and shapes in a group and in a group inside it, with their scales; anchors from the page and margins."""
     emu = lambda x: round(x * 12700)
