@@ -25,7 +25,7 @@ def _nested(n: int) -> dict:
 @query(f"""SELECT doc_id, d * 2 + 2 + CASE WHEN d > 0 THEN 0 ELSE 0 END AS paragraphs, d AS tables, d AS rows, d * 2 AS cells, d * 2 + 3 AS runs FROM (SELECT doc_id, (n % 3)::BIGINT AS d FROM ({_N}))""")
 def subtree_counts(spark, d):
     c = _parts_of(spark, d, _nested)
-    counts = tree.subtree_counts(c.node_elements(), ("Paragraph", "Table", "Row", "Cell", "Run")).filter("kind = 'Body'")
+    counts = tree.subtree_counts(c.node_elements(styles=False), ("Paragraph", "Table", "Row", "Cell", "Run")).filter("kind = 'Body'")
     return counts.select("doc_id", F.col("Paragraph").alias("paragraphs"), F.col("Table").alias("tables"), F.col("Row").alias("rows"), F.col("Cell").alias("cells"), F.col("Run").alias("runs"))
 
 
@@ -33,7 +33,7 @@ def subtree_counts(spark, d):
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k DESC))::INT AS place, 'deep' || n || string_agg('c' || k || 'd', '') OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS text FROM t""")
 def table_descendants(spark, d):
     """The text below each table, tables inside it included; outer tables come first."""
-    e = _parts_of(spark, d, _nested).node_elements()
+    e = _parts_of(spark, d, _nested).node_elements(styles=False)
     tables = e.filter("kind = 'Table'")
     place = tree.ancestors(e, tables, "Table").groupBy("doc_id", "node").agg(F.max("up").alias("place"))
     t = tree.texts(e, tables).join(place, ["doc_id", "node"], "left")
@@ -43,7 +43,7 @@ def table_descendants(spark, d):
 @query(f"SELECT doc_id, kind, k::INT AS place FROM ({_N}), (SELECT unnest(['Run', 'Hyperlink']) AS kind, 0 AS k)")
 def child_nodes(spark, d):
     """Direct children of the last paragraph: a run and a link, whose own run is no child of the paragraph."""
-    e = _parts_of(spark, d, _nested).node_elements()
+    e = _parts_of(spark, d, _nested).node_elements(styles=False)
     last = e.filter("kind = 'Paragraph'").groupBy("doc_id").agg(F.max("first").alias("node"))
     pairs = tree.children(e, "Run").unionByName(tree.children(e, "Hyperlink"))
     return pairs.join(last, ["doc_id", "node"], "left_semi").select("doc_id", "kind", F.col("place_in_kind").alias("place"))
@@ -133,7 +133,7 @@ def _read_back(parts):
 
 def _lines_of(c: Corpus):
     """Elements of the main story, its paragraphs with their place among the body's elements."""
-    e = c.node_elements().filter("role = 'main'")
+    e = c.node_elements(styles=False).filter("role = 'main'")
     return e, e.filter("kind = 'Paragraph'")
 
 
@@ -184,7 +184,7 @@ def refused_removals(spark, d):
         return {"blocks": [{"table": [[{"blocks": [{"runs": _X}] * (1 if t["role"] == "user" else 2)}]]} for t in row["turns"]]}
 
     c = _corpus(_conversation(spark, d), describe)
-    e = c.node_elements().filter("role = 'main'")
+    e = c.node_elements(styles=False).filter("role = 'main'")
     cells = e.filter("kind = 'Cell'").select("doc_id", "part_name", F.col("first").alias("parent"))
     target = e.filter("kind = 'Paragraph'").join(cells, ["doc_id", "part_name", "parent"], "left_semi")
     last = target.groupBy("doc_id", "part_name", "parent").agg(F.max("first").alias("first"))
