@@ -142,7 +142,7 @@ UNION ALL SELECT doc_id, 1000000, 3, 'end' FROM documents)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY i, k) AS text FROM e WHERE line <> '' GROUP BY doc_id""")
 def edited_paragraphs(spark, d):
     """Paragraphs inserted, removed, copied and appended in one plan, for all documents."""
-    c = _corpus(_texts(spark, d), _plain)
+    c = _corpus(_texts(spark, d), _plain).keep_parts()
     e, p = _lines_of(c)
     parts, i = c.parts, F.col("place")
     new = lambda t: F.concat(F.lit("<w:p><w:r><w:t>"), splice.escaped(t), F.lit("</w:t></w:r></w:p>"))
@@ -156,10 +156,10 @@ def edited_paragraphs(spark, d):
 WHERE (k = 0 AND line <> '') OR (k = 1 AND length(line) > 3) OR (k = 2 AND length(line) > 5)""")
 def split_runs(spark, d):
     """Every run split behind its third and fifth code point; the parts keep its formatting and its text."""
-    c = _corpus(_texts(spark, d), lambda row: {"blocks": [{"runs": [{"t": x, "b": True}]} for x in _lines(row)]})
+    c = _corpus(_texts(spark, d), lambda row: {"blocks": [{"runs": [{"t": x, "b": True}]} for x in _lines(row)]}).keep_parts()
     e, _ = _lines_of(c)
     runs = e.filter("kind = 'Run'").select("doc_id", "part_name", F.col("first").alias("run"), F.explode(F.array(F.lit(3), F.lit(5))).alias("offset"))
-    out = _read_back(splice.apply(c.parts, splice.split_runs(e, c.parts, runs)))
+    out = _read_back(splice.apply(c.parts, splice.split_runs(e, c.parts, runs))).shred("inlines")
     return out.inlines.filter("kind = 'Run' and b and text <> ''").select("doc_id", F.element_at("block_path", 1).alias("place"), F.col("ord").alias("run"), "text")
 
 

@@ -42,3 +42,11 @@ def test_elements_of_styles_are_made_on_demand(spark):
     own = c.node_elements(styles=False)
     assert {r["role"] for r in own.select("role").distinct().collect()} == {"main"} and set(c._stored) == {"elements"}
     assert {r["role"] for r in c.node_elements().select("role").distinct().collect()} == {"main", "styles"}
+
+
+def test_edited_packages_are_made_once(spark):
+    # what is left in the plan are the edit and the search for words, over stored parts
+    from quire.queries import QUERIES
+
+    plan = QUERIES["signed_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
