@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .builder import DEFAULT_STYLES, build
-from .package import zip_parts
+from .builder import DEFAULT_STYLES, packed
 
 RUN = "struct<text: string, link: string, bold: boolean, italic: boolean, size: double>"
 PARAGRAPH = f"type: string, text: string, style: string, heading_level: int, list: struct<is_list_item: boolean, list_level_number: int, list_id: int>, runs: array<{RUN}>"
@@ -80,6 +79,6 @@ def import_documents(documents: DataFrame, json_col: str = "json") -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 rows = batch.slice(k, 64).to_pylist()
-                yield pa.record_batch([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([zip_parts(build(describe(r["d"]))) for r in rows], pa.binary())], ["doc_id", "content"])
+                yield pa.record_batch([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([packed(describe(r["d"])) for r in rows], pa.binary())], ["doc_id", "content"])
 
     return good.mapInArrow(run, "doc_id long, content binary")

@@ -4,6 +4,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators.extract import Corpus
 from quire.sources import package
@@ -50,3 +51,20 @@ def test_edited_packages_are_made_once(spark):
 
     plan = QUERIES["signed_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2
+
+
+def test_equal_packages_are_written_and_shredded_once(spark):
+    from quire.sources import builder, shred
+
+    assert builder.packed(_one("equal")) is builder.packed(_one("equal")) != builder.packed(_one("other"))
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"))
+    c = Corpus(make_packages(docs, lambda row: _one("even" if row["doc_id"] % 2 == 0 else f"odd {row['doc_id']}")))
+    got = {r["doc_id"]: r["text"] for r in c.shred("inlines").inlines.collect()}
+    assert got == {k: "even" if k % 2 == 0 else f"odd {k}" for k in range(40)}
+    # rows of equal packages are held once, each document with its own
+    held, kept, rows = shred._Held(), shred._Kept(), [("a",), ("b",)]
+    kept.put(b"x", {"t": rows})
+    for k, found in enumerate((kept.get(b"x")["t"], [("c",)], kept.get(b"x")["t"], [])):
+        held.add(k, found)
+    ids, at = held.dealt()
+    assert len(held.rows) == 3 and ids.to_pylist() == [0, 0, 1, 2, 2] and [held.rows[k][0] for k in at.to_pylist()] == ["a", "b", "c", "a", "b"]

@@ -30,3 +30,12 @@ def test_node_tables_are_not_broadcast(spark):
     plan = c.labels()._jdf.queryExecution().toString()
     plan += resolve.header_assignment(c.section_references, c.relationships)._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and not re.search("Broadcast(HashJoin|Exchange)", plan)
+
+
+def test_node_tables_are_joined_where_they_are(spark):
+    # a join by document and more moves no rows, so that a task has a bucket of documents however well equal rows pack
+    from quire.queries import QUERIES
+
+    plan = QUERIES["style_chain_depth"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    physical = plan[plan.index("Physical Plan") :]
+    assert "SortMergeJoin" in physical and "Exchange" not in physical
