@@ -39,3 +39,10 @@ def test_node_tables_are_joined_where_they_are(spark):
     plan = QUERIES["style_chain_depth"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     physical = plan[plan.index("Physical Plan") :]
     assert "SortMergeJoin" in physical and "Exchange" not in physical
+
+
+def test_orders_are_not_broadcast(spark):
+    from quire.queries import _order_lists
+
+    plan = _order_lists(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
