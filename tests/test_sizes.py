@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.extract import Corpus
 from quire.plans import resolve
-from quire.sources.builder import PER_TASK, make_packages, spread
+from quire.sources.builder import PER_TASK, TASK_BYTES, make_packages, spread, tasks_for
 
 
 def _items(row):
@@ -46,3 +46,8 @@ def test_orders_are_not_broadcast(spark):
 
     plan = _order_lists(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_long_texts_are_dealt_to_more_tasks(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 40_000).alias("text"))
+    assert tasks_for(docs) == -(-5000 * 40_000 // TASK_BYTES) > tasks_for(docs.select("doc_id"))
