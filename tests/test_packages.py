@@ -49,6 +49,32 @@ def test_flat_form_round_trip():
     assert "x &amp; y" in back["word/document.xml"].decode()
 
 
+def test_flat_parts_keep_their_bytes():
+    # equal parts stay equal bytes, so that what was made of them once is used again
+    parts = [(n, b) for n, b in build({"blocks": [{"runs": [{"t": "x & y"}]}]}) if n != "[Content_Types].xml"]
+    assert package.flat_decode(package.flat_encode(parts))[1:] == parts
+    one = lambda payload: f"<k:package xmlns:k='{package.xml.PKG[1:-1]}' xmlns:a='urn:a' xmlns='urn:d'><k:part k:name='/x.xml' k:contentType='x'><k:xmlData>{payload}</k:xmlData></k:part></k:package>".encode()
+    for payload, tag in (("<a:q><r a:s='>'/>\u00e9</a:q>", "{urn:a}q"), ("<q/>", "{urn:d}q"), ("<q xmlns=''/>", "q"), ("<a:q xmlns:a='urn:b'><a:q>1</a:q></a:q>", "{urn:b}q")):
+        for data in (one(payload), b"\xef\xbb\xbf" + one(payload), ("<?xml version='1.0' encoding='UTF-16'?>" + one(payload).decode()).encode("utf-16")):
+            want = package.xml.parse(one(payload)).children[0].children[0].children[0]
+            got = package.xml.parse(package.flat_decode(data)[1][1])
+            flat = lambda e: [(x.tag, x.attrs, x.text, len(x.children)) for x in e.walk()]
+            assert got.tag == tag and flat(got) == flat(want)
+    for bad in (one("<q/><q/>"), one("<z:q/>"), one("<q>"), b"<!DOCTYPE x>" + one("<q/>")):
+        with pytest.raises(ValueError):
+            package.flat_decode(bad)
+
+
+def test_recoded_packages_stay_where_they_are(spark):
+    made = [(k, package.zip_parts(build({"blocks": [{"runs": [{"t": f"t{k}"}]}]}))) for k in range(5)]
+    df = spark.createDataFrame([*made, (7, b"nothing"), (8, None)], "doc_id long, content binary")
+    flat = package.recoded(df, "flat_opc")
+    assert "Exchange" not in flat._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["text"] for r in Corpus(flat).text().collect()} == {k: f"t{k}" for k in range(5)}
+    assert {r["doc_id"] for r in Corpus(flat).load_errors.collect()} == {7, 8}
+    assert {r["doc_id"]: bytes(r["content"]) for r in package.recoded(package.recoded(df.filter("doc_id < 5"), "flat_opc")).collect()}.keys() == set(range(5))
+
+
 def test_style_cycle_and_missing_base_end(spark):
     styles = [{"id": "A", "name": "A", "base": "B"}, {"id": "B", "name": "B", "base": "C"}, {"id": "C", "name": "C", "base": "A"}, {"id": "D", "name": "D", "base": "gone"}]
     c = corpus(spark, [{"blocks": [], "styles": styles}])

@@ -45,7 +45,7 @@ def test_what_is_made_of_node_tables_is_not_broadcast(spark):
     # a row a document, made by joins, is as long as the node tables are: the hint on these does not reach it
     from __spark_entry__ import queries
 
-    for name in ("merged_tab_stops", "text_space", "style_lookup", "crossed_ranges"):
+    for name in ("merged_tab_stops", "text_space", "style_lookup", "crossed_ranges", "flat_opc_roundtrip", "docx_roundtrip"):
         plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         physical = plan[plan.index("Physical Plan") :]
         assert "SortMergeJoin" in physical and not re.search("Exchange", physical), name
